@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, tokens
+from . import audio, decontam, packing, sharding, tokens
 
 QUERIES = {
     "op2_token_counts": tokens.query,
+    "op3_sharding": sharding.query,
     "op4_packing": packing.query,
+    "op6_audio": audio.query,
+    "op8_decontamination": decontam.query,
+}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontam.SQL,
 }
-ORACLES: dict[str, str] = {}
