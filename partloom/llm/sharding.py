@@ -35,7 +35,7 @@ def quotas(wanted: np.ndarray, loads: np.ndarray, most: float) -> np.ndarray:
     return share
 
 
-def propagate(docs: DataFrame, shards: int, rounds: int, slack: float) -> tuple[DataFrame, DataFrame]:
+def propagate(docs: DataFrame, shards: int, rounds: int) -> DataFrame:
     """Labels of linked documents: (group, cell, origin) -> shard, and the rows of that table.
 
     Linked documents (equal texts) start where a hash of their id puts them.  In
@@ -59,28 +59,24 @@ def propagate(docs: DataFrame, shards: int, rounds: int, slack: float) -> tuple[
             wanted[r.shard, r.target] = r.n
         if not wanted.sum():
             break
-        shift = moved_loads(docs, state, shards)
-        share = quotas(wanted, shift, capacity * (1 + slack))
+        share = quotas(wanted, linked_loads(state, shards), total // shards)
         admit = _pick([int(x * 1_000_000) for x in share.ravel()], F.col("shard") * shards + F.col("target"))
         luck = F.pmod(F.xxhash64("h", "part", "cell", "origin", F.lit(turn)), F.lit(1_000_000))
         new = materialize(moving.select(*GROUP, "cell", "origin", "n", "part", F.when(luck < admit, F.col("target")).otherwise(F.col("shard")).alias("shard")), "labels")
         discard(state)
         state = new
-    return state, sizes
+    return state
 
 
-def moved_loads(docs: DataFrame, state: DataFrame, shards: int) -> np.ndarray:
-    """Rows of each shard now: by origin, with the linked documents' moves."""
+def linked_loads(state: DataFrame, shards: int) -> np.ndarray:
+    """Linked rows of each shard now; unlinked rows cut no edge wherever they fill up."""
     loads = np.zeros(shards)
-    for r in docs.groupBy("origin").count().collect():
-        loads[r.origin] += r["count"]
-    for r in state.groupBy("origin", "shard").agg(F.sum("n").alias("n")).collect():
-        loads[r.origin] -= r.n
-        loads[r.shard] += r.n
+    for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+        loads[r.shard] = r.n
     return loads
 
 
-def shard(docs: DataFrame, shards: int = 24, rounds: int = 5, slack: float = 0.02, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, rounds: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Put every row into one of `shards` shards, counts at most one apart (law `rows`).
 
     (doc_id, size, text_crc32, law, shard, slot, grown_shard).  Links join equal
@@ -98,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 5, slack: float = 0.0
         ),
         "rows",
     )
-    labels, _ = propagate(base, shards, rounds, slack)
+    labels = propagate(base, shards, rounds)
     spot = [*GROUP, "cell", "origin"]
     placed = materialize(base.join(labels.select(*spot, F.col("shard").alias("label")), spot, "left").select("doc_id", "size", "text_crc32", F.coalesce("label", "origin").alias("shard"), F.col("label").isNotNull().cast("int").alias("linked")), "placed")
     free, load = np.zeros(shards, int), np.zeros(shards, int)
