@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, packing, sharding, tokens
+from . import audio, decontam, jaccard, packing, sharding, tokens
 
 QUERIES = {
     "op2_token_counts": tokens.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_packing": packing.query,
     "op6_audio": audio.query,
     "op8_decontamination": decontam.query,
+    "op10_jaccard_join": jaccard.query,
 }
 ORACLES: dict[str, str] = {
     "op8_decontamination": decontam.SQL,
+    "op10_jaccard_join": jaccard.SQL,
 }
