@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import materialize, ranked, ship, table
-from .tokens import Encoder, text_runs
+from .tokens import text_runs, worker_encoder
 
 PIECES = "doc_id long, part int, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -61,7 +61,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
     """Every text's ids and `end_id`, cut into full pieces of `capacity` and a rest."""
 
     def cut(batches):
-        encoder = Encoder(path)
+        encoder = worker_encoder(path, "ids")
         closing = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, rows = batch.column(0).to_pylist(), []

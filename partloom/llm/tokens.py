@@ -16,7 +16,7 @@ from .store import ship, table
 
 #: Pieces in the broadcast table, and pieces that a worker keeps beside it.
 FREQUENT = 65_536
-CACHE = 500_000
+CACHE = 800_000
 #: Pieces that one partition counts at once before it forgets the rarest.
 COUNTED = 300_000
 _UNSAFE = re.compile("(?:^| )(?=[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]|\\Z)")
@@ -80,22 +80,27 @@ class Encoder:
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         return [np.array(x.ids, np.uint32) for x in encode(texts, add_special_tokens=False)]
 
-    def _fill(self, heads: set[str], tails: set[str], measure) -> None:
+    def _fill(self, heads: set[str], tails: set[str], as_bytes: bool) -> None:
         if len(self.first) + len(self.rest) > self.size:
             self.first, self.rest = {}, {}
-        for held, wanted, lead in ((self.first, heads, ""), (self.rest, tails, " ")):
-            missing = [p for p in wanted if p not in held and not (lead and p in self.frequent)]
-            for at in range(0, len(missing), 8192):
-                some = missing[at : at + 8192]
-                held.update(zip(some, map(measure, self._joined(some) if lead else self._ids(some)), strict=True))
-
-    def _joined(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces with their blank, from one call: tokens' byte widths tell the pieces apart."""
+        missing = list(heads.difference(self.first))
+        found = self._ids(missing) if missing else []
+        self.first.update(zip(missing, (x.astype("<u4").tobytes() for x in found) if as_bytes else map(len, found), strict=True))
+        missing = list(tails.difference(self.rest).difference(self.frequent))
+        for at in range(0, len(missing), 8192):
+            some = missing[at : at + 8192]
+            self.rest.update(zip(some, self._joined(some, as_bytes), strict=True))
+
+    def _joined(self, pieces: list[str], as_bytes: bool) -> list:
+        """Ids, or their number, of pieces with their blank, from one call: tokens' byte widths tell the pieces apart."""
         joined = " " + " ".join(pieces)
         ids = self._ids([joined])[0]
         ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
-        return np.split(ids, cuts[:-1])
+        cuts = np.concatenate([[0], np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1])
+        if not as_bytes:
+            return np.diff(cuts).tolist()
+        raw, at = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
     def _cut(self, text: str) -> tuple[list[str], list[int]]:
         """Stretches between special strings, and the specials' ids."""
@@ -103,7 +108,7 @@ class Encoder:
             return [text], []
         return self.cut.split(text), [self.special[m] for m in self.cut.findall(text)]
 
-    def _run(self, texts: list[str], measure):
+    def _run(self, texts: list[str], as_bytes: bool):
         cut = [self._cut(t) for t in texts]
         pieces = [[pieces_of(s) for s in stretches] for stretches, _ in cut]
         heads = {p[0] for ps in pieces for p in ps}
@@ -111,14 +116,14 @@ class Encoder:
         for ps in pieces:
             for p in ps:
                 tails.update(p)
-        self._fill(heads, tails, measure)
+        self._fill(heads, tails, as_bytes)
         return zip(pieces, (ids for _, ids in cut), strict=True)
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.kind != "piece":
             return [len(x) for x in self._ids(texts)]
         out = []
-        for pieces, special in self._run(texts, len):
+        for pieces, special in self._run(texts, False):
             lookup, n = self.rest.get, len(special)
             frequent = self.frequent
             for p in pieces:
@@ -132,7 +137,7 @@ class Encoder:
         if self.kind != "piece":
             return [x.astype("<u4").tobytes() for x in self._ids(texts)]
         out = []
-        for pieces, special in self._run(texts, lambda x: x.astype("<u4").tobytes()):
+        for pieces, special in self._run(texts, True):
             parts = []
             for k, p in enumerate(pieces):
                 if k:
@@ -143,6 +148,17 @@ class Encoder:
         return out
 
 
+_held: dict[tuple[str, str], Encoder] = {}
+
+
+def worker_encoder(path: str, use: str, counts: dict[str, int] | None = None) -> Encoder:
+    """This worker process's encoder for a file and a use; its cache serves later tasks too."""
+    if (path, use) not in _held:
+        _held[path, use] = Encoder(path)
+    _held[path, use].frequent = counts or {}
+    return _held[path, use]
+
+
 def text_runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) with about `limit` characters a run; null is empty."""
     at, size, run = 0, 0, []
@@ -204,7 +220,7 @@ def token_counts(docs: DataFrame, path: str, over: int = 512, doc_id: str = "doc
     shared = spark.sparkContext.broadcast(lengths)
 
     def count(batches):
-        encoder = Encoder(path, shared.value)
+        encoder = worker_encoder(path, "counts", shared.value)
         for batch in batches:
             texts, sizes, counts = batch.column(1).to_pylist(), [], []
             for _, run in text_runs(texts):
