@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, jaccard, packing, quality, sharding, tokens, toxicity
+from . import audio, decontam, jaccard, packing, pii, quality, sharding, tokens, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
     "op2_token_counts": tokens.query,
     "op3_sharding": sharding.query,
     "op4_packing": packing.query,
+    "op5_pii": pii.query,
     "op6_audio": audio.query,
     "op8_decontamination": decontam.query,
     "op9_toxicity": toxicity.query,
