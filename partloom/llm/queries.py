@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, jaccard, packing, pii, quality, sharding, tokens, toxicity
+from . import audio, decontam, jaccard, packing, pii, quality, sharding, suffix, tokens, toxicity
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_pii": pii.query,
     "op6_audio": audio.query,
+    "op7_suffix_dedup": suffix.query,
     "op8_decontamination": decontam.query,
     "op9_toxicity": toxicity.query,
     "op10_jaccard_join": jaccard.query,

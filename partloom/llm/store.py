@@ -80,3 +80,24 @@ def ranked(df: DataFrame, group: list[str], order: list[str], spread: list[str],
         same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     within = F.row_number().over(W.partitionBy(*group, "_cell").orderBy(*order)) - 1
     return dealt.withColumn("_within", within).join(starts, same, "left").withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_cell", "_c", "_start", "_within", *[f"_g{i}" for i in range(len(group))])
+
+
+#: Words of 64 bits in a sieve: its broadcast has this many rows at most, whatever it is built from.
+SIEVE_WORDS = 1 << 17
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A bitmap of the hashes of `key`, as at most SIEVE_WORDS rows (w, bits), for sifted()."""
+    bit = F.pmod(F.xxhash64(key), F.lit(SIEVE_WORDS * 64))
+    return materialize(keys.select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")), "sieve")
+
+
+def sifted(df: DataFrame, key: str, bitmap: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose key may be in the sieve, or with inside=False those whose key surely isn't.
+
+    The bitmap's broadcast has a fixed bound; beyond its capacity more rows pass,
+    so only the work of an exact join after it depends on it.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(SIEVE_WORDS * 64))
+    hit = (F.shiftright(bit, 6) == F.col("w")) & (F.expr(f"getbit(bits, cast(pmod(xxhash64({key}), {SIEVE_WORDS * 64}) % 64 as int))") == 1)
+    return df.join(F.broadcast(bitmap), hit, "left_semi" if inside else "left_anti")
