@@ -64,6 +64,57 @@ def _index(items: list[tuple[str | None, str | None]], n: int, seen: dict[bytes,
     return {k: tuple(sorted(v)) for k, v in places.items()}, dict(owners)
 
 
+def occurrences(words: list[bytes], places: dict, owners: dict) -> tuple[list[list[int]], set]:
+    """Joined stretches of words inside windows, and the windows' items."""
+    spans, items = [], set()
+    if places.keys().isdisjoint(words):
+        return spans, items
+    for i, w in enumerate(words):
+        if w in places:
+            for offset, length in places[w]:
+                a = i - offset
+                if a >= 0 and a + length <= len(words) and (held := owners.get(tuple(words[a : a + length]))):
+                    spans.append((a, a + length))
+                    items |= held
+    joined: list[list[int]] = []
+    for a, b in sorted(spans):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    return joined, items
+
+
+def _passes(bench: DataFrame) -> int:
+    size = bench.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
+    return max(1, -(-size // BROADCAST_BYTES))
+
+
+def _shared_index(docs: DataFrame, bench: DataFrame, block: int, passes: int, n: int):
+    """The broadcast index of one block of the benchmark, of bounded size."""
+    items = _items(bench, block, passes)
+    vocabulary = frozenset(w for _, t in items for w in words_of(t))
+    return docs.sparkSession.sparkContext.broadcast(_index(items, n, _rarity(docs, vocabulary) if vocabulary else {}))
+
+
+def uncontaminated(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
+    """The rows of `docs`, all columns, with no benchmark window in `text`; null and empty texts stay."""
+    ship(docs.sparkSession)
+    bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    at, passes = names.index("text"), _passes(bench)
+    for block in range(passes):
+        index = _shared_index(docs, bench, block, passes, n)
+
+        def clean(batches, index=index):
+            for batch in batches:
+                kept = [not occurrences(words_of(t.as_py()), *index.value)[0] for t in batch.column(at)]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+
+        docs = docs.mapInArrow(clean, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+    return docs
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Words of every document inside benchmark windows: (doc_id, n_words, n_hit, items).
 
@@ -80,38 +131,21 @@ def contaminated(docs: DataFrame, bench: DataFrame, n: int = 10, doc_id: str = "
     ship(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     bench = bench.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0
-    passes = max(1, -(-size // BROADCAST_BYTES))
+    passes = _passes(bench)
 
     def one(block: int, whole: bool) -> DataFrame:
-        items = _items(bench, block, passes)
-        vocabulary = frozenset(w for _, t in items for w in words_of(t))
-        index = spark.sparkContext.broadcast(_index(items, n, _rarity(docs, vocabulary) if vocabulary else {}))
+        index = _shared_index(docs, bench, block, passes, n)
 
         def mark(batches):
             places, owners = index.value
             for batch in batches:
-                keys, rows = batch.column(0), []
+                rows = []
                 for t in batch.column(1):
                     words = words_of(t.as_py())
-                    spans, items = [], set()
-                    if not places.keys().isdisjoint(words):
-                        for i, w in enumerate(words):
-                            if w in places:
-                                for offset, length in places[w]:
-                                    a = i - offset
-                                    if a >= 0 and a + length <= len(words) and (held := owners.get(tuple(words[a : a + length]))):
-                                        spans.append((a, a + length))
-                                        items |= held
-                    joined: list[list[int]] = []
-                    for a, b in sorted(spans):
-                        if joined and a <= joined[-1][1]:
-                            joined[-1][1] = max(joined[-1][1], b)
-                        else:
-                            joined.append([a, b])
-                    rows.append((len(words), sum(b - a for a, b in joined), sorted(x for x in items if x is not None), joined))
+                    spans, items = occurrences(words, places, owners)
+                    rows.append((len(words), sum(b - a for a, b in spans), sorted(x for x in items if x is not None), spans))
                 c = list(zip(*rows, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([keys, batch.column(2), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.string())), pa.array(c[3], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "h", "n_words", "n_hit", "items", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.list_(pa.string())), pa.array(c[3], pa.list_(pa.list_(pa.int64())))], names=["doc_id", "h", "n_words", "n_hit", "items", "spans"])
 
         out = docs.mapInArrow(mark, "doc_id long, h long, n_words long, n_hit long, items array<string>, spans array<array<long>>")
         return out.drop("h", "spans") if whole else out

@@ -365,34 +365,34 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def personal_data(docs: DataFrame, tagger: Tagger, keep: list[str] | None = None, redact: bool = False) -> DataFrame:
-    """`keep` columns and base, added: arrays of (kind, start, end) spans of every whole text.
+def personal_data(docs: DataFrame, tagger: Tagger, keep: list[str] | None = None, redact: bool = False, names: tuple[str, str] = ("base", "added")) -> DataFrame:
+    """`keep` columns and two of the given `names`, base and added: arrays of (kind, start, end) spans of every whole text.
 
     `base` holds the patterns' spans, `added` the model's beside them; both by
     kind, then start.  With `redact` the text column is rewritten too.  A null
     text has no spans and stays null; empty texts have none; repeated rows give a
-    row each.  Columns already named base or added are replaced.
+    row each.  Columns that already have one of the `names` are replaced.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
-    names = [c for c in (keep or docs.columns) if c not in ("base", "added")]
+    kept = [c for c in (keep or docs.columns) if c not in names]
 
     def find(batches):
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(len(kept)).to_pylist()
             plain = [t or "" for t in texts]
             bases = [base_spans(t) for t in plain]
             added = [sorted(x) for x in model_spans(shared.value, plain, bases)]
-            columns = [batch.column(i) for i in range(len(names))]
+            columns = [batch.column(i) for i in range(len(kept))]
             if redact:
-                columns[names.index("text")] = pa.array([t if not t else redacted(t, [*b, *a]) for t, b, a in zip(texts, bases, added, strict=True)], pa.string())
+                columns[kept.index("text")] = pa.array([t if not t else redacted(t, [*b, *a]) for t, b, a in zip(texts, bases, added, strict=True)], pa.string())
             lists = [pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in row] for row in rows], _SPANS) for rows in (bases, added)]
-            yield pa.RecordBatch.from_arrays([*columns, *lists], names=[*names, "base", "added"])
+            yield pa.RecordBatch.from_arrays([*columns, *lists], names=[*kept, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     span = "array<struct<kind:int,start:bigint,end:bigint>>"
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"base {span}", f"added {span}"])
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text")).mapInArrow(find, schema)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{c}` {span}" for c in names])
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text")).mapInArrow(find, schema)
 
 
 def _told(spans):

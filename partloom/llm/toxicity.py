@@ -179,26 +179,27 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
     return fit(held, np.array(found.column("toxic").to_pylist(), np.float64), penalty)
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (all by default), `score` and `predicted` of every whole text.
+def scored(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """`keep` columns (all by default) and two of the given `names`: score and prediction of every whole text.
 
-    A null or empty text gets the score of no feature.  Columns already named
-    score or predicted are replaced.
+    A null or empty text gets the score of no feature; a null doc_id is kept;
+    repeated rows each give a row, an empty table none.  Columns that already have
+    one of the `names` are replaced.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (keep or docs.columns) if c not in ("score", "predicted")]
+    kept = [c for c in (keep or docs.columns) if c not in names]
 
     def apply(batches):
         for batch in batches:
             column, scores = batch.column(batch.num_columns - 1), np.zeros(batch.num_rows)
             for first, end, data, offsets in blocks(column):
                 scores[first:end] = shared.value.score(data, offsets)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*kept, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in names] + ["score double", "predicted int"])
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col("text").alias("_text")).mapInArrow(apply, schema)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{names[0]}` double", f"`{names[1]}` int"])
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text")).mapInArrow(apply, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
