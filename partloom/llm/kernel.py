@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 
 #: Bytes of text handled at once; bounds the kernels' memory.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -37,6 +38,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+def trim() -> None:
+    """Give freed memory back to the system at the end of a partition; nothing where that isn't possible."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n + 1:

@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import _tables, U64, blocks, mix
+from .kernel import U64, _tables, blocks, mix, trim
 from .store import materialize, ship, sieve, table
 from .store import sifted as sifted_by
 
 LENGTH = 100
 #: Bytes of a fingerprint; every string of LENGTH bytes holds one picked fingerprint.
-GRAM = 24
+GRAM = 40
 #: Bytes of one suffix array.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 
 
@@ -59,8 +59,8 @@ def _induce(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, letters:
     _deal(seeds, leftmost, text[leftmost])
     done: dict[int, list] = defaultdict(list)
     for c in letters:
-        wave = np.concatenate([*lows.pop(c, []), np.zeros(0, np.int64)])
-        rest = np.concatenate([*seeds.get(c, []), np.zeros(0, np.int64)])
+        wave = np.concatenate([*lows.pop(c, []), np.zeros(0, np.int32)])
+        rest = np.concatenate([*seeds.get(c, []), np.zeros(0, np.int32)])
         while len(wave) or len(rest):
             if len(wave):
                 done[c].append(wave)
@@ -74,10 +74,10 @@ def _induce(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, letters:
             _deal(lows, before[~same], own[~same])
     out: list[np.ndarray] = []
     for c in reversed(letters):
-        own_low = np.concatenate([*done.get(c, []), np.zeros(0, np.int64)])
-        wave = np.concatenate([*highs.pop(c, []), np.zeros(0, np.int64)])
+        own_low = np.concatenate([*done.get(c, []), np.zeros(0, np.int32)])
+        wave = np.concatenate([*highs.pop(c, []), np.zeros(0, np.int32)])
         if text[-1] == c:
-            wave = np.array([len(text) - 1])
+            wave = np.array([len(text) - 1], np.int32)
         rest = own_low[::-1]
         placed = []
         while len(wave) or len(rest):
@@ -92,7 +92,7 @@ def _induce(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, letters:
             wave = before[same]
             _deal(highs, before[~same], own[~same])
         out += [*placed, own_low[::-1]]
-    return np.concatenate([*out, np.zeros(0, np.int64)])[::-1]
+    return np.concatenate([*out, np.zeros(0, np.int32)])[::-1]
 
 
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
@@ -106,9 +106,9 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """
     n = len(text)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n, dtype=np.int32)
     small = _types(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     letters = np.unique(text).tolist()
     rough = _induce(text, small, lms, letters)
     is_lms = np.zeros(n, bool)
@@ -146,28 +146,35 @@ def _order_names(names: np.ndarray, depth: int | None) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
-def permuted_lcp(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """For each start, the letters, at most `depth`, that its suffix shares with the one before it in order."""
+def permuted_lcp(text: np.ndarray, order: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """For each start, the letters, at most `depth`, that its suffix shares with the one before it in order.
+
+    Letters are below 256 and the last is the only 0.  Eight letters are compared
+    at a time.  Where `wanted` is False, 0 is given.
+    """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([text, np.full(depth + 8, -1, text.dtype)])
-    words = np.zeros(n + depth, U64)
-    for k in range(8):
-        words = (words << U64(8)) | (padded[k : k + n + depth].astype(np.int64) & 255).astype(U64)
-    shared = np.zeros(n, np.int64)
-    live = np.flatnonzero(before >= 0)
-    reach = 0
-    while len(live) and reach + 8 <= depth:
-        live = live[words[live + reach] == words[before[live] + reach]]
-        reach += 8
-        shared[live] = reach
-    open_ = np.flatnonzero((before >= 0) & (shared < depth))
-    while len(open_):
-        a, b = open_ + shared[open_], before[open_] + shared[open_]
-        open_ = open_[(padded[np.minimum(a, n + depth)] == padded[np.minimum(b, n + depth)]) & (np.maximum(a, b) < n)]
-        shared[open_] += 1
-        open_ = open_[shared[open_] < depth]
+    wide = np.zeros(n + depth + 16, U64)
+    wide[:n] = text
+    for k in (1, 2, 4):
+        wide = (wide[:-k] << U64(8 * k)) | wide[k:]
+    shared = np.zeros(n, np.int16)
+    live = np.flatnonzero(before >= 0 if wanted is None else (before >= 0) & wanted).astype(order.dtype)
+    other = before[live]
+    for reach in range(0, depth, 8):
+        differ = wide[live + reach] ^ wide[other + reach]
+        ended = differ != 0
+        if ended.any():
+            d = differ[ended]
+            same = np.zeros(len(d), np.int16)
+            for k in range(1, 8):
+                same += d < (U64(1) << U64(64 - 8 * k))
+            shared[live[ended]] = np.minimum(reach + same, depth)
+            live, other = live[~ended], other[~ended]
+        if not len(live):
+            break
+    shared[live] = depth
     return shared
 
 
@@ -178,14 +185,14 @@ def repeats_of(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray, length:
     then start.  The same place in two pieces is one place.
     """
     sizes = np.array([len(p) for p in pieces], np.int64)
-    raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.int16) + 2
+    raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.int16) + 2  # UTF-8 has no byte above 244
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     raw[begins + sizes] = 1
     raw[-1] = 0
     order = suffix_array(raw, length)
-    shared = permuted_lcp(raw, order, length)
-    piece = np.repeat(np.arange(len(pieces)), sizes + 1)
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
     inside = np.arange(len(raw)) - begins[piece] <= sizes[piece] - length
+    shared = permuted_lcp(raw, order, length, inside)
     fits = order[inside[order]]
     # suffixes too short to hold the string never stand between two that share it
     new = shared[fits] < length
@@ -299,7 +306,7 @@ def _fingerprints(length: int, gram: int):
         held = _Local()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, _, data, offsets in blocks(batch.column(1), 1 << 20):
+            for first, _, data, offsets in blocks(batch.column(1), 1 << 19):
                 at, fp = picks(data, offsets, length, gram)
                 if not len(at):
                     continue
@@ -311,7 +318,7 @@ def _fingerprints(length: int, gram: int):
                     total = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * powers[: len(data)])])
                     around = mix((total[b] - total[a]) * inverses[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93) + (at - a).astype(U64) * U64(0x9E3779B97F4A7C15))
                 held.add(fp, around, keys[first + holder], a - offsets[holder], b - offsets[holder])
-                if held.size > 1_000_000:
+                if held.size > 300_000:
                     rows, spans = held.flush()
                     yield _rows(*rows, False)
                     yield _found(spans)
@@ -319,6 +326,7 @@ def _fingerprints(length: int, gram: int):
             rows, spans = held.flush()
             yield _rows(*rows, False)
             yield _found(spans)
+        trim()
 
     return run
 
@@ -381,6 +389,7 @@ def _shards(length: int, limit: int):
                 last = fp
         if pieces:
             yield _found(repeats_of(pieces, np.array(ids), np.array(starts), length))
+        trim()
 
     return run
 
