@@ -418,3 +418,111 @@ def upsert(t):
 )
 def rle(t):
     return ordered.runs(t("events"), "event_type", ["user_id"], "event_id").withColumn("run", F.col("run").cast("long"))
+
+
+_PRINTED = ("D >> - MJ 2007 | D - MJ 2008>>", "PR:098,-422", "TURBO/COUPE", "F >> 99-8S780 473", "GT3 RS 4.0", 'PR:483 -"ROK"', "9770+ PR:480", "CARRERA 4S")
+
+
+@query("t46_parse_scope")
+def parse_scope(t):
+    from ..functions.scope import Vocabulary, with_scope
+
+    printed = F.element_at(strings(*_PRINTED), (F.col("p_partkey") % len(_PRINTED) + 1).cast("int"))
+    parsed = with_scope(t("part").select("p_partkey", printed.alias("printed")), "printed", words=Vocabulary.of(engines=["9770"]))
+    return parsed.select("p_partkey", F.to_json("scope").alias("scope"), fitment.is_scope(F.col("scope")).alias("whole"))
+
+
+@query("t47_g4_roundtrip")
+def g4_roundtrip(t):
+    from ..operators.imaging import decode_picture, encode_picture
+
+    # the first characters' codes as a picture of 16 rows, dark where they are odd
+    bits = F.transform(F.split(F.substring("html", 1, 768), ""), lambda c: F.ascii(c) % 2)
+    pixels = F.unhex(F.array_join(F.transform(bits, lambda b: F.concat(F.lit("0"), b.cast("string"))), ""))
+    wide = t("pages").where("length(html) >= 768").select("page_id", pixels.alias("pixels"), F.lit(48).alias("w"), F.lit(16).alias("h"))
+    coded = wide.withColumn("g4", encode_picture("pixels", "w", "h"))
+    return coded.select("page_id", F.octet_length("g4").cast("long").alias("bytes"), (decode_picture("g4", "w", "h") == F.col("pixels")).alias("same"))
+
+
+@query("t48_decode_vin", "SELECT c_custkey, family, CASE WHEN family = 'cayenne' THEN '9P8' || s ELSE '99-8' || s END AS chassis FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'cayenne' ELSE '997' END AS family, 'S' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') AS s FROM customer)")
+def decode_vin(t):
+    from ..functions.vin import decode_vin as decoded
+
+    kind = F.when(F.col("c_custkey") % 2 == 0, F.lit("9P")).otherwise(F.lit("99"))
+    vin = F.concat(F.lit("WP0ZZZ"), kind, F.lit("Z8S"), F.lpad((F.col("c_custkey") % 1000000).cast("string"), 6, "0"))
+    v = decoded(vin)
+    return t("customer").select("c_custkey", v["family"].alias("family"), v["chassis"].alias("chassis"))
+
+
+@query("t49_fitment", "SELECT v.id AS vehicle_id, p_partkey AS part_id FROM part, (VALUES (1, 'BRAND#11', 1999), (2, 'BRAND#23', 2005), (3, '', NULL)) v(id, line, year) WHERE (line = '' OR upper(p_brand) = line) AND (year IS NULL OR year >= 1995 + p_size % 10)")
+def fits(t):
+    none = F.array().cast("array<string>")
+    free = F.struct(none.alias("any"), none.alias("not"))
+    from ..functions.scope import SCOPE
+
+    def scope(lines: Column, years: Column) -> Column:
+        held = {"lines": F.struct(lines.alias("any"), none.alias("not")), "mjRanges": years}
+        empty = lambda f: free if f.dataType.simpleString().startswith("struct") else F.array().cast(f.dataType)
+        return F.struct(*[held.get(f.name, empty(f)).alias(f.name) for f in SCOPE.fields])
+
+    window = F.array(F.struct((F.lit(1995) + F.col("p_size") % 10).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), F.lit(None).cast("string").alias("market")))
+    parts = t("part").select(F.col("p_partkey").alias("part_id"), scope(F.array(F.upper("p_brand")), F.array().cast("array<struct<from:int,to:int,market:string>>")).alias("section_scope"), scope(none, window).alias("scope"))
+    from ..model import VEHICLE
+
+    spark = parts.sparkSession
+    blank = dict.fromkeys(VEHICLE.names)
+    cars = [(1, blank | {"line": "Brand#11", "year": 1999}), (2, blank | {"line": "brand#23", "year": 2005}), (3, blank | {"line": ""})]
+    vehicles = spark.createDataFrame([(i, tuple(v[n] for n in VEHICLE.names)) for i, v in cars], f"vehicle_id int, vehicle {VEHICLE.simpleString()}")
+    return fitment.fitting_parts(parts, vehicles)
+
+
+@query("t50_main_groups", "SELECT CAST(o_orderpriority AS VARCHAR) AS number, CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS id, title FROM (SELECT o_orderpriority, min(o_orderkey) AS f, arg_min(o_orderstatus, o_orderkey) AS title FROM orders GROUP BY 1)")
+def main_groups(t):
+    rows = t("orders").select(F.lit("c").alias("catalog_id"), F.col("o_orderpriority").alias("number"), F.col("o_orderstatus").alias("title"), F.col("o_orderkey").alias("seq"))
+    return directory.main_groups(rows).select("number", "id", "title")
+
+
+@query("t51_callout_part", "SELECT p_partkey, o_orderkey FROM part LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = CAST(p_partkey * 3 AS VARCHAR) WHERE p_size < 10")
+def callout_part(t):
+    printed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("("), (F.col("p_partkey") * 3).cast("string"), F.lit(")"))).otherwise((F.col("p_partkey") * 3).cast("string"))
+    parts = t("part").where("p_size < 10").select("p_partkey", text.position_token(printed).alias("_p"))
+    return parts.join(t("orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("_n")), F.col("_p") == F.col("_n"), "left").select("p_partkey", "o_orderkey")
+
+
+@query(
+    "t52_remark_scope",
+    "SELECT p_partkey, array_to_string([x for x in ['(J)', '-(CN)', '-02', '98-', '00-01'] if p_size % 5 <> 0 OR x <> '-02'], ' ') AS tokens FROM part",
+)
+def remark_scope(t):
+    printed = F.when(F.col("p_size") % 5 != 0, F.lit("for (J) -(CN) -02 98- 00-01 - 45-46 x")).otherwise(F.lit("(J) -(CN) 98- 00-01"))
+    tokens = applicability.remark_scope_tokens(printed, F.lit(1998), F.lit(2005), F.lit("old"))
+    return t("part").select("p_partkey", F.array_join(tokens, " ").alias("tokens"))
+
+
+@query("t53_number_ranges", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 6 WHEN 1 THEN 8 END AS cylinders, CASE p_size % 3 WHEN 0 THEN '3.4' WHEN 1 THEN '4' END AS displacement_l, CASE p_size % 3 WHEN 0 THEN 220 END AS power_kw FROM part")
+def number_ranges(t):
+    printed = F.element_at(strings("6ZYL/3,4L /220 KW", "8 ZYL 4 L", "-"), (F.col("p_size") % 3 + 1).cast("int"))
+    d = text.tech_data(printed)
+    return t("part").select("p_partkey", d["cylinders"].alias("cylinders"), d["displacement_l"].alias("displacement_l"), d["power_kw"].alias("power_kw"))
+
+
+@query("t54_label_status", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN 'ok' WHEN l_partkey % 4 = 1 THEN 'unread' WHEN l_partkey % 4 = 2 THEN 'partial' ELSE 'mismatch' END AS status FROM lineitem WHERE l_orderkey % 20 = 0")
+def label_status(t):
+    own = F.lit("17")
+    k = (F.col("l_partkey") % 4 + 1).cast("int")
+    status = evaluation.label_status(own, F.element_at(strings("17", "", "1", "9"), k), F.element_at(strings("x", "", "", "8"), k))
+    return t("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", status.alias("status"))
+
+
+@query("t55_replace_sections", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'new' ELSE n_name END AS title, n_regionkey AS picture FROM nation")
+def replace_sections(t):
+    held = t("nation").select("n_nationkey", F.col("n_name").alias("title"), F.col("n_regionkey").alias("picture"))
+    fresh = held.where("n_nationkey % 4 = 0").select("n_nationkey", F.lit("new").alias("title"), F.lit(None).cast("int").alias("picture"))
+    return directory.replaced_sections(held, fresh, ["n_nationkey"], ["picture"])
+
+
+@query("t56_best_containment", _BOXES + ", h AS (SELECT g.d, g.idx AS c, p.idx AS b, inter / 400.0::DOUBLE AS f, (g.x0 + g.x1) / 2.0 BETWEEN p.x0 AND p.x1 AND (g.y0 + g.y1) / 2.0 BETWEEN p.y0 AND p.y1 AS inside FROM g JOIN p ON g.d = p.d JOIN o ON o.d = g.d AND o.gi = g.idx AND o.pi = p.idx) SELECT d, c AS candidate_id, arg_max(b, f * 1000000 - b / 1000.0) AS box_id, round(max(f), 6) AS fraction FROM h WHERE inside AND f >= 0.6 GROUP BY 1, 2")
+def best_containment(t):
+    g, p = _boxes(t)
+    out = ranges.best_containment(g.withColumnRenamed("idx", "candidate_id"), p.withColumnRenamed("idx", "box_id"), "d")
+    return out.select("d", "candidate_id", "box_id", F.round("fraction", 6).alias("fraction"))
