@@ -42,14 +42,16 @@ def propagate(docs: DataFrame, shards: int, rounds: int) -> DataFrame:
     every round each part of a group wants to be where most of it is, as far as
     the shards' quotas allow.  Documents of one group, cell and origin move
     alike, so rounds work on counts.  A group of more than half a shard is cut
-    into parts first, by cells.
+    into parts first, by cells, which start in a shard each.
     """
     total = docs.count()
     capacity = max(1.0, total / shards)
     cells = docs.groupBy(*GROUP, "cell", "origin").agg(F.count(F.lit(1)).alias("n"))
     sizes = cells.groupBy(*GROUP).agg(F.sum("n").alias("members")).where("members > 1")
     parts = F.least(F.lit(CELLS), F.ceil(F.col("members") / max(1.0, capacity / 2))).cast("int")
-    state = materialize(cells.join(sizes, GROUP).select(*GROUP, "cell", "origin", "n", F.pmod("cell", parts).alias("part"), F.col("origin").alias("shard")), "labels")
+    part = F.pmod("cell", parts)
+    start = F.when(parts > 1, F.pmod(F.col("h") + part, F.lit(shards)).cast("int")).otherwise(F.col("origin"))
+    state = materialize(cells.join(sizes, GROUP).select(*GROUP, "cell", "origin", "n", part.alias("part"), start.alias("shard")), "labels")
     for turn in range(rounds):
         homes = state.groupBy(*GROUP, "part", "shard").agg(F.sum("n").alias("n"))
         best = homes.groupBy(*GROUP, "part").agg(F.max(F.struct("n", (-F.pmod(F.xxhash64("h", "part", "shard"), F.lit(1 << 20))).alias("tie"), "shard"))["shard"].alias("target"))
