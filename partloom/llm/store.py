@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -14,9 +15,15 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parent.parent
 
 
+#: Rows and bytes of an Arrow batch: a worker holds a few at once, whatever the texts' lengths.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor (once for each context)."""
     sc = spark.sparkContext
+    for name, most in BATCH.items():
+        spark.conf.set(name, most)
     if getattr(sc, "_partloom_shipped", False):
         return
     zipped = os.path.join(tempfile.mkdtemp(), "partloom.zip")
@@ -51,6 +58,9 @@ def discard(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._partloom_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    # shuffle files go once nothing on the driver refers to them
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
