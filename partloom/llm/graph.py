@@ -9,7 +9,8 @@ from .store import discard, materialize
 
 
 def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.explode(ways).alias("e")).select("e.a", "e.b")
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -17,8 +18,9 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     least = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")) if large else pairs.groupBy("a").agg(F.min("b").alias("m"))
     linked = pairs.join(least, "a")
     if large:
-        return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(linked.select("a", F.col("m").alias("b"))).where("a != b").distinct()
+        return linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    both = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+    return linked.select(F.explode(both).alias("e")).select("e.a", "e.b").where("a != b").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .kernel import BLANK_SPLIT, U64, blocks, mix, shingles, word_hashes, word_spans
-from .store import discard, materialize, ship, table
+from .kernel import BLANK_SPLIT, U64, blocks, mix, shingles, trim, word_hashes, word_spans
+from .store import discard, materialize, ship, sieve, sifted, table
 
-#: Words and shingles whose corpus counts shape the first order; the rest count as rare.
-LISTED = 65_536
-_HELD = 1_500_000
+#: Words and shingles whose corpus counts shape the first order, at most; the rest count as rare.
+LISTED = {"word": 65_536, "gram": 262_144}
+_HELD = 1_000_000
+#: Bits of a set's parity bitmap.
+MARK_BITS = 1024
 
 
 def document_sets(column: pa.Array, n: int):
@@ -58,13 +60,14 @@ def listed(docs: DataFrame, n: int) -> dict[str, np.ndarray]:
                 grams.add(h)
         for kind, s in enumerate((words, grams)):
             s.fold()
-            kept = s.counts >= max(4, s.counts.sum() >> 18)
+            kept = s.counts >= (max(4, s.counts.sum() >> 18) if not kind else 3)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(kept.sum(), kind, np.int32)), pa.array(s.keys[kept].view(np.int64)), pa.array(s.counts[kept])], names=["kind", "key", "n"])
+        trim()
 
     counted = materialize(docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "listed")
     out = {}
     for kind, name in enumerate(("word", "gram")):
-        top = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(LISTED).select("key", "n").toPandas()
+        top = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(LISTED[name]).select("key", "n").toPandas()
         keys, counts = top["key"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)
         by = np.argsort(keys)
         out[name], out[f"{name}_n"] = keys[by], counts[by]
@@ -127,6 +130,12 @@ def _prefix(size: int, num: int, den: int) -> int:
     return size - -(-num * size // den) + 1 if size else 0
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: the bit of each token's hash is flipped once, so bitmaps differ in no more bits than sets in tokens."""
+    flips = np.bincount((h >> U64(54)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _strings(values: list[np.ndarray]) -> pa.Array:
     flat = np.concatenate([*values, np.zeros(0, np.int64)])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)), pa.array(flat))
@@ -138,7 +147,7 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
     Words are runs without ASCII white space, A-Z in lower case.  A document of
     fewer than n words has its whole sequence as one shingle; one without words
     has none and links with nothing.  Equal sets are one class, and classes are
-    linked by `_links`.  Null texts are empty.  Rows that share a doc_id are one
+    linked by `_joined`.  Null texts are empty.  Rows that share a doc_id are one
     node; a null doc_id takes part through its equal sets only and alone has a
     null component.  Repeated rows each give a row, an empty table none; other
     columns are not read.
@@ -152,7 +161,7 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
         for batch in batches:
             for first, end, words, at, h, bounds in document_sets(batch.column(1), n):
                 key = orders.value.rarity(words, at, h, bounds)
-                sizes, one, two, prefixes = [], [], [], []
+                sizes, one, two, prefixes, marks = [], [], [], [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     own = np.unique(h[a:b])
                     sizes.append(len(own))
@@ -162,16 +171,19 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
                     k = _prefix(len(own), num, den)
                     lead = np.unique(key[a:b])[:k]
                     prefixes.append(lead.view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(np.array(one, U64).view(np.int64)), pa.array(np.array(two, U64).view(np.int64)), _strings(prefixes)], names=["doc_id", "size", "h1", "h2", "prefix"])
+                    marks.append(parity(own))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(np.array(one, U64).view(np.int64)), pa.array(np.array(two, U64).view(np.int64)), _strings(prefixes), _strings(marks)], names=["doc_id", "size", "h1", "h2", "prefix", "marks"])
+        trim()
 
-    sets = materialize(docs.mapInArrow(describe, "doc_id long, size long, h1 long, h2 long, prefix array<long>"), "sets")
+    sets = materialize(docs.mapInArrow(describe, "doc_id long, size long, h1 long, h2 long, prefix array<long>, marks array<long>"), "sets")
     same = ["size", "h1", "h2"]
     classes = materialize(sets.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = sets.where("size > 0").select("doc_id", "size", "h1", "h2", "prefix").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi")
-    links = _links(docs, chosen, orders, n, num, den)
-    joined = connected_components(links)
+    chosen = materialize(sets.where("size > 0").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").select("doc_id", "size", "prefix", "marks"), "chosen")
+    small = materialize(sets.select("doc_id", "size", "h1", "h2"), "sizes")
+    discard(sets)
+    joined = _joined(docs, chosen, orders, n, num, den)
     of_class = classes.join(joined, classes.rep == joined.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    return sets.drop("prefix").join(of_class, same, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return small.join(of_class, same, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _passing(num: int, den: int, x: str, y: str):
@@ -183,8 +195,8 @@ def _passing(num: int, den: int, x: str, y: str):
     return shape & (room * (num + den) >= sizes * num)
 
 
-def _links(docs: DataFrame, chosen: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
-    """Verified links that connect what is similar, among documents of different sets.
+def _joined(docs: DataFrame, chosen: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
+    """(node, component) of documents, of different sets, that verified links connect.
 
     A token's documents are first tried against the one that has it earliest;
     after components of what that links, the pairs of each token that are still
@@ -192,28 +204,37 @@ def _links(docs: DataFrame, chosen: DataFrame, orders, n: int, num: int, den: in
     not found joins documents that other links join, and no token's documents
     are all paired.
     """
-    postings = materialize(chosen.select("doc_id", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "size", F.col("pos").cast("long").alias("pos")), "postings")
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "doc_id", "size")).alias("y")).where("n > 1").drop("n")
-    lists = materialize(postings.join(shared, "token"), "lists")
-    discard(postings)
-    tried = materialize(lists.select(F.struct("doc_id", "size", "pos").alias("x"), "y").where((F.col("x.doc_id") != F.col("y.doc_id")) & _passing(num, den, "x", "y")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct(), "pairs")
-    found = materialize(_verified(docs, tried, orders, n, num, den), "links")
+    postings = chosen.select("doc_id", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "size", "pos")
+    shared = chosen.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    lists = materialize(postings.join(shared, "token", "left_semi"), "lists")
+    marks = materialize(chosen.select("doc_id", "size", "marks").dropDuplicates(["doc_id"]), "marks")
+    del postings, shared
+    discard(chosen)
+    pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "size")).alias("y"))
+    starred = lists.join(pivots, "token").select(F.struct("doc_id", "size", "pos").alias("x"), "y")
+    tried = _pairs(starred.where((F.col("x.doc_id") != F.col("y.doc_id")) & _passing(num, den, "x", "y")))
+    found = _verified(tried, marks, docs, orders, n, num, den)
     joined = materialize(connected_components(found), "parts")
-    labelled = lists.drop("y").join(joined, lists.doc_id == joined.node, "left").select("token", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("part"))
+    labelled = lists.join(joined, lists.doc_id == joined.node, "left").select("token", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("part"))
     mixed = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    open_lists = materialize(labelled.join(mixed, "token"), "open")
-    x, y = open_lists.select("token", F.struct("doc_id", "size", "pos", "part").alias("x")), open_lists.select("token", F.struct("doc_id", "size", "pos", "part").alias("y"))
-    more = x.join(y, (x.token == y.token) & (F.col("x.part") < F.col("y.part")) & _passing(num, den, "x", "y")).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    fresh = materialize(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-    late = materialize(_verified(docs, fresh, orders, n, num, den), "links")
-    discard(lists)
-    discard(open_lists)
-    return found.unionByName(late)
+    open_lists = materialize(labelled.join(mixed, "token", "left_semi"), "open")
+    x, y = (open_lists.select("token", F.struct("doc_id", "size", "pos", "part").alias(side)) for side in "xy")
+    more = x.join(y, (x.token == y.token) & (F.col("x.part") < F.col("y.part")) & _passing(num, den, "x", "y"))
+    late = _verified(_pairs(more), marks, docs, orders, n, num, den)
+    for done in (lists, open_lists, marks):
+        discard(done)
+    if late.isEmpty():
+        return joined
+    stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return connected_components(stars.unionByName(late))
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    return df.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
-    """Pairs that share prefix tokens under the second and third order too, and are similar."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _candidates(docs: DataFrame, wanted: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
+    """Shingle sets, and their prefixes under the second and third order, of the documents `wanted`, and of a few more."""
 
     def expand(batches):
         for batch in batches:
@@ -226,12 +247,47 @@ def _verified(docs: DataFrame, pairs: DataFrame, orders, n: int, num: int, den:
                         keep.append(own[np.argsort(key)[:k]].view(np.int64))
                     whole.append(own.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), _strings(second), _strings(third), _strings(whole)], names=["id", "second", "third", "whole"])
+        trim()
+
+    maybe = sifted(docs, "doc_id", sieve(wanted, "doc_id"))
+    return materialize(maybe.select("doc_id", "text").mapInArrow(expand, "id long, second array<long>, third array<long>, whole array<long>"), "candidates")
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
+    """Similar pairs, written to the shared folder.
 
-    sets = materialize(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(expand, "id long, second array<long>, third array<long>, whole array<long>"), "candidates")
-    a, b = (sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("second", "third", "whole")]) for s in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    A pair must have parity bitmaps no further apart than similar sets can be
+    and share prefix tokens under the second and third order before its sets are
+    compared.
+    """
+    c = F.col
+    a, b = (marks.select(c("doc_id").alias(s), c("size").alias(f"size_{s}"), c("marks").alias(f"marks_{s}")) for s in "ab")
+    apart = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = c("size_a") + c("size_b")
+    close = apart <= sizes - 2 * F.ceil(sizes * num / (num + den))
+    near = materialize(pairs.join(a, "a").join(b, "b").where(close).select("a", "b"), "near")
+    wanted = near.select(c("a").alias("doc_id")).unionByName(near.select(c("b").alias("doc_id"))).distinct()
+    sets = _candidates(docs, wanted, orders, n, num, den)
+    a, b = (sets.select(c("id").alias(s), *[c(x).alias(f"{x}_{s}") for x in ("second", "third", "whole")]) for s in "ab")
+    both = near.join(a, "a").join(b, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
     shared = F.size(F.array_intersect("whole_a", "whole_b"))
-    return both.where(shared * (num + den) >= (F.size("whole_a") + F.size("whole_b")) * num).select("a", "b").distinct()
+    out = materialize(both.where(shared * (num + den) >= (F.size("whole_a") + F.size("whole_b")) * num).select("a", "b").distinct(), "links")
+    discard(sets)
+    return out
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs`, all columns, of one document of each group of linked ones: that of the least id.
+
+    Repeated rows count once.  Rows with a null doc_id stay; documents without
+    words are linked with nothing and stay.
+    """
+    groups = materialize(components(docs, n, num, den), "groups")
+    drop = groups.where("component_id != doc_id").select("doc_id").distinct()
+    again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    bitmap = sieve(drop.unionByName(again), "doc_id")
+    maybe = sifted(docs, "doc_id", bitmap).join(drop.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return sifted(docs, "doc_id", bitmap, False).unionByName(maybe.dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
