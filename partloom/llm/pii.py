@@ -246,11 +246,12 @@ def filled(codes: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def reconciled(tags: list[np.ndarray], starts: list[int], length: int) -> np.ndarray:
+def reconciled(tags: np.ndarray, starts: list[int], length: int) -> np.ndarray:
     """One tag for each place of a stretch: of the window whose middle is nearest, the earlier at a tie."""
-    middles = np.array(starts) + WINDOW / 2
-    nearest = np.abs(np.arange(length)[:, None] + 0.5 - middles[None, :]).argmin(1)
-    return np.array([tags[w][i - starts[w]] for i, w in enumerate(nearest)], np.int8)
+    first = np.array(starts)
+    between = (first[1:] + first[:-1] + WINDOW) / 2
+    nearest = np.searchsorted(between, np.arange(length) + 0.5)
+    return tags[nearest, np.arange(length) - first[nearest]]
 
 
 def tag_spans(tags: np.ndarray, offset: int) -> list[tuple[int, int, int]]:
@@ -297,7 +298,7 @@ def model_spans(tagger: Tagger, texts: list[str], bases: list[list]) -> list[lis
     x = np.stack(rows)
     tags = np.concatenate([tagger.decode(x[k : k + 1024]) for k in range(0, len(x), 1024)])
     for i, a, n, starts, at in jobs:
-        for kind, s, e in tag_spans(reconciled(list(tags[at : at + len(starts)]), starts, n), a):
+        for kind, s, e in tag_spans(reconciled(tags[at : at + len(starts)], starts, n), a):
             while kind and e < len(texts[i]) and "0" <= texts[i][e] <= "9":
                 e += 1  # a number is never cut
             if plausible(kind, texts[i][s:e]) and all(e <= bs or be <= s for _, bs, be in bases[i]) and all(e <= bs or be <= s for _, bs, be in added[i]):

@@ -61,7 +61,7 @@ def weighed(docs: DataFrame, ratios: np.ndarray, seed: int = 0) -> DataFrame:
             for first, end, data, offsets in blocks(batch.column(1)):
                 own, bucket = grams(data, offsets, len(shared.value))
                 n = np.bincount(own, minlength=end - first)
-                w = np.bincount(own, weights=shared.value[bucket], minlength=end - first)
+                w = np.bincount(own, weights=shared.value[bucket], minlength=end - first).astype(float)
                 noise = batch.column(2).slice(first, end - first).to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(n.astype(np.int64)), pa.array(w), pa.array(w - np.log(-np.log(noise)))], names=["doc_id", "n_grams", "log_weight", "gumbel_key"])
 

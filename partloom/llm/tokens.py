@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .store import ship, table
 
-#: Pieces in the broadcast table, and pieces that a worker keeps beside it.
+#: Pieces in the broadcast table, and in each of the two generations that a worker keeps beside it.
 FREQUENT = 65_536
-CACHE = 800_000
+CACHE = 250_000
 #: Pieces that one partition counts at once before it forgets the rarest.
 COUNTED = 300_000
 _UNSAFE = re.compile("(?:^| )(?=[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]|\\Z)")
@@ -50,7 +50,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, counts: dict[str, int] | None = None, cache: int = CACHE):
-        self.size, self.first, self.rest, self.frequent = cache, {}, {}, counts or {}
+        self.size, self.first, self.rest, self.older, self.frequent = cache, {}, {}, {}, counts or {}
         self.special: dict[str, int] = {}
         self.kind = "piece"
         if path.endswith(".model"):
@@ -81,12 +81,17 @@ class Encoder:
         return [np.array(x.ids, np.uint32) for x in encode(texts, add_special_tokens=False)]
 
     def _fill(self, heads: set[str], tails: set[str], as_bytes: bool) -> None:
-        if len(self.first) + len(self.rest) > self.size:
-            self.first, self.rest = {}, {}
+        if len(self.rest) > self.size:
+            self.older, self.rest = self.rest, {}
+        if len(self.first) > self.size // 8:
+            self.first = {}
         missing = list(heads.difference(self.first))
         found = self._ids(missing) if missing else []
         self.first.update(zip(missing, (x.astype("<u4").tobytes() for x in found) if as_bytes else map(len, found), strict=True))
-        missing = list(tails.difference(self.rest).difference(self.frequent))
+        wanted = tails.difference(self.rest)
+        again = wanted.intersection(self.older)
+        self.rest.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        missing = list(wanted.difference(again).difference(self.frequent))
         for at in range(0, len(missing), 8192):
             some = missing[at : at + 8192]
             self.rest.update(zip(some, self._joined(some, as_bytes), strict=True))
