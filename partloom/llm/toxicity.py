@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import U64, WORD_BYTES, blocks, mix, word_hashes, word_spans
+from .kernel import U64, WORD_BYTES, blocks, mix, trim, word_hashes, word_spans
 from .store import ship, table
 
 #: Labelled rows that training reads at most, chosen by a hash of their id.
@@ -94,37 +94,40 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, ridge: float = 0.01, least: int = 4, steps: int = 300) -> Model:
-    """Fit on each row's distinct features.
+def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, penalty: float = 1.0, ridge: float = 0.01, least: int = 4, steps: int = 300) -> Model:
+    """Fit on rows of distinct features: all rows' features one after another, and how many each row has.
 
     The loss adds `penalty` times the squared change of a row's logit when one of
     its identity terms is swapped for another of the term's group, averaged over
     the group, for every labelled row with such a term.  With one class or no
     rows the model is the constant rate.
     """
-    n, positive = len(rows), int(labels.sum())
+    n, positive = len(counts), int(labels.sum())
     rate = (positive + 0.5) / (n + 1)
     if not n or positive in (0, n):
         return Model(np.zeros(0, U64), np.zeros(0), float(np.log(rate / (1 - rate))))
     groups = _term_hashes()
     terms = np.concatenate(groups)
-    row = np.repeat(np.arange(n), [len(r) for r in rows])
-    keys, at = np.unique(np.concatenate(rows), return_inverse=True)
-    seen = np.bincount(at, minlength=len(keys))
-    toxic = np.bincount(at, weights=labels[row], minlength=len(keys))
+    keys, seen = np.unique(features, return_counts=True)
+    common = (seen >= least) | np.isin(keys, terms)
+    keys, seen = keys[common], seen[common]
+    held, times = np.unique(features[np.repeat(labels > 0, counts)], return_counts=True)
+    toxic = np.zeros(len(keys))
+    own = np.isin(held, keys)
+    toxic[np.searchsorted(keys, held[own])] = times[own]
     z = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
-    # an identity term is always a feature where it occurs, so that the penalty sees it
-    worth = np.where(seen >= least, np.abs(z), 0)
+    worth = np.abs(z)
     worth[worth < 4] = 0
-    worth[np.isin(keys, terms)] = np.inf
+    worth[np.isin(keys, terms)] = np.inf  # the penalty must see these wherever they occur
     best = np.argsort(-worth, kind="stable")[:FEATURES]
-    best = np.sort(best[worth[best] > 0])
-    place = np.full(len(keys), -1)
-    place[best] = np.arange(len(best))
-    used = place[at] >= 0
-    x = np.zeros((n, len(best)), np.float32)
-    x[row[used], place[at[used]]] = 1
-    kept = keys[best]
+    kept = keys[np.sort(best[worth[best] > 0])]
+    x, first = np.zeros((n, len(kept)), np.float32), np.concatenate([[0], np.cumsum(counts)])
+    for low in range(0, n if len(kept) else 0, 500):
+        high = min(n, low + 500)
+        some = features[first[low] : first[high]]
+        at = np.minimum(np.searchsorted(kept, some), len(kept) - 1)
+        hit = kept[at] == some
+        x[np.repeat(np.arange(low, high), counts[low:high])[hit], at[hit]] = 1
     swaps, weight = [], []
     for group in groups:
         spots = [int(np.searchsorted(kept, t)) if t in kept else -1 for t in group]
@@ -138,8 +141,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, penalty: float = 1.0, ridge:
                     weight.append(count / n / (len(spots) - 1))
     a, b, c = np.array([s[0] for s in swaps], int), np.array([s[1] for s in swaps], int), np.array(weight)
     y = labels.astype(np.float32)
-    w, bias = np.zeros(len(best)), float(np.log(rate / (1 - rate)))
-    m, v, t = np.zeros(len(best) + 1), np.zeros(len(best) + 1), 0
+    w, bias = np.zeros(len(kept)), float(np.log(rate / (1 - rate)))
+    m, v, t = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -30, 30)))
         g = np.append(x.T @ (p - y) / n + ridge * w / np.sqrt(n), (p - y).mean())
@@ -175,8 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
 
     # at most `rows` ids and labels: a bounded broadcast
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(describe, "toxic int, h array<long>").toArrow()
-    held = [np.asarray(h, np.int64).view(U64) for h in found.column("h").combine_chunks().to_numpy(zero_copy_only=False)] if len(found) else []
-    return fit(held, np.array(found.column("toxic").to_pylist(), np.float64), penalty)
+    if not len(found):
+        return fit(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), penalty)
+    lists = found.column("h").combine_chunks()
+    model = fit(lists.flatten().to_numpy().view(U64), np.diff(lists.offsets.to_numpy()), np.array(found.column("toxic").to_pylist(), np.float64), penalty)
+    del found, lists
+    trim()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
