@@ -38,8 +38,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: What empties the caches that a worker keeps from one task to the next.
+RELEASED: list = []
+
+
 def trim() -> None:
-    """Give freed memory back to the system at the end of a partition; nothing where that isn't possible."""
+    """Empty the worker's caches and give freed memory back to the system, where that is possible."""
+    for empty in RELEASED:
+        empty()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -12,16 +12,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernel import RELEASED
 from .store import ship, table
 
 #: Pieces in the broadcast table, and in each of the two generations that a worker keeps beside it.
 FREQUENT = 65_536
-CACHE = 250_000
+CACHE = 600_000
 #: Pieces that one partition counts at once before it forgets the rarest.
 COUNTED = 300_000
-_UNSAFE = re.compile("(?:^| )(?=[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]|\\Z)")
+_UNSAFE = re.compile(" (?=[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]|\\Z)")
 _ODD = re.compile("[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]")
 
+#: A word with marks behind it, and perhaps, on the next line, another: always cut there into pre-tokens.
+_PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
+
 
 def pieces_of(text: str) -> list[str]:
     """Cut a text before blanks that start a pre-token; every piece but the first lost that blank.
@@ -81,20 +85,37 @@ class Encoder:
         return [np.array(x.ids, np.uint32) for x in encode(texts, add_special_tokens=False)]
 
     def _fill(self, heads: set[str], tails: set[str], as_bytes: bool) -> None:
+        """Have the ids, or their number, of first pieces and of others that no tier holds."""
         if len(self.rest) > self.size:
             self.older, self.rest = self.rest, {}
-        if len(self.first) > self.size // 8:
+        if len(self.first) > self.size // 2:
             self.first = {}
-        missing = list(heads.difference(self.first))
-        found = self._ids(missing) if missing else []
-        self.first.update(zip(missing, (x.astype("<u4").tobytes() for x in found) if as_bytes else map(len, found), strict=True))
-        wanted = tails.difference(self.rest)
-        again = wanted.intersection(self.older)
+        again = [p for p in tails if p in self.older]
         self.rest.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        missing = list(wanted.difference(again).difference(self.frequent))
-        for at in range(0, len(missing), 8192):
-            some = missing[at : at + 8192]
+        missing, made = tails.difference(self.rest), []
+        for p in list(missing):
+            m = _PARTS.fullmatch(p)
+            if m and m[1] != p and m[1].isalpha() and (m[3] is None or m[3].isalpha()):
+                bare = [x for x in ((m[2],) if m[3] is None else (m[2], "\n", m[3], m[4])) if x]
+                made.append((p, m[1], bare))
+                missing.discard(p)
+                heads.update(bare)
+                if m[1] not in self.frequent and m[1] not in self.rest:
+                    if m[1] in self.older:
+                        self.rest[m[1]] = self.older[m[1]]
+                    else:
+                        missing.add(m[1])
+        lack = list(heads.difference(self.first))
+        found = self._ids(lack) if lack else []
+        self.first.update(zip(lack, (x.astype("<u4").tobytes() for x in found) if as_bytes else map(len, found), strict=True))
+        lack = list(missing)
+        for at in range(0, len(lack), 8192):
+            some = lack[at : at + 8192]
             self.rest.update(zip(some, self._joined(some, as_bytes), strict=True))
+        first, rest, frequent = self.first, self.rest, self.frequent
+        for p, word, bare in made:
+            start = frequent[word] if word in frequent else rest[word]
+            rest[p] = start + (first[bare[0]] if len(bare) == 1 else b"".join([first[x] for x in bare]) if as_bytes else sum([first[x] for x in bare]))
 
     def _joined(self, pieces: list[str], as_bytes: bool) -> list:
         """Ids, or their number, of pieces with their blank, from one call: tokens' byte widths tell the pieces apart."""
@@ -113,47 +134,72 @@ class Encoder:
             return [text], []
         return self.cut.split(text), [self.special[m] for m in self.cut.findall(text)]
 
-    def _run(self, texts: list[str], as_bytes: bool):
-        cut = [self._cut(t) for t in texts]
-        pieces = [[pieces_of(s) for s in stretches] for stretches, _ in cut]
-        heads = {p[0] for ps in pieces for p in ps}
-        tails: set[str] = set()
-        for ps in pieces:
-            for p in ps:
-                tails.update(p)
-        self._fill(heads, tails, as_bytes)
-        return zip(pieces, (ids for _, ids in cut), strict=True)
+    def _look(self, pieces: list[str]) -> tuple[list, list[int]]:
+        """What the tiers hold of pieces, and the places of those that none holds; the first piece is not looked up."""
+        values = list(map((self.frequent or self.rest).get, pieces))
+        lack = [i for i, v in enumerate(values) if v is None]
+        if self.frequent and lack:
+            for i in lack:
+                values[i] = self.rest.get(pieces[i])
+            lack = [i for i in lack if values[i] is None]
+        return values, lack
+
+    def _run(self, texts: list[str], as_bytes: bool) -> list[tuple[list[list], list[int]]]:
+        """For each text what its stretches' pieces hold, and its specials' ids.
+
+        Stretches are cut at every blank first; where that makes a piece that is
+        none, which no tier can hold, they are cut again with care.
+        """
+        out, found, heads, missing = [], [], set(), set()
+        for t in texts:
+            stretches, special = self._cut(t)
+            held = []
+            for s in stretches:
+                pieces = s.split(" ")
+                values, lack = self._look(pieces)
+                heads.add(pieces[0])
+                missing.update([pieces[i] for i in lack if i])
+                found.append([pieces, values, lack])
+                held.append(values)
+            out.append((held, special))
+        odd = {p for p in missing if not p or _ODD.match(p)}
+        if odd:
+            missing -= odd
+            for f in found:
+                if any(i and f[0][i] in odd for i in f[2]):
+                    f[0] = pieces_of(" ".join(f[0]))
+                    values, f[2] = self._look(f[0])
+                    f[1][:] = values
+                    heads.add(f[0][0])
+                    missing.update([f[0][i] for i in f[2] if i])
+        self._fill(heads, missing, as_bytes)
+        for pieces, values, lack in found:
+            for i in lack:
+                if i:
+                    values[i] = self.rest[pieces[i]]
+            values[0] = self.first[pieces[0]]
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.kind != "piece":
             return [len(x) for x in self._ids(texts)]
-        out = []
-        for pieces, special in self._run(texts, False):
-            lookup, n = self.rest.get, len(special)
-            frequent = self.frequent
-            for p in pieces:
-                n += self.first[p[0]]
-                n += sum([frequent[x] if x in frequent else lookup(x) for x in p[1:]])
-            out.append(n)
-        return out
+        return [len(special) + sum(map(sum, held)) for held, special in self._run(texts, False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.kind != "piece":
             return [x.astype("<u4").tobytes() for x in self._ids(texts)]
         out = []
-        for pieces, special in self._run(texts, True):
-            parts = []
-            for k, p in enumerate(pieces):
-                if k:
-                    parts.append(np.array([special[k - 1]], "<u4").tobytes())
-                parts.append(self.first[p[0]])
-                parts.extend(map(self.rest.__getitem__, p[1:]))
+        for held, special in self._run(texts, True):
+            parts = [b"".join(held[0])]
+            for i, values in zip(special, held[1:], strict=True):
+                parts += [np.array([i], "<u4").tobytes(), *values]
             out.append(b"".join(parts))
         return out
 
 
 _held: dict[tuple[str, str], Encoder] = {}
+RELEASED.append(_held.clear)
 
 
 def worker_encoder(path: str, use: str, counts: dict[str, int] | None = None) -> Encoder:

@@ -199,6 +199,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str
     kept = [c for c in (keep or docs.columns) if c not in names]
 
     def apply(batches):
+        trim()
         for batch in batches:
             column, scores = batch.column(batch.num_columns - 1), np.zeros(batch.num_rows)
             for first, end, data, offsets in blocks(column):
