@@ -21,3 +21,16 @@ def test_boxes_of_every_order(spark, duck, name):
 def test_every_line_is_a_box(spark):
     lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert registry.QUERIES["t33_prf"](spark, SMALL).first().n_true == lines
+
+
+def test_spans_run_to_the_next_section_of_every_customer(spark):
+    pages = {}
+    for r in spark.read.parquet(f"{SMALL}/orders.parquet").collect():
+        pages.setdefault(r.o_custkey, []).append(r.o_orderkey)
+    want = {}
+    for customer, starts in pages.items():
+        starts.sort()
+        for a, b in zip(starts, [*starts[1:], starts[-1] + 5], strict=True):
+            want |= {(customer, a, p): 1 for p in range(a + 1, b)}
+    got = [tuple(r) for r in registry.QUERIES["t17_page_span"](spark, SMALL).select("o_custkey", "section", "page").collect()]
+    assert sorted(got) == sorted(want)
