@@ -116,6 +116,15 @@ def upper_median(values: Column) -> Column:
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
 
 
+def grouped_upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, out): each group's `upper_median`, from running counts of its distinct values; null where it has none."""
+    counted = df.groupBy(*keys, value).agg(F.count(value).alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    marked = counted.withColumn("_upto", upto).withColumn("_half", F.floor(F.sum("_n").over(group) / 2))
+    return marked.groupBy(*keys).agg(F.min(F.when(F.col("_upto") > F.col("_half"), F.col(value))).alias(out))
+
+
 def split_groups(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """Whole groups to `val` by a hash of the group, about `share` of them."""
     h = F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(10_000))

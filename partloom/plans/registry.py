@@ -388,7 +388,7 @@ def split(t):
 
 @query("t42_upper_median", "SELECT l_returnflag, list_sort(list(l_quantity))[count(*) // 2 + 1] AS m FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, l_linestatus")
 def upper_median(t):
-    return t("lineitem").where("l_orderkey % 50 = 0").groupBy("l_returnflag", "l_linestatus").agg(evaluation.upper_median(F.collect_list("l_quantity")).alias("m")).select("l_returnflag", "m")
+    return evaluation.grouped_upper_median(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "m").select("l_returnflag", "m")
 
 
 @query(
@@ -511,7 +511,7 @@ def label_status(t):
     own = F.lit("17")
     k = (F.col("l_partkey") % 4 + 1).cast("int")
     status = evaluation.label_status(own, F.element_at(strings("17", "", "1", "9"), k), F.element_at(strings("x", "", "", "8"), k))
-    return t("lineitem").where("l_orderkey % 20 = 0").select("l_orderkey", "l_linenumber", status.alias("status"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", status.alias("status"))
 
 
 @query("t55_replace_sections", "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'new' ELSE n_name END AS title, n_regionkey AS picture FROM nation")

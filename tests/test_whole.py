@@ -34,3 +34,17 @@ def test_spans_run_to_the_next_section_of_every_customer(spark):
             want |= {(customer, a, p): 1 for p in range(a + 1, b)}
     got = [tuple(r) for r in registry.QUERIES["t17_page_span"](spark, SMALL).select("o_custkey", "section", "page").collect()]
     assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize(("name", "cut"), [("t42_upper_median", " WHERE l_orderkey % 50 = 0"), ("t54_label_status", " WHERE l_orderkey % 20 = 0")])
+def test_every_line_counts(spark, duck, name, cut):
+    same_rows(registry.QUERIES[name](spark, SMALL), duck.sql(whole_sql(name, cut)))
+
+
+def test_median_reads_all_lines_and_collects_no_group(spark, tmp_path):
+    rows = [(k, 1, 1, i, float(q), 1.0, 0.0, 0.0, flag, "O") for i, (k, flag, q) in enumerate([(50, "A", 1), (51, "A", 9), (52, "A", 9), (50, "N", 4), (1, "N", 7), (3, "R", 5)])]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([*rows, (4, 1, 1, 9, None, 1.0, 0.0, 0.0, "A", "O"), (4, 1, 1, 9, None, 1.0, 0.0, 0.0, "X", "O")], names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = registry.QUERIES["t42_upper_median"](spark, str(tmp_path))
+    assert {r.l_returnflag: r.m for r in out.collect()} == {"A": 9.0, "N": 7.0, "R": 5.0, "X": None}
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
