@@ -48,3 +48,26 @@ def test_median_reads_all_lines_and_collects_no_group(spark, tmp_path):
     out = registry.QUERIES["t42_upper_median"](spark, str(tmp_path))
     assert {r.l_returnflag: r.m for r in out.collect()} == {"A": 9.0, "N": 7.0, "R": 5.0, "X": None}
     assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_page_is_coded_whole(spark, tmp_path):
+    import numpy as np
+
+    from partloom.operators.imaging import g4_encode
+
+    html = {1: "<p>" + "ab1 \u00e9\U0001f600" * 200, 2: "short", 3: "", 4: None, 5: "x" * 768, 6: "y" * 768 + "odd tail"}
+    spark.createDataFrame([(k, "u", v) for k, v in html.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.bytes, r.same) for r in registry.QUERIES["t47_g4_roundtrip"](spark, str(tmp_path)).collect()}
+
+    def size(text):
+        ink = [ord(c) % 2 for c in text]
+        ink += [0] * (-len(ink) % 48)
+        return len(g4_encode(np.array(ink, np.uint8).reshape(-1, 48)))
+
+    assert got == {k: (None if v is None else size(v), True) for k, v in html.items()}
+
+
+def test_every_page_has_a_row(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    assert registry.QUERIES["t47_g4_roundtrip"](spark, SMALL).select("page_id").exceptAll(pages.select("page_id")).isEmpty()
+    assert registry.QUERIES["t47_g4_roundtrip"](spark, SMALL).count() == pages.count()
