@@ -487,7 +487,7 @@ def main_groups(t):
 @query("t51_callout_part", "SELECT p_partkey, o_orderkey FROM part LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = CAST(p_partkey * 3 AS VARCHAR) WHERE p_size < 10")
 def callout_part(t):
     printed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("("), (F.col("p_partkey") * 3).cast("string"), F.lit(")"))).otherwise((F.col("p_partkey") * 3).cast("string"))
-    parts = t("part").where("p_size < 10").select("p_partkey", text.position_token(printed).alias("_p"))
+    parts = t("part").select("p_partkey", text.position_token(printed).alias("_p"))
     return parts.join(t("orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("_n")), F.col("_p") == F.col("_n"), "left").select("p_partkey", "o_orderkey")
 
 

@@ -71,3 +71,7 @@ def test_every_page_has_a_row(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     assert registry.QUERIES["t47_g4_roundtrip"](spark, SMALL).select("page_id").exceptAll(pages.select("page_id")).isEmpty()
     assert registry.QUERIES["t47_g4_roundtrip"](spark, SMALL).count() == pages.count()
+
+
+def test_callouts_of_every_part(spark, duck):
+    same_rows(registry.QUERIES["t51_callout_part"](spark, SMALL), duck.sql(whole_sql("t51_callout_part", " WHERE p_size < 10")))
