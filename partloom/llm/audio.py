@@ -121,10 +121,9 @@ def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm") -> DataFrame:
     def convert(column):
         def one(x):
             try:
-                rate, samples = decode(bytes(x))
+                return resampled(bytes(x))
             except (ValueError, TypeError, struct.error):
                 return None
-            return write_wave(double_rate(samples).astype("<i2").tobytes(), PCM, 2 * rate, 2, 16)
 
         return column.map(one)
 
@@ -136,47 +135,44 @@ def payload_of(text: str | bytes | None, unit: int = UNIT) -> bytes:
     return raw + b" " * (max(unit, -(-len(raw) // unit) * unit) - len(raw))
 
 
-def features(codes: np.ndarray, starts: np.ndarray, tag: int) -> list[str]:
-    """A feature line for each file whose 8-bit codes begin at `starts`, from its PCM at twice the rate."""
-    samples = TABLES[tag][codes].astype(np.int32)
-    ends = np.append(starts[1:], len(samples))
-    follow = np.append(samples[1:], 0)
-    follow[ends - 1] = samples[ends - 1]
-    between = (samples + follow) >> 1
-    energy = np.add.reduceat(samples.astype(np.int64) ** 2 + between.astype(np.int64) ** 2, starts)
-    peak = np.maximum.reduceat(np.maximum(np.abs(samples), np.abs(between)), starts)
-    sign = samples < 0
-    middle = between < 0
-    crossed = (sign != middle).astype(np.int64) + (middle != (follow < 0))
-    crossings = np.add.reduceat(crossed, starts)
-    return [f"rate=16000;samples={2 * n};rms={math.isqrt(int(e) // (2 * int(n)))};peak={p};crossings={c}" for n, e, p, c in zip(ends - starts, energy, peak, crossings, strict=True)]
+def resampled(media: bytes) -> bytes:
+    """The 16-bit PCM wave file at twice the rate of a wave file."""
+    rate, samples = decode(media)
+    return write_wave(double_rate(samples).astype("<i2").tobytes(), PCM, 2 * rate, 2, 16)
+
+
+def feature(pcm: bytes) -> str:
+    """The feature line of a 16-bit PCM wave file."""
+    rate, samples = decode(pcm)
+    wide = samples.astype(np.int64)
+    crossings = np.count_nonzero(np.diff(samples < 0))
+    return f"rate={rate};samples={len(wide)};rms={math.isqrt(int(wide @ wide) // len(wide))};peak={np.abs(wide).max()};crossings={crossings}"
 
 
 def media_digests(docs: DataFrame, tag: int = MU_LAW, keep_media: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store every text as the 8-bit codes of a telephony wave file, read it back and describe it.
+    """Store every text as the codes of a telephony wave file, read it back, resample and describe it.
 
     The payload is the UTF-8 text and blanks up to a positive multiple of 192
-    bytes; a null text counts as empty (192 blanks).  What is described comes
-    from the stored file's bytes, read again.  Equal texts give equal values,
-    repeated rows a row each, a null doc_id stays null, an empty table no rows.
-    `keep_media` adds the file itself as `media`.
+    bytes; a null text counts as empty (192 blanks).  `tag` is mu-law, A-law or
+    IMA ADPCM, whose blocks have 192 bytes.  The stored file's bytes are read
+    again, decoded and stored as 16-bit PCM at twice the rate, which the feature
+    describes.  Equal texts give equal values, repeated rows a row each, a null
+    doc_id stays null, an empty table no rows.  `keep_media` adds the file itself
+    as `media` and the PCM file as `pcm`.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * keep_media
+    align = UNIT if tag == IMA_ADPCM else 1
 
     def describe(batches):
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column(1)):
-                raw, rows, codes = data.tobytes(), [], []
+                raw, rows = data.tobytes(), []
                 for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    stored = write_wave(payload_of(raw[a:b]), tag)
-                    back = read_wave(stored)[3]
-                    codes.append(back)
-                    rows.append([b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), None, *[stored] * keep_media])
-                starts = np.cumsum([0, *map(len, codes[:-1])])
-                for row, line in zip(rows, features(np.frombuffer(b"".join(codes), np.uint8), starts, tag), strict=True):
-                    row[6] = line
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
+                    stored = write_wave(payload_of(raw[a:b]), tag, align=align)
+                    back, pcm = read_wave(stored)[3], resampled(stored)
+                    rows.append([b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pcm), *[stored, pcm] * keep_media])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
                 names = [c.split()[0] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)
 
