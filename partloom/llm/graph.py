@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,15 +25,21 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return linked.select(F.explode(both).alias("e")).select("e.a", "e.b").where("a != b").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of every node with an edge (a, b); the component is its least node.
 
+    Rounds go on until one changes nothing; RuntimeError if `rounds` are given and
+    run out before.
+
     All state is the edge table, written to the shared folder each round; a round
     never adds edges, and hubs are reduced by aggregates before they are joined.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     told = None
-    for _ in range(rounds):
+    for turn in count():
+        if turn == rounds:
+            discard(now)
+            raise RuntimeError(f"components are not finished after {rounds} rounds")
         wide = _star(_both(now), True)
         new = materialize(_star(wide.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "edges")
         sums = new.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("h")).first()

@@ -207,7 +207,7 @@ def _joined(docs: DataFrame, chosen: DataFrame, orders, n: int, num: int, den: i
     postings = chosen.select("doc_id", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "size", "pos")
     shared = chosen.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
     lists = materialize(postings.join(shared, "token", "left_semi"), "lists")
-    marks = materialize(chosen.select("doc_id", "size", "marks").dropDuplicates(["doc_id"]), "marks")
+    marks = materialize(chosen.select("doc_id", "size", "marks").distinct(), "marks")
     del postings, shared
     discard(chosen)
     pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "size")).alias("y"))
@@ -256,8 +256,8 @@ def _candidates(docs: DataFrame, wanted: DataFrame, orders, n: int, num: int, de
 def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
     """Similar pairs, written to the shared folder.
 
-    A pair must have parity bitmaps no further apart than similar sets can be
-    and share prefix tokens under the second and third order before its sets are
+    A pair must have parity bitmaps no further apart than similar sets can be,
+    any of its rows' sets where rows share a doc_id, and share prefix tokens under the second and third order before its sets are
     compared.
     """
     c = F.col
@@ -265,7 +265,7 @@ def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, orders, n: in
     apart = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sizes = c("size_a") + c("size_b")
     close = apart <= sizes - 2 * F.ceil(sizes * num / (num + den))
-    near = materialize(pairs.join(a, "a").join(b, "b").where(close).select("a", "b"), "near")
+    near = materialize(pairs.join(a, "a").join(b, "b").where(close).select("a", "b").distinct(), "near")
     wanted = near.select(c("a").alias("doc_id")).unionByName(near.select(c("b").alias("doc_id"))).distinct()
     sets = _candidates(docs, wanted, orders, n, num, den)
     a, b = (sets.select(c("id").alias(s), *[c(x).alias(f"{x}_{s}") for x in ("second", "third", "whole")]) for s in "ab")

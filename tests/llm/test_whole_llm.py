@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from partloom.llm import audio
+from partloom.llm import audio, graph, jaccard
 
 
 @pytest.mark.parametrize("tag", [audio.MU_LAW, audio.A_LAW, audio.IMA_ADPCM])
@@ -19,3 +19,22 @@ def test_media_is_stored_as_pcm_of_twice_the_rate(spark, tag):
         told, wide = dict(x.split("=") for x in r.feature.split(";")), want.astype(np.int64)
         assert (told["rate"], int(told["samples"]), int(told["peak"])) == ("16000", len(want), np.abs(wide).max())
         assert int(told["rms"]) == int(((wide**2).sum() // len(wide)) ** 0.5) and int(told["crossings"]) == ((want[1:] < 0) != (want[:-1] < 0)).sum()
+
+
+def test_every_text_of_a_shared_id_links(spark):
+    rows = []
+    for k in range(12):
+        one, two, three = ([f"{c}{k}x{i}" for i in range(120 + 7 * j)] for j, c in enumerate("pqr"))
+        mine, base = 1000 + k, 10_000 + 10 * k
+        rows += [(mine, " ".join(w)) for w in (one, two, three)]
+        rows += [(base + j, " ".join([*w, "tail"])) for j, w in enumerate((one, two, three))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.components(docs).collect()}
+    assert got == {i: 1000 + (i - 10_000) // 10 if i >= 10_000 else i for i, _ in rows}
+
+
+def test_components_finish_or_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    assert {r.component for r in graph.connected_components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.connected_components(edges, rounds=1)
