@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernel import mix
 from .store import ship, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -329,10 +330,18 @@ def training_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(xs, np.int64).reshape(-1, WINDOW), np.array(ys, np.int64).reshape(-1, WINDOW)
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS, windows_most: int = 2_500, epochs: int = 8) -> Tagger:
+def picked(n: int, most: int) -> np.ndarray:
+    """At most `most` of n places, by a hash of the place, in order."""
+    return np.sort(np.argsort(mix(np.arange(n, dtype=np.uint64)), kind="stable")[:most])
+
+
+def train(docs: DataFrame, most: int = TRAIN_DOCS, windows_most: int = 2_500, epochs: int = 8, stretches: int = 8, longest: int = 8 * WINDOW) -> Tagger:
     """Train on the pattern spans of at most `most` documents that have digits or @, picked by a hash of their id.
 
-    Their stretches alone come to the driver, at most `windows_most` windows are used.
+    Only stretches around digits and @ come to the driver: of a document's first
+    `stretches` those of at most `longest` characters, so longer runs of digits
+    never train.  At most `windows_most` windows are used, picked by a hash over
+    those of all these documents.
     """
     ship(docs.sparkSession)
 
@@ -341,7 +350,7 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, windows_most: int = 2_500, ep
             ids, out = batch.column(0).to_pylist(), []
             for k, t in zip(ids, batch.column(1).to_pylist(), strict=True):
                 if t and _HINT.search(t):
-                    out.append((k, [t[a:b] for a, b in regions(t)[:8] if b - a <= 8 * WINDOW]))
+                    out.append((k, [t[a:b] for a, b in regions(t)[:stretches] if b - a <= longest]))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.string()))], names=["doc_id", "pieces"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, pieces array<string>")
@@ -349,7 +358,8 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS, windows_most: int = 2_500, ep
     x, y = training_windows([p for r in rows for p in r.pieces])
     tagger = Tagger()
     if len(x):
-        tagger.fit(x[:windows_most], y[:windows_most], epochs)
+        own = picked(len(x), windows_most)
+        tagger.fit(x[own], y[own], epochs)
     return tagger
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from partloom.llm import audio, graph, jaccard
+from partloom.llm import audio, graph, jaccard, pii
 
 
 @pytest.mark.parametrize("tag", [audio.MU_LAW, audio.A_LAW, audio.IMA_ADPCM])
@@ -38,3 +38,23 @@ def test_components_finish_or_raise(spark):
     assert {r.component for r in graph.connected_components(edges).collect()} == {0}
     with pytest.raises(RuntimeError):
         graph.connected_components(edges, rounds=1)
+
+
+def test_training_windows_come_from_all_picked_documents(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"reach {chr(97 + i)}{chr(97 + i)}@mail.example now") for i in range(20)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(pii.Tagger, "fit", lambda self, x, y, epochs: seen.append(x))
+    pii.train(docs)
+    pii.train(docs, windows_most=5)
+    every, few = ([r.tobytes() for r in x] for x in seen)
+    assert len(every) == 20 and len(few) == 5 and set(few) < set(every) and few != every[:5]
+
+
+def test_stretch_bounds_are_parameters(spark, monkeypatch):
+    text = "".join(f"{i} " + "word " * 30 for i in range(10)) + "7" * 500
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(pii.Tagger, "fit", lambda self, x, y, epochs: seen.append(len(x)))
+    pii.train(docs)
+    pii.train(docs, stretches=100, longest=10_000)
+    assert seen[0] < seen[1] == len(pii.training_windows([text])[0])
