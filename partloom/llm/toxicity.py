@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +15,15 @@ from .store import ship, table
 
 #: Labelled rows that training reads at most, chosen by a hash of their id.
 TRAIN_ROWS = 8_000
-#: Features with a weight at most.
-FEATURES = 1_000
+#: Labelled sentences of each class that get an identity term, at most.
+MENTIONS = 600
+#: What those sentences weigh beside whole documents.
+MENTION_WEIGHT = 0.6
+#: Features with a weight at most, and the least |z| of a feature's toxic share.
+FEATURES, LEAST_Z = 1_000, 4.0
 #: Bytes of the word beginnings that are features beside whole words.
 BEGINNINGS = (4, 5, 6)
-# Groups of identity terms that may stand for one another.
+# Groups of identity terms that may stand for one another, in four languages.
 IDENTITIES = (
     ("women", "men", "girls", "boys", "females", "males"),
     ("woman", "man", "girl", "boy", "female", "male"),
@@ -26,16 +33,62 @@ IDENTITIES = (
     ("black", "white", "asian", "african", "american", "european", "mexican", "arab", "latino"),
     ("immigrants", "refugees", "foreigners", "citizens", "natives"),
     ("deaf", "blind", "disabled", "old", "elderly", "young"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("homosexuels", "hétérosexuels", "lesbiennes", "bisexuels"),
+    ("noirs", "blancs", "asiatiques", "africains", "arabes", "européens"),
+    ("immigrés", "réfugiés", "étrangers", "citoyens"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "araber", "europäer"),
+    ("einwanderer", "flüchtlinge", "ausländer", "bürger"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("homosexuales", "heterosexuales", "lesbianas", "bisexuales"),
+    ("negros", "blancos", "asiáticos", "africanos", "árabes", "europeos"),
+    ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
+_SENTENCE = re.compile(r"[^.!?\n]+")
+_WORD = re.compile(r"\w+")
+_GROUP_OF = {term: k for k, group in enumerate(IDENTITIES) for term in group}
+
+
+def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of texts one after another, and their offsets."""
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+def _term_hashes() -> np.ndarray:
+    data, offsets = packed([" ".join(group) for group in IDENTITIES])
+    starts, ends, _ = word_spans(data, offsets, WORD_BYTES)
+    return np.unique(word_hashes(data, starts, ends))
 
 
-def _term_hashes() -> list[np.ndarray]:
-    out = []
-    for group in IDENTITIES:
-        data = np.frombuffer(" ".join(group).encode(), np.uint8)
-        starts, ends, _ = word_spans(data, np.array([0, len(data)]), WORD_BYTES)
-        out.append(word_hashes(data, starts, ends))
-    return out
+def sentence_of(text: str | None) -> str | None:
+    """One sentence of 3 to 40 words, chosen by the text's checksum; None if there is none."""
+    found = [m[0].strip() for m in _SENTENCE.finditer(text or "") if 3 <= len(m[0].split()) <= 40]
+    return found[zlib.crc32((text or "").encode()) % len(found)] if found else None
+
+
+def counterfactuals(sentence: str) -> list[str]:
+    """The sentence with an identity term, its copies with every other term of the group, and last without any.
+
+    A term that the sentence has already is swapped where it stands; any other
+    sentence gets one, of a group and at a word that its checksum chooses.
+    """
+    for m in _WORD.finditer(sentence):
+        k = _GROUP_OF.get(m[0].lower())
+        if k is not None:
+            own = m[0].lower()
+            head, tail = sentence[: m.start()], sentence[m.end() :]
+            return [head + t + tail for t in (own, *(t for t in IDENTITIES[k] if t != own))] + [f"{head.rstrip()} {tail.lstrip()}"]
+    luck = zlib.crc32(sentence.encode())
+    group, words = IDENTITIES[luck % len(IDENTITIES)], sentence.split()
+    at, own = 1 + luck // 64 % len(words), luck // 8192 % len(group)
+    turned = group[own:] + group[:own]
+    return [" ".join([*words[:at], t, *words[at:]]) for t in turned] + [sentence]
 
 
 def features(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None, terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +137,7 @@ class Model:
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float):
         self.keys, self.weights, self.bias = keys, weights, bias
-        self.terms = np.concatenate(_term_hashes())
+        self.terms = _term_hashes()
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         z = np.full(len(offsets) - 1, self.bias)
@@ -94,79 +147,94 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, penalty: float = 1.0, ridge: float = 0.01, least: int = 4, steps: int = 300) -> Model:
-    """Fit on rows of distinct features: all rows' features one after another, and how many each row has.
+def _matrix(own: np.ndarray, h: np.ndarray, rows: int, kept: np.ndarray) -> np.ndarray:
+    """Presence of the sorted features `kept` in rows."""
+    x = np.zeros((rows, len(kept)), np.float32)
+    if len(kept) and len(h):
+        at = np.minimum(np.searchsorted(kept, h), len(kept) - 1)
+        hit = kept[at] == h
+        x[own[hit], at[hit]] = 1
+    return x
 
-    The loss adds `penalty` times the squared change of a row's logit when one of
-    its identity terms is swapped for another of the term's group, averaged over
-    the group, for every labelled row with such a term.  With one class or no
-    rows the model is the constant rate.
+
+def fit(
+    features_: np.ndarray, counts: np.ndarray, labels: np.ndarray, sentences: list[str], toxic: np.ndarray, penalty: float = 1.0, weight: float = MENTION_WEIGHT, ridge: float = 0.01, least: int = 4, least_z: float = LEAST_Z, most: int = FEATURES, steps: int = 300
+) -> Model:
+    """Fit on rows of distinct features (all rows' features one after another, and how many each row has) and labelled sentences.
+
+    Every sentence takes part with an identity term in it, `weight` of a row
+    each.  The loss adds `penalty` times the mean squared change of the logit
+    from a sentence to its counterfactuals: other terms of the group in the same
+    slot, and the slot empty.  With one class or no rows the model is the
+    constant rate.
     """
     n, positive = len(counts), int(labels.sum())
     rate = (positive + 0.5) / (n + 1)
     if not n or positive in (0, n):
         return Model(np.zeros(0, U64), np.zeros(0), float(np.log(rate / (1 - rate))))
-    groups = _term_hashes()
-    terms = np.concatenate(groups)
-    keys, seen = np.unique(features, return_counts=True)
-    common = (seen >= least) | np.isin(keys, terms)
+    terms = _term_hashes()
+    keys, seen = np.unique(features_, return_counts=True)
+    common = seen >= least
     keys, seen = keys[common], seen[common]
-    held, times = np.unique(features[np.repeat(labels > 0, counts)], return_counts=True)
-    toxic = np.zeros(len(keys))
+    held, times = np.unique(features_[np.repeat(labels > 0, counts)], return_counts=True)
+    toxic_seen = np.zeros(len(keys))
     own = np.isin(held, keys)
-    toxic[np.searchsorted(keys, held[own])] = times[own]
-    z = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
-    worth = np.abs(z)
-    worth[worth < 4] = 0
-    worth[np.isin(keys, terms)] = np.inf  # the penalty must see these wherever they occur
-    best = np.argsort(-worth, kind="stable")[:FEATURES]
-    kept = keys[np.sort(best[worth[best] > 0])]
-    x, first = np.zeros((n, len(kept)), np.float32), np.concatenate([[0], np.cumsum(counts)])
-    for low in range(0, n if len(kept) else 0, 500):
-        high = min(n, low + 500)
-        some = features[first[low] : first[high]]
-        at = np.minimum(np.searchsorted(kept, some), len(kept) - 1)
-        hit = kept[at] == some
-        x[np.repeat(np.arange(low, high), counts[low:high])[hit], at[hit]] = 1
-    swaps, weight = [], []
-    for group in groups:
-        spots = [int(np.searchsorted(kept, t)) if t in kept else -1 for t in group]
-        for i, a in enumerate(spots):
-            if a < 0:
-                continue
-            count = float(x[:, a].sum())
-            for j, b in enumerate(spots):
-                if j != i:
-                    swaps.append((a, b))
-                    weight.append(count / n / (len(spots) - 1))
-    a, b, c = np.array([s[0] for s in swaps], int), np.array([s[1] for s in swaps], int), np.array(weight)
-    y = labels.astype(np.float32)
+    toxic_seen[np.searchsorted(keys, held[own])] = times[own]
+    z = np.abs(toxic_seen - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1e-9)
+    z[z < least_z] = 0
+    best = np.argsort(-z, kind="stable")[:most]
+    variants = [counterfactuals(s) for s in sentences]
+    first = np.concatenate([[0], np.cumsum([len(v) for v in variants])]).astype(np.int64)
+    v_own, v_h = _presence(*features(*packed([t for v in variants for t in v]), None, terms)) if variants else (np.zeros(0, np.int64), np.zeros(0, U64))
+    kept = np.union1d(keys[best[z[best] > 0]], np.intersect1d(terms, np.concatenate([v_h, features_])))
+    x = _matrix(np.repeat(np.arange(n), counts), features_, n, kept)
+    mention = np.isin(v_own, first[:-1])
+    x_m = _matrix(np.searchsorted(first, v_own[mention]), v_h[mention], len(variants), kept)
+    # a copy differs from its sentence in what the swap changes, mostly one or two features
+    x_v = _matrix(v_own, v_h, int(first[-1]), kept)
+    change = x_v - np.repeat(x_m, np.diff(first), axis=0)
+    change = change[np.any(change != 0, axis=1)]
+    del x_v
+    y, y_m = labels.astype(np.float32), np.asarray(toxic, np.float32)
     w, bias = np.zeros(len(kept)), float(np.log(rate / (1 - rate)))
     m, v, t = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1), 0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32) + bias, -30, 30)))
-        g = np.append(x.T @ (p - y) / n + ridge * w / np.sqrt(n), (p - y).mean())
-        if len(swaps):
-            change = w[a] - np.where(b >= 0, w[np.maximum(b, 0)], 0)
-            push = 2 * penalty * c * change
-            np.add.at(g, a, push)
-            np.add.at(g, b[b >= 0], -push[b >= 0])
+        w32 = w.astype(np.float32)
+        miss = 1 / (1 + np.exp(-np.clip(x @ w32 + bias, -30, 30))) - y
+        miss_m = weight * (1 / (1 + np.exp(-np.clip(x_m @ w32 + bias, -30, 30))) - y_m)
+        g = np.append((x.T @ miss + x_m.T @ miss_m) / n + ridge * w / np.sqrt(n), (miss.sum() + miss_m.sum()) / n)
+        if len(change) and penalty:
+            g[:-1] += 2 * penalty * (change.T @ (change @ w32)) / len(change)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
     return Model(kept, w, bias)
 
 
+def swap_report(model: Model, sentences: list[str], threshold: float = 0.3) -> dict[str, float]:
+    """Mean absolute change of score from sentences with a term to their copies, and the share of both called toxic."""
+    variants = [counterfactuals(s) for s in sentences]
+    scores = model.score(*packed([t for v in variants for t in v]))
+    first = np.concatenate([[0], np.cumsum([len(v) for v in variants])]).astype(int)
+    mentions = np.delete(scores, first[1:] - 1)
+    return {"change": float(np.abs(scores - np.repeat(scores[first[:-1]], np.diff(first))).mean()), "called_toxic": float((mentions >= threshold).mean()), "without_term": float((scores[first[1:] - 1] >= threshold).mean())}
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = 1.0) -> Model:
-    """Fit on at most `rows` labelled documents that are not held out, picked by a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: float = 1.0, mentions: int = MENTIONS) -> Model:
+    """Fit on at most `rows` labelled documents that are not held out, picked by a hash of their id.
+
+    One sentence of each is taken with its document's label; the first
+    `mentions` of each class, in the order of the ids' hash, get identity terms.
+    Rows with a null id or label don't count; of contrary labels the toxic one.
+    """
     ship(docs.sparkSession)
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out())
     picked = picked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    terms = np.concatenate(_term_hashes())
+    terms = _term_hashes()
 
     def describe(batches):
         for batch in batches:
@@ -174,14 +242,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, penalty: f
                 own, h = _presence(*features(data, offsets, None, terms))
                 at = np.searchsorted(own, np.arange(end - first + 1))
                 held = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), held], names=["toxic", "h"])
+                sentences = [sentence_of(t.as_py()) for t in batch.column(1).slice(first, end - first)]
+                told = [batch.column(k).slice(first, end - first) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([told[0], told[1], held, pa.array(sentences, pa.string())], names=["toxic", "luck", "h", "sentence"])
 
     # at most `rows` ids and labels: a bounded broadcast
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("toxic", "text").mapInArrow(describe, "toxic int, h array<long>").toArrow()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("luck"))
+    found = chosen.mapInArrow(describe, "toxic int, luck long, h array<long>, sentence string").toArrow()
     if not len(found):
-        return fit(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), penalty)
-    lists = found.column("h").combine_chunks()
-    model = fit(lists.flatten().to_numpy().view(U64), np.diff(lists.offsets.to_numpy()), np.array(found.column("toxic").to_pylist(), np.float64), penalty)
+        return fit(np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0), [], np.zeros(0), penalty)
+    lists, toxic = found.column("h").combine_chunks(), np.array(found.column("toxic").to_pylist(), np.float64)
+    told = found.column("sentence").to_pylist()
+    by = sorted((i for i, s in enumerate(told) if s), key=lambda i, luck=found.column("luck").to_pylist(): (luck[i], told[i]))
+    own = [i for c in (0, 1) for i in [j for j in by if (toxic[j] > 0) == c][:mentions]]
+    model = fit(lists.flatten().to_numpy().view(U64), np.diff(lists.offsets.to_numpy()), toxic, [told[i] for i in own], toxic[own], penalty)
     del found, lists
     trim()
     return model
@@ -191,8 +265,9 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str
     """`keep` columns (all by default) and two of the given `names`: score and prediction of every whole text.
 
     A null or empty text gets the score of no feature; a null doc_id is kept;
-    repeated rows each give a row, an empty table none.  Columns that already have
-    one of the `names` are replaced.
+    repeated rows each give a row, an empty table none; long texts are scored
+    whole.  A score equal to the threshold is toxic.  Columns that already have
+    one of the `names` are replaced, all others stay.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,5 +290,3 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = scored(docs, train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
-
-

@@ -213,32 +213,39 @@ def made_up(n, seed=0):
 
 
 def test_tagger_learns_held_out_spans():
-    x, y = pii.training_windows(made_up(150))
+    """Spans in printed forms that the patterns miss are found in held-out texts, and next to none in untouched ones."""
+    x, y = pii.training_windows(pii.labelled(made_up(150)))
+    own = pii.picked(len(x), pii.TRAIN_WINDOWS)
     tagger = pii.Tagger()
-    losses = tagger.fit(x, y, 8)
+    losses = tagger.fit(x[own], y[own], 12)
     assert losses[-1] < losses[0] / 5
-    other = made_up(40, 1)
-    found = pii.model_spans(tagger, other, [[] for _ in other])
-    want = [pii.base_spans(t) for t in other]
-    hit = sum(s in f for f, w in zip(found, want, strict=True) for s in w)
-    assert hit / sum(map(len, want)) > 0.8
+    held = pii.labelled(made_up(60, 1), seed=1, least=40)
+    texts = [t for t, _ in held]
+    bases = [pii.base_spans(t) for t in texts]
+    found = pii.model_spans(tagger, texts, bases)
+    want = [{s for s in own if s not in b} for (_, own), b in zip(held, bases, strict=True)]
+    right = sum(len(w & set(f)) for w, f in zip(want, found, strict=True))
+    assert right / sum(map(len, want)) > 0.6 and right / sum(map(len, found)) > 0.75
+    assert all(t[s:e].strip() == t[s:e] for t, own in held for _, s, e in own)
+    clean = [" ".join(w for w in t.split() if not any(c in w for c in "0123456789@")) + f" on {2000 + i}-05-17 {i},50" for i, t in enumerate(made_up(60, 2))]
+    assert sum(map(len, pii.model_spans(tagger, clean, [[] for _ in clean]))) <= 1
 
 
 def test_tagger_gradients():
     tagger = pii.Tagger(hidden=4)
     tagger.p = {k: v.astype(np.float64) for k, v in tagger.p.items()}
-    x, y = pii.training_windows(made_up(2))
+    x, y = pii.training_windows([(t, pii.base_spans(t)) for t in made_up(2)])
     x, y = x[:3].T, y[:3].T
     keep = {}
     e = tagger.emissions(x, keep)
     _, de, dt = tagger._crf(e, y)
     grads = {k: np.zeros_like(w) for k, w in tagger.p.items()}
     dboth = de @ tagger.p["o"].T
-    tagger._back(x, "f", keep["f"], dboth[:, :, :4], grads)
+    tagger._back(keep, np.stack([dboth[:, :, :4], dboth[::-1, :, 4:]], 1), grads)
     r = np.random.default_rng(0)
-    for name, g in (("hf", grads["hf"]), ("xf", grads["xf"]), ("t", dt)):
-        for _ in range(5):
-            i = tuple(int(r.integers(n)) for n in g.shape) if name != "xf" else (int(x[5, 0]), int(r.integers(g.shape[1])))
+    for name, g in (("h", grads["h"]), ("x", grads["x"]), ("c", grads["c"]), ("t", dt)):
+        for _ in range(8):
+            i = tuple(int(r.integers(n)) for n in g.shape) if name != "x" else (int(r.integers(2)), int(x[5, 0]), int(r.integers(g.shape[2])))
             if name == "t" and tagger.barred[i]:
                 continue
             old = tagger.p[name][i]
@@ -436,6 +443,23 @@ def test_swaps_are_penalised(spark):
     assert gap[10.0] < gap[0.0] / 2 and gap[10.0] < 0.1
 
 
+def test_counterfactuals_swap_one_slot():
+    held = toxicity.counterfactuals("we met some Christians today")
+    assert held[0] == "we met some christians today" and held[-1] == "we met some today" and "we met some jews today" in held
+    made = toxicity.counterfactuals("nothing of the kind here")
+    assert made[-1] == "nothing of the kind here" and len({len(t.split()) for t in made[:-1]}) == 1
+    assert len({tuple(sorted(set(t.split()) - set(made[-1].split()))) for t in made[:-1]}) == len(made) - 1
+
+
+def test_penalty_lowers_false_positives_on_neutral_mentions(spark):
+    """On rows held out from training: less change by swaps and fewer neutral mentions called toxic than without the penalty."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    neutral = docs.join(labels, "doc_id").where("toxic = 0").where(toxicity.held_out()).select("text").collect()
+    sentences = [s for s in (toxicity.sentence_of(r.text) for r in neutral) if s]
+    free, held = (toxicity.swap_report(toxicity.train(docs, labels, penalty=p), sentences) for p in (0.0, 1.0))
+    assert held["change"] < free["change"] / 10 and held["called_toxic"] < 0.01 < free["called_toxic"]
+
+
 # 10
 
 
