@@ -286,8 +286,9 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
     drop = groups.where("component_id != doc_id").select("doc_id").distinct()
     again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     bitmap = sieve(drop.unionByName(again), "doc_id")
-    maybe = sifted(docs, "doc_id", bitmap).join(drop.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    return sifted(docs, "doc_id", bitmap, False).unionByName(maybe.dropDuplicates(["doc_id", "text"]))
+    known = docs.where(F.col("doc_id").isNotNull())
+    maybe = sifted(known, "doc_id", bitmap).join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.where(F.col("doc_id").isNull()).unionByName(sifted(known, "doc_id", bitmap, False)).unionByName(maybe.select(*[f"`{c}`" for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

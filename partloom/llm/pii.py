@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import mix
-from .store import ship, table
+from .store import fresh, ship, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents whose pattern spans train the model, at most, chosen by a hash of their id.
@@ -546,7 +546,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, keep: list[str] | None = None
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     span = "array<struct<kind:int,start:bigint,end:bigint>>"
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{c}` {span}" for c in names])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text")).mapInArrow(find, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(fresh(docs.columns, "_text")[0])).mapInArrow(find, schema)
 
 
 def _told(spans):

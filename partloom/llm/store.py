@@ -35,29 +35,52 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where a local session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='partloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held, held.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write `df` to the shared folder and read it back."""
+    """Cut lineage: write `df` to the shared folder and read it back.
+
+    The table is deleted by discard(), or else when the session's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held, system = _hadoop_path(spark, path)
+    system.deleteOnExit(held)
     back = spark.read.schema(df.schema).parquet(path)
     back._partloom_path = path
     return back
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of materialize() that no later read needs."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._partloom_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    path, system = _hadoop_path(spark, df._partloom_path)
+    system.delete(path, True)
     # shuffle files go once nothing on the driver refers to them
     gc.collect()
     spark._jvm.System.gc()
@@ -92,22 +115,38 @@ def ranked(df: DataFrame, group: list[str], order: list[str], spread: list[str],
     return dealt.withColumn("_within", within).join(starts, same, "left").withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_cell", "_c", "_start", "_within", *[f"_g{i}" for i in range(len(group))])
 
 
-#: Words of 64 bits in a sieve: its broadcast has this many rows at most, whatever it is built from.
-SIEVE_WORDS = 1 << 17
+#: Words of 64 bits in a sieve, at most, and bits for each of its keys.
+SIEVE_WORDS, SIEVE_BITS = 1 << 20, 16
+
+
+class Sieve:
+    """A bitmap of hashed keys: `words` rows (w, bits) at most, so its broadcast has a fixed bound; None lets all pass."""
+
+    def __init__(self, rows: DataFrame | None, words: int):
+        self.rows, self.words = rows, words
 
 
-def sieve(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap of the hashes of `key`, as at most SIEVE_WORDS rows (w, bits), for sifted()."""
-    bit = F.pmod(F.xxhash64(key), F.lit(SIEVE_WORDS * 64))
-    return materialize(keys.select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("b")).groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")), "sieve")
+def sieve(keys: DataFrame, key: str) -> Sieve:
+    """A sieve sized by the number of `keys`, for sifted(); none where they are too many for a small broadcast."""
+    n, words = keys.count(), 1 << 10
+    while words * 64 < n * SIEVE_BITS:
+        words *= 2
+    if words > SIEVE_WORDS:
+        return Sieve(None, 0)
+    bit = F.pmod(F.xxhash64(key), F.lit(words * 64))
+    marked = keys.select(F.shiftright(bit, 6).alias("w"), (bit % 64).cast("int").alias("b"))
+    return Sieve(materialize(marked.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")), "sieve"), words)
 
 
-def sifted(df: DataFrame, key: str, bitmap: DataFrame, inside: bool = True) -> DataFrame:
+def sifted(df: DataFrame, key: str, held: Sieve, inside: bool = True) -> DataFrame:
     """Rows whose key may be in the sieve, or with inside=False those whose key surely isn't.
 
-    The bitmap's broadcast has a fixed bound; beyond its capacity more rows pass,
-    so only the work of an exact join after it depends on it.
+    An exact join must follow where keys inside matter; only its work depends on
+    the sieve.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(SIEVE_WORDS * 64))
-    hit = (F.shiftright(bit, 6) == F.col("w")) & (F.expr(f"getbit(bits, cast(pmod(xxhash64({key}), {SIEVE_WORDS * 64}) % 64 as int))") == 1)
-    return df.join(F.broadcast(bitmap), hit, "left_semi" if inside else "left_anti")
+    if held.rows is None:
+        return df if inside else df.where(F.lit(False))
+    w, bits = fresh(df.columns, "w", "bits")
+    bit = F.pmod(F.xxhash64(key), F.lit(held.words * 64))
+    hit = (F.shiftright(bit, 6) == F.col(w)) & (F.getbit(F.col(bits), (bit % 64).cast("int")) == 1)
+    return df.join(F.broadcast(held.rows.toDF(w, bits)), hit, "left_semi" if inside else "left_anti")

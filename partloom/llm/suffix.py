@@ -19,6 +19,12 @@ LENGTH = 100
 GRAM = 40
 #: Bytes of one suffix array.
 SHARD_BYTES = 1 << 20
+#: Distinct surroundings of a fingerprint beyond which they don't share a shard.
+HOT_ROWS = 4_096
+#: Parts that each 100-byte string of such a fingerprint is dealt over when its earliest place is joined back.
+SALTS = 8
+#: Fingerprints that a task holds before it settles equal surroundings.
+FLUSH_ROWS = 300_000
 NO_ID = -(1 << 63)
 
 
@@ -95,24 +101,59 @@ def _induce(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, letters:
     return np.concatenate([*out, np.zeros(0, np.int32)])[::-1]
 
 
+def _induce_counting(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
+    """As _induce for any integer alphabet: places by counting buckets, one suffix after another."""
+    n = len(text)
+    ends = np.cumsum(np.bincount(text))
+    # the letter before each suffix if that is an L (or an S) letter; -1 otherwise, and for an empty place
+    before = np.full((2, n + 1), -1, np.int64)
+    before[small[:-1].astype(np.int8), np.arange(1, n)] = text[:-1]
+    low, high = before.tolist()
+    out = np.full(n, -1, np.int64)
+    by = np.argsort(text[leftmost], kind="stable")  # a bucket's leftmost ones, in order, up to its end
+    own = text[leftmost][by]
+    last = np.append(own[1:] != own[:-1], True)
+    after = np.arange(len(own)) - np.append(np.flatnonzero(last), 0)[np.cumsum(last) - last]
+    out[ends[own] + after - 1] = leftmost[by]
+    out, heads, tails = out.tolist(), np.append(0, ends[:-1]).tolist(), ends.tolist()
+    for i in out:  # grows to the right of the place read
+        c = low[i]
+        if c >= 0:
+            at = heads[c]
+            out[at] = i - 1
+            heads[c] = at + 1
+    for at in range(n - 1, -1, -1):
+        i = out[at]
+        c = high[i]
+        if c >= 0:
+            tails[c] = to = tails[c] - 1
+            out[to] = i - 1
+    return np.array(out, np.int32)
+
+
 def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
     """Starts of the suffixes of `text` in order, by induced sorting.
 
     `text` holds small non-negative integers and ends with its only 0.  With `depth`, order is only promised by the
     first `depth` letters.  Leftmost-smaller substrings are sorted by inducing,
-    named, and the string of names is sorted in turn: by the same procedure while
-    its alphabet is small, by doubling ranks once there are more names than
-    inducing by buckets is good for.
+    named, and the string of names is sorted in turn by the same procedure, at
+    every level, until all names differ (or each stands for `depth` letters).
+    Bytes are induced a bucket at a time, names with counting buckets.
     """
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int32)
     small = _types(text)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    letters = np.unique(text).tolist()
-    rough = _induce(text, small, lms, letters)
+    kinds = int(text.max()) + 1
+    if kinds <= 256:
+        letters = np.unique(text).tolist()
+        induce = lambda order: _induce(text, small, order, letters)
+    else:
+        induce = lambda order: _induce_counting(text, small, order)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
+    rough = induce(lms)
     ordered = rough[is_lms[rough]]
     if len(lms) > 1:
         ends = np.append(lms[1:] + 1, n)
@@ -125,25 +166,11 @@ def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
         line = marks[ids[ordered]]
         names = np.zeros(len(lms), np.int64)
         names[ids[ordered]] = np.concatenate([[0], np.cumsum(line[1:] != line[:-1])])
-        if names.max() + 1 < len(lms):
-            ordered = lms[_order_names(names, depth)]
-    return _induce(text, small, ordered, letters)
-
-
-def _order_names(names: np.ndarray, depth: int | None) -> np.ndarray:
-    kinds = int(names.max()) + 1
-    if kinds <= 1024 and len(names) > 4096:
-        closed = np.append(names + 1, 0)
-        return suffix_array(closed, depth)[1:]
-    rank, reach = names, 1
-    while reach < (depth or len(names)) and reach < len(names):
-        follow = np.zeros(len(rank), np.int64)
-        follow[:-reach] = rank[reach:] + 1
-        _, rank = np.unique(rank * (len(rank) + 1) + follow, return_inverse=True)
-        reach *= 2
-        if int(rank.max()) + 1 == len(rank):
-            break
-    return np.argsort(rank, kind="stable")
+        # every substring but the last has two letters of its own at least
+        left = None if depth is None else -(-depth // 2)
+        if names.max() + 1 < len(lms) and left != 1:
+            ordered = lms[suffix_array(names, left)]
+    return induce(ordered)
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -287,18 +314,20 @@ class _Local:
         return (fp[new], around[new], ids[new], starts[new], ends[new]), merged(ids[own], starts[own], ends[own])
 
 
-_ROW = "fp long, around long, doc_id long, start long, stop long, found boolean"
+#: What a row says: surroundings of a fingerprint, a stretch of repeated bytes, or a fingerprint with too many surroundings.
+HELD, FOUND, HOT = 0, 1, 2
+_ROW = "fp long, around long, doc_id long, start long, stop long, kind int"
 
 
-def _rows(fp, around, ids, starts, ends, found: bool) -> pa.RecordBatch:
+def _rows(fp, around, ids, starts, ends, kind: int) -> pa.RecordBatch:
     as_long = lambda x: pa.array(np.asarray(x).view(np.int64) if np.asarray(x).dtype == U64 else np.asarray(x, np.int64))
-    return pa.RecordBatch.from_arrays([*map(as_long, (fp, around, ids, starts, ends)), pa.array(np.full(len(ids), found))], names=["fp", "around", "doc_id", "start", "stop", "found"])
+    return pa.RecordBatch.from_arrays([*map(as_long, (fp, around, ids, starts, ends)), pa.array(np.full(len(ids), kind, np.int32))], names=["fp", "around", "doc_id", "start", "stop", "kind"])
 
 
 def _found(spans: list[tuple[int, int, int]]) -> pa.RecordBatch:
     ids, starts, ends = (np.array(c, np.int64) for c in (zip(*spans, strict=True) if spans else ([], [], [])))
     spread = mix(ids.view(U64)) if len(ids) else np.zeros(0, U64)
-    return _rows(spread, np.zeros(len(ids), np.int64), ids, starts, ends, True)
+    return _rows(spread, np.zeros(len(ids), np.int64), ids, starts, ends, FOUND)
 
 
 def _fingerprints(length: int, gram: int):
@@ -318,58 +347,73 @@ def _fingerprints(length: int, gram: int):
                     total = np.concatenate([np.zeros(1, U64), np.cumsum((data.astype(U64) + U64(1)) * powers[: len(data)])])
                     around = mix((total[b] - total[a]) * inverses[a] + (b - a).astype(U64) * U64(0xD6E8FEB86659FD93) + (at - a).astype(U64) * U64(0x9E3779B97F4A7C15))
                 held.add(fp, around, keys[first + holder], a - offsets[holder], b - offsets[holder])
-                if held.size > 300_000:
+                if held.size > FLUSH_ROWS:
                     rows, spans = held.flush()
-                    yield _rows(*rows, False)
+                    yield _rows(*rows, HELD)
                     yield _found(spans)
         if held.size:
             rows, spans = held.flush()
-            yield _rows(*rows, False)
+            yield _rows(*rows, HELD)
             yield _found(spans)
         trim()
 
     return run
 
 
-def _sift(batches):
-    """From rows sorted by (fp, around, doc_id, start): repeats of whole surroundings, and first rows of fingerprints with several.
+def _sift(limit: int):
+    """From rows sorted by (fp, around, doc_id, start): repeats of whole surroundings, first rows of fingerprints with several, and those with more than `limit`.
 
-    State is one row, whatever a fingerprint's rows.
+    State is one row and one count, whatever a fingerprint's rows.
     """
-    last = None  # fp, around, id, start, stop of the first row of the surroundings; whether it is held back
-    waiting = False
-    for batch in batches:
-        found = batch.column(5).to_numpy(zero_copy_only=False)
-        if found.any():
-            yield batch.filter(pa.array(found))
-        if found.all():
-            continue
-        cols = [batch.column(i).to_numpy()[~found] for i in range(5)]
-        if last is not None:
-            cols = [np.concatenate([[v], c]) for v, c in zip(last, cols, strict=True)]
-        fp, around, ids, starts, ends = cols
-        new_fp = np.ones(len(fp), bool)
-        new_fp[1:] = fp[1:] != fp[:-1]
-        new = new_fp.copy()
-        new[1:] |= around[1:] != around[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
-        late = (ids != ids[head]) | (starts != starts[head])
-        if late.any():
-            own = np.flatnonzero(late)
-            own = own[np.lexsort((starts[own], ids[own]))]
-            yield _found(merged(ids[own], starts[own], ends[own]))
-        firsts = np.flatnonzero(new)
-        group = np.cumsum(new_fp)[firsts]
-        several = np.bincount(group)[group] > 1
-        if last is not None and not waiting:  # the row before was sent, so its fingerprint has several
-            several[group == group[0]] = True
-            several[0] = False
-        send = firsts[several]
-        if len(send):
-            yield _rows(fp[send], around[send], ids[send], starts[send], ends[send], False)
-        tail = firsts[-1]
-        waiting = not several[-1] if not (last is not None and not waiting and len(firsts) == 1) else False
-        last = [c[tail] for c in cols]
+
+    def run(batches):
+        last = None  # fp, around, id, start, stop of the first row of the surroundings
+        waiting, seen = False, 0  # whether that row is held back; distinct surroundings of its fingerprint so far
+        for batch in batches:
+            found = batch.column(5).to_numpy() == FOUND
+            if found.any():
+                yield batch.filter(pa.array(found))
+            if found.all():
+                continue
+            cols = [batch.column(i).to_numpy()[~found] for i in range(5)]
+            if last is not None:
+                cols = [np.concatenate([[v], c]) for v, c in zip(last, cols, strict=True)]
+            fp, around, ids, starts, ends = cols
+            new_fp = np.ones(len(fp), bool)
+            new_fp[1:] = fp[1:] != fp[:-1]
+            new = new_fp.copy()
+            new[1:] |= around[1:] != around[:-1]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(fp)), 0))
+            late = (ids != ids[head]) | (starts != starts[head])
+            if late.any():
+                own = np.flatnonzero(late)
+                own = own[np.lexsort((starts[own], ids[own]))]
+                yield _found(merged(ids[own], starts[own], ends[own]))
+            firsts = np.flatnonzero(new)
+            group = np.cumsum(new_fp)[firsts] - 1
+            total = np.bincount(group)
+            several = total[group] > 1
+            if last is not None:
+                before = seen
+                total[0] += seen - 1
+            else:
+                before = 0
+            if last is not None and not waiting:  # the row before was sent, so its fingerprint has several
+                several[group == 0] = True
+                several[0] = False
+            send = firsts[several]
+            if len(send):
+                yield _rows(fp[send], around[send], ids[send], starts[send], ends[send], HELD)
+            over = total > limit
+            over[0] &= before <= limit
+            if over.any():
+                hot = fp[new_fp][over]
+                yield _rows(hot, hot, hot, hot, hot, HOT)
+            tail = firsts[-1]
+            waiting = not several[-1] if not (last is not None and not waiting and len(firsts) == 1) else False
+            last, seen = [c[tail] for c in cols], int(total[-1])
+
+    return run
 
 
 def _shards(length: int, limit: int):
@@ -394,7 +438,51 @@ def _shards(length: int, limit: int):
     return run
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _windows(length: int):
+    """From (doc_id, text, cuts): two hashes, document and start of every string of `length` in the cuts."""
+
+    def run(batches):
+        for batch in batches:
+            ids, at, parts = [], [], []
+            for i, text, cuts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                if not len(raw):
+                    continue
+                spans = merged(np.zeros(len(cuts), np.int64), *(np.array(c) for c in zip(*sorted((c["start"], c["stop"]) for c in cuts), strict=True)))
+                for _, a, b in spans:
+                    piece, n = raw[a:b].astype(U64), b - a - length + 1
+                    powers, inverses = _tables(len(piece))
+                    with np.errstate(over="ignore"):
+                        keys = []
+                        for letters in (piece + U64(1), mix(piece + U64(0x51))):
+                            total = np.concatenate([np.zeros(1, U64), np.cumsum(letters * powers[: len(piece)])])
+                            keys.append(mix((total[length:] - total[:n]) * inverses[:n]))
+                    parts.append(keys)
+                    ids.append(np.full(n, i, np.int64))
+                    at.append(np.arange(a, a + n))
+            if ids:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate([p[k] for p in parts]).view(np.int64)) for k in (0, 1)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at))], names=["k1", "k2", "doc_id", "start"])
+        trim()
+
+    return run
+
+
+def _hot_repeats(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, stop) of later strings of `length` in the surroundings `rows` of hot fingerprints.
+
+    Each string is a key of its own: its earliest place is the least by a
+    combining aggregate, and comes back to the others in SALTS parts.
+    """
+    cuts = materialize(rows.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("cuts")), "hot")
+    strings = materialize(sifted_by(docs, "doc_id", sieve(cuts, "doc_id")).join(cuts, "doc_id").select("doc_id", "text", "cuts").mapInArrow(_windows(length), "k1 long, k2 long, doc_id long, start long"), "strings")
+    firsts = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = firsts.select("k1", "k2", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = strings.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    late = dealt.join(firsts, ["k1", "k2", "salt"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
+    return late.select("doc_id", "start", (F.col("start") + length).alias("stop"))
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Stretches (doc_id, start, stop) of bytes covered by a string of `length` bytes that starts earlier.
 
     `docs` has doc_id (never null) and text.  Every such string picks one of its
@@ -402,12 +490,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
     that fingerprint.  Where the surroundings that any such string can reach are
     equal, all but the earliest are repeats as a whole.  Distinct surroundings of
     a fingerprint come together in one shard, whose suffix array and permuted
-    common prefixes show the repeats.
+    common prefixes show the repeats; those of a fingerprint with more than
+    `hot_rows` of them are spread by their strings instead.
     """
     spark = docs.sparkSession
     marked = docs.mapInArrow(_fingerprints(length, gram), _ROW)
-    sifted = materialize(marked.repartition("fp").sortWithinPartitions("fp", "around", "doc_id", "start").mapInArrow(_sift, _ROW), "sifted")
-    wanted = sifted.where("NOT found").groupBy("doc_id").agg(F.collect_list(F.struct("fp", "start", "stop")).alias("cuts"))
+    sifted = materialize(marked.repartition("fp").sortWithinPartitions("fp", "around", "doc_id", "start").mapInArrow(_sift(hot_rows), _ROW), "sifted")
+    columns = ["doc_id", "start", "stop"]
+    found, held = sifted.where(F.col("kind") == FOUND).select(*columns), sifted.where(F.col("kind") == HELD)
+    hot = sifted.where(F.col("kind") == HOT).select("fp")
+    if not hot.isEmpty():
+        hot = hot.distinct()
+        found = found.unionByName(_hot_repeats(docs, held.join(hot, "fp", "left_semi"), length))
+        held = held.join(hot, "fp", "left_anti")
+    wanted = held.groupBy("doc_id").agg(F.collect_list(F.struct("fp", "start", "stop")).alias("cuts"))
 
     def cut(batches):
         for batch in batches:
@@ -419,20 +515,21 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 4, kinds, strict=True)], names=["fp", "doc_id", "start", "body"])
 
     wanted = materialize(wanted, "cuts")
-    bodies = sifted_by(docs, "doc_id", sieve(wanted, "doc_id")).join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cuts").mapInArrow(cut, "fp long, doc_id long, start long, body binary")
+    bodies = sifted_by(docs, "doc_id", sieve(wanted, "doc_id")).join(wanted, "doc_id").select("doc_id", "text", "cuts").mapInArrow(cut, "fp long, doc_id long, start long, body binary")
     sorted_out = bodies.repartition("fp").sortWithinPartitions("fp").mapInArrow(_shards(length, shard_bytes), _ROW)
-    columns = ["doc_id", "start", "stop"]
-    return sifted.where("found").select(*columns).unionByName(sorted_out.select(*columns))
+    return found.unionByName(sorted_out.select(*columns))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document without its repeated strings.
 
-    A null text is empty, and what is left of it has the digest of nothing.  A
-    null doc_id comes before all others and is one document; rows that share an id
-    share their places, so copies under one id don't remove each other.  An empty
-    table gives no rows; other columns are not read.  `keep_text` adds what is
-    left as `kept` bytes.
+    A null text is empty, and what is left of it has the digest of nothing; long
+    texts are read whole.  A null doc_id comes before all others and is one
+    document; rows that share an id share their places, so copies under one id
+    don't remove each other, and of different texts under one id each loses what
+    the id loses at its places.  Of equal strings the one of the least (doc_id,
+    start) stays.  An empty table gives no rows; other columns are not read.
+    `keep_text` adds what is left as `kept` bytes.
     """
     ship(docs.sparkSession)
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).alias("text"))
@@ -462,7 +559,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kee
 
     bitmap = sieve(spans, "doc_id")
     whole = sifted_by(docs, "doc_id", bitmap, False).withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    cut = sifted_by(docs, "doc_id", bitmap).join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
+    cut = sifted_by(docs, "doc_id", bitmap).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
     return whole.unionByName(cut).mapInArrow(strip, schema)
 
 

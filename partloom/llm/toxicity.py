@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U64, WORD_BYTES, blocks, mix, trim, word_hashes, word_spans
-from .store import ship, table
+from .store import fresh, ship, table
 
 #: Labelled rows that training reads at most, chosen by a hash of their id.
 TRAIN_ROWS = 8_000
@@ -283,7 +283,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in kept] + [f"`{names[0]}` double", f"`{names[1]}` int"])
-    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col("text").alias(fresh(docs.columns, "_text")[0])).mapInArrow(apply, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
