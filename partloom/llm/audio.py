@@ -135,10 +135,32 @@ def payload_of(text: str | bytes | None, unit: int = UNIT) -> bytes:
     return raw + b" " * (max(unit, -(-len(raw) // unit) * unit) - len(raw))
 
 
+def pcm_file(rate: int, samples: np.ndarray) -> bytes:
+    """The 16-bit PCM wave file of samples at twice their rate."""
+    return write_wave(double_rate(samples).astype("<i2").tobytes(), PCM, 2 * rate, 2, 16)
+
+
 def resampled(media: bytes) -> bytes:
     """The 16-bit PCM wave file at twice the rate of a wave file."""
-    rate, samples = decode(media)
-    return write_wave(double_rate(samples).astype("<i2").tobytes(), PCM, 2 * rate, 2, 16)
+    return pcm_file(*decode(media))
+
+
+def decode_all(files: list[bytes]) -> list[tuple[int, np.ndarray]]:
+    """decode() of every file; the ADPCM blocks of all files of a block size are decoded at once."""
+    out: list = [None] * len(files)
+    held: dict[int, list] = {}
+    for i, media in enumerate(files):
+        tag, rate, align, data = read_wave(media)
+        if tag == IMA_ADPCM:
+            held.setdefault(align, []).append((i, rate, data[: len(data) // align * align]))
+        else:
+            out[i] = decode(media)
+    for align, group in held.items():
+        samples = decode_ima(b"".join(data for *_, data in group), align)
+        cuts = np.cumsum([len(data) // align * ((align - 4) * 2 + 1) for *_, data in group])
+        for (i, rate, _), own in zip(group, np.split(samples, cuts[:-1]), strict=True):
+            out[i] = rate, own
+    return out
 
 
 def feature(pcm: bytes) -> str:
@@ -149,29 +171,59 @@ def feature(pcm: bytes) -> str:
     return f"rate={rate};samples={len(wide)};rms={math.isqrt(int(wide @ wide) // len(wide))};peak={np.abs(wide).max()};crossings={crossings}"
 
 
-def media_digests(docs: DataFrame, tag: int = MU_LAW, keep_media: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+#: Data bytes of an ADPCM block that stores a payload, behind its header of 4.
+BLOCK = 192
+
+
+def store_payload(payload: bytes, tag: int) -> bytes:
+    """A wave file that holds the payload bit for bit: as companded samples, or as the nibbles of ADPCM blocks.
+
+    Every ADPCM block starts at sample 0 and step index 0.
+    """
+    if tag != IMA_ADPCM:
+        return write_wave(payload, tag)
+    blocks_ = np.zeros((len(payload) // BLOCK, BLOCK + 4), np.uint8)
+    blocks_[:, 4:] = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK)
+    return write_wave(blocks_.tobytes(), tag, align=BLOCK + 4)
+
+
+def read_payload(media: bytes) -> bytes:
+    """What store_payload() stored."""
+    tag, _, align, data = read_wave(media)
+    return data if tag != IMA_ADPCM else np.frombuffer(data, np.uint8).reshape(-1, align)[:, 4:].tobytes()
+
+
+#: Codecs among which a payload's checksum chooses.
+CODECS = (MU_LAW, A_LAW, IMA_ADPCM)
+
+
+def codec_of(payload: bytes) -> int:
+    return CODECS[zlib.crc32(payload) % len(CODECS)]
+
+
+def media_digests(docs: DataFrame, tag: int | None = None, keep_media: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Store every text as the codes of a telephony wave file, read it back, resample and describe it.
 
     The payload is the UTF-8 text and blanks up to a positive multiple of 192
-    bytes; a null text counts as empty (192 blanks).  `tag` is mu-law, A-law or
-    IMA ADPCM, whose blocks have 192 bytes.  The stored file's bytes are read
-    again, decoded and stored as 16-bit PCM at twice the rate, which the feature
-    describes.  Equal texts give equal values, repeated rows a row each, a null
-    doc_id stays null, an empty table no rows.  `keep_media` adds the file itself
-    as `media` and the PCM file as `pcm`.
+    bytes; a null text counts as empty (192 blanks), a long one is stored whole.
+    `tag` is mu-law, A-law or IMA ADPCM for all of them; by default the payload's
+    checksum chooses one, so all three decoders run.  The stored file's bytes are
+    read again, decoded and stored as 16-bit PCM at twice the rate, which the
+    feature describes.  Equal texts give equal values, repeated rows a row each, a
+    null doc_id stays null, an empty table no rows; other columns are not read.
+    `keep_media` adds the file itself as `media` and the PCM file as `pcm`.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * keep_media
-    align = UNIT if tag == IMA_ADPCM else 1
-
     def describe(batches):
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column(1)):
                 raw, rows = data.tobytes(), []
-                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    stored = write_wave(payload_of(raw[a:b]), tag, align=align)
-                    back, pcm = read_wave(stored)[3], resampled(stored)
-                    rows.append([b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pcm), *[stored, pcm] * keep_media])
+                payloads = [payload_of(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                files = [store_payload(p, codec_of(p) if tag is None else tag) for p in payloads]
+                for n, stored, heard in zip(np.diff(offsets).tolist(), files, decode_all(files), strict=True):
+                    back, pcm = read_payload(stored), pcm_file(*heard)
+                    rows.append([n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pcm), *[stored, pcm] * keep_media])
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
                 names = [c.split()[0] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)

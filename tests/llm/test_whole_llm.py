@@ -11,9 +11,9 @@ def test_media_is_stored_as_pcm_of_twice_the_rate(spark, tag):
     texts = {1: None, 2: "", 3: "a" * 192, 4: "Some text \u00e9 of more than one block. " * 40}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     for r in audio.media_digests(docs, tag, keep_media=True).collect():
-        kind, rate, _, data = audio.read_wave(bytes(r.media))
-        assert (kind, data) == (tag, audio.payload_of(texts[r.doc_id]))
-        want = audio.double_rate(audio.decode_ima(data, audio.UNIT) if tag == audio.IMA_ADPCM else audio.TABLES[tag][np.frombuffer(data, np.uint8)])
+        kind, rate, align, data = audio.read_wave(bytes(r.media))
+        assert (kind, audio.read_payload(bytes(r.media))) == (tag, audio.payload_of(texts[r.doc_id]))
+        want = audio.double_rate(audio.decode_ima(data, align) if tag == audio.IMA_ADPCM else audio.TABLES[tag][np.frombuffer(data, np.uint8)])
         assert audio.read_wave(bytes(r.pcm))[:3] == (audio.PCM, 2 * rate, 2)
         assert audio.decode(bytes(r.pcm))[1].tolist() == want.tolist()
         told, wide = dict(x.split("=") for x in r.feature.split(";")), want.astype(np.int64)
