@@ -297,11 +297,12 @@ def test_media(spark, docs, texts, odd, empty):
     got = by_id(audio.media_digests(docs, keep_media=True))
     for i, t in texts.items():
         g, payload = got[i], audio.payload_of(t)
-        assert audio.read_wave(bytes(g.media))[3] == payload and len(payload) % 192 == 0
+        assert audio.read_payload(bytes(g.media)) == payload and len(payload) % 192 == 0
         assert (g.payload_sha256, g.tail_crc32, g.media_sha256, g.n_bytes) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), hashlib.sha256(bytes(g.media)).hexdigest(), len(t.encode()))
         pcm = audio.double_rate(audio.decode(bytes(g.media))[1]).astype(np.int64)
         feature = dict(x.split("=") for x in g.feature.split(";"))
         assert int(feature["samples"]) == len(pcm) and int(feature["peak"]) == np.abs(pcm).max() and int(feature["crossings"]) == ((pcm[1:] < 0) != (pcm[:-1] < 0)).sum()
+    assert {audio.read_wave(bytes(g.media))[0] for g in got.values()} == set(audio.CODECS)
     rows = audio.media_digests(odd).collect()
     assert len(rows) == len(ODD) and all(r.payload_bytes == 192 for r in rows if r.doc_id in (1, 2))
     assert audio.media_digests(empty).count() == 0
@@ -551,13 +552,47 @@ def test_bucket_counts_are_exact(spark, docs, texts):
     assert np.allclose(got, np.log(aim / aim.sum()) - np.log(raw / raw.sum()))
 
 
-def test_kth_largest(spark):
+def test_band_floors(spark):
     r = random.Random(1)
-    for values in ([r.gauss(0, 50) for _ in range(300)], [1.0] * 20, [0.0, 0.0, 1e-300, 5.0, 5.0]):
-        df = spark.createDataFrame([(v,) for v in values], "x double")
-        for k in (1, 2, len(values) // 2, len(values)):
-            assert quality.kth_largest(df, "x", k) == sorted(values, reverse=True)[k - 1]
-    assert quality.kth_largest(df, "x", 0) is None
+    groups = [[r.gauss(0, 50) for _ in range(300)], [1.0] * 20, [0.0, 0.0, 1e-300, 5.0, 5.0], [-1e300, 3.0, 3.0, 4.0, 1e300]]
+    df = spark.createDataFrame([(b, v) for b, values in enumerate(groups) for v in values], "band int, gumbel_key double").cache()
+    for share in (0.01, 0.5, 0.8, 1.0):
+        ks = {b: max(1, round(len(v) * share)) for b, v in enumerate(groups)}
+        got = quality.band_floors(df, spark.createDataFrame(list(ks.items()), "band int, k long"))
+        assert {x.band: x.floor for x in got.collect()} == {b: sorted(v, reverse=True)[ks[b] - 1] for b, v in enumerate(groups)}
+
+
+def test_the_sample_is_what_brute_force_draws(spark, docs, texts):
+    """Weights, noise and the k-th key of every band, one document at a time; short texts have no better chance than long ones."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows = {r.doc_id: r for r in quality.resample(docs, labels).collect()}
+    marks = labels.collect()
+    good = {r.doc_id for r in marks if r.quality == 1}
+    share = len(good) / len(marks)
+    of = {i: quality.grams(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), quality.BUCKETS)[1] for i, t in texts.items()}
+    raw, aim = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    for i, b in of.items():
+        np.add.at(raw, b, 1)
+        if i in good:
+            np.add.at(aim, b, 1)
+    ratio = np.log(aim / aim.sum()) - np.log(raw / raw.sum())
+    luck = {r.doc_id: r.luck for r in docs.selectExpr("doc_id", "(pmod(xxhash64(doc_id, 0), 4503599627370495) + 1) / 4503599627370496.0D AS luck").collect()}
+    keys = {i: float(ratio[b].sum()) - float(np.log(-np.log(luck[i]))) for i, b in of.items()}
+    bands: dict = {}
+    for i, b in of.items():
+        bands.setdefault(int(np.ceil(np.log2(len(b) + 1))), []).append(i)
+    want, seen, before = set(), 0, 0
+    for band in sorted(bands):
+        seen += len(bands[band])
+        k = int(np.floor(seen * share + 0.5)) - before
+        before += k
+        if k:
+            floor = sorted((keys[i] for i in bands[band]), reverse=True)[k - 1]
+            want |= {i for i in bands[band] if keys[i] >= floor - 1e-6}
+    assert set(rows) == want
+    for band, held in bands.items():
+        kept = sum(i in rows for i in held)
+        assert abs(kept - share * len(held)) <= 2, band
 
 
 # all
