@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import connected_components
-from .kernel import BLANK_SPLIT, U64, blocks, mix, shingles, trim, word_hashes, word_spans
-from .store import discard, materialize, ship, sieve, sifted, table
+from .kernel import BLANK_SPLIT, U64, Summary, blocks, mix, shingles, trim, word_hashes, word_spans
+from .store import discard, materialize, most_counted, ship, sieve, sifted, table
 
 #: Words and shingles whose corpus counts shape the first order, at most; the rest count as rare.
 LISTED = {"word": 65_536, "gram": 262_144}
-_HELD = 1_000_000
 #: Bits of a set's parity bitmap.
 MARK_BITS = 1024
 
@@ -27,33 +26,11 @@ def document_sets(column: pa.Array, n: int):
         yield first, end, words, at, h, np.searchsorted(own, np.arange(end - first + 1))
 
 
-class _Summary:
-    """Bounded counts of 64-bit keys: the rarest are forgotten when too many are held."""
-
-    def __init__(self):
-        self.keys, self.counts, self.new, self.size = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
-
-    def add(self, keys: np.ndarray) -> None:
-        self.new.append(keys)
-        self.size += len(keys)
-        if self.size > _HELD:
-            self.fold()
-
-    def fold(self) -> None:
-        keys, counts = np.unique(np.concatenate([*self.new, np.zeros(0, U64)]), return_counts=True)
-        keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        counts = np.bincount(at, weights=np.concatenate([self.counts, counts]), minlength=len(keys)).astype(np.int64)
-        least = 1
-        while (counts >= least).sum() > _HELD // 4:
-            least += 1
-        self.keys, self.counts, self.new, self.size = keys[counts >= least], counts[counts >= least], [], 0
-
-
 def listed(docs: DataFrame, n: int) -> dict[str, np.ndarray]:
     """The corpus's most frequent words and shingles with their counts, over every text."""
 
     def count(batches):
-        words, grams = _Summary(), _Summary()
+        words, grams = Summary(), Summary()
         for batch in batches:
             for _, _, w, _, h, _ in document_sets(batch.column(0), n):
                 words.add(w)
@@ -67,7 +44,7 @@ def listed(docs: DataFrame, n: int) -> dict[str, np.ndarray]:
     counted = materialize(docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "listed")
     out = {}
     for kind, name in enumerate(("word", "gram")):
-        top = counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(LISTED[name]).select("key", "n").toPandas()
+        top = most_counted(counted.where(F.col("kind") == kind).select("key", "n"), LISTED[name]).toPandas()
         keys, counts = top["key"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64)
         by = np.argsort(keys)
         out[name], out[f"{name}_n"] = keys[by], counts[by]

@@ -144,3 +144,29 @@ def shingles(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
             by = np.argsort(own, kind="stable")
             h, own = h[by], own[by]
     return h, own
+
+
+#: Keys that a summary holds at once.
+SUMMARY_KEYS = 1_000_000
+
+
+class Summary:
+    """Bounded counts of 64-bit keys: the rarest are forgotten when too many are held."""
+
+    def __init__(self):
+        self.keys, self.counts, self.new, self.size = np.zeros(0, U64), np.zeros(0, np.int64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(keys)
+        self.size += len(keys)
+        if self.size > SUMMARY_KEYS:
+            self.fold()
+
+    def fold(self) -> None:
+        keys, counts = np.unique(np.concatenate([*self.new, np.zeros(0, U64)]), return_counts=True)
+        keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([self.counts, counts]), minlength=len(keys)).astype(np.int64)
+        least = 1
+        while (counts >= least).sum() > SUMMARY_KEYS // 4:
+            least += 1
+        self.keys, self.counts, self.new, self.size = keys[counts >= least], counts[counts >= least], [], 0

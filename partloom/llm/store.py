@@ -115,6 +115,27 @@ def ranked(df: DataFrame, group: list[str], order: list[str], spread: list[str],
     return dealt.withColumn("_within", within).join(starts, same, "left").withColumn(out, (F.col("_start") + F.col("_within")).cast("long")).drop("_cell", "_c", "_start", "_within", *[f"_g{i}" for i in range(len(group))])
 
 
+def most_counted(counted: DataFrame, most: int, n: str = "n", key: str = "key") -> DataFrame:
+    """Rows of the highest counts `n`, about `most` of them, without sorting or a top list of every task.
+
+    A histogram of counts gives the bound; of the counts at the bound, which are
+    alike to within a sixteenth of a power of two, a hash of `key` takes a share.
+    """
+    bin_ = F.floor(F.log2(F.col(n)) * 16).cast("int")
+    bins = sorted(((r.b, r.c) for r in counted.groupBy(bin_.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    room, low, share = most, None, 1.0
+    for b, c in bins:
+        low = b
+        if c > room:
+            share = room / c
+            break
+        room -= c
+    if low is None:
+        return counted
+    lucky = F.pmod(F.xxhash64(F.lit(77), F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return counted.where((bin_ > low) | ((bin_ == low) & lucky))
+
+
 #: Words of 64 bits in a sieve, at most, and bits for each of its keys.
 SIEVE_WORDS, SIEVE_BITS = 1 << 20, 16
 

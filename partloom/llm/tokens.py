@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import RELEASED
-from .store import ship, table
+from .kernel import RELEASED, Summary, trim
+from .pretokens import Cutter, Lengths, classes
+from .store import discard, materialize, most_counted, ship, table
 
-#: Pieces in the broadcast table, and in each of the two generations that a worker keeps beside it.
+#: Pre-tokens in the broadcast table, and entries of each of the two generations that a worker keeps beside it.
 FREQUENT = 65_536
 CACHE = 600_000
-#: Pieces that one partition counts at once before it forgets the rarest.
-COUNTED = 300_000
+#: Pre-tokens that one partition has the text of at once, and characters of one at most.
+COUNTED, LONGEST = 300_000, 64
+_BEYOND = re.compile("[\ud800-\udfff\U00010000-\U0010ffff]")
 _UNSAFE = re.compile(" (?=[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]|\\Z)")
 _ODD = re.compile("[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]")
 
@@ -53,8 +54,8 @@ class Encoder:
     any other file has its texts encoded whole.
     """
 
-    def __init__(self, path: str, counts: dict[str, int] | None = None, cache: int = CACHE):
-        self.size, self.first, self.rest, self.older, self.frequent = cache, {}, {}, {}, counts or {}
+    def __init__(self, path: str, cache: int = CACHE):
+        self.size, self.first, self.rest, self.older, self.counter = cache, {}, {}, {}, None
         self.special: dict[str, int] = {}
         self.kind = "piece"
         if path.endswith(".model"):
@@ -84,8 +85,8 @@ class Encoder:
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         return [np.array(x.ids, np.uint32) for x in encode(texts, add_special_tokens=False)]
 
-    def _fill(self, heads: set[str], tails: set[str], as_bytes: bool) -> None:
-        """Have the ids, or their number, of first pieces and of others that no tier holds."""
+    def _fill(self, heads: set[str], tails: set[str]) -> None:
+        """Have the ids of first pieces and of others that the caches don't hold."""
         if len(self.rest) > self.size:
             self.older, self.rest = self.rest, {}
         if len(self.first) > self.size // 2:
@@ -100,31 +101,28 @@ class Encoder:
                 made.append((p, m[1], bare))
                 missing.discard(p)
                 heads.update(bare)
-                if m[1] not in self.frequent and m[1] not in self.rest:
+                if m[1] not in self.rest:
                     if m[1] in self.older:
                         self.rest[m[1]] = self.older[m[1]]
                     else:
                         missing.add(m[1])
         lack = list(heads.difference(self.first))
         found = self._ids(lack) if lack else []
-        self.first.update(zip(lack, (x.astype("<u4").tobytes() for x in found) if as_bytes else map(len, found), strict=True))
+        self.first.update(zip(lack, (x.astype("<u4").tobytes() for x in found), strict=True))
         lack = list(missing)
         for at in range(0, len(lack), 8192):
             some = lack[at : at + 8192]
-            self.rest.update(zip(some, self._joined(some, as_bytes), strict=True))
-        first, rest, frequent = self.first, self.rest, self.frequent
+            self.rest.update(zip(some, self._joined(some), strict=True))
+        first, rest = self.first, self.rest
         for p, word, bare in made:
-            start = frequent[word] if word in frequent else rest[word]
-            rest[p] = start + (first[bare[0]] if len(bare) == 1 else b"".join([first[x] for x in bare]) if as_bytes else sum([first[x] for x in bare]))
+            rest[p] = rest[word] + (first[bare[0]] if len(bare) == 1 else b"".join([first[x] for x in bare]))
 
-    def _joined(self, pieces: list[str], as_bytes: bool) -> list:
-        """Ids, or their number, of pieces with their blank, from one call: tokens' byte widths tell the pieces apart."""
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces with their blank, from one call: tokens' byte widths tell the pieces apart."""
         joined = " " + " ".join(pieces)
         ids = self._ids([joined])[0]
         ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
         cuts = np.concatenate([[0], np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1])
-        if not as_bytes:
-            return np.diff(cuts).tolist()
         raw, at = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
@@ -136,15 +134,10 @@ class Encoder:
 
     def _look(self, pieces: list[str]) -> tuple[list, list[int]]:
         """What the tiers hold of pieces, and the places of those that none holds; the first piece is not looked up."""
-        values = list(map((self.frequent or self.rest).get, pieces))
-        lack = [i for i, v in enumerate(values) if v is None]
-        if self.frequent and lack:
-            for i in lack:
-                values[i] = self.rest.get(pieces[i])
-            lack = [i for i in lack if values[i] is None]
-        return values, lack
+        values = list(map(self.rest.get, pieces))
+        return values, [i for i, v in enumerate(values) if v is None]
 
-    def _run(self, texts: list[str], as_bytes: bool) -> list[tuple[list[list], list[int]]]:
+    def _run(self, texts: list[str]) -> list[tuple[list[list], list[int]]]:
         """For each text what its stretches' pieces hold, and its specials' ids.
 
         Stretches are cut at every blank first; where that makes a piece that is
@@ -172,7 +165,7 @@ class Encoder:
                     f[1][:] = values
                     heads.add(f[0][0])
                     missing.update([f[0][i] for i in f[2] if i])
-        self._fill(heads, missing, as_bytes)
+        self._fill(heads, missing)
         for pieces, values, lack in found:
             for i in lack:
                 if i:
@@ -181,16 +174,14 @@ class Encoder:
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        if self.kind != "piece":
-            return [len(x) for x in self._ids(texts)]
-        return [len(special) + sum(map(sum, held)) for held, special in self._run(texts, False)]
+        return [len(x) for x in self._ids(texts)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if self.kind != "piece":
             return [x.astype("<u4").tobytes() for x in self._ids(texts)]
         out = []
-        for held, special in self._run(texts, True):
+        for held, special in self._run(texts):
             parts = [b"".join(held[0])]
             for i, values in zip(special, held[1:], strict=True):
                 parts += [np.array([i], "<u4").tobytes(), *values]
@@ -202,11 +193,10 @@ _held: dict[tuple[str, str], Encoder] = {}
 RELEASED.append(_held.clear)
 
 
-def worker_encoder(path: str, use: str, counts: dict[str, int] | None = None) -> Encoder:
+def worker_encoder(path: str, use: str) -> Encoder:
     """This worker process's encoder for a file and a use; its cache serves later tasks too."""
     if (path, use) not in _held:
         _held[path, use] = Encoder(path)
-    _held[path, use].frequent = counts or {}
     return _held[path, use]
 
 
@@ -223,60 +213,131 @@ def text_runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[i
         yield at, run
 
 
-def frequent_pieces(docs: DataFrame, text: str = "text", most: int = FREQUENT) -> list[str]:
-    """The corpus's most frequent pieces, counted over every text.
+def frequent_pieces(docs: DataFrame, kinds: np.ndarray, text: str = "text", most: int = FREQUENT) -> list[str]:
+    """The corpus's most frequent pre-tokens, about `most`, counted over every text.
 
-    Each partition keeps a bounded summary (it forgets its rarest pieces when
-    too many are held) and sends pieces of at least a 2**-17 share; the summed
-    summaries' top `most` come to the driver.
+    Each partition keeps a bounded summary of hashed pre-tokens (it forgets the
+    rarest when too many are held) and sends those of at least a 2**-17 share
+    that it has seen twice in a run of texts, of at most LONGEST characters.
     """
 
     def summary(batches):
-        held: Counter = Counter()
-        total = floor = 0
+        cut, held, names = Cutter(kinds), Summary(), {}
         for batch in batches:
             for _, run in text_runs(batch.column(0).to_pylist()):
-                for t in run:
-                    parts = pieces_of(t)[1:]
-                    held.update(parts)
-                    total += len(parts)
-                while len(held) > COUNTED:
-                    floor += 1
-                    held = Counter({k: v for k, v in held.items() if v > floor})
-        least = max(2, total >> 17)
-        kept = [(k, v) for k, v in held.items() if v >= least]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([v for _, v in kept], pa.int64())], names=["piece", "n"])
-
-    counted = docs.select(F.col(text)).mapInArrow(summary, "piece string, n long")
-    top = counted.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    return [r.piece for r in top.select("piece").collect()]
+                joined, starts, ends, _, h = cut([t for t in run if within_plane(t)])
+                held.add(h)
+                own, at, n = np.unique(h, return_index=True, return_counts=True)
+                at = at[(n > 1) & (ends[at] - starts[at] <= LONGEST)]
+                for x, a, b in zip(h[at].tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
+                    if x not in names:
+                        names[x] = joined[a:b]
+                if len(names) > COUNTED:
+                    held.fold()
+                    alive = set(held.keys.tolist())
+                    names = {x: p for x, p in names.items() if x in alive}
+        held.fold()
+        least = max(2, int(held.counts.sum()) >> 17)
+        kept = [(names[x], n) for x, n in zip(held.keys[held.counts >= least].tolist(), held.counts[held.counts >= least].tolist(), strict=True) if x in names]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["piece", "n"])
+        trim()
+
+    counted = materialize(docs.select(F.col(text)).mapInArrow(summary, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    top = sorted(r.piece for r in most_counted(counted, most, key="piece").select("piece").collect())
+    discard(counted)
+    return top
+
+
+def within_plane(text: str) -> bool:
+    return text.isascii() or _BEYOND.search(text) is None
+
+
+class Counter:
+    """Token counts of texts: the broadcast table first, then this worker's bounded cache, which encodes what it lacks."""
+
+    def __init__(self, encoder: Encoder, kinds: np.ndarray, size: int = CACHE):
+        self.encoder, self.cut, self.size = encoder, Cutter(kinds), size
+        self.held: dict[int, int] = {}
+        self.older: dict[int, int] = {}
+
+    def lengths(self, pieces: list[str]) -> list[int]:
+        """Tokens of pre-tokens, from one call."""
+        if not pieces:
+            return []
+        words = np.array(self.encoder.model.encode(pieces, is_pretokenized=True, add_special_tokens=False).word_ids, np.int64)
+        return np.bincount(words, minlength=len(pieces)).tolist()
+
+    def _encode(self, joined: str, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Counts for distinct hashes that the table lacks."""
+        if len(self.held) > self.size:
+            self.older, self.held = self.held, {}
+        keys, held, older = h.tolist(), self.held, self.older
+        lack = []
+        for i, x in enumerate(keys):
+            if x not in held:
+                if x in older:
+                    held[x] = older[x]
+                else:
+                    lack.append(i)
+        for at in range(0, len(lack), 4096):
+            some = lack[at : at + 4096]
+            found = self.lengths([joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            held.update(zip([keys[i] for i in some], found, strict=True))
+        return np.array([held[x] for x in keys], np.int64)
+
+    def counts(self, texts: list[str], table: Lengths) -> list[int]:
+        out = np.zeros(len(texts), np.int64)
+        special = self.encoder.cut
+        plain = [i for i, t in enumerate(texts) if within_plane(t) and not (special and special.search(t))]
+        if len(plain) < len(texts):
+            rest = sorted(set(range(len(texts))).difference(plain))
+            out[rest] = [len(x) for x in self.encoder._ids([texts[i] for i in rest])]
+        joined, starts, ends, first, h = self.cut([texts[i] for i in plain])
+        n, missing = table.find(h)
+        if missing.any():
+            own, at, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            places = np.flatnonzero(missing)[at]
+            n[missing] = self._encode(joined, own, starts[places], ends[places])[back]
+        total = np.concatenate([[0], np.cumsum(n)])
+        out[plain] = total[first[1:]] - total[first[:-1]]
+        return out.tolist()
 
 
 def token_counts(docs: DataFrame, path: str, over: int = 512, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """Bytes and tokens of every whole text: (doc_id, n_bytes, n_tokens, over_limit).
 
     Tier one is a broadcast table of the lengths of the corpus's `frequent` most
-    frequent pre-tokens; tier two encodes what it misses and keeps the lengths
-    in the worker's bounded cache.  No pre-token is shuffled.  A null text counts
-    as empty: 0 bytes, 0 tokens.  A null doc_id is kept, repeated rows each give
-    a row, an empty table gives no rows, and other columns are not read.
+    frequent pre-tokens, of 10 bytes each; tier two encodes what it misses and
+    keeps the lengths in the worker's cache, a bounded number of hashes whatever
+    the pre-tokens' sizes.  No pre-token is shuffled.  Texts with special strings
+    or characters beyond the first plane, and all texts of files that aren't
+    byte-level BPE, are encoded whole.  A null text counts as empty: 0 bytes, 0
+    tokens; a long one is read whole.  A null doc_id is kept, repeated rows each
+    give a row, an empty table gives no rows, and other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     own = Encoder(path)
-    lengths: dict[str, int] = {}
-    if own.kind == "piece" and frequent:
-        top = frequent_pieces(docs, text, frequent)
-        lengths = dict(zip(top, map(len, own._ids([" " + p for p in top])), strict=True)) if top else {}
-    shared = spark.sparkContext.broadcast(lengths)
+    kinds, lengths = None, None
+    if own.kind == "piece":
+        kinds = classes(own.model)
+        top = frequent_pieces(docs, kinds, text, frequent) if frequent else []
+        joined, starts, ends, _, h = Cutter(kinds)(top)
+        if len(h) != len(top):
+            raise ValueError("a pre-token was cut in two")
+        lengths = Lengths(h, np.array(Counter(own, kinds).lengths(top), np.int64))
+    shared = spark.sparkContext.broadcast((kinds, lengths))
 
     def count(batches):
-        encoder = worker_encoder(path, "counts", shared.value)
+        encoder = worker_encoder(path, "counts")
+        kinds, lengths = shared.value
+        if lengths is not None and encoder.counter is None:
+            encoder.counter = Counter(encoder, kinds)
         for batch in batches:
             texts, sizes, counts = batch.column(1).to_pylist(), [], []
             for _, run in text_runs(texts):
                 sizes += [len(t.encode()) for t in run]
-                counts += encoder.counts(run)
+                counts += encoder.counts(run) if lengths is None else encoder.counter.counts(run, lengths)
             n = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), n, pa.array([c > over for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

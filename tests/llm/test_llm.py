@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from partloom.llm import audio, decontam, graph, jaccard, packing, pii, quality, queries, sharding, store, suffix, tokens, toxicity
+from partloom.llm import audio, decontam, graph, jaccard, packing, pii, pretokens, quality, queries, sharding, store, suffix, tokens, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -67,7 +67,39 @@ def test_pieces_give_the_librarys_ids():
     want = [x.ids for x in Tokenizer.from_file(BPE).encode_batch(some, add_special_tokens=False)]
     encoder = tokens.Encoder(BPE, cache=500)
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.ids(some)] == want
-    assert tokens.Encoder(BPE, {"the": 1}).counts(some) == list(map(len, want))
+    assert encoder.counts(some) == list(map(len, want))
+    counter = tokens.Counter(encoder, pretokens.classes(encoder.model), size=50)
+    _, starts, _, _, h = counter.cut([" the", "!!"])
+    table = pretokens.Lengths(h, np.ones(2, np.int64))
+    assert [n for k in range(0, 5000, 50) for n in counter.counts(some[k : k + 50], table)] == list(map(len, want))
+
+
+def test_pretokens_are_the_librarys():
+    """Cuts of random texts, many at once, and of every character of the first plane between two letters."""
+    from tokenizers import Tokenizer
+
+    model, r = Tokenizer.from_file(BPE), random.Random(9)
+    cutter = pretokens.Cutter(pretokens.classes(model))
+    bits = [*"ab12 \n\t!'',.srtevmld", "'s", "'re", "'ll", "'d ", "  ", " '", "é", "½", "\xa0", "\u3000", "漢", "١", "—", "\x85", "\x1c", "\u200b"]
+    some = ["".join(r.choice(bits) for _ in range(r.randint(0, 14))) for _ in range(6000)]
+    some += ["a" + "a".join(chr(c) for c in range(k, k + 512) if not 0xD800 <= c < 0xE000) for k in range(0, 1 << 16, 512)]
+    joined, starts, ends, first, _ = cutter(some)
+    offset = 0
+    for k, t in enumerate(some):
+        own = range(first[k], first[k + 1])
+        assert [(starts[i] - offset, ends[i] - offset) for i in own] == [place for _, place in model.pre_tokenizer.pre_tokenize_str(t)], t
+        offset += len(t)
+
+
+def test_table_of_lengths_is_compact():
+    r = np.random.default_rng(2)
+    h = np.unique(r.integers(0, 1 << 63, 70_000).astype(np.uint64) << np.uint64(1))
+    n = r.integers(1, 200, len(h))
+    table = pretokens.Lengths(h[::2], n[::2])
+    got, missing = table.find(np.concatenate([h, h[::-1]]))
+    want = np.where(np.arange(len(h)) % 2 == 0, n, 0)
+    assert np.array_equal(got, np.concatenate([want, want[::-1]])) and np.array_equal(missing, got == 0)
+    assert table.nbytes < 11 * len(h[::2]) + (1 << 19)
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
