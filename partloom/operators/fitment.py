@@ -52,14 +52,6 @@ def scope_admits(scope: Column, vehicle: Column) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def is_scope(scope: Column) -> Column:
-    """Whether all of a string was placed and something was."""
-    from ..functions.scope import GROUPS, SERIALS
-
-    some = [F.size(scope[c]) > 0 for c in ("prGroups", "mjRanges", *SERIALS)] + [(F.size(scope[g]["any"]) > 0) | (F.size(scope[g]["not"]) > 0) for g in GROUPS]
-    return (F.size(scope["unknown"]) <= 0) & reduce(lambda a, b: a | b, some)
-
-
 def fitting_parts(parts: DataFrame, vehicles: DataFrame, most_vehicles: int = 10_000) -> DataFrame:
     """(vehicle_id, part_id) where section and part scope both admit the vehicle.
 

@@ -1,265 +1,208 @@
-"""Parts pages to part rows: rows from positioned text, columns from headings, blocks from an ordered fold.
+"""Parts pages to part rows, in windows and array expressions over positioned text.
 
-The fold keeps an open block over page ends, so its unit is the section: items
-are grouped by (catalogue, section) and read in page and row order.
+Printed rows are classed by what stands in their columns.  A running sum over a
+section's rows numbers the blocks that some classes open, another one the
+variants inside a block; what a row adds to its part is then an ordered
+aggregate.  Everything is dealt by (catalogue, section), also over page ends.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from dataclasses import dataclass, field
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from ..functions.scope import is_scope, with_scope
+from ..functions.text import blank
+from . import applicability as scopes
 
-from ..functions import scope as scope_language
-
-# Fixed values of the printed layout.
+# Fixed values of the printed layout: headings, where colour codes begin, and texts that mark a row.
 HEADINGS = ("Pos", "Part Number", "Description", "Remark", "Qty", "Model")
+HEADINGS_LEAST = 4
 COLOUR_X = 130
+ROW_REACH = 3
+ORIGIN_REACH = 5
+POSITION = r"^(?:\d{1,3}(?:/\d{1,3})?|\(\d{1,3}(?:/\d{1,3})?\))\z"
+NOTE = r"(?i)^(?:with:|without:|also use:|use if required:|only in conj\. with:|see illustration|comprising:|we take back:|group:)"
+FLAG = r"(?i)^Discontinued part\z"
+FOOTER = r"^\d{2}\.\d{2}\.\d{4}"
+CUT_LENGTH = r"(?i)^shorten to:"
+SCOPE_LABEL = r"(?i)^(?:valid up to:|valid from:)"
+VALUE_LABEL = r"(?i)^relay location/code no\.:"
+EXCLUSION = r"(?i)^not for:"
 COUNTRY_CODES = {"AUSTRALIEN": "AUS"}
-_POSITION = re.compile(r"\d{1,3}(/\d{1,3})?\Z|\(\d{1,3}(/\d{1,3})?\)\Z", re.ASCII)
-_NOTE = re.compile("(?:with:|without:|also use:|use if required:|only in conj\\. with:|see illustration|comprising:|we take back:|group:)", re.I)
-_FLAG = re.compile(r"Discontinued part\Z", re.I)
-_FOOTER = re.compile(r"\d{2}\.\d{2}\.\d{4}", re.ASCII)
 
+SECTION = ["catalog_id", "section_id"]
+PAGE = [*SECTION, "page"]
 ROWS = "catalog_id string, section_id string, kind string, block int, child int, position string, part_number string, colour_code string, description string, quantity string, remarks string, model string, model_scope string, applicability string"
-_COLUMNS = [c.split()[0] for c in ROWS.split(", ")]
 
 
-@dataclass
-class Line:
-    """A part or a variant of it."""
+def text_rows(items: DataFrame, reach: int = ROW_REACH) -> DataFrame:
+    """(catalog_id, section_id, page, at, tokens): printed rows from top to bottom, tokens of (x, idx, str) from left to right.
 
-    position: str | None
-    number: str
-    colour: str | None
-    description: str
-    quantity: str
-    remark: str
-    model: str
-    scopes: list = field(default_factory=list)
-    children: list = field(default_factory=list)
-    noted: bool = False
-    barred_next: bool = False
-
-    def say(self, what: str, words: str) -> None:
-        setattr(self, what, " ".join(filter(None, (getattr(self, what), words))))
-
-    def widen(self, token: str) -> None:
-        glue = "" if not self.model or self.model.endswith(",") else " "
-        self.model += glue + token
-
-    def segments(self) -> list[str]:
-        return [s for s in (self.model, *self.scopes) if s]
-
-
-def kind_of(segment: str) -> str:
-    for kind, pattern in (("year", r".*\bMJ\s*\d{4}"), ("chassis", r"F(?:\s|>>)"), ("engineNum", r"M(?:\s|>>)")):
-        if re.match(pattern, segment, re.S):
-            return kind
-    return "facet"
-
-
-def full_scope(child: Line, parent: Line) -> str:
-    own = child.segments()
-    if not own:
-        return ""
-    stated = {kind_of(s) for s in own} - {"facet"}
-    above = [s for s in " | ".join(parent.segments()).split(" | ") if s and kind_of(s) not in stated]
-    return " | ".join([*above, *own])
-
-
-def scopes_a_row(text: str) -> bool:
-    return bool(re.match(r"[FM]>>\s*\d", text) or (re.match(r"[A-Z]{1,3}\s", text) and (re.search(r"\bMJ\b", text) or ">>" in text)))
-
-
-def scopes_by_model(text: str) -> bool:
-    return text.startswith("PR:") or bool(re.search(r"\bMJ\b", text)) or ">>" in text
-
-
-def remark_tokens(remark: str, pivot: int | None, life_end: int | None) -> list[str]:
-    end = life_end or (pivot + 20 if pivot else None)
-
-    def lives(two: str | None) -> bool:
-        if two is None:
-            return True
-        if not pivot:
-            return False
-        y = pivot // 100 * 100 + int(two)
-        y += 100 * (y < pivot)
-        return pivot <= y <= end
-
-    def wanted(t: str) -> bool:
-        if re.match(r"-?\([A-Z]{1,4}\)\Z", t):
-            return True
-        m = re.match(r"(\d{2})?-(\d{2})?\Z", t)
-        return bool(m and (m[1] or m[2]) and lives(m[1]) and lives(m[2]))
-
-    return [t for t in (remark or "").split() if wanted(t)]
-
-
-def text_rows(items: list[tuple[str, float, float]], page_height: float, reach: int = 3) -> list[list[tuple[str, float]]]:
-    """Rows of (text, x), top to bottom: an item joins the first row opened within `reach` of its height."""
-    rows: dict[int, list] = {}
-    for text, x, y in items:
-        if text and text.strip():
-            at = math.floor(page_height - y + 0.5)
-            home = next((r for r in rows if abs(r - at) <= reach), at)
-            rows.setdefault(home, []).append((text.strip(), x))
-    return [sorted(rows[r], key=lambda i: i[1]) for r in sorted(rows)]
-
-
-def columns_of(row: list[tuple[str, float]], origins: list[tuple[float, str]]) -> dict[str, list[tuple[str, float]]]:
-    out: dict[str, list] = {name: [] for _, name in origins}
-    for text, x in row:
-        out[max((o for o in origins if o[0] <= x + 5), default=origins[0], key=lambda o: o[0])[1]].append((text, x))
-    return out
-
-
-class Section:
-    """The fold over a section's pages."""
-
-    def __init__(self):
-        self.parts: list[Line] = []
-        self.block: Line | None = None
-        self.row: Line | None = None
-        self.bulk: Line | None = None
-        self.title_open = True
-        self.title: dict[str, list[str]] = {"description": [], "remark": [], "model": [], "scope": []}
-        self.title_gates = True
-
-    def page(self, rows: list[list[tuple[str, float]]]) -> None:
-        origins: list[tuple[float, str]] | None = None
-        for row in rows:
-            texts = [t for t, _ in row]
-            if (len(texts) == 1 and texts[0].startswith("Illustration:")) or any(t.startswith("Model:") for t in texts) or _FOOTER.match(texts[0]):
-                continue
-            if origins is None:
-                if sum(t in HEADINGS for t in texts) >= 4:
-                    origins = sorted((x, t) for t, x in row)
-                continue
-            found = columns_of(row, origins)
-            said = {name: " ".join(t for t, _ in found.get(name, [])) for name in HEADINGS}
-            number = found.get("Part Number", [])
-            said["number"] = " ".join(t for t, x in number if x < COLOUR_X)
-            said["colour"] = " ".join(t for t, x in number if x >= COLOUR_X)
-            self.take(said)
-
-    def close(self) -> None:
-        self.block = self.row = None
-
-    def open(self, line: Line, stock: bool) -> None:
-        self.parts.append(line)
-        self.block = self.row = line
-        if stock:
-            self.bulk = line
-
-    def take(self, c: dict[str, str]) -> None:
-        position, number = c["Pos"], c["number"]
-        full = " ".join(filter(None, (number, c["colour"])))
-        note = bool(c["Description"] and _NOTE.match(c["Description"]))
-        make = lambda pos, pn: Line(pos, pn, c["colour"] or None, c["Description"], c["Qty"], c["Remark"], c["Model"])
-        if position:
-            self.title_open = False
-            if _POSITION.match(position):
-                line = make(position, full)
-                if not full and self.bulk and re.match("shorten to:", c["Description"], re.I):
-                    line.number, line.colour, line.description = self.bulk.number, self.bulk.colour, self.bulk.description
-                    line.remark = " ".join(filter(None, (c["Description"], c["Remark"])))
-                    full = ""
-                self.open(line, bool(full))
-            elif position == "-" and number:
-                self.open(make("-", full), True)
-            elif position == "-" and c["Qty"] and not note:
-                line = make("-", "")
-                line.colour = None
-                self.open(line, False)
-            else:
-                self.close()
-        elif re.search("[0-9A-Za-z]", number):
-            self.title_open = False
-            if self.block:
-                self.variant(make(None, full))
-        elif self.title_open:
-            self.titled(c, note)
-        elif self.block:
-            self.continued(c, note)
-
-    def variant(self, line: Line) -> None:
-        """A number without a position: its Model text is its scope if all of it reads as scope, else a remark."""
-        model, line.model, line.quantity = line.model, "", ""
-        if model and scope_language.is_scope(scope_language.parse(model)):
-            line.model = model
-        else:
-            line.say("remark", model)
-        self.block.children.append(line)
-        self.row = line
-
-    def titled(self, c: dict[str, str], note: bool) -> None:
-        if note:
-            self.title_open = False
-            return
-        t = self.title
-        if c["Description"]:
-            t["scope" if scopes_a_row(c["Description"]) else "description"].append(c["Description"])
-        if c["Remark"]:
-            t["remark"].append(c["Remark"])
-        if c["Model"]:
-            if not t["model"]:
-                self.title_gates = len(t["description"]) <= 2
-            if t["model"] and t["model"][-1].endswith(","):
-                t["model"][-1] += c["Model"]
-            else:
-                t["model"].append(c["Model"])
-
-    def continued(self, c: dict[str, str], note: bool) -> None:
-        block, row, said = self.block, self.row or self.block, c["Description"]
-        both = " ".join(filter(None, (said, c["Remark"])))
-        if c["Model"]:
-            block.widen(c["Model"])
-        if note:
-            block.noted = True
-            row.say("remark", both)
-            return
-        if re.match("valid up to:|valid from:", said, re.I):
-            return
-        if re.match(r"relay location/code no\.:", said, re.I):
-            if not block.noted:
-                row.say("remark", both)
-            return
-        if re.match("not for:", said, re.I):
-            block.barred_next = True
-            return
-        if said:
-            country = COUNTRY_CODES.get(said.strip().upper()) if block.barred_next else None
-            block.barred_next = False
-            if country:
-                row.scopes.append(f'-"{country}"')
-                return
-            if scopes_a_row(said):
-                row.scopes.append(said)
-            else:
-                row.say("remark" if block.noted and not _FLAG.match(said) else "description", said)
-        row.say("remark", c["Remark"])
-
-    def rows(self, catalog: str, section: str, old: bool, pivot: int | None, life_end: int | None) -> list[tuple]:
-        out = []
-        t = self.title
-        if any(t.values()):
-            gates = list(dict.fromkeys(t["model"] if self.title_gates else []))
-            shown = list(dict.fromkeys(m for m in t["model"] if not scopes_by_model(m)))
-            held = [m for m in (t["model"] if self.title_gates else []) if scopes_by_model(m)]
-            out.append((catalog, section, "title", 0, 0, None, None, None, " ".join(t["description"]), None, " ".join(t["remark"]), " ".join(shown), " ".join(gates), " | ".join([*held, *t["scope"]])))
-        for i, p in enumerate(self.parts, 1):
-            for line in (p, *p.children):
-                if old:
-                    line.scopes += remark_tokens(line.remark, pivot, life_end)
-            out.append((catalog, section, "part", i, 0, p.position, p.number, p.colour, p.description, p.quantity, p.remark, None, None, " | ".join(p.segments())))
-            for k, c in enumerate(p.children, 1):
-                out.append((catalog, section, "part", i, k, c.position, c.number, c.colour, c.description, c.quantity, c.remark, None, None, full_scope(c, p)))
-        return out
+    An item belongs to the first row opened within `reach` of its height, in the
+    order of the items, or opens one.  A page with an unplaced item gives no rows.
+    """
+    height = F.floor(F.col("page_height") - F.col("y") + 0.5)
+    placed = F.col("x").isNotNull() & height.isNotNull() & ~F.isnan("x") & ~F.isnan(F.col("page_height") - F.col("y"))
+    visible = items.where(F.trim(F.regexp_replace("str", r"\s+", " ")) != "")
+    told = F.struct("item_idx", height.cast("int").alias("at"), "x", F.regexp_replace("str", r"^\s+|\s+\z", "").alias("str"))
+    pages = visible.groupBy(*PAGE).agg(F.array_sort(F.collect_list(told)).alias("items"), F.min(placed).alias("whole")).where("whole")
+    near = lambda at: lambda row: F.abs(row - at) <= reach
+    opened = F.aggregate("items", F.array().cast("array<int>"), lambda rows, i: F.when(F.exists(rows, near(i["at"])), rows).otherwise(F.concat(rows, F.array(i["at"]))))
+    dealt = pages.withColumn("rows", opened).select(*PAGE, F.explode(F.transform("items", lambda i: F.struct(F.filter("rows", near(i["at"]))[0].alias("at"), i["x"].alias("x"), i["item_idx"].alias("idx"), i["str"].alias("str")))).alias("i"))
+    return dealt.groupBy(*PAGE, F.col("i.at").alias("at")).agg(F.array_sort(F.collect_list(F.struct("i.x", "i.idx", "i.str"))).alias("tokens"))
+
+
+def table_rows(rows: DataFrame) -> DataFrame:
+    """Rows below the headings of their page, with the text of each column, and the part number apart from the colour code."""
+    texts = F.transform("tokens", lambda t: t["str"])
+    chrome = ((F.size("tokens") == 1) & texts[0].startswith("Illustration:")) | F.exists(texts, lambda t: t.startswith("Model:")) | texts[0].rlike(FOOTER)
+    heads = F.size(F.filter(texts, lambda t: t.isin(*HEADINGS))) >= HEADINGS_LEAST
+    page = Window.partitionBy(*PAGE)
+    headed = rows.where(~chrome).withColumn("_head", F.when(heads, F.struct("at", "tokens"))).withColumn("_head", F.min("_head").over(page)).where(F.col("at") > F.col("_head.at"))
+    # the rightmost heading that starts no further right, else the first
+    home = lambda t: F.coalesce(F.try_element_at(F.filter("_head.tokens", lambda h: h["x"] <= t["x"] + ORIGIN_REACH), F.lit(-1)), F.col("_head.tokens")[0])["str"]
+    placed = headed.withColumn("_cells", F.transform("tokens", lambda t: F.struct(home(t).alias("home"), t["x"].alias("x"), t["str"].alias("str"))))
+    said = lambda test: F.array_join(F.transform(F.filter("_cells", test), lambda c: c["str"]), " ")
+    under = lambda heading: lambda c: c["home"] == heading
+    columns = {"pos": "Pos", "desc": "Description", "remark": "Remark", "qty": "Qty", "model": "Model"}
+    number = under("Part Number")
+    cells = [said(under(h)).alias(n) for n, h in columns.items()]
+    return placed.select(*PAGE, "at", *cells, said(lambda c: number(c) & (c["x"] < COLOUR_X)).alias("number"), said(lambda c: number(c) & (c["x"] >= COLOUR_X)).alias("colour"))
+
+
+#: Classes of rows by the first test that holds; the first three open a block, `stop` closes it.
+OPENING = ("placed", "stock", "loose")
+
+
+def row_class() -> Column:
+    pos, number, note = F.col("pos"), F.col("number"), F.col("desc").rlike(NOTE)
+    hyphen = pos == "-"
+    return (
+        F.when(pos.rlike(POSITION), "placed").when(hyphen & (number != ""), "stock").when(hyphen & (F.col("qty") != "") & ~note, "loose").when(pos != "", "stop")
+        .when(number.rlike("[0-9A-Za-z]"), "variant").when(note, "note").otherwise("text")
+    )
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows with their class, block (0 where none is open) and number of the variant they belong to."""
+    order = Window.partitionBy(*SECTION).orderBy("page", "at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    opens, cls = F.col("class").isin(*OPENING), F.col("class")
+    out = rows.withColumn("class", row_class()).withColumn("_count", F.sum(opens.cast("int")).over(upto))
+    out = out.withColumn("_open", F.last(F.when(opens, True).when(cls == "stop", False), ignorenulls=True).over(upto))
+    out = out.withColumn("block", F.when(F.coalesce("_open", F.lit(False)), F.col("_count")).otherwise(0))
+    # a title stands on the first page, before any row of another class
+    out = out.withColumn("title", (F.col("page") == F.col("first_page")) & (cls == "text") & ~F.coalesce(F.max(cls != "text").over(before), F.lit(False)))
+    inside = Window.partitionBy(*SECTION, "block").orderBy("page", "at").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumn("child", F.when(F.col("block") > 0, F.sum((cls == "variant").cast("int")).over(inside)).otherwise(0))
+    # the stock that a cut length comes from: the last block before it with a number of its own
+    full = F.concat_ws(" ", blank(F.col("number")), blank(F.col("colour")))
+    stock = F.last(F.when(cls.isin("placed", "stock") & (full != ""), F.col("_count")), ignorenulls=True).over(before)
+    cut = (cls == "placed") & (full == "") & F.col("desc").rlike(CUT_LENGTH)
+    return out.withColumn("full", full).withColumn("cut_from", F.when(cut, stock)).drop("_open", "_count")
+
+
+def with_reading(rows: DataFrame) -> DataFrame:
+    """Add `reads`: whether the Model text of a variant is scope as a whole; else it is a remark."""
+    asked = (F.col("class") == "variant") & (F.col("model") != "")
+    read = with_scope(rows.where(asked), "model", "_read").withColumn("reads", is_scope(F.col("_read"))).drop("_read")
+    return read.unionByName(rows.where(~asked).withColumn("reads", F.lit(False)))
+
+
+def pieces(rows: DataFrame) -> DataFrame:
+    """What each row of a block adds: `say` to the description, `tell` to the remark, `scope` segments, and `gate` of the Model column.
+
+    Each goes to the row's part or variant, but for the Model text of rows
+    without a number, which extends the part.
+    """
+    inside = Window.partitionBy(*SECTION, "block").orderBy("page", "at")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    desc, cls = F.col("desc"), F.col("class")
+    country = F.element_at(F.create_map(*[F.lit(x) for pair in COUNTRY_CODES.items() for x in pair]), F.upper(desc))
+    kind = (
+        F.when(cls.isin(*OPENING, "variant"), "head").when(cls == "note", "note").when(desc.rlike(SCOPE_LABEL), "label")
+        .when(desc.rlike(VALUE_LABEL), "value").when(desc.rlike(EXCLUSION), "exclusion").when(desc != "", "words").otherwise("rest")
+    )
+    df = rows.where("block > 0").withColumn("kind", kind)
+    df = df.withColumn("_noted", F.coalesce(F.max(F.col("kind") == "note").over(before), F.lit(False)))
+    df = df.withColumn("_armed", F.coalesce(F.last(F.when(F.col("kind") == "exclusion", True).when(F.col("kind") == "words", False), ignorenulls=True).over(before), F.lit(False)))
+    kind, noted = F.col("kind"), F.col("_noted")
+    barred = (kind == "words") & F.col("_armed") & country.isNotNull()
+    scoping = (kind == "words") & ~barred & scopes.printed_scope(desc)
+    plain = (kind == "words") & ~barred & ~scoping
+    both = F.concat_ws(" ", blank(desc), blank(F.col("remark")))
+    aside = plain & noted & ~desc.rlike(FLAG)
+    cut = F.col("cut_from").isNotNull()
+    say = F.when((kind == "head") & ~cut, desc).when(plain & ~aside, desc)
+    tell = (
+        F.when((kind == "head") & cut, both).when(kind == "head", F.concat_ws(" ", blank(F.col("remark")), F.when((cls == "variant") & ~F.col("reads"), blank(F.col("model"))))).when((kind == "note") | ((kind == "value") & ~noted), both)
+        .when(aside, both).when(((kind == "words") & ~barred) | (kind == "rest"), F.col("remark"))
+    )
+    scope = F.when(barred, F.concat(F.lit('-"'), country, F.lit('"'))).when(scoping, desc)
+    model = F.when((cls != "variant") | F.col("reads"), F.col("model"))
+    return df.withColumn("say", blank(say)).withColumn("tell", blank(tell)).withColumn("scope", blank(scope)).withColumn("gate", blank(model))
+
+
+def _in_order(column: str) -> Column:
+    """Values of rows in print order, without nulls."""
+    rows = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct("page", "at", column))))
+    return F.transform(rows, lambda r: r[column])
+
+
+def part_rows(rows: DataFrame) -> DataFrame:
+    """Parts and their variants (kind `part`) from rows in blocks."""
+    key = [*SECTION, "block"]
+    told = pieces(rows)
+    head = lambda c: F.max(F.when(F.col("kind") == "head", F.col(c))).alias(c)
+    own_gate = F.when(F.col("class") == "variant", F.col("gate"))
+    part_gate = F.when(F.col("class") != "variant", F.col("gate"))
+    known = ("dialect", "pivot", "life_end")
+    lines = told.withColumn("own_gate", own_gate).groupBy(*key, "child").agg(*[head(c) for c in ("class", "pos", "full", "colour", "qty", "cut_from", "own_gate")], *[_in_order(c).alias(c) for c in ("say", "tell", "scope")], *[F.first(c).alias(c) for c in known])
+    gates = told.withColumn("gate", part_gate).groupBy(*key).agg(scopes.glued_list(_in_order("gate")).alias("part_gate"))
+    stock = lines.where("child = 0").select(*[F.col(c).alias(f"_{c}") for c in key], F.col("full").alias("_full"), F.col("colour").alias("_colour"), F.col("say").alias("_say"))
+    same = (F.col("catalog_id") == F.col("_catalog_id")) & (F.col("section_id") == F.col("_section_id")) & (F.col("cut_from") == F.col("_block"))
+    lines = lines.join(gates, key).join(stock, same & (F.col("child") == 0), "left")
+    cut, loose, first = F.col("_full").isNotNull(), F.col("class") == "loose", F.col("child") == 0
+    remarks = F.array_join("tell", " ")
+    extra = scopes.remark_scope_tokens(remarks, F.col("pivot"), F.col("life_end"), F.coalesce("dialect", F.lit("modern")))
+    gate = F.when(first, F.col("part_gate")).otherwise(F.coalesce("own_gate", F.lit("")))
+    own = F.filter(F.concat(F.array(gate), F.col("scope"), extra), lambda s: s != "")
+    out = lines.select(
+        *key, "child", F.when(first, F.col("pos")).alias("position"), F.when(cut, F.col("_full")).when(loose, "").otherwise(F.col("full")).alias("part_number"),
+        F.when(cut, blank(F.col("_colour"))).when(~loose, blank(F.col("colour"))).alias("colour_code"), F.array_join(F.when(cut, F.concat("_say", "say")).otherwise(F.col("say")), " ").alias("description"),
+        F.when(first, F.col("qty")).otherwise("").alias("quantity"), remarks.alias("remarks"), F.array_join(own, scopes.SEPARATOR).alias("own"),
+    )
+    above = F.max(F.when(first, F.col("own"))).over(Window.partitionBy(*key))
+    none = F.lit(None).cast("string")
+    return out.withColumn("above", above).select(
+        *SECTION, F.lit("part").alias("kind"), F.dense_rank().over(Window.partitionBy(*SECTION).orderBy("block")).alias("block"), F.col("child").cast("int").alias("child"), "position", "part_number", "colour_code", "description", "quantity", "remarks",
+        none.alias("model"), none.alias("model_scope"), F.when(first, F.col("own")).otherwise(scopes.child_scope(F.col("own"), F.col("above"))).alias("applicability"),
+    )
+
+
+def title_rows(rows: DataFrame) -> DataFrame:
+    """One row (kind `title`) of each section that prints a title."""
+    words = F.when(scopes.printed_scope(F.col("desc")), None).otherwise(blank(F.col("desc")))
+    order = Window.partitionBy(*SECTION).orderBy("page", "at").rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.where("title").withColumn("words", words).withColumn("scope", F.when(words.isNull(), blank(F.col("desc")))).withColumn("remark", blank(F.col("remark"))).withColumn("model", blank(F.col("model")))
+    own = own.withColumn("_lines", F.count("words").over(order))
+    at_model = F.min(F.when(F.col("model").isNotNull(), F.struct("page", "at", "_lines")))["_lines"]
+    told = own.groupBy(*SECTION).agg(*[_in_order(c).alias(c) for c in ("words", "scope", "remark", "model")], at_model.alias("lines"))
+    told = told.where(F.size(F.concat("words", "scope", "remark", "model")) > 0)
+    # a token after a trailing comma continues the list before it
+    glue = lambda acc, t: F.when((F.size(acc) > 0) & F.coalesce(F.try_element_at(acc, F.lit(-1)).endswith(","), F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), t)))).otherwise(F.concat(acc, F.array(t)))
+    told = told.withColumn("tokens", F.aggregate("model", F.array().cast("array<string>"), glue))
+    # Model text that begins beside the third line or later is shown, but gates nothing
+    gates = F.when(F.col("lines") <= 2, F.col("tokens")).otherwise(F.array().cast("array<string>"))
+    shown = F.array_distinct(F.filter("tokens", lambda t: ~scopes.printed_model_scope(t)))
+    text = lambda a: F.array_join(a, " ")
+    none = F.lit(None).cast("string")
+    return told.select(
+        *SECTION, F.lit("title").alias("kind"), F.lit(0).alias("block"), F.lit(0).alias("child"), none.alias("position"), none.alias("part_number"), none.alias("colour_code"), text("words").alias("description"), none.alias("quantity"),
+        text("remark").alias("remarks"), text(shown).alias("model"), text(F.array_distinct(gates)).alias("model_scope"), F.array_join(F.concat(F.filter(gates, scopes.printed_model_scope), F.col("scope")), scopes.SEPARATOR).alias("applicability"),
+    )
 
 
 def extract(items: DataFrame) -> DataFrame:
@@ -269,17 +212,12 @@ def extract(items: DataFrame) -> DataFrame:
     dialect, pivot, life_end of the catalogue (repeated, may be null).  A page
     that can't be read is left out and the open block stays open.
     """
+    told = items.groupBy(*SECTION).agg(F.min("page").alias("first_page"), F.first("dialect", True).alias("dialect"), F.first("pivot", True).cast("int").alias("pivot"), F.first("life_end", True).cast("int").alias("life_end"))
+    rows = with_reading(in_blocks(table_rows(text_rows(items)).join(told, SECTION)))
+    return part_rows(rows).unionByName(title_rows(rows)).to(_schema())
+
+
+def _schema():
+    from pyspark.sql.types import _parse_datatype_string
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, section = pdf.iloc[0], Section()
-        number = lambda v: None if pd.isna(v) else int(v)
-        for _, page in pdf.sort_values(["page", "item_idx"], kind="stable").groupby("page", sort=True):
-            try:
-                rows = text_rows([(s, float(x), float(y)) for s, x, y in zip(page["str"], page["x"], page["y"], strict=True)], float(page["page_height"].iloc[0]))
-            except (TypeError, ValueError):
-                continue
-            section.page(rows)
-            section.title_open = False
-        return pd.DataFrame(section.rows(first["catalog_id"], first["section_id"], first["dialect"] == "old", number(first["pivot"]), number(first["life_end"])), columns=_COLUMNS)
-
-    return items.groupBy("catalog_id", "section_id").applyInPandas(fold, ROWS)
+    return _parse_datatype_string(ROWS)

@@ -1,253 +1,309 @@
-"""Reference tables printed in front of a catalogue: one reader for each layout, chosen page by page.
+"""Reference tables printed in front of a catalogue, read by windows and array expressions over its rows.
 
-A page without a heading continues the table that is open, so the unit of the
-fold is the catalogue's run of front pages.
+Each layout is a line of layouts(): the heading that names its pages, the row that
+begins it, and how its rows become records.  Pages without a heading continue
+the open table, and rows without a start continue the open record; both are
+running aggregates over the catalogue's rows.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import blank, expand_two_digit, leading_int, range_end, tech_data, undotted
+
 OUT = "catalog_id string, table_name string, seq int, fields map<string,string>"
-_DATE, _MOUNT = re.compile(r"\d{2}\.\d{2}\.\d{4}", re.ASCII), re.compile(r"\d{2}/\d{2}-\d{2}/\d{2}\Z", re.ASCII)
-_SPAN = re.compile(r"[A-Z0-9]*\d*>[A-Z0-9]*\d*\Z", re.ASCII)
-# How each layout prints its codes.
-_ENGINE = re.compile(r"[A-Z]\d{2}\.[0-9A-Z]{2,3}\Z", re.ASCII)
-_GEARBOX = re.compile(r"[GA]\d{2}\.\d{2}\Z", re.ASCII)
-_GEARBOX_PLAIN = re.compile(r"[GA]\d{4}\Z", re.ASCII)
-_THREE = re.compile(r"\d{3}(?:/\d)?\Z", re.ASCII)
-_OPEN_TYPES = re.compile(r"(.+?)\s+(\d{2})\s+\d\s+(\d{4,6})\s+(\d{3,6})\s*[>»]+\s*(\d{3}\.\d{2})\Z", re.ASCII)
-_OPEN_CODES = re.compile(r"(.+?)\s+(\d{3}\.\d{2})\s+(\d{2})\s+\d\s+(\d{3,6})\s+(\d{3,6})\s*[>»]+\s*(.+)\Z", re.ASCII)
-_BODY_WORD = re.compile(r"(?:SPEEDSTER|CONVERTIBLE|CABRIO(?:LET)?|COUPE|HARDTOP|ROADSTER|\([A-Z]{1,4}\))\Z")
-
-
-def leading_number(text: str | None) -> str | None:
-    m = re.match(r"\s*(\d+)", text or "", re.ASCII)
-    return str(int(m[1])) if m and int(m[1]) else None
-
-
-def end_of(start: str, end: str | None) -> str | None:
-    if not end:
-        return None
-    a, b = start.split(), end.split()
-    return " ".join([*a[: max(0, len(a) - len(b))], *b])
-
-
-def tech(text: str) -> dict[str, str | None]:
-    got = lambda p: (m := re.search(p, text, re.ASCII)) and m[1]
-    litres = got(r"([\d,]+)\s*L\b")
-    return {"cylinders": got(r"(\d+)\s*ZYL"), "displacement_l": litres and litres.replace(",", ".", 1), "power_kw": got(r"(\d+)\s*/?\s*KW")}
-
-
-def chrome(texts: list[str]) -> bool:
-    return texts[0] == "V-Pages" or any(t.startswith("Model:") or _DATE.match(t) for t in texts)
-
-
-class Front:
-    """State over the front pages of one catalogue; tables hold rows in print order."""
-
-    def __init__(self):
-        self.tables: dict[str, list[dict]] = {}
-        self.model = ""
-        self.pivot = self.life_end = None
-        self.dialect = "modern"
-        self.begun: set[str] = set()
-        self.open: dict[str, dict] = {}
-        self.seen: set[tuple[str, str]] = set()
-        self.vehicle = self.year = None
-        self.active = None
-        self.readers = (
-            ("Optional Equipment", self.options),
-            ("Model Overview Sales Type", self.sales),
-            ("Model Overview EC", self.engines),
-            ("Model Overview TC", self.gearboxes),
-            ("VIN-Numbers Overview", self.vins),
-            ("SUMMARY TYPES", self.old_types),
-            ("SUMMARY ENGINES", self.old_engines),
-            ("SUMM.TRANSMISS", self.old_gearboxes),
-            ("Engine type", lambda rows: self.numbers(rows, "engine_number_range", "Engine number", "engine_type")),
-            ("Gearbox type", lambda rows: self.numbers(rows, "transmission_number_range", "Gearbox type", "gearbox_type")),
-        )
-
-    def add(self, table: str, **values) -> dict:
-        self.tables.setdefault(table, []).append(values)
-        return values
-
-    def page(self, rows: list[list[str]]) -> None:
-        text = "\n".join(" ".join(r) for r in rows)
-        if not self.model and (m := re.search(r"Model:\s*(.+?)\s+Model life", text)):
-            self.model = m[1]
-        if not self.pivot and (m := re.search(r"Model life\s+(\d{4})\s*>>\s*(\d{4})", text)):
-            self.pivot, self.life_end = int(m[1]), int(m[2])
-        if re.search(r"SUMMARY ENGINES|SUMM\.TRANSMISS|SUMMARY TYPES", text):
-            self.dialect = "old"
-        self.active = next((r for key, r in self.readers if key in text), self.active)
-        if self.active:
-            self.active([r for r in rows if r])
-
-    def data(self, table: str, rows: list[list[str]], begins):
-        """Rows after the one that `begins` the table, on this page or an earlier one."""
-        for texts in rows:
-            if table in self.begun:
-                yield texts
-            elif begins(texts):
-                self.begun.add(table)
-
-    def year4(self, two: str | None) -> str | None:
-        m = re.match(r"\s*(\d+)", two or "", re.ASCII)
-        if not m or not self.pivot:
-            return None
-        full = self.pivot // 100 * 100 + int(m[1])
-        return str(full + 100 * (full < self.pivot))
-
-    def options(self, rows) -> None:
-        for t in self.data("pr", rows, lambda t: re.search(r"\bNR\b", " ".join(t)) and "Description" in " ".join(t)):
-            if " ".join(t).startswith("Optional Equipment") or any(x.startswith("Model:") or _DATE.match(x) for x in t) or t[0] == "*":
-                continue
-            if re.match(r"\d{3}\Z|[A-Z][A-Z0-9]{2,3}\Z", t[0], re.ASCII):
-                self.open["pr"] = self.add("pr_code", code=t[0], description=" ".join(t[1:]))
-            elif "pr" in self.open:
-                self.open["pr"]["description"] = (self.open["pr"]["description"] + " " + " ".join(t)).strip()
-
-    def sales(self, rows) -> None:
-        for t in self.data("sales", rows, lambda t: "Sales term" in " ".join(t)):
-            at = next((i for i, x in enumerate(t) if _MOUNT.match(x)), 0)
-            if at and re.match(r"\d{5,6}\Z", t[0], re.ASCII) and not any(x.startswith("Model:") for x in t):
-                a, b = t[at].split("-")
-                self.add("sales_type", sales_term=t[0], description=" ".join(t[1:at]), mount_from=a, mount_to=b, remark=" ".join(t[at + 1 :]) or None)
-
-    def vins(self, rows) -> None:
-        for t in self.data("vin", rows, lambda t: "Model year" in " ".join(t)):
-            if any(x.startswith("Model:") for x in t) or t == ["V-Pages"]:
-                continue
-            if re.match(r"\d{4}\Z", t[0], re.ASCII):
-                at = next((i for i, x in enumerate(t) if i >= 3 and x.startswith(">")), 3)
-                end = t[at] if at < len(t) else ""
-                self.open["vin"] = self.add("vin_range", model_year=t[0], start_date=(t[1:2] or [None])[0], vin_from=(t[2:3] or [None])[0], vin_to=end.removeprefix(">") or None, remark=" ".join(t[at + 1 :]) or None)
-            elif "vin" in self.open and not any(_DATE.match(x) for x in t):
-                row = self.open["vin"]
-                row["remark"] = " ".join(filter(None, (row["remark"], " ".join(t).strip()))) or None
-
-    def _mounted(self, rows, name: str, head: str):
-        for t in self.data(name, rows, lambda t: t[0] == head):
-            at = next((i for i, x in enumerate(t) if _MOUNT.match(x)), 0)
-            if at and not any(x.startswith("Model:") or _DATE.match(x) for x in t):
-                a, b = t[at].split("-")
-                yield t[0], t[1:at], {"mount_from": a, "mount_to": b, "remark": " ".join(t[at + 1 :]) or None}
-
-    def engines(self, rows) -> None:
-        for code, held, rest in self._mounted(rows, "ec", "EC"):
-            litres, kw, hp, cylinders = ([None] * 4 + held)[-4:]
-            self.add("engine_code", ec=code, displacement_l=litres or None, power_kw=leading_number(kw), power_hp=leading_number(hp), cylinders=leading_number(cylinders), **rest)
-
-    def gearboxes(self, rows) -> None:
-        for code, held, rest in self._mounted(rows, "tc", "TC"):
-            self.add("transmission_code", tc=code, type_code=(held or [None])[-1], **rest)
-
-    def numbers(self, rows, table: str, head: str, kind: str) -> None:
-        for t in self.data(table, rows, lambda t: head in " ".join(t)):
-            at = next((i for i, x in enumerate(t) if re.match(r"20\d{2}\Z", x, re.ASCII)), 0)
-            if at and not any(_DATE.match(x) for x in t):
-                start, mark, end = (p.strip() for p in " ".join(t[:at]).partition(">"))
-                whole = not (mark and start and end)
-                start = " ".join(t[:at]) if whole else start
-                self.add(table, number_from=start, number_to=None if whole else end_of(start, end), model_year=t[at], vehicle_type=" ".join(t[at + 1 : -1]), **{kind: t[-1]})
-
-    def old_types(self, rows) -> None:
-        begins = lambda t: any(x == "VIN" or x.startswith("IDENT") for x in t)
-        plain = [r for r in rows if not any(_DATE.match(x) or x.startswith("Model:") for x in r) and r != ["V-Pages"]]
-        for t in self.data("types", plain, begins):
-            if {"SUMMARY", "TYPES"} <= set(t) or "PLEASE" in t or "NOTE THE LAST" in " ".join(t):
-                continue
-            t = t[1:] if t[0] == "*" else t
-            at = next((i for i, x in enumerate(t) if re.match(r"[A-Z]*\d\w*>(?:[A-Z]*\d\w*)?\Z", x, re.ASCII)), None)
-            if at is None:
-                if m := _OPEN_TYPES.match(" ".join(t)):
-                    self.vehicle, self.year = m[1], m[2]
-                    self.add("vin_range", model_year=str(int(m[2])), start_date=None, vin_from=f"{m[3]} {m[4]}", vin_to=None, remark=f"{m[1]} — {m[5]}")
-                continue
-            lead, prefix = t[:at], ""
-            years = [i for i, x in enumerate(lead) if re.match(r"\d{2}\Z", x, re.ASCII)]
-            if years:
-                self.vehicle, self.year = " ".join(lead[: years[-1]]) or self.vehicle, lead[years[-1]]
-                after = lead[years[-1] + 1 :]
-                prefix = next((x for x in after if re.match(r"\d\d[A-Z0-9]S\d\Z", x)), None) or next((x for x in after if re.search("[A-Z]", x)), "")
-            low, _, high = t[at].partition(">")
-            inner = re.match(r"(.*[A-Z])\d+\Z", low)
-            prefix = inner[1] if inner else prefix
-            said = [x for x in (self.vehicle, " ".join(t[at + 1 :])) if x]
-            self.add("vin_range", model_year=str(int(self.year)) if self.year else None, start_date=None, vin_from=(low if inner else prefix + low) or None, vin_to=(prefix + high if high.isdigit() else high) or None, remark=" — ".join(said) or None)
-
-    def _code_once(self, table: str, key: str, code: str, **values) -> None:
-        if (table, code) not in self.seen:
-            self.seen.add((table, code))
-            self.add(table, **{key: code}, **values, mount_from=None, mount_to=None, remark=None)
-
-    def old_engines(self, rows) -> None:
-        new = lambda code, t: self._code_once("engine_code", "ec", code, **tech(t), power_hp=None)
-
-        def number(low, high, year, vehicle, kind):
-            self.add("engine_number_range", number_from=low or None, number_to=high or None, model_year=year, vehicle_type=vehicle, engine_type=kind)
-            self.open["engine"] = {"year": year, "vehicle": vehicle, "kind": kind}
-
-        for t in self.data("eng", [r for r in rows if not chrome(r)], lambda t: "MY" in t):
-            if {"SUMMARY", "ENGINES"} <= set(t):
-                continue
-            if m := _OPEN_CODES.match(" ".join(t)):
-                new(m[2], m[6])
-                number(f"{m[4]} {m[5]}", None, self.year4(m[3]), m[1], m[2])
-                continue
-            coded = next((i for i, x in enumerate(t) if _ENGINE.match(x)), None)
-            if coded is not None:
-                at = next((i for i, x in enumerate(t) if i > coded and _SPAN.match(x) and re.search(r"\d", x)), 0)
-                if at:
-                    low, _, high = t[at].partition(">")
-                    start = " ".join(filter(None, (t[at - 1], low)))
-                    new(t[coded], " ".join(t[at + 1 :]))
-                    number(start, end_of(start, high), self.year4(t[coded + 1]), " ".join(t[:coded]), re.sub("^[A-Z]", "", t[coded]).replace(".", "", 1))
-                continue
-            year = next((i for i in range(1, len(t) - 1) if re.match(r"\d{2}\Z", t[i], re.ASCII) and re.search("[>/]", t[i + 1]) and re.search(r"\d", t[i + 1])), 0)
-            if year:
-                low, high = (re.split("[>/]", t[year + 1]) + [""])[:2]
-                new(t[year - 1], " ".join(t[year + 2 :]))
-                number(low, high, self.year4(t[year]), " ".join(t[: year - 1]), t[year - 1])
-            elif len(t) == 1 and _SPAN.match(t[0]) and re.search(r"\d", t[0]) and "engine" in self.open:
-                low, _, high = t[0].partition(">")
-                number(low, high, *(self.open["engine"][k] for k in ("year", "vehicle", "kind")))
-
-    def old_gearboxes(self, rows) -> None:
-        new = lambda code, kind: self._code_once("transmission_code", "tc", code, type_code=kind)
-        number = lambda low, high, year, vehicle, kind: self.add("transmission_number_range", number_from=low or None, number_to=high or None, model_year=year, vehicle_type=vehicle, gearbox_type=kind)
-        for t in self.data("gear", [r for r in rows if not chrome(r)], lambda t: "MY" in t):
-            if "SUMM.TRANSMISS." in t or {"SUMMARY", "TRANSMISS"} <= set(t):
-                continue
-            if m := _OPEN_CODES.match(" ".join(t)):
-                new(m[2], m[6].strip())
-                self.open["gear"] = number(f"{m[4]} {m[5]}", None, self.year4(m[3]), m[1], m[2])
-                continue
-            coded = next((i for i, x in enumerate(t) if _GEARBOX.match(x)), None)
-            if coded is not None:
-                plain = next((i for i, x in enumerate(t) if i > coded and _GEARBOX_PLAIN.match(x)), None)
-                at = next((i for i, x in enumerate(t) if i > coded and _SPAN.match(x) and re.search(r"\d", x)), None)
-                if plain is not None and at is not None:
-                    low, _, high = t[at].partition(">")
-                    start = " ".join(f"{t[plain]} {t[at - 1]} {low}".split())
-                    new(t[coded], " ".join(t[at + 1 :]) or None)
-                    number(start, end_of(start, high), self.year4(t[coded + 1]), " ".join(t[:coded]), t[plain])
-                    self.open.pop("gear", None)
-                continue
-            year = next((i for i in range(1, len(t) - 1) if re.match(r"\d{2}\Z", t[i], re.ASCII) and _SPAN.match(t[i + 1]) and re.search(r"\d", t[i + 1])), 0)
-            if year and _THREE.match(t[year - 1]):
-                low, _, high = t[year + 1].partition(">")
-                new(t[year - 1], " ".join(t[year + 2 :]) or None)
-                self.open["gear"] = number(low, high, self.year4(t[year]), " ".join(t[: year - 1]), t[year - 1])
-            elif len(t) == 1 and "gear" in self.open and _BODY_WORD.match(t[0]):
-                row = self.open["gear"]
-                row["vehicle_type"] = f"{row['vehicle_type']} {t[0]}".strip()
+# How the layouts print dates, periods, codes and ranges of numbers.
+DATE = r"^\d{2}\.\d{2}\.\d{4}"
+PERIOD = r"^\d{2}/\d{2}-\d{2}/\d{2}\z"
+RANGE = r"^[A-Z0-9]*\d*>[A-Z0-9]*\d*\z"
+DIGITED_RANGE = r"^(?=.*\d)[A-Z0-9]*>[A-Z0-9]*\z"
+OPTION_CODE = r"^(?:\d{3}|[A-Z][A-Z0-9]{2,3})\z"
+ENGINE = r"^[A-Z]\d{2}\.[0-9A-Z]{2,3}\z"
+GEARBOX = r"^[GA]\d{2}\.\d{2}\z"
+GEARBOX_PLAIN = r"^[GA]\d{4}\z"
+GEARBOX_SHORT = r"^\d{3}(?:/\d)?\z"
+CHASSIS_RANGE = r"^[A-Z]*\d\w*>(?:[A-Z]*\d\w*)?\z"
+CHASSIS_SHAPE = r"^\d\d[A-Z0-9]S\d\z"
+OPEN_TYPE = r"^(.+?)\s+(\d{2})\s+\d\s+(\d{4,6})\s+(\d{3,6})\s*[>»]+\s*(\d{3}\.\d{2})\z"
+OPEN_CODE = r"^(.+?)\s+(\d{3}\.\d{2})\s+(\d{2})\s+\d\s+(\d{3,6})\s+(\d{3,6})\s*[>»]+\s*(.+)\z"
+BODY_WORD = r"^(?:SPEEDSTER|CONVERTIBLE|CABRIO(?:LET)?|COUPE|HARDTOP|ROADSTER|\([A-Z]{1,4}\))\z"
+
+
+def _tokens() -> Column:
+    return F.col("tokens")
+
+
+def _line() -> Column:
+    return F.col("line")
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def some(test: Callable[[Column], Column]) -> Column:
+    return F.exists(_tokens(), test)
+
+
+def place(test: Callable[[Column], Column], after: Column | int = 0) -> Column:
+    """Place (from 1) of the first token behind place `after` that fits; null if none does."""
+    at = F.transform(_tokens(), lambda t, i: F.when(test(t) & (i >= after), i + 1))
+    return F.array_min(at)
+
+
+def words(low: Column | int, high: Column | None = None) -> Column:
+    """Tokens from place `low` up to and without `high`, joined."""
+    low = F.lit(low) if isinstance(low, int) else low
+    return F.array_join(F.slice(_tokens(), low, F.greatest((F.size(_tokens()) + 1 if high is None else high) - low, F.lit(0))), " ")
+
+
+def token(at: Column | int) -> Column:
+    at = F.lit(at) if isinstance(at, int) else at
+    return F.when(at != 0, F.try_element_at(_tokens(), at))
+
+
+def _dated() -> Column:
+    return some(lambda t: t.rlike(DATE))
+
+
+def _model_line() -> Column:
+    return some(lambda t: t.startswith("Model:"))
+
+
+def _upto(end: int = 0):
+    return Window.partitionBy("catalog_id").orderBy("page", "row_idx").rowsBetween(Window.unboundedPreceding, end)
+
+
+def carried(value: Column) -> Column:
+    return F.last(value, ignorenulls=True).over(_upto())
+
+
+def period(at: Column) -> dict[str, Column]:
+    ends = F.split(token(at), "-")
+    return {"mount_from": ends[0], "mount_to": ends[1], "remark": blank(words(at + 1))}
+
+
+def described(df: DataFrame, name: str, values: dict[str, Column]) -> DataFrame:
+    """Rows of the table `name` in print order."""
+    fields = [F.lit(x) if isinstance(x, str) else x.cast("string") for pair in values.items() for x in pair]
+    return df.select("catalog_id", F.lit(name).alias("table_name"), "page", "row_idx", F.create_map(*fields).alias("fields"))
+
+
+def with_continuations(df: DataFrame, starts: Column, text: Column) -> DataFrame:
+    """Starting rows, each with `more`: the texts of the rows up to the next one, in order."""
+    numbered = df.withColumn("_start", F.coalesce(starts, F.lit(False))).withColumn("_record", F.sum(F.col("_start").cast("int")).over(_upto())).where("_record > 0")
+    more = F.array_sort(F.collect_list(F.when(~F.col("_start"), F.struct("page", "row_idx", text.alias("text")))))
+    extra = numbered.groupBy("catalog_id", "_record").agg(F.transform(more, lambda r: r["text"]).alias("more"))
+    return numbered.where("_start").join(extra, ["catalog_id", "_record"]).drop("_start", "_record")
+
+
+# Records of each layout; every reader takes the rows below its beginning
+
+
+def options(df: DataFrame) -> list[DataFrame]:
+    own = df.where(~(_line().startswith("Optional Equipment") | _model_line() | _dated() | (_tokens()[0] == "*")))
+    held = with_continuations(own, _tokens()[0].rlike(OPTION_CODE), _line())
+    return [described(held, "pr_code", {"code": _tokens()[0], "description": F.trim(F.concat_ws(" ", words(2), F.array_join("more", " ")))})]
+
+
+def sales(df: DataFrame) -> list[DataFrame]:
+    at = place(lambda t: t.rlike(PERIOD), 1)
+    own = df.where(at.isNotNull() & _tokens()[0].rlike(r"^\d{5,6}\z") & ~_model_line() & (place(lambda t: t.rlike(PERIOD)) > 1))
+    return [described(own, "sales_type", {"sales_term": _tokens()[0], "description": words(2, at), **period(at)})]
+
+
+def chassis(df: DataFrame) -> list[DataFrame]:
+    own = df.where(~_model_line() & ~((F.size(_tokens()) == 1) & (_tokens()[0] == "V-Pages")))
+    starts = _tokens()[0].rlike(r"^\d{4}\z")
+    held = with_continuations(own.where(starts | ~_dated()), starts, F.trim(_line()))
+    at = F.coalesce(place(lambda t: t.startswith(">"), 3), F.lit(4))
+    remark = blank(F.concat_ws(" ", blank(words(at + 1)), blank(F.array_join("more", " "))))
+    return [described(held, "vin_range", {"model_year": _tokens()[0], "start_date": token(2), "vin_from": token(3), "vin_to": blank(F.regexp_replace(F.coalesce(token(at), F.lit("")), "^>", "")), "remark": remark})]
+
+
+def mounted(df: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows with a mounting period behind their first token, and its place."""
+    at = place(lambda t: t.rlike(PERIOD))
+    return df.where((at > 1) & ~_model_line() & ~_dated()), at
+
+
+def engines(df: DataFrame) -> list[DataFrame]:
+    own, at = mounted(df)
+    from_right = lambda k: F.when(at - k > 1, F.try_element_at(_tokens(), F.greatest(at - k, F.lit(1))))
+    return [described(own, "engine_code", {"ec": _tokens()[0], "displacement_l": blank(from_right(4)), "power_kw": leading_int(from_right(3)), "power_hp": leading_int(from_right(2)), "cylinders": leading_int(from_right(1)), **period(at)})]
+
+
+def gearboxes(df: DataFrame) -> list[DataFrame]:
+    own, at = mounted(df)
+    return [described(own, "transmission_code", {"tc": _tokens()[0], "type_code": F.when(at > 2, F.try_element_at(_tokens(), F.greatest(at - 1, F.lit(1)))), **period(at)})]
+
+
+def numbers(table: str, kind: str) -> Callable[[DataFrame], list[DataFrame]]:
+    def read(df: DataFrame) -> list[DataFrame]:
+        at = place(lambda t: t.rlike(r"^20\d{2}\z"))
+        printed = words(1, at)
+        low, high = F.trim(F.substring_index(printed, ">", 1)), F.trim(F.regexp_replace(printed, "^[^>]*>?", ""))
+        both = printed.contains(">") & (low != "") & (high != "")
+        values = {"number_from": F.when(both, low).otherwise(printed), "number_to": F.when(both, range_end(low, high)), "model_year": token(at), "vehicle_type": words(at + 1, F.size(_tokens())), kind: F.element_at(_tokens(), -1)}
+        return [described(df.where((at > 1) & ~_dated()), table, values)]
+
+    return read
+
+
+def two_digit_year(value: Column) -> Column:
+    return expand_two_digit(F.regexp_extract(value, r"^\s*(\d+)", 1), F.col("pivot"))
+
+
+def old_types(df: DataFrame) -> list[DataFrame]:
+    own = df.where(~(F.array_contains(_tokens(), "SUMMARY") & F.array_contains(_tokens(), "TYPES")) & ~F.array_contains(_tokens(), "PLEASE") & ~_line().contains("NOTE THE LAST"))
+    own = own.withColumn("tokens", F.when(_tokens()[0] == "*", F.slice(_tokens(), F.lit(2), F.size(_tokens()))).otherwise(_tokens())).withColumn("line", F.array_join("tokens", " "))
+    own = own.withColumn("at", place(lambda t: t.rlike(CHASSIS_RANGE))).where(F.col("at").isNotNull() | _line().rlike(OPEN_TYPE))
+    part = lambda k: F.regexp_extract(_line(), OPEN_TYPE, k)
+    opened, at = F.col("at").isNull(), F.col("at")
+    years = F.array_max(F.transform(_tokens(), lambda t, i: F.when(t.rlike(r"^\d{2}\z") & (i + 1 < at), i + 1)))
+    own = own.withColumn("at_year", years)
+    year = F.col("at_year")
+    own = own.withColumn("vehicle", carried(F.when(opened, part(1)).otherwise(blank(words(1, year))))).withColumn("year", carried(F.when(opened, part(2)).otherwise(token(year))))
+    lead = F.when(year.isNotNull(), F.slice(_tokens(), year + 1, F.greatest(at - year - 1, F.lit(0))))
+    shaped, lettered = (F.filter(lead, _fits(p)) for p in (CHASSIS_SHAPE, "[A-Z]"))
+    low, high = F.substring_index(token(at), ">", 1), F.regexp_replace(token(at), "^[^>]*>", "")
+    inner = F.regexp_extract(low, r"^(.*[A-Z])\d+\z", 1)
+    prefix = F.coalesce(blank(inner), F.try_element_at(shaped, F.lit(1)), F.try_element_at(lettered, F.lit(1)), F.lit(""))
+    ranged = {
+        "vin_from": blank(F.when(inner != "", low).otherwise(F.concat(prefix, low))), "vin_to": blank(F.when(high.rlike(r"^\d+\z"), F.concat(prefix, high)).otherwise(high)),
+        "remark": blank(F.concat_ws(" — ", F.col("vehicle"), blank(words(at + 1)))),
+    }
+    open_ended = {"vin_from": F.concat_ws(" ", part(3), part(4)), "vin_to": _none(), "remark": F.concat_ws(" — ", part(1), part(5))}
+    values = {k: F.when(opened, open_ended[k]).otherwise(ranged[k]) for k in ranged}
+    return [described(own, "vin_range", {"model_year": F.col("year").try_cast("int"), "start_date": _none(), **values})]
+
+
+def _fits(pattern: str) -> Callable[[Column], Column]:
+    return lambda t: t.rlike(pattern)
+
+
+def summary_rows(df: DataFrame, code: str) -> DataFrame:
+    """Rows of an old summary by shape: `open` (a whole line), `coded` (a code of the family), `short` (a year between code and range), or `other`."""
+    own = df.withColumn("at_code", place(_fits(code)))
+    middle = F.array_min(F.transform(_tokens(), lambda t, i: F.when((i > 0) & (i + 1 < F.size(_tokens())) & t.rlike(r"^\d{2}\z") & F.try_element_at(_tokens(), i + 2).rlike(r"^(?=.*\d)(?=.*[>/])"), i + 1)))
+    own = own.withColumn("at_year", middle).withColumn("at_range", F.when(F.col("at_code").isNotNull(), place(_fits(DIGITED_RANGE), F.col("at_code"))))
+    shape = F.when(_line().rlike(OPEN_CODE), "open").when(F.col("at_code").isNotNull(), "coded").when(F.col("at_year").isNotNull(), "short").otherwise("other")
+    return own.withColumn("shape", shape)
+
+
+def _open(k: int) -> Column:
+    return F.regexp_extract(_line(), OPEN_CODE, k)
+
+
+def _by_shape(**cases: Column) -> Column:
+    return reduce(lambda chain, c: chain.when(F.col("shape") == c[0], c[1]), cases.items(), F.when(F.lit(False), _none()))
+
+
+def first_of_code(df: DataFrame, table: str, key: str, values: dict[str, Column]) -> DataFrame:
+    """The first row of each code."""
+    own = df.withColumn("_turn", F.row_number().over(Window.partitionBy("catalog_id", "code").orderBy("page", "row_idx"))).where("_turn = 1")
+    return described(own, table, {key: F.col("code"), **values, "mount_from": _none(), "mount_to": _none(), "remark": _none()})
+
+
+def old_engines(df: DataFrame) -> list[DataFrame]:
+    own = summary_rows(df.where(~(F.array_contains(_tokens(), "SUMMARY") & F.array_contains(_tokens(), "ENGINES"))), ENGINE)
+    code, at, year = F.col("at_code"), F.col("at_range"), F.col("at_year")
+    lone = (F.col("shape") == "other") & (F.size(_tokens()) == 1) & _tokens()[0].rlike(DIGITED_RANGE)
+    own = own.where(((F.col("shape") == "coded") & (at > 1)) | F.col("shape").isin("open", "short") | lone)
+    low = lambda c: F.substring_index(c, ">", 1)
+    high = lambda c: F.regexp_replace(c, "^[^>]*>", "")
+    sides = F.split(token(year + 1), "[>/]")
+    start = F.concat_ws(" ", token(at - 1), blank(low(token(at))))
+    own = own.withColumn("code", _by_shape(open=_open(2), coded=token(code), short=token(year - 1)))
+    own = own.withColumn("tech", _by_shape(open=_open(6), coded=words(at + 1), short=words(year + 2)))
+    own = own.withColumn("from", _by_shape(open=F.concat_ws(" ", _open(4), _open(5)), coded=start, short=sides[0], other=low(_tokens()[0])))
+    own = own.withColumn("to", _by_shape(open=_none(), coded=range_end(start, high(token(at))), short=F.try_element_at(sides, F.lit(2)), other=high(_tokens()[0])))
+    told = F.struct(
+        two_digit_year(_by_shape(open=_open(3), coded=token(code + 1), short=token(year))).alias("year"), _by_shape(open=_open(1), coded=words(1, code), short=words(1, year - 1)).alias("vehicle"),
+        F.when(F.col("shape") == "coded", undotted(F.col("code"))).otherwise(F.col("code")).alias("kind"),
+    )
+    own = own.withColumn("held", carried(F.when(F.col("code").isNotNull(), told))).where(F.col("held").isNotNull())
+    tech = tech_data(F.col("tech"))
+    codes = first_of_code(own.where("code IS NOT NULL"), "engine_code", "ec", {"displacement_l": tech["displacement_l"], "power_kw": tech["power_kw"], "power_hp": _none(), "cylinders": tech["cylinders"]})
+    return [codes, described(own, "engine_number_range", {"number_from": blank(F.col("from")), "number_to": blank(F.col("to")), "model_year": F.col("held.year"), "vehicle_type": F.col("held.vehicle"), "engine_type": F.col("held.kind")})]
+
+
+def old_gearboxes(df: DataFrame) -> list[DataFrame]:
+    own = summary_rows(df.where(~F.array_contains(_tokens(), "SUMM.TRANSMISS.") & ~(F.array_contains(_tokens(), "SUMMARY") & F.array_contains(_tokens(), "TRANSMISS"))), GEARBOX)
+    code, at, year = F.col("at_code"), F.col("at_range"), F.col("at_year")
+    plain = place(_fits(GEARBOX_PLAIN), code)
+    short = (F.col("shape") == "short") & token(year - 1).rlike(GEARBOX_SHORT) & token(year + 1).rlike(RANGE)
+    body = (F.size(_tokens()) == 1) & _tokens()[0].rlike(BODY_WORD) & (F.col("shape") == "other")
+    own = own.where(((F.col("shape") == "coded") & at.isNotNull() & plain.isNotNull()) | (F.col("shape") == "open") | short | body)
+    low, high = F.substring_index(token(at), ">", 1), F.regexp_replace(token(at), "^[^>]*>", "")
+    start = F.regexp_replace(F.trim(F.concat_ws(" ", token(plain), token(at - 1), blank(low))), r"\s+", " ")
+    # a lone body word belongs to the vehicle of the row before it, unless that has a code of the newer family
+    own = with_continuations(own, F.col("shape") != "other", _line())
+    own = own.withColumn("code", _by_shape(open=_open(2), coded=token(code), short=token(year - 1)))
+    own = own.withColumn("type", _by_shape(open=F.trim(_open(6)), coded=blank(words(at + 1)), short=blank(words(year + 2))))
+    ends = F.split(token(year + 1), ">")
+    vehicle = _by_shape(open=_open(1), coded=words(1, code), short=words(1, year - 1))
+    values = {
+        "number_from": blank(_by_shape(open=F.concat_ws(" ", _open(4), _open(5)), coded=start, short=ends[0])), "number_to": blank(_by_shape(coded=range_end(start, high), short=F.try_element_at(ends, F.lit(2)))),
+        "model_year": two_digit_year(_by_shape(open=_open(3), coded=token(code + 1), short=token(year))), "vehicle_type": F.when(F.col("shape") == "coded", vehicle).otherwise(F.trim(F.concat_ws(" ", vehicle, F.array_join("more", " ")))),
+        "gearbox_type": F.when(F.col("shape") == "coded", token(plain)).otherwise(F.col("code")),
+    }
+    return [first_of_code(own, "transmission_code", "tc", {"type_code": F.col("type")}), described(own, "transmission_number_range", values)]
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A printed table: what names its pages, what begins it, and its reader."""
+
+    heading: str
+    begins: Column
+    read: Callable[[DataFrame], list[DataFrame]]
+    latch: str
+    plain: Column | None = None  # rows that are looked at; all by default
+
+
+def layouts() -> tuple[Layout, ...]:
+    """All layouts, in the order in which their headings are looked for on a page."""
+    return (
+        Layout("Optional Equipment", _line().rlike(r"\bNR\b") & _line().contains("Description"), options, "pr"),
+        Layout("Model Overview Sales Type", _line().contains("Sales term"), sales, "sales"),
+        Layout("Model Overview EC", _tokens()[0] == "EC", engines, "ec"),
+        Layout("Model Overview TC", _tokens()[0] == "TC", gearboxes, "tc"),
+        Layout("VIN-Numbers Overview", _line().contains("Model year"), chassis, "vin"),
+        Layout("SUMMARY TYPES", some(lambda t: (t == "VIN") | t.startswith("IDENT")), old_types, "types", ~(_dated() | _model_line() | ((F.size(_tokens()) == 1) & (_tokens()[0] == "V-Pages")))),
+        Layout("SUMMARY ENGINES", F.array_contains(_tokens(), "MY"), old_engines, "eng", ~((_tokens()[0] == "V-Pages") | _model_line() | _dated())),
+        Layout("SUMM.TRANSMISS", F.array_contains(_tokens(), "MY"), old_gearboxes, "gear", ~((_tokens()[0] == "V-Pages") | _model_line() | _dated())),
+        Layout("Engine type", _line().contains("Engine number"), numbers("engine_number_range", "engine_type"), "en"),
+        Layout("Gearbox type", _line().contains("Gearbox type"), numbers("transmission_number_range", "gearbox_type"), "gn"),
+    )
+
+
+OLD_HEADINGS = "SUMMARY ENGINES|SUMM\\.TRANSMISS|SUMMARY TYPES"
+MODEL = r"Model:\s*(.+?)\s+Model life"
+LIFE = r"Model life\s+(\d{4})\s*>>\s*(\d{4})"
+
+
+def page_texts(rows: DataFrame) -> DataFrame:
+    """(catalog_id, page, text, active): each page's text, and the layout that its rows belong to."""
+    lines = F.array_sort(F.collect_list(F.struct("row_idx", F.array_join("tokens", " ").alias("line"))))
+    pages = rows.groupBy("catalog_id", "page").agg(F.array_join(F.transform(lines, lambda r: r["line"]), "\n").alias("text"))
+    headings = [layout.heading for layout in layouts()]
+    named = reduce(lambda chain, k: chain.when(F.col("text").contains(headings[k]), k), range(1, len(headings)), F.when(F.col("text").contains(headings[0]), 0))
+    upto = Window.partitionBy("catalog_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    return pages.withColumn("active", F.last(named, ignorenulls=True).over(upto))
+
+
+def catalog_facts(pages: DataFrame) -> DataFrame:
+    """(catalog_id, model, dialect, pivot, life_end) from the first page that prints each."""
+    first = lambda pattern, k: F.min_by(F.regexp_extract("text", pattern, k), F.when(F.col("text").rlike(pattern), F.col("page")))
+    old = F.max(F.col("text").rlike(OLD_HEADINGS))
+    return pages.groupBy("catalog_id").agg(F.coalesce(first(MODEL, 1), F.lit("")).alias("model"), F.when(old, "old").otherwise("modern").alias("dialect"), first(LIFE, 1).cast("int").alias("pivot"), first(LIFE, 2).cast("int").alias("life_end"))
 
 
 def parse(rows: DataFrame) -> DataFrame:
@@ -255,16 +311,21 @@ def parse(rows: DataFrame) -> DataFrame:
 
     Each catalogue also gets one row of table `catalog`: model, dialect, pivot, life_end.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        front = Front()
-        for _, page in pdf.sort_values(["page", "row_idx"], kind="stable").groupby("page", sort=True):
-            front.page([[x.strip() for x in t if x and x.strip()] for t in page["tokens"]])
-        front.add("catalog", model=front.model, dialect=front.dialect, pivot=front.pivot and str(front.pivot), life_end=front.life_end and str(front.life_end))
-        out = [(pdf["catalog_id"].iloc[0], name, i, {k: v for k, v in row.items()}) for name, held in front.tables.items() for i, row in enumerate(held, 1)]
-        return pd.DataFrame(out, columns=["catalog_id", "table_name", "seq", "fields"])
-
-    return rows.groupBy("catalog_id").applyInPandas(fold, OUT)
+    clean = F.filter(F.transform("tokens", lambda t: F.regexp_replace(t, r"^\s+|\s+\z", "")), lambda t: t != "")
+    rows = rows.select("catalog_id", "page", "row_idx", clean.alias("tokens"))
+    pages = page_texts(rows)
+    facts = catalog_facts(pages)
+    told = rows.where(F.size("tokens") > 0).withColumn("line", F.array_join("tokens", " ")).join(pages.select("catalog_id", "page", "active"), ["catalog_id", "page"]).join(facts.select("catalog_id", "pivot"), "catalog_id")
+    found = [facts.select("catalog_id", F.lit("catalog").alias("table_name"), F.lit(0).alias("page"), F.lit(0).alias("row_idx"), F.create_map(*[x for c in ("model", "dialect", "pivot", "life_end") for x in (F.lit(c), F.col(c).cast("string"))]).alias("fields"))]
+    for k, layout in enumerate(layouts()):
+        own = told.where(F.col("active") == k)
+        if layout.plain is not None:
+            own = own.where(layout.plain)
+        begun = own.withColumn("_begun", F.coalesce(F.max(layout.begins).over(_upto(-1)), F.lit(False))).where("_begun").drop("_begun")
+        found += layout.read(begun)
+    out = reduce(DataFrame.unionByName, found)
+    seq = F.row_number().over(Window.partitionBy("catalog_id", "table_name").orderBy("page", "row_idx"))
+    return out.select("catalog_id", "table_name", seq.alias("seq"), "fields")
 
 
 def table_of(parsed: DataFrame, name: str, columns: dict[str, str]) -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scope as language
+from ..functions.text import normal_token
 from ..operators import applicability, directory, fitment, parts, ranges, vpages
 from ..sources.documents import outline_sections
+from ..sources.tables import settled
 
 _FACETS = {"engine_code": "engines", "gearbox_code": "gearboxes", "body_line": "lines", "body_style": "bodies", "drive_code": "drive", "trim_code": "trim"}
-_TITLES = "catalog_id string, section_id string, " + ", ".join(f"{c} array<string>" for c in _FACETS)
 _TYPED = {
     "pr_code": {"code": "string", "description": "string"},
     "sales_type": {c: "string" for c in ("sales_term", "description", "mount_from", "mount_to", "remark")},
@@ -32,31 +32,35 @@ def vocabulary(tables: dict[str, DataFrame]) -> DataFrame:
     return out.where("word IS NOT NULL").distinct()
 
 
+def vocabularies(words: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """(catalog_id, words): each catalogue's vocabulary as one struct."""
+    held = lambda kind: F.collect_set(F.when(F.col("kind") == kind, normal_token(F.col("word")))).alias(kind)
+    listed = words.groupBy("catalog_id").agg(*[held(k) for k in ("engines", "gearboxes", "options", "lines")])
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(k, none).alias(k) for k in ("engines", "gearboxes", "options", "lines")]
+    return catalogs.join(listed, "catalog_id", "left").select("catalog_id", F.struct(*lists, F.coalesce("dialect", F.lit("modern")).alias("dialect"), "pivot").cast(language.VOCABULARY).alias("words"))
+
+
 def title_facets(titles: DataFrame, words: DataFrame, catalogs: DataFrame) -> DataFrame:
-    """Facet values that every variant of a section's title states; null where some variant is silent."""
-    told = words.join(catalogs.select("catalog_id", "dialect", "pivot"), "catalog_id", "full_outer")
-
-    def fold(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        held = {k: known.loc[known["kind"] == k, "word"].tolist() for k in ("engines", "gearboxes", "options", "lines")}
-        pivot = known["pivot"].dropna()
-        words = language.Vocabulary.of(**held, dialect=next(iter(known["dialect"].dropna()), None), pivot=int(pivot.iloc[0]) if len(pivot) else None)
-        rows = []
-        for catalog, section, scope in own[["catalog_id", "section_id", "model_scope"]].itertuples(index=False):
-            variants: list[list[str]] = []
-            for token in (scope or "").split():
-                read = language.parse(token, words)
-                if not variants or read["lines"]["any"] or read["bodies"]["any"]:
-                    variants.append([])
-                variants[-1].append(token)
-            parsed = [language.parse(" ".join(v), words) for v in variants]
-            facets = []
-            for group in _FACETS.values():
-                stated = [p[group]["any"] for p in parsed]
-                facets.append(list(dict.fromkeys(v for s in stated for v in s)) if stated and all(stated) else None)
-            rows.append((catalog, section, *facets))
-        return pd.DataFrame(rows, columns=["catalog_id", "section_id", *_FACETS])
-
-    return titles.groupBy("catalog_id").cogroup(told.groupBy("catalog_id")).applyInPandas(fold, _TITLES)
+    """Facet values that every variant of a section's title states; null where some variant is silent.
+
+    A variant begins at each token that names a line or a body.
+    """
+    key = ["catalog_id", "section_id"]
+    known = vocabularies(words, catalogs)
+    tokens = F.filter(F.split(F.coalesce("model_scope", F.lit("")), r"\s+"), lambda t: t != "")
+    told = titles.join(known, "catalog_id").select(*key, "words", F.posexplode(tokens).alias("pos", "token"))
+    told = language.with_scope(told, "token", "read", "words")
+    begins = (F.size("read.lines.any") > 0) | (F.size("read.bodies.any") > 0)
+    upto = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # tokens before the first that begins a variant are one too
+    told = told.withColumn("variant", F.sum((begins & (F.col("pos") > 0)).cast("int")).over(upto))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
+    variants = told.groupBy(*key, "variant").agg(F.array_join(F.transform(ordered, lambda t: t["token"]), " ").alias("text"), F.first("words").alias("words"))
+    read = language.with_scope(variants, "text", "read", "words")
+    stated = lambda group: F.transform(F.array_sort(F.collect_list(F.struct("variant", F.col(f"read.{group}.any").alias("v")))), lambda x: x["v"])
+    every = lambda group: F.min(F.size(F.col(f"read.{group}.any"))) > 0
+    return read.groupBy(*key).agg(*[F.when(every(g), F.array_distinct(F.flatten(stated(g)))).alias(c) for c, g in _FACETS.items()])
 
 
 def build(outlines: DataFrame, front_rows: DataFrame, items: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
@@ -67,7 +71,7 @@ def build(outlines: DataFrame, front_rows: DataFrame, items: DataFrame, pages: D
     (catalog_id, page_count).  The work is dealt by (catalogue, section); ids
     follow print order.
     """
-    front = vpages.parse(front_rows)
+    front = settled(vpages.parse(front_rows), "front")
     out = {name: vpages.table_of(front, name, kinds) for name, kinds in _TYPED.items()}
     catalogs = vpages.table_of(front, "catalog", {"model": "string", "dialect": "string", "pivot": "int", "life_end": "int"}).join(pages, "catalog_id")
     out["catalog"] = catalogs.select(F.col("catalog_id").alias("id"), "model", "page_count", "dialect", F.col("pivot").alias("year_pivot"))
@@ -75,9 +79,9 @@ def build(outlines: DataFrame, front_rows: DataFrame, items: DataFrame, pages: D
     out["main_group"] = directory.main_groups(listed.select("catalog_id", F.col("group_number").alias("number"), F.col("group_title").alias("title"), "seq"))
     spans = directory.page_spans(listed, F.col("page_count"), ["catalog_id"])
     own = items.join(spans.select("catalog_id", "page", F.col("seq").cast("string").alias("section_id")), ["catalog_id", "page"]).join(catalogs.select("catalog_id", "dialect", "pivot", "life_end"), "catalog_id")
-    rows = parts.extract(own)
+    rows = settled(parts.extract(own), "parts")
     titles = rows.where("kind = 'title'").select("catalog_id", "section_id", F.col("description").alias("_title"), F.col("remarks").alias("_remark"), F.col("model").alias("_model"), "model_scope", F.col("applicability").alias("_scope"))
-    facets = title_facets(titles, vocabulary(out), catalogs)
+    facets = settled(title_facets(titles, settled(vocabulary(out), "words"), catalogs), "facets")
     groups = out["main_group"].select("catalog_id", F.col("number").alias("group_number"), F.col("id").alias("main_group_id"))
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     sections = listed.withColumn("section_id", F.col("seq").cast("string")).join(groups, ["catalog_id", "group_number"]).join(titles, ["catalog_id", "section_id"], "left").join(facets, ["catalog_id", "section_id"], "left")
@@ -104,8 +108,8 @@ def parts_of_vehicles(tables: dict[str, DataFrame], vehicles: DataFrame) -> Data
     """(vehicle_id, part_id): parts whose section and inherited scope admit the vehicle."""
     none = F.array().cast("array<string>")
     part = applicability.with_inherited_scope(tables["part"].withColumn("id", F.struct("catalog_id", "id")).withColumn("parent_id", F.when(F.col("parent_id").isNotNull(), F.struct("catalog_id", "parent_id").cast("struct<catalog_id:string,id:bigint>"))))
-    part = language.with_scope(part, "effective_scope", "scope")
-    section = language.with_scope(tables["section"].withColumn("_s", F.coalesce("applicability", F.lit(""))), "_s", "section_scope")
+    part = settled(language.with_scope(part, "effective_scope", "scope"), "part_scopes")
+    section = settled(language.with_scope(tables["section"].withColumn("_s", F.coalesce("applicability", F.lit(""))), "_s", "section_scope"), "section_scopes")
     for column, group in _FACETS.items():
         stated = F.struct(F.array_union(F.col(f"section_scope.{group}.any"), F.coalesce(column, none)).alias("any"), F.col(f"section_scope.{group}.not").alias("not"))
         section = section.withColumn("section_scope", F.col("section_scope").withField(group, stated))

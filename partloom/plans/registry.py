@@ -425,11 +425,11 @@ _PRINTED = ("D >> - MJ 2007 | D - MJ 2008>>", "PR:098,-422", "TURBO/COUPE", "F >
 
 @query("t46_parse_scope")
 def parse_scope(t):
-    from ..functions.scope import Vocabulary, with_scope
+    from ..functions.scope import Vocabulary, is_scope, with_scope
 
     printed = F.element_at(strings(*_PRINTED), (F.col("p_partkey") % len(_PRINTED) + 1).cast("int"))
     parsed = with_scope(t("part").select("p_partkey", printed.alias("printed")), "printed", words=Vocabulary.of(engines=["9770"]))
-    return parsed.select("p_partkey", F.to_json("scope").alias("scope"), fitment.is_scope(F.col("scope")).alias("whole"))
+    return parsed.select("p_partkey", F.to_json("scope").alias("scope"), is_scope(F.col("scope")).alias("whole"))
 
 
 @query("t47_g4_roundtrip")

@@ -14,14 +14,14 @@ def one(spark, c):
     return spark.range(1).select(c.alias("x")).first().x
 
 
-def page(*rows):
-    s = parts.Section()
-    s.page([HEAD, *rows])
-    return s
-
-
-def out(s, old=False):
-    return [r[2:] for r in s.rows("c", "s", old, 1998, 2005)]
+def read(spark, pages, old=False):
+    """Rows of one section without their first two columns, in print order."""
+    items = []
+    for p, rows in enumerate(pages, 1):
+        for y, row in enumerate(rows):
+            items += [("c", "s", p, 800.0, 100 * y + i, t, None if x is None else float(x), 700.0 - 10 * y, "old" if old else None, 1998, 2005) for i, (t, x) in enumerate(row)]
+    df = spark.createDataFrame(items, "catalog_id string, section_id string, page int, page_height double, item_idx int, str string, x double, y double, dialect string, pivot int, life_end int")
+    return [tuple(r)[2:] for r in sorted(parts.extract(df).collect(), key=lambda r: (r.block, r.child))]
 
 
 def test_vin(spark):
@@ -49,31 +49,26 @@ def test_numbers(spark):
     assert one(spark, text.natural_key(F.lit("3/12"))) == [3, 12]
 
 
-def test_wrapped_options_and_variants():
-    s = page([("1", 14), ("997", 57), ("501", 78), ("Lock", 162), ("2", 445), ("PR:098,", 488)], [("490", 488)], [("D - MJ 2008>>", 162)], [("997", 57), ("502", 78), ("FSA", 135), ("black", 162), ("D >> - MJ 2009", 488)], [("A", 57), ("paint", 162), ("A 1", 488)])
-    rows = out(s)
+def test_wrapped_options_and_variants(spark):
+    rows = read(spark, [[HEAD, [("1", 14), ("997", 57), ("501", 78), ("Lock", 162), ("2", 445), ("PR:098,", 488)], [("490", 488)], [("D - MJ 2008>>", 162)], [("997", 57), ("502", 78), ("FSA", 135), ("black", 162), ("D >> - MJ 2009", 488)], [("A", 57), ("paint", 162), ("A 1", 488)]]])
     assert rows[0][-1] == "PR:098,490 | D - MJ 2008>>"
     assert rows[1][4:7] == ("997 502 FSA", "FSA", "black") and rows[1][-1] == "PR:098,490 | D >> - MJ 2009"
     assert rows[2][8] == "A 1" and rows[2][-1] == ""
 
 
-def test_block_crosses_pages_and_bulk_is_cloned():
-    s = page([("-", 14), ("900", 57), ("918", 78), ("Pipe", 162), ("*", 445)], [("16", 14), ("shorten to:", 162), ("980 MM", 346), ("1", 445)])
-    s.title_open = False
-    s.page([HEAD, [("rest", 162)], [("not for:", 162)], [("Australien", 162)]])
-    rows = out(s)
+def test_block_crosses_pages_and_bulk_is_cloned(spark):
+    first = [HEAD, [("-", 14), ("900", 57), ("918", 78), ("Pipe", 162), ("*", 445)], [("16", 14), ("shorten to:", 162), ("980 MM", 346), ("1", 445)]]
+    rows = read(spark, [first, [HEAD, [("rest", 162)], [("not for:", 162)], [("Australien", 162)]]])
     assert rows[1][4] == "900 918" and rows[1][6] == "Pipe rest" and rows[1][8] == "shorten to: 980 MM" and rows[1][-1] == '-"AUS"'
 
 
-def test_notes_close_descriptions():
-    s = page([("(2)", 14), ("996", 57), ("Relay", 162)], [("relay location/code no.:", 162), ("S4", 346)], [("also use:", 162), ("997", 346)], [("more", 162)], [("Discontinued part", 162)], [("X", 14), ("legend", 162)], [("lost", 162)])
-    (row,) = out(s)
+def test_notes_close_descriptions(spark):
+    (row,) = read(spark, [[HEAD, [("(2)", 14), ("996", 57), ("Relay", 162)], [("relay location/code no.:", 162), ("S4", 346)], [("also use:", 162), ("997", 346)], [("more", 162)], [("Discontinued part", 162)], [("X", 14), ("legend", 162)], [("lost", 162)]]])
     assert row[6] == "Relay Discontinued part" and row[8] == "relay location/code no.: S4 also use: 997 more"
 
 
-def test_titles_and_old_remarks():
-    s = page([("Body", 162), ("COUPE", 488)], [("Sound", 162)], [("third", 162)], [("1", 14), ("996", 57), ("Mat", 162), ("-02 (J) 45-46", 346)])
-    rows = out(s, old=True)
+def test_titles_and_old_remarks(spark):
+    rows = read(spark, [[HEAD, [("Body", 162), ("COUPE", 488)], [("Sound", 162)], [("third", 162)], [("1", 14), ("996", 57), ("Mat", 162), ("-02 (J) 45-46", 346)]]], old=True)
     assert rows[0][0] == "title" and rows[0][6] == "Body Sound third" and rows[0][10] == "COUPE"
     assert rows[1][-1] == "-02 | (J)"
 
