@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .pretokens import classes
 from .store import materialize, ranked, ship, table
-from .tokens import text_runs, worker_encoder
+from .tokens import Encoder, Ids, text_runs, worker_encoder
 
 PIECES = "doc_id long, part int, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -60,14 +61,20 @@ def placements(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, in
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every text's ids and `end_id`, cut into full pieces of `capacity` and a rest."""
 
+    own = Encoder(path)
+    shared = docs.sparkSession.sparkContext.broadcast(classes(own.model) if own.split else None)
+
     def cut(batches):
         encoder = worker_encoder(path, "ids")
+        if encoder.split and encoder.ider is None:
+            encoder.ider = Ids(encoder, shared.value)
+        ids_of = encoder.ider or encoder.ids
         closing = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, rows = batch.column(0).to_pylist(), []
             for at, run in text_runs(batch.column(1).to_pylist()):
-                for k, ids in zip(keys[at : at + len(run)], encoder.ids(run), strict=True):
-                    ids += closing
+                for k, ids in zip(keys[at : at + len(run)], ids_of(run), strict=True):
+                    ids = ids.astype("<u4").tobytes() + closing
                     n = len(ids) // 4
                     for part, start in enumerate(range(0, n, capacity)):
                         own = ids[4 * start : 4 * (start + capacity)]
@@ -86,8 +93,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, doc_
     offset).  Sequence ids are gapless from 0.  Full pieces are patterns of their
     own; the rests' length histogram, at most `capacity` rows, is packed on the
     driver and the patterns are joined back by each piece's rank among pieces of
-    its length.  A null text counts as empty (its end id alone); a null doc_id is
-    kept; repeated rows are packed once each; an empty table gives no rows.
+    its length.  A null text counts as empty (its end id alone); long texts are
+    cut into several pieces; a null doc_id is kept; repeated rows are packed once
+    each; equal lengths go by (doc_id, start, ids_crc32); an empty table gives no
+    rows; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)

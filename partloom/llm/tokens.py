@@ -1,4 +1,4 @@
-"""Token counts by a two-tier map-side lookup (operator 2) and whole-text token ids."""
+"""Token counts by a two-tier map-side lookup (operator 2), and ids of whole texts."""
 
 from __future__ import annotations
 
@@ -21,48 +21,26 @@ CACHE = 600_000
 #: Pre-tokens that one partition has the text of at once, and characters of one at most.
 COUNTED, LONGEST = 300_000, 64
 _BEYOND = re.compile("[\ud800-\udfff\U00010000-\U0010ffff]")
-_UNSAFE = re.compile(" (?=[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]|\\Z)")
-_ODD = re.compile("[\\s\\x1c-\\x1f\\x85\\xa0\\u180e\\u200b\\u2060\\ufeff]")
 
-#: A word with marks behind it, and perhaps, on the next line, another: always cut there into pre-tokens.
-_PARTS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)(?:\n([^\W\d_]+)([!-/:-@\[-`{-~]*))?")
 
-
-def pieces_of(text: str) -> list[str]:
-    """Cut a text before blanks that start a pre-token; every piece but the first lost that blank.
-
-    A blank followed by a visible character always starts a pre-token of the
-    byte-level pattern, and what stands before it is cut the same way with or
-    without what follows.  Other blanks stay inside a piece.
-    """
-    parts = text.split(" ")
-    if _UNSAFE.search(text) is None:
-        return parts
-    out = [parts[0]]
-    for p in parts[1:]:
-        if not p or _ODD.match(p):
-            out[-1] += " " + p
-        else:
-            out.append(p)
-    return out
+def within_plane(text: str) -> bool:
+    return text.isascii() or _BEYOND.search(text) is None
 
 
 class Encoder:
-    """Ids of whole texts, equal to the library's, from cached ids of pieces.
+    """A tokenizer file: its library's model, and whether texts can be encoded pre-token by pre-token.
 
-    Byte-level BPE files without normaliser or template are cut into pieces;
-    any other file has its texts encoded whole.
+    That is so (`split`) for byte-level BPE files without normaliser or template.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
-        self.size, self.first, self.rest, self.older, self.counter = cache, {}, {}, {}, None
+    def __init__(self, path: str):
         self.special: dict[str, int] = {}
-        self.kind = "piece"
-        if path.endswith(".model"):
+        self.cut, self.split, self.counter, self.ider = None, False, None, None
+        self.sentencepiece = path.endswith(".model")
+        if self.sentencepiece:
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.kind = "sentencepiece"
             return
         from tokenizers import Tokenizer
 
@@ -70,123 +48,29 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         pre, added = told.get("pre_tokenizer") or {}, told.get("added_tokens") or []
-        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not any(told.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
-        if not plain:
-            self.kind = "whole"
+        plain = not any(told.get(k) for k in ("normalizer", "post_processor", "truncation", "padding")) and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added)
+        self.split = plain and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.special = {t["content"]: t["id"] for t in added}
-        self.widths = np.zeros(self.model.get_vocab_size(), np.int64)
-        for token, i in self.model.get_vocab(with_added_tokens=False).items():
-            self.widths[i] = len(token)  # one character a byte
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        if self.kind == "sentencepiece":
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, as the library gives them."""
+        if self.sentencepiece:
             return [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
         encode = getattr(self.model, "encode_batch_fast", self.model.encode_batch)
         return [np.array(x.ids, np.uint32) for x in encode(texts, add_special_tokens=False)]
 
-    def _fill(self, heads: set[str], tails: set[str]) -> None:
-        """Have the ids of first pieces and of others that the caches don't hold."""
-        if len(self.rest) > self.size:
-            self.older, self.rest = self.rest, {}
-        if len(self.first) > self.size // 2:
-            self.first = {}
-        again = [p for p in tails if p in self.older]
-        self.rest.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        missing, made = tails.difference(self.rest), []
-        for p in list(missing):
-            m = _PARTS.fullmatch(p)
-            if m and m[1] != p and m[1].isalpha() and (m[3] is None or m[3].isalpha()):
-                bare = [x for x in ((m[2],) if m[3] is None else (m[2], "\n", m[3], m[4])) if x]
-                made.append((p, m[1], bare))
-                missing.discard(p)
-                heads.update(bare)
-                if m[1] not in self.rest:
-                    if m[1] in self.older:
-                        self.rest[m[1]] = self.older[m[1]]
-                    else:
-                        missing.add(m[1])
-        lack = list(heads.difference(self.first))
-        found = self._ids(lack) if lack else []
-        self.first.update(zip(lack, (x.astype("<u4").tobytes() for x in found), strict=True))
-        lack = list(missing)
-        for at in range(0, len(lack), 8192):
-            some = lack[at : at + 8192]
-            self.rest.update(zip(some, self._joined(some), strict=True))
-        first, rest = self.first, self.rest
-        for p, word, bare in made:
-            rest[p] = rest[word] + (first[bare[0]] if len(bare) == 1 else b"".join([first[x] for x in bare]))
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces with their blank, from one call: tokens' byte widths tell the pieces apart."""
-        joined = " " + " ".join(pieces)
-        ids = self._ids([joined])[0]
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = np.concatenate([[0], np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1])
-        raw, at = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _cut(self, text: str) -> tuple[list[str], list[int]]:
-        """Stretches between special strings, and the specials' ids."""
-        if self.cut is None or not self.cut.search(text):
-            return [text], []
-        return self.cut.split(text), [self.special[m] for m in self.cut.findall(text)]
-
-    def _look(self, pieces: list[str]) -> tuple[list, list[int]]:
-        """What the tiers hold of pieces, and the places of those that none holds; the first piece is not looked up."""
-        values = list(map(self.rest.get, pieces))
-        return values, [i for i, v in enumerate(values) if v is None]
-
-    def _run(self, texts: list[str]) -> list[tuple[list[list], list[int]]]:
-        """For each text what its stretches' pieces hold, and its specials' ids.
-
-        Stretches are cut at every blank first; where that makes a piece that is
-        none, which no tier can hold, they are cut again with care.
-        """
-        out, found, heads, missing = [], [], set(), set()
-        for t in texts:
-            stretches, special = self._cut(t)
-            held = []
-            for s in stretches:
-                pieces = s.split(" ")
-                values, lack = self._look(pieces)
-                heads.add(pieces[0])
-                missing.update([pieces[i] for i in lack if i])
-                found.append([pieces, values, lack])
-                held.append(values)
-            out.append((held, special))
-        odd = {p for p in missing if not p or _ODD.match(p)}
-        if odd:
-            missing -= odd
-            for f in found:
-                if any(i and f[0][i] in odd for i in f[2]):
-                    f[0] = pieces_of(" ".join(f[0]))
-                    values, f[2] = self._look(f[0])
-                    f[1][:] = values
-                    heads.add(f[0][0])
-                    missing.update([f[0][i] for i in f[2] if i])
-        self._fill(heads, missing)
-        for pieces, values, lack in found:
-            for i in lack:
-                if i:
-                    values[i] = self.rest[pieces[i]]
-            values[0] = self.first[pieces[0]]
-        return out
+    def by_pretoken(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens one after another, and how many each has, from one call."""
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        told = self.model.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        return np.array(told.ids, np.uint32), np.bincount(np.array(told.word_ids, np.int64), minlength=len(pieces))
 
-    def counts(self, texts: list[str]) -> list[int]:
-        return [len(x) for x in self._ids(texts)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if self.kind != "piece":
-            return [x.astype("<u4").tobytes() for x in self._ids(texts)]
-        out = []
-        for held, special in self._run(texts):
-            parts = [b"".join(held[0])]
-            for i, values in zip(special, held[1:], strict=True):
-                parts += [np.array([i], "<u4").tobytes(), *values]
-            out.append(b"".join(parts))
-        return out
+    def apart(self, texts: list[str]) -> tuple[list[int], list[int]]:
+        """Places of texts that can be split into pre-tokens, and of those that are encoded whole."""
+        plain = [i for i, t in enumerate(texts) if within_plane(t) and not (self.cut and self.cut.search(t))] if self.split else []
+        return plain, sorted(set(range(len(texts))).difference(plain))
 
 
 _held: dict[tuple[str, str], Encoder] = {}
@@ -248,10 +132,6 @@ def frequent_pieces(docs: DataFrame, kinds: np.ndarray, text: str = "text", most
     return top
 
 
-def within_plane(text: str) -> bool:
-    return text.isascii() or _BEYOND.search(text) is None
-
-
 class Counter:
     """Token counts of texts: the broadcast table first, then this worker's bounded cache, which encodes what it lacks."""
 
@@ -260,13 +140,6 @@ class Counter:
         self.held: dict[int, int] = {}
         self.older: dict[int, int] = {}
 
-    def lengths(self, pieces: list[str]) -> list[int]:
-        """Tokens of pre-tokens, from one call."""
-        if not pieces:
-            return []
-        words = np.array(self.encoder.model.encode(pieces, is_pretokenized=True, add_special_tokens=False).word_ids, np.int64)
-        return np.bincount(words, minlength=len(pieces)).tolist()
-
     def _encode(self, joined: str, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Counts for distinct hashes that the table lacks."""
         if len(self.held) > self.size:
@@ -281,17 +154,15 @@ class Counter:
                     lack.append(i)
         for at in range(0, len(lack), 4096):
             some = lack[at : at + 4096]
-            found = self.lengths([joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
-            held.update(zip([keys[i] for i in some], found, strict=True))
+            _, found = self.encoder.by_pretoken([joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            held.update(zip([keys[i] for i in some], found.tolist(), strict=True))
         return np.array([held[x] for x in keys], np.int64)
 
     def counts(self, texts: list[str], table: Lengths) -> list[int]:
         out = np.zeros(len(texts), np.int64)
-        special = self.encoder.cut
-        plain = [i for i, t in enumerate(texts) if within_plane(t) and not (special and special.search(t))]
-        if len(plain) < len(texts):
-            rest = sorted(set(range(len(texts))).difference(plain))
-            out[rest] = [len(x) for x in self.encoder._ids([texts[i] for i in rest])]
+        plain, rest = self.encoder.apart(texts)
+        if rest:
+            out[rest] = [len(x) for x in self.encoder.ids([texts[i] for i in rest])]
         joined, starts, ends, first, h = self.cut([texts[i] for i in plain])
         n, missing = table.find(h)
         if missing.any():
@@ -303,6 +174,54 @@ class Counter:
         return out.tolist()
 
 
+class Ids:
+    """Ids of texts from this worker's bounded cache of pre-tokens' ids."""
+
+    def __init__(self, encoder: Encoder, kinds: np.ndarray, size: int = CACHE, most_ids: int = 8 * CACHE):
+        self.encoder, self.cut, self.size, self.most_ids = encoder, Cutter(kinds), size, most_ids
+        self._clear()
+
+    def _clear(self) -> None:
+        self.held: dict[int, int] = {}
+        self.starts, self.flat, self.used = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def _fill(self, joined: str, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Entries of distinct hashes in `starts`, after encoding what the cache lacks."""
+        if len(self.held) > self.size or self.used > self.most_ids:
+            self._clear()
+        keys, held = h.tolist(), self.held
+        lack = [i for i, x in enumerate(keys) if x not in held]
+        news = []
+        for at in range(0, len(lack), 4096):
+            some = lack[at : at + 4096]
+            ids, n = self.encoder.by_pretoken([joined[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            first = len(held)
+            held.update(zip([keys[i] for i in some], range(first, first + len(some)), strict=True))
+            while self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
+            self.flat[self.used : self.used + len(ids)] = ids
+            news.append(self.used + np.cumsum(n))
+            self.used += len(ids)
+        if news:
+            self.starts = np.concatenate([self.starts, *news])
+        return np.array([held[x] for x in keys], np.int64)
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        plain, rest = self.encoder.apart(texts)
+        for i, x in zip(rest, self.encoder.ids([texts[i] for i in rest]) if rest else [], strict=True):
+            out[i] = x
+        joined, starts, ends, first, h = self.cut([texts[i] for i in plain])
+        own, at, back = np.unique(h, return_index=True, return_inverse=True)
+        entry = self._fill(joined, own, starts[at], ends[at])[back]
+        begin, n = self.starts[entry], self.starts[entry + 1] - self.starts[entry]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(begin - total[:-1], n) + np.arange(total[-1])]
+        for i, a, b in zip(plain, total[first[:-1]].tolist(), total[first[1:]].tolist(), strict=True):
+            out[i] = ids[a:b]
+        return out
+
+
 def token_counts(docs: DataFrame, path: str, over: int = 512, doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """Bytes and tokens of every whole text: (doc_id, n_bytes, n_tokens, over_limit).
 
@@ -319,13 +238,13 @@ def token_counts(docs: DataFrame, path: str, over: int = 512, doc_id: str = "doc
     ship(spark)
     own = Encoder(path)
     kinds, lengths = None, None
-    if own.kind == "piece":
+    if own.split:
         kinds = classes(own.model)
         top = frequent_pieces(docs, kinds, text, frequent) if frequent else []
         joined, starts, ends, _, h = Cutter(kinds)(top)
         if len(h) != len(top):
             raise ValueError("a pre-token was cut in two")
-        lengths = Lengths(h, np.array(Counter(own, kinds).lengths(top), np.int64))
+        lengths = Lengths(h, own.by_pretoken(top)[1])
     shared = spark.sparkContext.broadcast((kinds, lengths))
 
     def count(batches):
@@ -337,7 +256,7 @@ def token_counts(docs: DataFrame, path: str, over: int = 512, doc_id: str = "doc
             texts, sizes, counts = batch.column(1).to_pylist(), [], []
             for _, run in text_runs(texts):
                 sizes += [len(t.encode()) for t in run]
-                counts += encoder.counts(run) if lengths is None else encoder.counter.counts(run, lengths)
+                counts += [len(x) for x in encoder.ids(run)] if lengths is None else encoder.counter.counts(run, lengths)
             n = pa.array(counts, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), n, pa.array([c > over for c in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
