@@ -155,11 +155,16 @@ def range_end(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.range_end(start, end).alias("range_end"))
 
 
-@query("t17_page_span", "WITH s AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM (SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey % 20 = 0)) SELECT o_custkey, o_orderkey AS section, unnest(range(o_orderkey + 1, least(coalesce(nxt, o_orderkey + 5), o_orderkey + 5))) AS page FROM s")
+@query(
+    "t17_page_span",
+    "WITH s AS (SELECT o_custkey, o_orderkey, 7 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + o_orderkey % 7 AS diagram_page FROM orders), "
+    "n AS (SELECT *, lead(diagram_page) OVER (PARTITION BY o_custkey ORDER BY diagram_page) AS nxt FROM s) SELECT o_custkey, o_orderkey AS section, unnest(range(diagram_page + 1, coalesce(nxt, diagram_page + 5))) AS page FROM n",
+)
 def page_span(t):
-    o = t("orders").select("o_custkey", F.col("o_orderkey").alias("diagram_page"))
-    spans = directory.page_spans(o, F.col("diagram_page") + 4, ["o_custkey"])
-    return spans.select("o_custkey", F.col("diagram_page").alias("section"), "page")
+    # each customer's orders are sections, about seven pages apart
+    turn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = t("orders").select("o_custkey", F.col("o_orderkey").alias("section"), (turn * 7 + F.col("o_orderkey") % 7).alias("diagram_page"))
+    return directory.page_spans(o, F.col("diagram_page") + 4, ["o_custkey"]).select("o_custkey", "section", "page")
 
 
 @query("t18_latch", "SELECT event_id, coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS in_data FROM events")
@@ -250,7 +255,7 @@ def manifest(t):
 # Boxes from line items: one diagram an order, one truth and one prediction a line.
 _BOXES = """
 WITH l AS (SELECT l_orderkey AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i, CAST(l_partkey % 7 AS VARCHAR) AS num,
-  CAST(l_partkey % 60 AS INTEGER) AS x, CAST(l_suppkey % 60 AS INTEGER) AS y, CAST(l_quantity AS INTEGER) AS q FROM lineitem WHERE l_orderkey % 10 = 0),
+  CAST(l_partkey % 60 AS INTEGER) AS x, CAST(l_suppkey % 60 AS INTEGER) AS y, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
 g AS (SELECT d, i AS idx, num, x AS x0, y AS y0, x + 20 AS x1, y + 20 AS y1 FROM l),
 p AS (SELECT d, i AS idx, CASE WHEN q % 5 = 0 THEN '9' ELSE num END AS num, x + q % 11 AS x0, y + q % 7 AS y0, x + q % 11 + 20 AS x1, y + q % 7 + 20 AS y1 FROM l WHERE q % 9 <> 0),
 o AS (SELECT g.d, g.idx AS gi, p.idx AS pi, g.num = p.num AS same, greatest(0, least(g.x1, p.x1) - greatest(g.x0, p.x0)) * greatest(0, least(g.y1, p.y1) - greatest(g.y0, p.y0)) AS inter FROM g JOIN p ON g.d = p.d),
@@ -386,7 +391,7 @@ def split(t):
     return evaluation.split_groups(t("documents").select("doc_id", "source"), "source", 0.15, 1998)
 
 
-@query("t42_upper_median", "SELECT l_returnflag, list_sort(list(l_quantity))[count(*) // 2 + 1] AS m FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1, l_linestatus")
+@query("t42_upper_median", "SELECT l_returnflag, list_sort(list(l_quantity))[count(*) // 2 + 1] AS m FROM lineitem GROUP BY 1, l_linestatus")
 def upper_median(t):
     return evaluation.grouped_upper_median(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "m").select("l_returnflag", "m")
 
@@ -420,16 +425,36 @@ def rle(t):
     return ordered.runs(t("events"), "event_type", ["user_id"], "event_id").withColumn("run", F.col("run").cast("long"))
 
 
-_PRINTED = ("D >> - MJ 2007 | D - MJ 2008>>", "PR:098,-422", "TURBO/COUPE", "F >> 99-8S780 473", "GT3 RS 4.0", 'PR:483 -"ROK"', "9770+ PR:480", "CARRERA 4S")
+_PRINTED_SQL = """
+WITH p AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) || CASE WHEN p_size % 3 = 0 THEN '/COUPE,-' WHEN p_size % 3 = 1 THEN ' 4S' ELSE '' END AS head,
+  CASE WHEN p_size % 2 = 0 THEN ' PR:' || (100 + p_size) || ',-' || (200 + p_partkey % 50) ELSE ' -"' || upper(left(p_type, 3)) || '."' END AS mid, p_size, p_partkey % 4 AS k FROM part),
+s AS (SELECT p_partkey, head || mid || CASE k WHEN 0 THEN ' | D - MJ ' || (2000 + p_size % 10) || '>>' WHEN 1 THEN ' | F >> 99-8S' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') WHEN 2 THEN ' | D >> - 31.07.' || (2000 + p_size % 10) ELSE ' Z97.00' END AS printed FROM p),
+w AS (SELECT *, regexp_split_to_array(split_part(printed, ' | ', 1), ' ') AS words, split_part(printed, ' | ', 2) AS tail FROM s)
+SELECT p_partkey, printed, split_part(words[1], '/', 1) AS lines, CASE WHEN words[1] LIKE '%/COUPE%' THEN 'COUPE' ELSE '' END AS bodies, CASE WHEN list_contains(words, '4S') THEN '4' ELSE '' END AS drive, CASE WHEN list_contains(words, '4S') THEN 'S' ELSE '' END AS trim,
+  regexp_extract(printed, 'PR:(\\d+)', 1) AS options, regexp_extract(printed, 'PR:\\d+,-(\\d+)', 1) AS barred, regexp_extract(printed, '-"([A-Z]+)\\."', 1) AS not_markets,
+  TRY_CAST(nullif(regexp_extract(tail, 'MJ (\\d{4})>>', 1), '') AS INTEGER) AS year_from, TRY_CAST(nullif(regexp_extract(tail, '>> - \\d\\d\\.\\d\\d\\.(\\d{4})', 1), '') AS INTEGER) AS year_to,
+  TRY_CAST(nullif(regexp_extract(tail, '^F >> 99-8S(\\d+)$', 1), '') AS BIGINT) AS chassis_to,
+  array_to_string([x for x in [CASE WHEN words[1] LIKE '%,-' THEN '-' END, CASE WHEN list_contains(words, 'Z97.00') THEN 'Z97.00' END] if x IS NOT NULL], ',') AS unknown
+FROM w
+"""
 
 
-@query("t46_parse_scope")
+@query("t46_parse_scope", _PRINTED_SQL)
 def parse_scope(t):
-    from ..functions.scope import Vocabulary, is_scope, with_scope
-
-    printed = F.element_at(strings(*_PRINTED), (F.col("p_partkey") % len(_PRINTED) + 1).cast("int"))
-    parsed = with_scope(t("part").select("p_partkey", printed.alias("printed")), "printed", words=Vocabulary.of(engines=["9770"]))
-    return parsed.select("p_partkey", F.to_json("scope").alias("scope"), is_scope(F.col("scope")).alias("whole"))
+    from ..functions.scope import with_scope
+
+    c, k = F.col, F.col("p_partkey") % 4
+    head = F.concat(F.upper(F.split("p_name", " ")[0]), F.when(c("p_size") % 3 == 0, "/COUPE,-").when(c("p_size") % 3 == 1, " 4S").otherwise(""))
+    middle = F.when(c("p_size") % 2 == 0, F.concat(F.lit(" PR:"), c("p_size") + 100, F.lit(",-"), c("p_partkey") % 50 + 200)).otherwise(F.concat(F.lit(' -"'), F.upper(F.substring("p_type", 1, 3)), F.lit('."')))
+    year = c("p_size") % 10 + 2000
+    tail = F.when(k == 0, F.concat(F.lit(" | D - MJ "), year, F.lit(">>"))).when(k == 1, F.concat(F.lit(" | F >> 99-8S"), F.lpad(c("p_partkey").cast("string"), 6, "0"))).when(k == 2, F.concat(F.lit(" | D >> - 31.07."), year)).otherwise(" Z97.00")
+    parsed = with_scope(t("part").select("p_partkey", F.concat(head, middle, tail).alias("printed")), "printed")
+    s = c("scope")
+    said = lambda a: F.array_join(a, ",")
+    slots = lambda side: said(F.flatten(F.transform(s["prGroups"], lambda g: g[side])))
+    facets = [said(s[g]["any"]).alias(g) for g in ("lines", "bodies", "drive", "trim")]
+    first = lambda a: F.try_element_at(a, F.lit(1))
+    return parsed.select("p_partkey", "printed", *facets, slots("any").alias("options"), slots("not").alias("barred"), said(s["markets"]["not"]).alias("not_markets"), first(s["mjRanges"])["from"].alias("year_from"), first(s["mjRanges"])["to"].alias("year_to"), first(s["chassis"])["to"]["serial"].alias("chassis_to"), said(s["unknown"]).alias("unknown"))
 
 
 @query("t47_g4_roundtrip")
@@ -484,7 +509,7 @@ def main_groups(t):
     return directory.main_groups(rows).select("number", "id", "title")
 
 
-@query("t51_callout_part", "SELECT p_partkey, o_orderkey FROM part LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = CAST(p_partkey * 3 AS VARCHAR) WHERE p_size < 10")
+@query("t51_callout_part", "SELECT p_partkey, o_orderkey FROM part LEFT JOIN orders ON CAST(o_orderkey AS VARCHAR) = CAST(p_partkey * 3 AS VARCHAR)")
 def callout_part(t):
     printed = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("("), (F.col("p_partkey") * 3).cast("string"), F.lit(")"))).otherwise((F.col("p_partkey") * 3).cast("string"))
     parts = t("part").select("p_partkey", text.position_token(printed).alias("_p"))
@@ -508,7 +533,7 @@ def number_ranges(t):
     return t("part").select("p_partkey", d["cylinders"].alias("cylinders"), d["displacement_l"].alias("displacement_l"), d["power_kw"].alias("power_kw"))
 
 
-@query("t54_label_status", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN 'ok' WHEN l_partkey % 4 = 1 THEN 'unread' WHEN l_partkey % 4 = 2 THEN 'partial' ELSE 'mismatch' END AS status FROM lineitem WHERE l_orderkey % 20 = 0")
+@query("t54_label_status", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 4 = 0 THEN 'ok' WHEN l_partkey % 4 = 1 THEN 'unread' WHEN l_partkey % 4 = 2 THEN 'partial' ELSE 'mismatch' END AS status FROM lineitem")
 def label_status(t):
     own = F.lit("17")
     k = (F.col("l_partkey") % 4 + 1).cast("int")

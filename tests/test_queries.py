@@ -1,7 +1,7 @@
 import pytest
 from conftest import SMALL, same_rows
 
-from partloom.plans import registry
+from partloom.plans import printed, registry  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
