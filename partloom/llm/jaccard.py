@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .kernel import BLANK_SPLIT, U64, Summary, blocks, mix, shingles, trim, word_hashes, word_spans
-from .store import discard, materialize, most_counted, ship, sieve, sifted, table
+from .store import discard, materialize, most_counted, ranked, ship, sieve, sifted, table
 
 #: Words and shingles whose corpus counts shape the first order, at most; the rest count as rare.
 LISTED = {"word": 65_536, "gram": 262_144}
 #: Bits of a set's parity bitmap.
 MARK_BITS = 1024
+#: What pairs are tested by before sets: parity bitmaps, and prefixes under two more orders.
+SKETCH = ("marks", "second", "third")
+#: Documents of a token that its others are tried against in the first round, growth from round to round, and parts of a join.
+PIVOTS, GROWTH, SALTS = 16, 4, 8
 
 
 def document_sets(column: pa.Array, n: int):
@@ -126,8 +130,8 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
     has none and links with nothing.  Equal sets are one class, and classes are
     linked by `_joined`.  Null texts are empty.  Rows that share a doc_id are one
     node; a null doc_id takes part through its equal sets only and alone has a
-    null component.  Repeated rows each give a row, an empty table none; other
-    columns are not read.
+    null component.  Repeated rows each give a row, an empty table none; long
+    texts are read whole; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -138,7 +142,7 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
         for batch in batches:
             for first, end, words, at, h, bounds in document_sets(batch.column(1), n):
                 key = orders.value.rarity(words, at, h, bounds)
-                sizes, one, two, prefixes, marks = [], [], [], [], []
+                sizes, one, two, prefixes, marks, second, third = [], [], [], [], [], [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     own = np.unique(h[a:b])
                     sizes.append(len(own))
@@ -149,16 +153,18 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
                     lead = np.unique(key[a:b])[:k]
                     prefixes.append(lead.view(np.int64))
                     marks.append(parity(own))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(np.array(one, U64).view(np.int64)), pa.array(np.array(two, U64).view(np.int64)), _strings(prefixes), _strings(marks)], names=["doc_id", "size", "h1", "h2", "prefix", "marks"])
+                    for held, order in ((second, orders.value.second(own)), (third, orders.value.third(own))):
+                        held.append(own[np.argpartition(order, k - 1)[:k]].view(np.int64) if 0 < k < len(own) else own[:k].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(np.array(one, U64).view(np.int64)), pa.array(np.array(two, U64).view(np.int64)), _strings(prefixes), _strings(marks), _strings(second), _strings(third)], names=["doc_id", "size", "h1", "h2", "prefix", "marks", "second", "third"])
         trim()
 
-    sets = materialize(docs.mapInArrow(describe, "doc_id long, size long, h1 long, h2 long, prefix array<long>, marks array<long>"), "sets")
+    sets = materialize(docs.mapInArrow(describe, "doc_id long, size long, h1 long, h2 long, prefix array<long>, marks array<long>, second array<long>, third array<long>"), "sets")
     same = ["size", "h1", "h2"]
     classes = materialize(sets.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = materialize(sets.where("size > 0").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").select("doc_id", "size", "prefix", "marks"), "chosen")
+    chosen = materialize(sets.where("size > 0").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").select("doc_id", "size", "prefix", *SKETCH), "chosen")
     small = materialize(sets.select("doc_id", "size", "h1", "h2"), "sizes")
     discard(sets)
-    joined = _joined(docs, chosen, orders, n, num, den)
+    joined = _joined(docs, chosen, n, num, den)
     of_class = classes.join(joined, classes.rep == joined.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
     return small.join(of_class, same, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -172,84 +178,100 @@ def _passing(num: int, den: int, x: str, y: str):
     return shape & (room * (num + den) >= sizes * num)
 
 
-def _joined(docs: DataFrame, chosen: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
+def _joined(docs: DataFrame, chosen: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(node, component) of documents, of different sets, that verified links connect.
 
     A token's documents are first tried against the one that has it earliest;
-    after components of what that links, the pairs of each token that are still
-    in different components and pass the bounds are tried too.  So every link
-    not found joins documents that other links join, and no token's documents
-    are all paired.
+    after components of what that links, those still in different components are
+    tried in rounds, against ever more of the token's first documents, with new
+    components after each.  So every link not found joins documents that other
+    links join, and what one round joins the next doesn't pair.
     """
     postings = chosen.select("doc_id", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "size", "pos")
     shared = chosen.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
     lists = materialize(postings.join(shared, "token", "left_semi"), "lists")
-    marks = materialize(chosen.select("doc_id", "size", "marks").distinct(), "marks")
+    sketches = materialize(chosen.select("doc_id", "size", *SKETCH).distinct(), "sketches")
     del postings, shared
     discard(chosen)
     pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "size")).alias("y"))
     starred = lists.join(pivots, "token").select(F.struct("doc_id", "size", "pos").alias("x"), "y")
     tried = _pairs(starred.where((F.col("x.doc_id") != F.col("y.doc_id")) & _passing(num, den, "x", "y")))
-    found = _verified(tried, marks, docs, orders, n, num, den)
-    joined = materialize(connected_components(found), "parts")
-    labelled = lists.join(joined, lists.doc_id == joined.node, "left").select("token", "doc_id", "size", "pos", F.coalesce("component", "doc_id").alias("part"))
+    joined = materialize(connected_components(_verified(tried, sketches, docs, n, num, den)), "parts")
+    left = materialize(_open(lists, joined), "open")
+    discard(lists)
+    left = materialize(ranked(left, ["token"], ["pos", "doc_id", "size"], ["doc_id"], "rank"), "open")
+    low, high = 0, PIVOTS
+    while not left.isEmpty():
+        # a token's first documents come in SALTS copies, so that no task has all of a frequent token
+        sides = left.select("token", "rank", F.struct("doc_id", "size", "pos", "part").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        first = left.where(F.col("rank") < high).select("token", F.col("rank").alias("own"), F.struct("doc_id", "size", "pos", "part").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        more = first.join(sides, ["token", "salt"]).where((F.col("own") < F.col("rank")) & (F.col("x.part") != F.col("y.part")) & _passing(num, den, "x", "y"))
+        late = _verified(_pairs(more), sketches, docs, n, num, den)
+        if not late.isEmpty():
+            stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            joined = materialize(connected_components(stars.unionByName(late)), "parts")
+        low, high = high, high * GROWTH
+        now = materialize(_open(left.where(F.col("rank") >= low).drop("part"), joined), "open")
+        discard(left)
+        left = now
+    discard(sketches)
+    return joined
+
+
+def _open(lists: DataFrame, joined: DataFrame) -> DataFrame:
+    """Rows of tokens whose documents are in more than one part, with their `part`."""
+    labelled = lists.join(joined, lists.doc_id == joined.node, "left").select(*lists.columns, F.coalesce("component", "doc_id").alias("part"))
     mixed = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    open_lists = materialize(labelled.join(mixed, "token", "left_semi"), "open")
-    x, y = (open_lists.select("token", F.struct("doc_id", "size", "pos", "part").alias(side)) for side in "xy")
-    more = x.join(y, (x.token == y.token) & (F.col("x.part") < F.col("y.part")) & _passing(num, den, "x", "y"))
-    late = _verified(_pairs(more), marks, docs, orders, n, num, den)
-    for done in (lists, open_lists, marks):
-        discard(done)
-    if late.isEmpty():
-        return joined
-    stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return connected_components(stars.unionByName(late))
+    return labelled.join(mixed, "token", "left_semi")
 
 
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
-def _candidates(docs: DataFrame, wanted: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
-    """Shingle sets, and their prefixes under the second and third order, of the documents `wanted`, and of a few more."""
+def _candidates(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """Shingle sets of the documents `wanted`, and of a few more."""
 
     def expand(batches):
         for batch in batches:
             for first, end, _, _, h, bounds in document_sets(batch.column(1), n):
-                second, third, whole = [], [], []
-                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = np.unique(h[a:b])
-                    k = _prefix(len(own), num, den)
-                    for keep, key in ((second, orders.value.second(own)), (third, orders.value.third(own))):
-                        keep.append(own[np.argsort(key)[:k]].view(np.int64))
-                    whole.append(own.view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), _strings(second), _strings(third), _strings(whole)], names=["id", "second", "third", "whole"])
+                whole = [np.unique(h[a:b]).view(np.int64) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), _strings(whole)], names=["id", "whole"])
         trim()
 
-    maybe = sifted(docs, "doc_id", sieve(wanted, "doc_id"))
-    return materialize(maybe.select("doc_id", "text").mapInArrow(expand, "id long, second array<long>, third array<long>, whole array<long>"), "candidates")
+    maybe = sifted(docs, "doc_id", sieve(wanted, "doc_id")).select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+    return materialize(maybe.mapInArrow(expand, "id long, whole array<long>"), "candidates")
 
 
-def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, orders, n: int, num: int, den: int) -> DataFrame:
-    """Similar pairs, written to the shared folder.
-
-    A pair must have parity bitmaps no further apart than similar sets can be,
-    any of its rows' sets where rows share a doc_id, and share prefix tokens under the second and third order before its sets are
-    compared.
-    """
+def sketch_filters(num: int, den: int):
+    """Tests of a pair of sketches: parity bitmaps no further apart than similar sets can be, and shared prefix tokens under the second and third order."""
     c = F.col
-    a, b = (marks.select(c("doc_id").alias(s), c("size").alias(f"size_{s}"), c("marks").alias(f"marks_{s}")) for s in "ab")
     apart = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sizes = c("size_a") + c("size_b")
-    close = apart <= sizes - 2 * F.ceil(sizes * num / (num + den))
-    near = materialize(pairs.join(a, "a").join(b, "b").where(close).select("a", "b").distinct(), "near")
-    wanted = near.select(c("a").alias("doc_id")).unionByName(near.select(c("b").alias("doc_id"))).distinct()
-    sets = _candidates(docs, wanted, orders, n, num, den)
-    a, b = (sets.select(c("id").alias(s), *[c(x).alias(f"{x}_{s}") for x in ("second", "third", "whole")]) for s in "ab")
-    both = near.join(a, "a").join(b, "b").where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+    return {"marks": apart <= sizes - 2 * F.ceil(sizes * num / (num + den)), "second": F.arrays_overlap("second_a", "second_b"), "third": F.arrays_overlap("third_a", "third_b")}
+
+
+def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both sides' sketches."""
+    a, b = (sketches.select(F.col("doc_id").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in ("size", *SKETCH)]) for s in "ab")
+    return pairs.join(a, "a").join(b, "b")
+
+
+def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Similar pairs, written to the shared folder.
+
+    A pair's sketches, any of its rows' where rows share a doc_id, must pass the
+    three filters before its sets are read and compared.
+    """
+    c, tests = F.col, sketch_filters(num, den)
+    near = materialize(sketched(pairs, sketches).where(tests["marks"] & tests["second"] & tests["third"]).select("a", "b").distinct(), "near")
+    wanted = materialize(near.select(c("a").alias("doc_id")).unionByName(near.select(c("b").alias("doc_id"))).distinct(), "wanted")
+    sets = _candidates(docs, wanted, n)
+    a, b = (sets.select(c("id").alias(s), c("whole").alias(f"whole_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("whole_a", "whole_b"))
-    out = materialize(both.where(shared * (num + den) >= (F.size("whole_a") + F.size("whole_b")) * num).select("a", "b").distinct(), "links")
-    discard(sets)
+    out = materialize(near.join(a, "a").join(b, "b").where(shared * (num + den) >= (F.size("whole_a") + F.size("whole_b")) * num).select("a", "b").distinct(), "links")
+    for done in (sets, near, wanted):
+        discard(done)
     return out
 
 

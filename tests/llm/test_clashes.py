@@ -36,3 +36,22 @@ def test_sieve_is_sized_by_its_keys(spark):
     assert inside.columns == df.columns and set(range(100)) <= {r.id for r in inside.collect()} and inside.count() + store.sifted(df, "id", few, False).count() == 5000
     none = store.Sieve(None, 0)
     assert store.sifted(df, "id", none).count() == 5000 and store.sifted(df, "id", none, False).count() == 0
+
+
+def test_rounds_find_links_of_an_open_token(spark, monkeypatch):
+    """A family around one passage whose members are linked in pairs only: every pair is found, whatever the first rounds try."""
+    import random
+
+    from partloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "GROWTH", 2)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    common, rows = " ".join(word() for _ in range(40)), []
+    for k in range(30):
+        own = [word() for _ in range(22)]
+        rows += [(2 * k, f"{common} {' '.join(own)}"), (2 * k + 1, f"{common} {' '.join([*own[:-1], word()])}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in jaccard.components(docs, 3, 90, 100).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
