@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural_key
+
 # How far each source of a box is trusted.
 SOURCE_RANK = {"human": 3, "agent": 2, "vision": 1}
 
@@ -69,23 +71,33 @@ def precision_recall(df: DataFrame, tp: str = "tp", n_pred: str = "n_pred", n_tr
     return t.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
+#: Ranges of scores that running sums are worked out in.
+SCORE_RANGES = 64
+
+
 def pr_curve(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(score, tp, fp, precision, recall) at each distinct score, from the highest down.
+    """(score, hits, tp, fp, precision, recall) at each distinct score, from the highest down.
 
-    Scores are summed first, so the global running sum sees distinct scores only;
-    bin continuous scores before a very large run.
+    Scores are summed first.  Running sums go within ranges of scores, cut at
+    approximate quantiles, and the ranges' totals, at most SCORE_RANGES rows, are
+    added: no task sees all scores.
     """
-    per = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    total = per.agg(F.sum("p").alias("positives"))
-    run = per.select("score", F.sum("p").over(down).alias("tp"), F.sum(F.col("n") - F.col("p")).over(down).alias("fp"), F.lit(1).alias("_one"))
-    both = run.join(F.broadcast(total.withColumn("_o", F.lit(1))), F.col("_one") == F.col("_o"))
-    return both.select("score", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall"))
+    per = df.groupBy(F.col(score).alias("score")).agg(F.sum(label).alias("hits"), F.count(F.lit(1)).alias("n"))
+    cuts = per.agg(F.percentile_approx("score", [k / SCORE_RANGES for k in range(1, SCORE_RANGES)], 10_000).alias("c")).first().c or []
+    per = per.withColumn("_r", F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c > F.col("score"))) if cuts else F.lit(0))
+    down = Window.partitionBy("_r").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = per.groupBy("_r").agg(F.sum("hits").alias("_p"), F.sum("n").alias("_n"))
+    totals = totals.select("_r", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_tp"), F.coalesce(F.sum(F.col("_n") - F.col("_p")).over(before), F.lit(0)).alias("_fp"), F.sum("_p").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("positives"))
+    run = per.select("_r", "score", "hits", F.sum("hits").over(down).alias("tp"), F.sum(F.col("n") - F.col("hits")).over(down).alias("fp"))
+    both = run.join(F.broadcast(totals), "_r").withColumn("tp", F.col("tp") + F.col("_tp")).withColumn("fp", F.col("fp") + F.col("_fp"))
+    return both.select("score", "hits", "tp", "fp", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("positives")).alias("recall"))
 
 
 def average_precision(curve: DataFrame) -> DataFrame:
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return curve.withColumn("_step", (F.col("recall") - before) * F.col("precision")).agg(F.sum("_step").alias("average_precision"))
+    """Sum of precision times the recall that each score adds."""
+    added = F.when(F.col("tp") > 0, F.col("recall") * F.col("hits") / F.col("tp")).otherwise(F.lit(0.0))
+    return curve.agg(F.sum(added * F.col("precision")).alias("average_precision"))
 
 
 def best_f1(curve: DataFrame) -> DataFrame:
@@ -127,7 +139,7 @@ def grouped_upper_median(df: DataFrame, keys: list[str], value: str, out: str) -
 
 def split_groups(df: DataFrame, group: str, share: float, seed: int) -> DataFrame:
     """Whole groups to `val` by a hash of the group, about `share` of them."""
-    h = F.pmod(F.xxhash64(F.col(group), F.lit(seed)), F.lit(10_000))
+    h = F.conv(F.substring(F.md5(F.concat_ws("/", F.col(group).cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("long") % 10_000
     return df.withColumn("split", F.when(h < int(share * 10_000), F.lit("val")).otherwise(F.lit("train")))
 
 
@@ -162,3 +174,42 @@ def tightened(before: Column, after: Column, least_iou: float = 0.1, most_growth
     """The tightened box, unless there is none, it moved away or it grew too much."""
     good = after.isNotNull() & (iou(before, after) >= least_iou) & (area(after) <= most_growth * area(before))
     return F.when(good, after).otherwise(before)
+
+
+def detection_metrics(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3) -> DataFrame:
+    """Micro precision, recall and F1 of numbered boxes, recall of boxes whatever their number, and mean overlap of the matches.
+
+    Boxes are matched one to one within `key`, the best overlaps first; a pair
+    counts as found with a number of its own only if the numbers agree.
+    """
+    g, p = truth.alias("g"), predicted.alias("p")
+    box = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    near = g.join(p, F.col(f"g.{key}") == F.col(f"p.{key}")).select(F.col(f"g.{key}").alias(key), iou(box("g"), box("p")).alias("v"), F.col("g.idx").alias("gi"), F.col("p.idx").alias("pi"), (F.col("g.num") == F.col("p.num")).alias("same")).where(F.col("v") >= least)
+    counts = []
+    for numbered in (True, False):
+        pairs = greedy_matches(near.where("same") if numbered else near, [key])
+        counts.append(pairs.agg(F.count(F.lit(1)).alias("hits"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean_iou")).withColumn("numbered", F.lit(numbered)))
+    totals = truth.agg(F.count(F.lit(1)).alias("n_true")).withColumn("_k", F.lit(1)).join(predicted.agg(F.count(F.lit(1)).alias("n_pred")).withColumn("_k", F.lit(1)), "_k")
+    both = counts[0].select(F.lit(1).alias("_k"), F.col("hits").alias("tp"), "mean_iou").join(counts[1].select(F.lit(1).alias("_k"), F.col("hits").alias("found")), "_k").join(totals, "_k")
+    p, r = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("n_true"))
+    return both.select("tp", "n_pred", "n_true", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("found"), F.col("n_true")).alias("detection_recall"), "mean_iou")
+
+
+def number_counts(found: DataFrame, expected: DataFrame, key: str, num: str = "num") -> DataFrame:
+    """(key, repeats, extras): numbers found more than once, and found numbers that nobody expects, in natural order."""
+    counted = found.groupBy(key, num).agg(F.count(F.lit(1)).alias("_n")).join(expected.select(key, F.explode("tokens").alias(num), F.lit(True).alias("_known")).distinct(), [key, num], "left")
+    told = lambda test: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(natural_key(F.col(num)).alias("k"), F.col(num).alias("v"))))), lambda x: x["v"])
+    return counted.groupBy(key).agg(told(F.col("_n") > 1).alias("repeats"), told(F.col("_known").isNull()).alias("extras"))
+
+
+def top_confusions(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3, most: int = 20) -> DataFrame:
+    """(true_num, read_num, n): the most frequent pairs of a box's number and another one read where it stands."""
+    g, p = truth.alias("g"), predicted.alias("p")
+    box = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    same = (F.col(f"g.{key}") == F.col(f"p.{key}")) & (F.col("g.num") != F.col("p.num")) & (iou(box("g"), box("p")) >= least)
+    return g.join(p, same).groupBy(F.col("g.num").alias("true_num"), F.col("p.num").alias("read_num")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "true_num", "read_num").limit(most)
+
+
+def ordered_sample(df: DataFrame, key: str, most: int, seed: int = 1) -> DataFrame:
+    """At most `most` rows, the first by a hash of their key: the same ones on every run."""
+    return df.withColumn("_luck", F.xxhash64(F.lit(seed), F.col(key).cast("string"))).orderBy("_luck", key).limit(most).drop("_luck")

@@ -58,3 +58,58 @@ def set_part_meta(held: DataFrame, patches: DataFrame, now: Column, key: str = "
     both = held.join(p, F.col(key) == F.col("_key"), "left")
     hit = F.col("_key").isNotNull()
     return both.withColumn("partMeta", F.when(hit, patched_meta(F.col("partMeta"), F.col("_patch"))).otherwise(F.col("partMeta"))).withColumn("updatedAt", F.when(hit, now).otherwise(F.col("updatedAt"))).drop("_key", "_patch")
+
+
+GARAGE_FIELDS = "id string, nickname string, partMeta map<string,struct<ok:boolean,notes:string>>, savedParts array<string>, createdAt string, updatedAt string"
+
+
+def load(texts: DataFrame, fields: str = GARAGE_FIELDS) -> DataFrame:
+    """Vehicles of garage documents (owner, text); a text that can't be read is an empty garage.
+
+    A vehicle without an id gets one that depends on its owner and place alone,
+    so every read gives it again.
+    """
+    document = F.from_json("text", f"version int, vehicles array<struct<{', '.join(f.replace(' ', ':', 1) for f in _split_fields(fields))}>>")
+    rows = texts.select("owner", F.posexplode(F.coalesce(document["vehicles"], F.array())).alias("place", "v")).select("owner", "place", "v.*")
+    return rows.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.sha2(F.concat_ws("/", "owner", F.col("place").cast("string")), 256)))
+
+
+def _split_fields(fields: str) -> list[str]:
+    """Top-level fields of a DDL list."""
+    out, depth = [""], 0
+    for c in fields:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [f.strip() for f in out]
+
+
+def save(vehicles: DataFrame, version: int = 1) -> DataFrame:
+    """(owner, text): each owner's garage as one JSON document, vehicles in their order."""
+    columns = [c for c in vehicles.columns if c not in ("owner", "place")]
+    rows = F.array_sort(F.collect_list(F.struct("place", F.to_json(F.struct(*columns)).alias("v"))))
+    listed_ = vehicles.groupBy("owner").agg(F.array_join(F.transform(rows, lambda r: r["v"]), ",").alias("_rows"))
+    return listed_.select("owner", F.concat(F.lit(f'{{"version":{version},"vehicles":['), "_rows", F.lit("]}")).alias("text"))
+
+
+def listed(vehicles: DataFrame) -> DataFrame:
+    """What a list of vehicles shows: ids and nicknames in their order, with the number of marks."""
+    return vehicles.select("owner", "place", "id", "nickname", F.coalesce(F.size("partMeta"), F.lit(0)).cast("int").alias("marks")).orderBy("owner", "place")
+
+
+def get(vehicles: DataFrame, key_value: str, key: str = "id") -> DataFrame:
+    return vehicles.where(F.col(key) == key_value)
+
+
+def set_one_part_meta(held: DataFrame, vehicle_id: str, part: str, ok: bool | None, notes: str | None, now: Column, key: str = "id") -> DataFrame:
+    """One mark of one vehicle, patched."""
+    patch = held.sparkSession.createDataFrame([(vehicle_id, {part: (ok, notes)})], f"{key} string, patch {META}")
+    return set_part_meta(held, patch, now, key)
+
+
+def coalesced_writes(events: DataFrame, key: str, at: str, gap: str = "600 milliseconds") -> DataFrame:
+    """(key, first, last, n): edits of a document that no pause of `gap` parts become one write."""
+    session = F.session_window(at, gap)
+    return events.groupBy(key, session.alias("_s")).agg(F.count(F.lit(1)).alias("n"), F.max(at).alias("last")).select(key, F.col("_s.start").alias("first"), "last", "n")

@@ -394,17 +394,116 @@ def candidate_boxes(diagrams: DataFrame) -> DataFrame:
     return diagrams.select("section_id", "diagram", "width", "height").mapInPandas(find, CANDIDATES)
 
 
-def model_scores(boxes: DataFrame, model_path: str, threshold: float = 0.35) -> DataFrame:
-    """Candidates with a classifier's probability; one inference session for each partition, fed in batches."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema.fields) + ", prob double, accepted boolean"
+def onnx_scorer(path: str):
+    """A scorer for model_scores(): one inference session for each partition."""
 
-    def run(batches):
+    def make():
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(model_path)
+        session = onnxruntime.InferenceSession(path)
+        name = session.get_inputs()[0].name
+        return lambda x: session.run(None, {name: x})[0].ravel()
+
+    return make
+
+
+def model_scores(boxes: DataFrame, scorer, threshold: float = 0.35) -> DataFrame:
+    """Candidates with a classifier's probability, fed in batches.
+
+    `scorer` makes, once for each partition, a function from patches (n, 1, 48,
+    48) to n probabilities; see onnx_scorer().
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema.fields) + ", prob double, accepted boolean"
+
+    def run(batches):
+        score = scorer()
         for pdf in batches:
             x = np.stack([np.frombuffer(p, np.float32).reshape(1, 48, 48) for p in pdf["patch"]]) if len(pdf) else np.zeros((0, 1, 48, 48), np.float32)
-            prob = session.run(None, {session.get_inputs()[0].name: x})[0].ravel() if len(pdf) else np.zeros(0)
-            yield pdf.assign(prob=prob.astype(float), accepted=prob >= threshold)
+            prob = np.asarray(score(x), float) if len(pdf) else np.zeros(0)
+            yield pdf.assign(prob=prob, accepted=prob >= threshold)
 
     return boxes.mapInPandas(run, schema)
+
+
+NUMBERS = "section_id long, num string, x0 int, y0 int, x1 int, y1 int, prob double"
+
+
+def numbers_of(digits: DataFrame) -> DataFrame:
+    """Callouts of diagrams from accepted candidates with two reads each.
+
+    `digits`: section_id, width, height, x0..y1, prob, and text and confidence of
+    two reads (text_a, conf_a, text_b, conf_b).  Digits are grouped, unsure ones
+    gated, numbers of zeros dropped; boxes come in ten-thousandths of the diagram.
+    """
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = []
+        for r in pdf.sort_values(["x0", "y0", "x1", "y1"]).itertuples():
+            read = read_choice((r.text_a or "", r.conf_a or 0), (r.text_b or "", r.conf_b or 0), (r.x1 - r.x0) / max(1, r.y1 - r.y0))
+            if read:
+                own.append({"text": read[0], "x0": r.x0, "y0": r.y0, "x1": r.x1, "y1": r.y1, "prob": r.prob})
+        w, h = float(pdf["width"].iloc[0]), float(pdf["height"].iloc[0])
+        rows = [(pdf["section_id"].iloc[0], g["num"], *(int(np.floor(g[k] / side * 10_000 + 0.5)) for k, side in (("x0", w), ("y0", h), ("x1", w), ("y1", h))), float(g["prob"])) for g in gated(grouped_digits(own)) if g["num"].strip("0")]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in NUMBERS.split(", ")])
+
+    return digits.groupBy("section_id").applyInPandas(fold, NUMBERS)
+
+
+def detected(diagrams: DataFrame, reads: DataFrame, scorer, threshold: float = 0.35, debug: bool = False) -> DataFrame:
+    """Callouts of diagrams: components of a digit's size, the classifier's gate, reads of what passes, numbers.
+
+    `reads` (section_id, x0..y1 and both readers' text and confidence) come from
+    a recogniser outside.  With `debug` the scored candidates are given instead,
+    each with its depth, probability and whether it passed.
+    """
+    scored = model_scores(candidate_boxes(diagrams), scorer, threshold)
+    if debug:
+        return scored.drop("patch")
+    kept = scored.where("accepted").drop("patch", "area", "depth", "accepted").join(diagrams.select("section_id", "width", "height"), "section_id")
+    return numbers_of(kept.join(reads, ["section_id", "x0", "y0", "x1", "y1"], "left"))
+
+
+def native_rgba(data: bytes, width: int, height: int, kind: str) -> np.ndarray:
+    """(height, width, 4) of a picture's own pixels: 1bpp rows padded to bytes with dark bits 0, RGB, or RGBA."""
+    raw = np.frombuffer(data, np.uint8)
+    if kind == "1bpp":
+        bits = np.unpackbits(raw.reshape(height, -1), axis=1)[:, :width]
+        grey = np.where(bits, 255, 0).astype(np.uint8)
+        return np.dstack([grey, grey, grey, np.full_like(grey, 255)])
+    if kind == "rgb":
+        rgb = raw.reshape(height, width, 3)
+        return np.dstack([rgb, np.full((height, width), 255, np.uint8)])
+    if kind == "rgba":
+        return raw.reshape(height, width, 4)
+    raise ValueError(f"pixels of kind {kind}")
+
+
+def resampled(grey: np.ndarray, width: int, height: int) -> np.ndarray:
+    """A grey picture at another size, each new pixel the mean of the area it covers."""
+    out = area_weights(grey.shape[0], height) @ grey.astype(float) @ area_weights(grey.shape[1], width).T
+    return np.floor(out + 0.5).astype(np.uint8)
+
+
+def region(grey: np.ndarray, box: tuple[int, int, int, int], margin: int = 0, paper: int = 255) -> np.ndarray:
+    """A box of a picture with a margin of paper around it; outside the picture is paper too."""
+    x0, y0, x1, y1 = box[0] - margin, box[1] - margin, box[2] + margin, box[3] + margin
+    out = np.full((y1 - y0, x1 - x0), paper, grey.dtype)
+    a, b, c, d = max(0, box[0]), max(0, box[1]), min(grey.shape[1], box[2]), min(grey.shape[0], box[3])
+    if a < c and b < d:
+        out[b - y0 : d - y0, a - x0 : c - x0] = grey[b:d, a:c]
+    return out
+
+
+def picture_codec(rgb: np.ndarray) -> str:
+    """`g4` for line art, `raster` for pictures with tones between."""
+    return "raster" if continuous_tone(rgb) else "g4"
+
+
+def with_pictures(sections: DataFrame, diagrams: DataFrame) -> DataFrame:
+    """Sections that have a diagram, by number; the pictures themselves are not read."""
+    return sections.join(diagrams.where("diagram IS NOT NULL").select(diagrams.section_id.alias("id")).distinct(), "id", "left_semi").orderBy("number")
+
+
+def store_patches(labelled: DataFrame, path: str) -> None:
+    """Write labelled patches as a Parquet dataset by catalogue, for training elsewhere."""
+    labelled.write.mode("overwrite").partitionBy("catalog").parquet(path)

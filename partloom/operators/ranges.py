@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,18 +11,31 @@ from ..functions.serials import serial_key
 from ..functions.text import blank
 
 
+#: Bin widths of ranges, as powers of two: a range takes the least that is no shorter than it, and two bins at most.
+BIN_BITS = (8, 12, 16, 20, 24, 32, 40, 62)
+
+
 def serial_range_join(serials: DataFrame, ranges: DataFrame, serial: str = "serial", low: str = "vin_from", high: str = "vin_to") -> DataFrame:
-    """Every range that holds each serial: equal prefixes hash, the bounds are a residual.
+    """Every range that holds each serial: prefix and serial bin hash, the bounds are a residual.
 
-    An empty end is open; an end of another prefix leaves the start alone.  The
-    prefix is data on both sides, so this stays an equi join.
+    An empty end is open; an end of another prefix leaves the start alone.  Each
+    range stands in the one or two bins of its own width that it touches, each
+    serial in its bin of every width that occurs, so a prefix with many ranges is
+    spread over its bins and no pair meets twice.
     """
     left = serials.withColumn("_k", serial_key(F.col(serial))).where("_k IS NOT NULL").withColumn("_prefix", F.col("_k.prefix"))
     lo, hi = serial_key(F.col(low)), serial_key(F.col(high))
-    top = F.when(hi["prefix"] == lo["prefix"], hi["serial"]).when(blank(F.trim(F.coalesce(F.col(high), F.lit("")))).isNull(), F.lit(2**63 - 1)).otherwise(lo["serial"])
+    top = F.when(hi["prefix"] == lo["prefix"], hi["serial"]).when(blank(F.trim(F.coalesce(F.col(high), F.lit("")))).isNull(), F.lit(2**62 - 1)).otherwise(lo["serial"])
     right = ranges.withColumn("_lo", lo).where("_lo IS NOT NULL").withColumn("_p", F.col("_lo.prefix")).withColumn("_top", top)
-    hit = (F.col("_prefix") == F.col("_p")) & F.col("_k.serial").between(F.col("_lo.serial"), F.col("_top"))
-    return left.join(right, hit).drop("_k", "_prefix", "_lo", "_p", "_top")
+    length = F.col("_top") - F.col("_lo.serial")
+    width = F.coalesce(*[F.when(length < 2**b, F.lit(b)) for b in BIN_BITS[:-1]], F.lit(BIN_BITS[-1]))
+    right = right.withColumn("_w", width)
+    widths = sorted(r._w for r in right.select("_w").distinct().collect())  # at most one for each of BIN_BITS
+    bin_of = lambda v: reduce(lambda chain, b: chain.when(F.col("_w") == b, F.shiftright(v, b)), BIN_BITS[1:], F.when(F.col("_w") == BIN_BITS[0], F.shiftright(v, BIN_BITS[0])))
+    right = right.withColumn("_bin", F.explode(F.array_distinct(F.array(bin_of(F.col("_lo.serial")), bin_of(F.col("_top")))))).withColumnRenamed("_w", "_rw").withColumnRenamed("_bin", "_rb")
+    left = left.withColumn("_w", F.explode(F.array(*map(F.lit, widths)).cast("array<int>"))).withColumn("_bin", bin_of(F.col("_k.serial")))
+    hit = (F.col("_prefix") == F.col("_p")) & (F.col("_w") == F.col("_rw")) & (F.col("_bin") == F.col("_rb")) & F.col("_k.serial").between(F.col("_lo.serial"), F.col("_top"))
+    return left.join(right, hit).drop("_k", "_prefix", "_lo", "_p", "_top", "_w", "_rw", "_bin", "_rb")
 
 
 def assigned_column(x: Column, origins: Column, slack: float = 5.0) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,9 +12,41 @@ def token_index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.explode(F.array_distinct(F.filter(words, lambda w: w != ""))).alias("token"), F.col(key).alias("key"))
 
 
+#: Folders of a stored index; a term is in one of them.
+INDEX_PARTS = 64
+
+
+def terms_of(query: str) -> list[str]:
+    return sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+
+
+def matching(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
+    """Rows whose columns hold every word of the query, without an index: only the query's words of a row are kept."""
+    terms = terms_of(query)
+    words = F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}]+")
+    return df.where(F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))) == len(terms)) if terms else df.limit(0)
+
+
+def _part(token) -> object:
+    return F.pmod(F.xxhash64(token), F.lit(INDEX_PARTS)).cast("int")
+
+
+def store_index(index: DataFrame, path: str) -> None:
+    """Write an index in INDEX_PARTS folders by token, each sorted, over what was there."""
+    index.withColumn("part", _part(F.col("token"))).repartition("part").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def match_stored(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """Keys that hold every word of the query; only the folders of its words are read."""
+    terms = terms_of(query)
+    held = spark.read.parquet(path)
+    parts = [r.p for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_part(F.col("t")).alias("p")).collect()] if terms else []
+    return match_all(held.where(F.col("part").isin(parts)), query)
+
+
 def match_all(index: DataFrame, query: str) -> DataFrame:
     """Keys that hold every word of the query; none for a query without words."""
-    terms = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
+    terms = terms_of(query)
     return index.where(F.col("token").isin(terms)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("key") if terms else index.select("key").limit(0)
 
 
@@ -31,3 +63,8 @@ def search(df: DataFrame, index: DataFrame, key: str, query: str, columns: list[
     """Index matches, or substring matches where the index has none."""
     found = df.join(match_all(index, query).withColumnRenamed("key", key), key, "left_semi")
     return found if not found.isEmpty() else like(df, query, columns)
+
+
+def probe(df: DataFrame, query: str, columns: list[str], most: int = 5) -> DataFrame:
+    """The first rows that hold the query in a column, to see that a catalogue can be searched."""
+    return like(df, query, columns).orderBy(*df.columns[:1]).limit(most)

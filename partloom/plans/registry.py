@@ -221,7 +221,7 @@ def invariant(t):
 
 @query("t25_search_and", "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents) SELECT doc_id FROM w WHERE w IN ('the', 'license', 'under') GROUP BY 1 HAVING count(*) = 3")
 def search_and(t):
-    return search.match_all(search.token_index(t("documents"), "doc_id", ["text"]), "The LICENSE, under").withColumnRenamed("key", "doc_id")
+    return search.matching(t("documents"), "The LICENSE, under", ["text"]).select("doc_id").distinct()
 
 
 @query("t26_like", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%re%'")
@@ -386,7 +386,10 @@ def neighbour_gate(t):
     return neighbours(e, "vec_id", "label", "x", "y", 0.1).where("near < 2")
 
 
-@query("t41_split")
+@query(
+    "t41_split",
+    "SELECT doc_id, source, CASE WHEN CAST('0x' || left(md5(source || '/1998'), 8) AS BIGINT) % 10000 < 1500 THEN 'val' ELSE 'train' END AS split FROM documents",
+)
 def split(t):
     return evaluation.split_groups(t("documents").select("doc_id", "source"), "source", 0.15, 1998)
 
@@ -481,28 +484,6 @@ def decode_vin(t):
     return t("customer").select("c_custkey", v["family"].alias("family"), v["chassis"].alias("chassis"))
 
 
-@query("t49_fitment", "SELECT v.id AS vehicle_id, p_partkey AS part_id FROM part, (VALUES (1, 'BRAND#11', 1999), (2, 'BRAND#23', 2005), (3, '', NULL)) v(id, line, year) WHERE (line = '' OR upper(p_brand) = line) AND (year IS NULL OR year >= 1995 + p_size % 10)")
-def fits(t):
-    none = F.array().cast("array<string>")
-    free = F.struct(none.alias("any"), none.alias("not"))
-    from ..functions.scope import SCOPE
-
-    def scope(lines: Column, years: Column) -> Column:
-        held = {"lines": F.struct(lines.alias("any"), none.alias("not")), "mjRanges": years}
-        empty = lambda f: free if f.dataType.simpleString().startswith("struct") else F.array().cast(f.dataType)
-        return F.struct(*[held.get(f.name, empty(f)).alias(f.name) for f in SCOPE.fields])
-
-    window = F.array(F.struct((F.lit(1995) + F.col("p_size") % 10).cast("int").alias("from"), F.lit(None).cast("int").alias("to"), F.lit(None).cast("string").alias("market")))
-    parts = t("part").select(F.col("p_partkey").alias("part_id"), scope(F.array(F.upper("p_brand")), F.array().cast("array<struct<from:int,to:int,market:string>>")).alias("section_scope"), scope(none, window).alias("scope"))
-    from ..model import VEHICLE
-
-    spark = parts.sparkSession
-    blank = dict.fromkeys(VEHICLE.names)
-    cars = [(1, blank | {"line": "Brand#11", "year": 1999}), (2, blank | {"line": "brand#23", "year": 2005}), (3, blank | {"line": ""})]
-    vehicles = spark.createDataFrame([(i, tuple(v[n] for n in VEHICLE.names)) for i, v in cars], f"vehicle_id int, vehicle {VEHICLE.simpleString()}")
-    return fitment.fitting_parts(parts, vehicles)
-
-
 @query("t50_main_groups", "SELECT CAST(o_orderpriority AS VARCHAR) AS number, CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS id, title FROM (SELECT o_orderpriority, min(o_orderkey) AS f, arg_min(o_orderstatus, o_orderkey) AS title FROM orders GROUP BY 1)")
 def main_groups(t):
     rows = t("orders").select(F.lit("c").alias("catalog_id"), F.col("o_orderpriority").alias("number"), F.col("o_orderstatus").alias("title"), F.col("o_orderkey").alias("seq"))
