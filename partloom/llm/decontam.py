@@ -98,13 +98,19 @@ def _shared_index(docs: DataFrame, bench: DataFrame, block: int, passes: int, n:
 
 
 def uncontaminated(docs: DataFrame, bench: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of `docs`, all columns, with no benchmark window in `text`; null and empty texts stay."""
+    """The rows of `docs`, all columns, with no benchmark window in `text`.
+
+    Null and empty texts stay; long texts are searched whole; repeated rows stay
+    or go together; of equally rare words a window is joined on one, whichever it
+    is; an empty benchmark or table changes nothing.
+    """
     ship(docs.sparkSession)
     bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text")
     names, kinds = docs.columns, {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    at, passes = names.index("text"), _passes(bench)
+    at, passes, whole = names.index("text"), _passes(bench), docs
     for block in range(passes):
-        index = _shared_index(docs, bench, block, passes, n)
+        # rarity is counted over the documents as they came, so blocks don't run through one another
+        index = _shared_index(whole, bench, block, passes, n)
 
         def clean(batches, index=index):
             for batch in batches:

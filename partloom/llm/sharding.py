@@ -86,8 +86,9 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 5, doc_id: str = "doc
     shards are too full go where rows lack, unlinked ones first, which makes the
     counts exact.  Slots are gapless from 0 in each shard.  A null text has size
     8 and the checksum of an empty one, and null and empty texts are one group; a
-    null doc_id is kept; repeated rows are linked rows; an empty table gives no
-    rows.  Native DataFrame operations only.
+    null doc_id is kept; repeated rows are linked rows; long texts count by their
+    whole size; equal (doc_id, checksum, size) go in any order; an empty table
+    gives no rows; other columns are not read.  Native DataFrame operations only.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     base = materialize(

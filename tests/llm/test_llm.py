@@ -145,6 +145,39 @@ def test_sharding(spark, docs, texts, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def cut_edges(rows, shards=24):
+    """Pairs of equal texts in different shards."""
+    groups = {}
+    for h, shard in rows:
+        groups.setdefault(h, Counter())[shard] += 1
+    return sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in groups.values())
+
+
+def test_cut_edges_are_few(spark):
+    """Groups of many sizes: no more pairs are cut than in a greedy placement of whole groups, far fewer than by ids."""
+    r = random.Random(11)
+    sizes = [1] * 400 + [r.randint(2, 12) for _ in range(60)] + [40, 60, 90]
+    texts_ = [f"text {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    r.shuffle(texts_)
+    rows = sharding.shard(frame(spark, list(enumerate(texts_)))).collect()
+    shards_hold(rows, 24)
+    got = cut_edges([(x.text_crc32, x.shard) for x in rows])
+    by_id = cut_edges([(texts_[i], i % 24) for i in range(len(texts_))])
+    left, greedy = [-(-len(texts_) // 24)] * 24, []
+    for g, n in sorted(enumerate(sizes), key=lambda x: -x[1]):
+        while n:
+            s = max(range(24), key=lambda k: left[k])
+            put = min(n, left[s])
+            greedy += [(g, s)] * put
+            left[s] -= put
+            n -= put
+    assert got < by_id and got <= 2 * cut_edges(greedy)
+    # of groups that fit into a shard next to none are cut
+    fit = {zlib.crc32(f"text {g}".encode()) for g, n in enumerate(sizes) if n <= 12}
+    small = [(x.text_crc32, x.shard) for x in rows if x.text_crc32 in fit]
+    assert cut_edges(small) < cut_edges([(h, i % 24) for i, (h, _) in enumerate(small)]) / 10
+
+
 def test_a_third_in_one_group(spark):
     rows = sharding.shard(frame(spark, [(i, "same" if i % 3 == 0 else f"own {i}") for i in range(600)]), 12).collect()
     shards_hold(rows, 12)
