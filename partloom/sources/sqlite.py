@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import base64
+import json
 import os
 import sqlite3
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -92,3 +97,53 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
             marks = ", ".join("?" * len(df.columns))
             db.executemany(f'INSERT INTO "{name}" VALUES ({marks})', ([bytes(v) if isinstance(v, bytearray) else v for v in row] for row in df.toLocalIterator()))
     os.replace(draft, path)
+
+
+def _stored(value, kind: str):
+    """A JSON value as SQLite holds it: blobs as bytes, lists and structs as their JSON."""
+    if kind == "BLOB" and value is not None:
+        return base64.b64decode(value)
+    return json.dumps(value) if isinstance(value, (list, dict)) else value
+
+
+def database_files(tables: dict[str, DataFrame], key: str = "catalog_id") -> DataFrame:
+    """(catalog_id, database): every catalogue's tables as the bytes of a SQLite file, each built by the task that has its rows.
+
+    Rows stream through the tasks, sorted by catalogue and table, so a task holds
+    one catalogue's file on its disk at a time; rows with a null key are left out.
+    """
+    kinds = {"bigint": "INTEGER", "int": "INTEGER", "double": "REAL", "binary": "BLOB"}
+    shapes = {name: [(c, kinds.get(t, "TEXT")) for c, t in df.dtypes if c != key] for name, df in tables.items()}
+    parts = []
+    for name, df in tables.items():
+        columns = [F.col(f"`{c}`") if t != "binary" else F.base64(F.col(f"`{c}`")).alias(c) for c, t in df.dtypes if c != key]
+        parts.append(df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("catalog_id"), F.lit(name).alias("name"), F.to_json(F.struct(*columns)).alias("row")))
+    rows = reduce(DataFrame.unionByName, parts).repartition("catalog_id").sortWithinPartitions("catalog_id", "name", "row")
+
+    def build(batches):
+        held, db, path = None, None, None
+
+        def closed():
+            db.commit()
+            db.close()
+            with open(path, "rb") as f:
+                data = f.read()
+            os.remove(path)
+            return pd.DataFrame({"catalog_id": [held], "database": [data]})
+
+        for pdf in batches:
+            for catalog, name, row in pdf.itertuples(index=False):
+                if catalog != held:
+                    if held is not None:
+                        yield closed()
+                    held, path = catalog, tempfile.mkstemp(suffix=".sqlite")[1]
+                    db = sqlite3.connect(path)
+                    for table, shape in shapes.items():
+                        db.execute(f'CREATE TABLE "{table}" ({", ".join(f"{chr(34)}{c}{chr(34)} {k}" for c, k in shape)})')
+                told = json.loads(row)
+                values = [_stored(told.get(c), kind) for c, kind in shapes[name]]
+                db.execute(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(values))})', values)
+        if held is not None:
+            yield closed()
+
+    return rows.mapInPandas(build, "catalog_id string, database binary")

@@ -86,3 +86,15 @@ def test_page_carry_over_batches(spark, tmp_path):
     source = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "r"))
     run(stages.continued_records(source), "records", "append")
     assert [r.text for r in spark.table("records").collect()] == ["a b"]
+
+
+def test_databases_are_built_by_tasks(spark, tmp_path):
+
+    parts = spark.createDataFrame([("a", 1, "bolt", bytearray(b"\x00\xff")), ("b", 2, None, None), ("a", 3, "nut", None), (None, 4, "x", None)], "catalog_id string, id long, description string, picture binary")
+    codes = spark.createDataFrame([("a", "567", ["x", "y"])], "catalog_id string, code string, words array<string>")
+    got = {r.catalog_id: bytes(r.database) for r in sqlite.database_files({"part": parts, "pr_code": codes}).collect()}
+    assert set(got) == {"a", "b"}
+    (tmp_path / "a.sqlite").write_bytes(got["a"])
+    with sqlite3.connect(tmp_path / "a.sqlite") as db:
+        assert sorted(db.execute("SELECT id, description, picture FROM part")) == [(1, "bolt", b"\x00\xff"), (3, "nut", None)]
+        assert db.execute("SELECT code, words FROM pr_code").fetchall() == [("567", '["x", "y"]')]
