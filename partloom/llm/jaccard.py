@@ -15,8 +15,6 @@ from .store import discard, materialize, most_counted, ranked, ship, sieve, sift
 LISTED = {"word": 65_536, "gram": 262_144}
 #: Bits of a set's parity bitmap.
 MARK_BITS = 1024
-#: What pairs are tested by before sets: parity bitmaps, and prefixes under two more orders.
-SKETCH = ("marks", "second", "third")
 #: Documents of a token that its others are tried against in the first round, growth from round to round, and parts of a join.
 PIVOTS, GROWTH, SALTS = 16, 4, 8
 
@@ -158,10 +156,13 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(np.array(one, U64).view(np.int64)), pa.array(np.array(two, U64).view(np.int64)), _strings(prefixes), _strings(marks), _strings(second), _strings(third)], names=["doc_id", "size", "h1", "h2", "prefix", "marks", "second", "third"])
         trim()
 
-    sets = materialize(docs.mapInArrow(describe, "doc_id long, size long, h1 long, h2 long, prefix array<long>, marks array<long>, second array<long>, third array<long>"), "sets")
+    described = docs.mapInArrow(describe, "doc_id long, size long, h1 long, h2 long, prefix array<long>, marks array<long>, second array<long>, third array<long>")
+    sets = materialize(described.withColumn("row", F.monotonically_increasing_id()), "sets")
     same = ["size", "h1", "h2"]
-    classes = materialize(sets.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = materialize(sets.where("size > 0").join(classes.select(*same, F.col("rep").alias("doc_id")), [*same, "doc_id"], "left_semi").select("doc_id", "size", "prefix", *SKETCH), "chosen")
+    # one row of each class, of its least id; rows are numbered in the written table, so the numbers stay
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
+    classes = materialize(sets.where("size > 0").groupBy(*same).agg(first.alias("rep")).select(*same, "rep.doc_id", "rep.row").withColumnRenamed("doc_id", "rep"), "classes")
+    chosen = materialize(sets.where("size > 0").join(classes.select("row"), "row", "left_semi").select("doc_id", "size", "prefix", "marks", "second", "third"), "chosen")
     small = materialize(sets.select("doc_id", "size", "h1", "h2"), "sizes")
     discard(sets)
     joined = _joined(docs, chosen, n, num, den)
@@ -190,13 +191,10 @@ def _joined(docs: DataFrame, chosen: DataFrame, n: int, num: int, den: int) -> D
     postings = chosen.select("doc_id", "size", F.posexplode("prefix").alias("pos", "token")).select("token", "doc_id", "size", "pos")
     shared = chosen.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
     lists = materialize(postings.join(shared, "token", "left_semi"), "lists")
-    sketches = materialize(chosen.select("doc_id", "size", *SKETCH).distinct(), "sketches")
-    del postings, shared
-    discard(chosen)
     pivots = lists.groupBy("token").agg(F.min(F.struct("pos", "doc_id", "size")).alias("y"))
     starred = lists.join(pivots, "token").select(F.struct("doc_id", "size", "pos").alias("x"), "y")
     tried = _pairs(starred.where((F.col("x.doc_id") != F.col("y.doc_id")) & _passing(num, den, "x", "y")))
-    joined = materialize(connected_components(_verified(tried, sketches, docs, n, num, den)), "parts")
+    joined = materialize(connected_components(_verified(tried, chosen, docs, n, num, den)), "parts")
     left = materialize(_open(lists, joined), "open")
     discard(lists)
     left = materialize(ranked(left, ["token"], ["pos", "doc_id", "size"], ["doc_id"], "rank"), "open")
@@ -206,7 +204,7 @@ def _joined(docs: DataFrame, chosen: DataFrame, n: int, num: int, den: int) -> D
         sides = left.select("token", "rank", F.struct("doc_id", "size", "pos", "part").alias("y"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
         first = left.where(F.col("rank") < high).select("token", F.col("rank").alias("own"), F.struct("doc_id", "size", "pos", "part").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         more = first.join(sides, ["token", "salt"]).where((F.col("own") < F.col("rank")) & (F.col("x.part") != F.col("y.part")) & _passing(num, den, "x", "y"))
-        late = _verified(_pairs(more), sketches, docs, n, num, den)
+        late = _verified(_pairs(more), chosen, docs, n, num, den)
         if not late.isEmpty():
             stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             joined = materialize(connected_components(stars.unionByName(late)), "parts")
@@ -214,7 +212,7 @@ def _joined(docs: DataFrame, chosen: DataFrame, n: int, num: int, den: int) -> D
         now = materialize(_open(left.where(F.col("rank") >= low).drop("part"), joined), "open")
         discard(left)
         left = now
-    discard(sketches)
+    discard(chosen)
     return joined
 
 
@@ -243,34 +241,36 @@ def _candidates(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return materialize(maybe.mapInArrow(expand, "id long, whole array<long>"), "candidates")
 
 
-def sketch_filters(num: int, den: int):
-    """Tests of a pair of sketches: parity bitmaps no further apart than similar sets can be, and shared prefix tokens under the second and third order."""
+def close_marks(num: int, den: int):
+    """Whether parity bitmaps are no further apart than those of similar sets of these sizes can be."""
     c = F.col
     apart = F.aggregate(F.zip_with("marks_a", "marks_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sizes = c("size_a") + c("size_b")
-    return {"marks": apart <= sizes - 2 * F.ceil(sizes * num / (num + den)), "second": F.arrays_overlap("second_a", "second_b"), "third": F.arrays_overlap("third_a", "third_b")}
+    return apart <= sizes - 2 * F.ceil(sizes * num / (num + den))
 
 
-def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) with both sides' sketches."""
-    a, b = (sketches.select(F.col("doc_id").alias(s), *[F.col(x).alias(f"{x}_{s}") for x in ("size", *SKETCH)]) for s in "ab")
+def with_sides(pairs: DataFrame, table: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs (a, b) with both sides' columns."""
+    a, b = (table.select(F.col(key).alias(s), *[F.col(x).alias(f"{x}_{s}") for x in columns]) for s in "ab")
     return pairs.join(a, "a").join(b, "b")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """Similar pairs, written to the shared folder.
 
-    A pair's sketches, any of its rows' where rows share a doc_id, must pass the
-    three filters before its sets are read and compared.
+    A pair, any of its rows' sets where rows share a doc_id, must have close
+    parity bitmaps, then share prefix tokens under the second and under the third
+    order, before its sets are read and compared.
     """
-    c, tests = F.col, sketch_filters(num, den)
-    near = materialize(sketched(pairs, sketches).where(tests["marks"] & tests["second"] & tests["third"]).select("a", "b").distinct(), "near")
+    c = F.col
+    close = materialize(with_sides(pairs, chosen, "doc_id", ("size", "marks")).where(close_marks(num, den)).select("a", "b").distinct(), "close")
+    meet = F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
+    near = materialize(with_sides(close, chosen, "doc_id", ("second", "third")).where(meet).select("a", "b").distinct(), "near")
     wanted = materialize(near.select(c("a").alias("doc_id")).unionByName(near.select(c("b").alias("doc_id"))).distinct(), "wanted")
     sets = _candidates(docs, wanted, n)
-    a, b = (sets.select(c("id").alias(s), c("whole").alias(f"whole_{s}")) for s in "ab")
     shared = F.size(F.array_intersect("whole_a", "whole_b"))
-    out = materialize(near.join(a, "a").join(b, "b").where(shared * (num + den) >= (F.size("whole_a") + F.size("whole_b")) * num).select("a", "b").distinct(), "links")
-    for done in (sets, near, wanted):
+    out = materialize(with_sides(near, sets, "id", ("whole",)).where(shared * (num + den) >= (F.size("whole_a") + F.size("whole_b")) * num).select("a", "b").distinct(), "links")
+    for done in (sets, close, near, wanted):
         discard(done)
     return out
 
