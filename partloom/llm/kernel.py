@@ -42,10 +42,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 RELEASED: list = []
 
 
-def trim() -> None:
-    """Empty the worker's caches and give freed memory back to the system, where that is possible."""
-    for empty in RELEASED:
-        empty()
+def give_back() -> None:
+    """Give freed memory back to the system, where that is possible."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -53,6 +51,13 @@ def trim() -> None:
         pass
 
 
+def trim() -> None:
+    """Empty the worker's caches and give their memory back."""
+    for empty in RELEASED:
+        empty()
+    give_back()
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n + 1:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernel import give_back
 from .pretokens import classes
 from .store import materialize, ranked, ship, table
 from .tokens import Encoder, Ids, text_runs, worker_encoder
@@ -65,6 +66,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str =
     shared = docs.sparkSession.sparkContext.broadcast(classes(own.model) if own.split else None)
 
     def cut(batches):
+        give_back()
         encoder = worker_encoder(path, "ids")
         if encoder.split and encoder.ider is None:
             encoder.ider = Ids(encoder, shared.value)

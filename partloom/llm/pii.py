@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernel import mix
+from .kernel import give_back, mix
 from .store import fresh, ship, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -532,6 +532,7 @@ def personal_data(docs: DataFrame, tagger: Tagger, keep: list[str] | None = None
     kept = [c for c in (keep or docs.columns) if c not in names]
 
     def find(batches):
+        give_back()
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             plain = [t or "" for t in texts]
