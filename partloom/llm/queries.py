@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audio, decontam, jaccard, packing, pii, quality, sharding, suffix, tokens, toxicity
+from . import audio, decontam, divergence, fim, jaccard, packing, pii, quality, sharding, suffix, tokens, toxicity, urls
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_decontamination": decontam.query,
     "op9_toxicity": toxicity.query,
     "op10_jaccard_join": jaccard.query,
+    "op11_source_divergence": divergence.query,
+    "op12_fill_in_middle": fim.query,
+    "op13_url_filter": urls.query,
 }
 ORACLES: dict[str, str] = {
     "op8_decontamination": decontam.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_fill_in_middle": fim.SQL,
+    "op13_url_filter": urls.SQL,
 }
