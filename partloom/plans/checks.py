@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vin
 from ..functions.scope import with_scope
 from ..operators import evaluation, fitment, garage, search
+from ..sources.tables import shared_folder
 from ..streaming import stages
 from .registry import _BOXES, _GREEDY, _boxes, query
 
@@ -63,8 +61,7 @@ def garage_documents(t):
 def stored_index(t):
     part = t("part")
     spark = part.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='partloom-')}"
-    path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "index")
     search.store_index(search.token_index(part, "p_partkey", ["p_name", "p_brand"]), path)
     return search.match_stored(spark, path, "Brand#11").withColumnRenamed("key", "p_partkey")
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the folder of spark.checkpoint.dir and read back; a temporary folder only in a local session without one."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir, deleted when the session's JVM ends; a temporary one only in a local session that names no folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
@@ -18,5 +17,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
         root = f"file://{tempfile.mkdtemp(prefix='partloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
+    return path
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """`df`, written to the folder of spark.checkpoint.dir and read back."""
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
