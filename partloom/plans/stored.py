@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.garage import META
+from ..sources import sqlite
 from ..sources.tables import shared_folder
 from ..sources.versions import Versions
 from .registry import query
@@ -49,3 +50,16 @@ def time_travel(t):
     held = changed_garage(t)
     each = [_shown(held.read(k)).groupBy("updated").agg(F.count(F.lit(1)).alias("n"), F.sum("marks").alias("marks")).select(F.lit(k).alias("version"), "updated", "n", "marks") for k in range(4)]
     return reduce(DataFrame.unionByName, each)
+
+
+@query("t76_sqlite_parts", "SELECT p_brand AS catalog_id, p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 10 AND 30 AND contains(p_type, 'BRASS') AND p_brand <> 'Brand#33' UNION ALL SELECT p_brand, p_partkey, p_name, p_size FROM part WHERE starts_with(p_type, 'SMALL') AND p_brand <> 'Brand#33'")
+def sqlite_parts(t):
+    """Parts in a SQLite file for each brand, written by tasks, one brand replaced by nothing; read back with tests that SQLite tries."""
+    part = t("part").select("p_brand", "p_partkey", "p_name", "p_type", "p_size")
+    spark, folder = part.sparkSession, shared_folder(part.sparkSession, "catalogs").removeprefix("file://")
+    sqlite.write_catalogs(part, folder, "part", "p_brand")
+    sqlite.write_catalogs(part.where("p_brand = 'Brand#33'").withColumn("p_type", F.lit("")), folder, "part", "p_brand", "overwrite")
+    files = sorted(f"{folder}/{r.p_brand}/catalog.sqlite" for r in part.select("p_brand").distinct().collect())
+    named = F.regexp_extract("_file", "([^/]+)/catalog.sqlite$", 1).alias("catalog_id")
+    read = lambda tests: sqlite.read_table(spark, files, "part", ["_file", "p_partkey", "p_name", "p_size"], tests).select(named, "p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"))
+    return read([("p_size", ">=", 10), ("p_size", "<=", 30), ("p_type", "contains", "BRASS")]).unionByName(read([("p_type", "starts", "SMALL")]))
