@@ -50,32 +50,3 @@ def scope_admits(scope: Column, vehicle: Column) -> Column:
         block = vehicle["chassisBlock" if number == "chassis" else f"{number}Block" if number == "engineNum" else "transmissionBlock"]
         tests.append(serial_admits(scope[facet], serial_key(vehicle[number]), serial_key(block["from"]), serial_key(block["to"])))
     return reduce(lambda a, b: a & b, tests)
-
-
-#: Parts that each key of scopes and vehicles is dealt over.
-SALTS = 8
-
-
-def fitting_parts(parts: DataFrame, vehicles: DataFrame) -> DataFrame:
-    """(vehicle_id, part_id) where section and part scope both admit the vehicle.
-
-    `parts` has part_id, section_scope and scope, `vehicles` vehicle_id and
-    vehicle.  Distinct pairs of scopes are tried against distinct vehicles, where
-    a line that both state is the same; parts and vehicles come back by digests
-    of what they share.
-    """
-    digest = lambda *c: F.sha2(F.to_json(F.struct(*c)), 256)
-    own = parts.select("part_id", "section_scope", "scope", digest("section_scope", "scope").alias("scopes"))
-    cars = vehicles.select("vehicle_id", "vehicle", digest("vehicle").alias("profile"))
-    pairs = own.groupBy("scopes").agg(F.first("section_scope").alias("section_scope"), F.first("scope").alias("scope"))
-    profiles = cars.groupBy("profile").agg(F.first("vehicle").alias("vehicle"))
-    # a scope with lines meets the vehicles of one, any other those of every line; a vehicle without a line meets all
-    lines = F.when(F.size("section_scope.lines.any") > 0, F.col("section_scope.lines.any")).otherwise(F.col("scope.lines.any"))
-    keys = F.concat(F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit("*"))), F.array(F.lit("?")))
-    line = normal_token(F.coalesce("vehicle.line", F.lit("")))
-    asked = F.when(line == "", F.array(F.lit("?"))).otherwise(F.array(line, F.lit("*")))
-    left = pairs.select("*", F.explode(F.array_distinct(keys)).alias("line"), F.pmod(F.xxhash64("scopes"), F.lit(SALTS)).cast("int").alias("salt"))
-    right = profiles.select("profile", "vehicle", F.explode(asked).alias("line")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    both = scope_admits(F.col("section_scope"), F.col("vehicle")) & scope_admits(F.col("scope"), F.col("vehicle"))
-    fits = left.join(right, ["line", "salt"]).where(both).select("scopes", "profile")
-    return own.select("part_id", "scopes").join(fits, "scopes").join(cars.select("vehicle_id", "profile"), "profile").select("vehicle_id", "part_id")

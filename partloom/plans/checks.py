@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vin
 from ..functions.scope import with_scope
-from ..operators import evaluation, fitment, garage, search
+from ..operators import evaluation, garage, profiles, search
 from ..sources.tables import shared_folder
 from ..streaming import stages
 from .registry import _BOXES, _GREEDY, _boxes, query
@@ -142,7 +142,7 @@ SELECT v.id AS vehicle_id, p_partkey AS part_id FROM v, part WHERE (p_size % 5 =
 
 @query("t49_fitment", _FITMENT_SQL)
 def fits(t):
-    return fitment.fitting_parts(scopes_of(t("part")).select("part_id", "section_scope", "scope"), garage_of(t("supplier")))
+    return profiles.fitting_parts(scopes_of(t("part")).select("part_id", "section_scope", "scope"), garage_of(t("supplier")))
 
 
 @query("t71_first_events", "SELECT event_id, min(ts) AS ts FROM (SELECT event_id, ts FROM events UNION ALL SELECT event_id, ts FROM events) GROUP BY 1")

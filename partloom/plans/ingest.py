@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scope as language
 from ..functions.text import normal_token
-from ..operators import applicability, directory, fitment, parts, ranges, vpages
+from ..operators import applicability, directory, parts, profiles, ranges, vpages
 from ..sources.documents import outline_sections
 from ..sources.tables import settled
 
@@ -114,4 +114,4 @@ def parts_of_vehicles(tables: dict[str, DataFrame], vehicles: DataFrame) -> Data
         stated = F.struct(F.array_union(F.col(f"section_scope.{group}.any"), F.coalesce(column, none)).alias("any"), F.col(f"section_scope.{group}.not").alias("not"))
         section = section.withColumn("section_scope", F.col("section_scope").withField(group, stated))
     own = section.select("catalog_id", F.col("id").alias("section_id"), "section_scope")
-    return fitment.fitting_parts(part.select("catalog_id", "section_id", F.col("id").alias("part_id"), "scope").join(own, ["catalog_id", "section_id"]), vehicles)
+    return profiles.fitting_parts(part.select("catalog_id", "section_id", F.col("id").alias("part_id"), "scope").join(own, ["catalog_id", "section_id"]), vehicles)
