@@ -6,6 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def scanned(df: DataFrame, states: dict[str, tuple[str, Column]], partition: list[str], order: list[str], segment: str, own: bool = True) -> DataFrame:
+    """Running states of a partition's rows, without a task that sees the whole partition.
+
+    `states` gives each new column's kind and value: `sum`, `max`, or `last` (the
+    last value that isn't null).  `segment` is a column that never falls in the
+    order, as a page or a block of positions.  A window folds each segment, one
+    over the segments' ends, a row for each, folds what comes before it, and the
+    two are put together.  With own=False a row's own value is left out.  Where
+    nothing came before, sums are 0 and the others null.
+    """
+    keys = [*partition, segment]
+    valued = df.withColumns({f"_v_{n}": v for n, (_, v) in states.items()})
+    at_end = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*order)))}
+    so_far = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.last(c, ignorenulls=True)}
+    together = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "max": lambda a, b: F.greatest(a, b), "last": lambda a, b: F.coalesce(b, a)}
+    ends = valued.groupBy(*keys).agg(*[at_end[kind](f"_v_{n}").alias(f"_e_{n}") for n, (kind, _) in states.items()])
+    earlier = Window.partitionBy(*partition).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[so_far[kind](f"_e_{n}").over(earlier).alias(f"_b_{n}") for n, (kind, _) in states.items()])
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    local = valued.withColumns({f"_l_{n}": so_far[kind](f"_v_{n}").over(inside) for n, (kind, _) in states.items()})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return local.join(before, same).select(*df.columns, *[together[kind](F.col(f"_b_{n}"), F.col(f"_l_{n}")).alias(n) for n, (kind, _) in states.items()])
+
+
 def _before(partition: list[str], order: list[str]):
     return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 

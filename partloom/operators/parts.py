@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scope import is_scope, with_scope
 from ..functions.text import blank
+from ..sources.tables import settled
 from . import applicability as scopes
 
 # Fixed values of the printed layout: headings, where colour codes begin, and texts that mark a row.
@@ -213,7 +214,7 @@ def extract(items: DataFrame) -> DataFrame:
     that can't be read is left out and the open block stays open.
     """
     told = items.groupBy(*SECTION).agg(F.min("page").alias("first_page"), F.first("dialect", True).alias("dialect"), F.first("pivot", True).cast("int").alias("pivot"), F.first("life_end", True).cast("int").alias("life_end"))
-    rows = with_reading(in_blocks(table_rows(text_rows(items)).join(told, SECTION)))
+    rows = settled(with_reading(settled(in_blocks(table_rows(text_rows(items)).join(told, SECTION)), "block_rows")), "read_rows")
     return part_rows(rows).unionByName(title_rows(rows)).to(_schema())
 
 

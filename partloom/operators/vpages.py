@@ -2,8 +2,8 @@
 
 Each layout is a line of layouts(): the heading that names its pages, the row that
 begins it, and how its rows become records.  Pages without a heading continue
-the open table, and rows without a start continue the open record; both are
-running aggregates over the catalogue's rows.
+the open table, and rows without a start continue the open record; what is
+carried from row to row is folded page by page, and then over the pages.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, expand_two_digit, leading_int, range_end, tech_data, undotted
+from ..sources.tables import settled
+from .ordered import scanned
 
 OUT = "catalog_id string, table_name string, seq int, fields map<string,string>"
 # How the layouts print dates, periods, codes and ranges of numbers.
@@ -76,12 +78,9 @@ def _model_line() -> Column:
     return some(lambda t: t.startswith("Model:"))
 
 
-def _upto(end: int = 0):
-    return Window.partitionBy("catalog_id").orderBy("page", "row_idx").rowsBetween(Window.unboundedPreceding, end)
-
-
-def carried(value: Column) -> Column:
-    return F.last(value, ignorenulls=True).over(_upto())
+def carried(df: DataFrame, **values: Column) -> DataFrame:
+    """Add the last value of each that was not null, this row's included; a task sees a page at a time."""
+    return scanned(df, {n: ("last", v) for n, v in values.items()}, ["catalog_id"], ["page", "row_idx"], "page")
 
 
 def period(at: Column) -> dict[str, Column]:
@@ -97,10 +96,11 @@ def described(df: DataFrame, name: str, values: dict[str, Column]) -> DataFrame:
 
 def with_continuations(df: DataFrame, starts: Column, text: Column) -> DataFrame:
     """Starting rows, each with `more`: the texts of the rows up to the next one, in order."""
-    numbered = df.withColumn("_start", F.coalesce(starts, F.lit(False))).withColumn("_record", F.sum(F.col("_start").cast("int")).over(_upto())).where("_record > 0")
+    marked = df.withColumn("_start", F.coalesce(starts, F.lit(False)))
+    numbered = carried(marked, _record=F.when(F.col("_start"), F.struct("page", "row_idx"))).where("_record IS NOT NULL")
+    own = F.max(F.when(F.col("_start"), F.struct("page", "row_idx", *[c for c in df.columns if c not in ("catalog_id", "page", "row_idx")])))
     more = F.array_sort(F.collect_list(F.when(~F.col("_start"), F.struct("page", "row_idx", text.alias("text")))))
-    extra = numbered.groupBy("catalog_id", "_record").agg(F.transform(more, lambda r: r["text"]).alias("more"))
-    return numbered.where("_start").join(extra, ["catalog_id", "_record"]).drop("_start", "_record")
+    return numbered.groupBy("catalog_id", "_record").agg(own.alias("_own"), F.transform(more, lambda r: r["text"]).alias("more")).select("catalog_id", "_own.*", "more")
 
 
 # Records of each layout; every reader takes the rows below its beginning
@@ -169,7 +169,7 @@ def old_types(df: DataFrame) -> list[DataFrame]:
     years = F.array_max(F.transform(_tokens(), lambda t, i: F.when(t.rlike(r"^\d{2}\z") & (i + 1 < at), i + 1)))
     own = own.withColumn("at_year", years)
     year = F.col("at_year")
-    own = own.withColumn("vehicle", carried(F.when(opened, part(1)).otherwise(blank(words(1, year))))).withColumn("year", carried(F.when(opened, part(2)).otherwise(token(year))))
+    own = carried(own, vehicle=F.when(opened, part(1)).otherwise(blank(words(1, year))), year=F.when(opened, part(2)).otherwise(token(year)))
     lead = F.when(year.isNotNull(), F.slice(_tokens(), year + 1, F.greatest(at - year - 1, F.lit(0))))
     shaped, lettered = (F.filter(lead, _fits(p)) for p in (CHASSIS_SHAPE, "[A-Z]"))
     low, high = F.substring_index(token(at), ">", 1), F.regexp_replace(token(at), "^[^>]*>", "")
@@ -228,7 +228,7 @@ def old_engines(df: DataFrame) -> list[DataFrame]:
         two_digit_year(_by_shape(open=_open(3), coded=token(code + 1), short=token(year))).alias("year"), _by_shape(open=_open(1), coded=words(1, code), short=words(1, year - 1)).alias("vehicle"),
         F.when(F.col("shape") == "coded", undotted(F.col("code"))).otherwise(F.col("code")).alias("kind"),
     )
-    own = own.withColumn("held", carried(F.when(F.col("code").isNotNull(), told))).where(F.col("held").isNotNull())
+    own = carried(own, held=F.when(F.col("code").isNotNull(), told)).where(F.col("held").isNotNull())
     tech = tech_data(F.col("tech"))
     codes = first_of_code(own.where("code IS NOT NULL"), "engine_code", "ec", {"displacement_l": tech["displacement_l"], "power_kw": tech["power_kw"], "power_hp": _none(), "cylinders": tech["cylinders"]})
     return [codes, described(own, "engine_number_range", {"number_from": blank(F.col("from")), "number_to": blank(F.col("to")), "model_year": F.col("held.year"), "vehicle_type": F.col("held.vehicle"), "engine_type": F.col("held.kind")})]
@@ -313,16 +313,19 @@ def parse(rows: DataFrame) -> DataFrame:
     """
     clean = F.filter(F.transform("tokens", lambda t: F.regexp_replace(t, r"^\s+|\s+\z", "")), lambda t: t != "")
     rows = rows.select("catalog_id", "page", "row_idx", clean.alias("tokens"))
-    pages = page_texts(rows)
+    pages = settled(page_texts(rows), "front_pages")
     facts = catalog_facts(pages)
     told = rows.where(F.size("tokens") > 0).withColumn("line", F.array_join("tokens", " ")).join(pages.select("catalog_id", "page", "active"), ["catalog_id", "page"]).join(facts.select("catalog_id", "pivot"), "catalog_id")
+    # a table begins behind the first of its rows that does: the least place, so no task walks through a catalogue
+    kinds = list(enumerate(layouts()))
+    by_layout = lambda value: reduce(lambda chain, k: chain.when(F.col("active") == k[0], value(k[1])), kinds[1:], F.when(F.col("active") == 0, value(kinds[0][1])))
+    seen = told.where(by_layout(lambda x: F.lit(True) if x.plain is None else x.plain))
+    at = F.struct("page", "row_idx")
+    first = seen.where(by_layout(lambda x: x.begins)).groupBy("catalog_id", "active").agg(F.min(at).alias("_first"))
+    begun = settled(seen.join(first, ["catalog_id", "active"]).where(at > F.col("_first")).drop("_first"), "front_rows")
     found = [facts.select("catalog_id", F.lit("catalog").alias("table_name"), F.lit(0).alias("page"), F.lit(0).alias("row_idx"), F.create_map(*[x for c in ("model", "dialect", "pivot", "life_end") for x in (F.lit(c), F.col(c).cast("string"))]).alias("fields"))]
-    for k, layout in enumerate(layouts()):
-        own = told.where(F.col("active") == k)
-        if layout.plain is not None:
-            own = own.where(layout.plain)
-        begun = own.withColumn("_begun", F.coalesce(F.max(layout.begins).over(_upto(-1)), F.lit(False))).where("_begun").drop("_begun")
-        found += layout.read(begun)
+    for k, layout in kinds:
+        found += layout.read(begun.where(F.col("active") == k).drop("active"))
     out = reduce(DataFrame.unionByName, found)
     seq = F.row_number().over(Window.partitionBy("catalog_id", "table_name").orderBy("page", "row_idx"))
     return out.select("catalog_id", "table_name", seq.alias("seq"), "fields")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import settled
 from .registry import query
 
 #: Where columns of a parts page begin.
@@ -60,14 +61,14 @@ SELECT CAST(p_size AS VARCHAR) AS section_id, CAST(turn AS INTEGER) AS block, CA
 def parts_pages(t):
     from ..operators import parts
 
-    return parts.extract(parts_items(t("part"))).where("kind = 'part'").select("section_id", "block", "child", "position", "part_number", "colour_code", "description", "quantity", "remarks", "applicability")
+    return parts.extract(settled(parts_items(t("part")), "items")).where("kind = 'part'").select("section_id", "block", "child", "position", "part_number", "colour_code", "description", "quantity", "remarks", "applicability")
 
 
 @query("t58_section_titles", "SELECT DISTINCT CAST(p_size AS VARCHAR) AS section_id, 'Section ' || p_size AS description, 'TURBO' AS model, 'TURBO' AS model_scope, '' AS applicability FROM part")
 def section_titles(t):
     from ..operators import parts
 
-    return parts.extract(parts_items(t("part"))).where("kind = 'title'").select("section_id", "description", "model", "model_scope", "applicability")
+    return parts.extract(settled(parts_items(t("part")), "items")).where("kind = 'title'").select("section_id", "description", "model", "model_scope", "applicability")
 
 
 @query("t59_text_rows", "SELECT CAST(p_size AS VARCHAR) AS section_id, CAST(count(*) AS BIGINT) AS printed FROM (SELECT p_size, unnest([1, 1] || CASE WHEN p_partkey % 2 = 0 THEN [1] ELSE [] END || CASE WHEN p_partkey % 3 = 0 THEN [1] ELSE [] END || CASE WHEN p_partkey % 5 = 0 THEN [1] ELSE [] END) FROM part UNION ALL SELECT DISTINCT p_size, 1 FROM part UNION ALL SELECT p_size, 1 FROM (SELECT DISTINCT p_size, (row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1) // 10 AS page FROM part)) GROUP BY 1")
@@ -132,7 +133,7 @@ SELECT catalog_id, table_name, CAST(row_number() OVER (PARTITION BY catalog_id,
 def front_pages(t):
     from ..operators import vpages
 
-    found = vpages.parse(front_rows(t("customer"), t("supplier"), t("part"))).where("table_name <> 'catalog'")
+    found = vpages.parse(settled(front_rows(t("customer"), t("supplier"), t("part")), "printed")).where("table_name <> 'catalog'")
     told = F.transform(F.array_sort(F.map_entries(F.map_filter("fields", lambda k, v: v.isNotNull()))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.select("catalog_id", "table_name", "seq", F.array_join(told, ";").alias("fields"))
 
@@ -161,6 +162,6 @@ def old_summaries(t):
     own = body.select("catalog_id", F.lit(2).alias("page"), (c("k") * 2 + c("at")).cast("int").alias("row_idx"), "tokens")
     heads = [["Model: 911 Model life 1950>>1989"], ["SUMMARY ENGINES"], ["MY"]]
     head = p.select("catalog_id").distinct().select("catalog_id", F.lit(1).alias("page"), F.posexplode(F.array(*[F.array(*map(F.lit, h)) for h in heads])).alias("row_idx", "tokens"))
-    found = vpages.parse(own.unionByName(head)).where("table_name <> 'catalog'")
+    found = vpages.parse(settled(own.unionByName(head), "printed")).where("table_name <> 'catalog'")
     told = F.transform(F.array_sort(F.map_entries(F.map_filter("fields", lambda k, v: v.isNotNull()))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.select("catalog_id", "table_name", "seq", F.array_join(told, ";").alias("fields"))
