@@ -214,7 +214,8 @@ def extract(items: DataFrame) -> DataFrame:
     that can't be read is left out and the open block stays open.
     """
     told = items.groupBy(*SECTION).agg(F.min("page").alias("first_page"), F.first("dialect", True).alias("dialect"), F.first("pivot", True).cast("int").alias("pivot"), F.first("life_end", True).cast("int").alias("life_end"))
-    rows = settled(with_reading(settled(in_blocks(table_rows(text_rows(items)).join(told, SECTION)), "block_rows")), "read_rows")
+    placed = settled(table_rows(settled(text_rows(items), "text_rows")), "table_rows")
+    rows = settled(with_reading(settled(in_blocks(placed.join(told, SECTION)), "block_rows")), "read_rows")
     return part_rows(rows).unionByName(title_rows(rows)).to(_schema())
 
 
