@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.postings import GRAMS, Index
+
 
 def token_index(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(token, key): distinct lower-case words of the columns."""
@@ -50,6 +52,43 @@ def match_all(index: DataFrame, query: str) -> DataFrame:
     return index.where(F.col("token").isin(terms)).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("key") if terms else index.select("key").limit(0)
 
 
+def match_words(index: Index, query: str) -> DataFrame:
+    """Keys that hold every word of the query, by a stored index; none for a query without words."""
+    terms = terms_of(query)
+    return index.live(terms).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("key")
+
+
+def match_phrase(index: Index, query: str) -> DataFrame:
+    """Keys that hold the query's words one after another in one column.
+
+    Each posting names the places where the phrase would have to begin; a phrase
+    begins where all its words say so.
+    """
+    words = "".join(c if c.isalnum() else " " for c in query.lower()).split()
+    if not words:
+        return index.live([]).select("key")
+    turns: dict[str, list[int]] = {}
+    for k, w in enumerate(words):
+        turns.setdefault(w, []).append(k)
+    turn = F.element_at(F.create_map(*[x for w, ks in turns.items() for x in (F.lit(w), F.array(*map(F.lit, ks)))]), F.col("token"))
+    begins = index.live(sorted(turns)).select("key", F.explode("places").alias("place"), turn.alias("turns")).select("key", F.col("place"), F.explode("turns").alias("turn"))
+    return begins.groupBy("key", (F.col("place") - F.col("turn")).alias("begin")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(words)).select("key").distinct()
+
+
+def like_stored(df: DataFrame, index: Index, key: str, query: str, columns: list[str]) -> DataFrame:
+    """like() over an index of grams: rows with all grams of the query are tried, others never; a query of one character is tried on all.
+
+    The index has the grams of the same columns.
+    """
+    low = query.lower()
+    size = max((n for n in GRAMS if n <= len(low)), default=0)
+    if not size:
+        return like(df, query, columns)
+    grams = sorted({low[i : i + size] for i in range(len(low) - size + 1)})
+    found = index.live(grams).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(grams)).select(F.col("key").alias(key))
+    return like(df.join(found, key, "left_semi"), query, columns)
+
+
 def like(df: DataFrame, query: str, columns: list[str]) -> DataFrame:
     """Rows with the query inside one of the columns, whatever the case; its wildcards are literal."""
     pattern = "%" + query.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"

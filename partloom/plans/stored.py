@@ -1,4 +1,4 @@
-"""Queries over stored tables: vehicle documents in versions, catalogue files with pushed filters."""
+"""Queries over stored tables: vehicle documents in versions, catalogue files, search indexes in segments."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import search
 from ..operators.garage import META
 from ..sources import sqlite
+from ..sources.postings import Index
 from ..sources.tables import shared_folder
 from ..sources.versions import Versions
 from .registry import query
@@ -52,7 +54,7 @@ def time_travel(t):
     return reduce(DataFrame.unionByName, each)
 
 
-@query("t76_sqlite_parts", "SELECT p_brand AS catalog_id, p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 10 AND 30 AND contains(p_type, 'BRASS') AND p_brand <> 'Brand#33' UNION ALL SELECT p_brand, p_partkey, p_name, p_size FROM part WHERE starts_with(p_type, 'SMALL') AND p_brand <> 'Brand#33'")
+@query("t76_sqlite_parts", "SELECT p_brand AS catalog_id, p_partkey, p_name, p_size FROM part WHERE p_size BETWEEN 10 AND 30 AND contains(p_type, 'ONOM') AND p_brand <> 'Brand#33' UNION ALL SELECT p_brand, p_partkey, p_name, p_size FROM part WHERE starts_with(p_type, 'SMALL') AND p_brand <> 'Brand#33'")
 def sqlite_parts(t):
     """Parts in a SQLite file for each brand, written by tasks, one brand replaced by nothing; read back with tests that SQLite tries."""
     part = t("part").select("p_brand", "p_partkey", "p_name", "p_type", "p_size")
@@ -62,4 +64,36 @@ def sqlite_parts(t):
     files = sorted(f"{folder}/{r.p_brand}/catalog.sqlite" for r in part.select("p_brand").distinct().collect())
     named = F.regexp_extract("_file", "([^/]+)/catalog.sqlite$", 1).alias("catalog_id")
     read = lambda tests: sqlite.read_table(spark, files, "part", ["_file", "p_partkey", "p_name", "p_size"], tests).select(named, "p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"))
-    return read([("p_size", ">=", 10), ("p_size", "<=", 30), ("p_type", "contains", "BRASS")]).unionByName(read([("p_type", "starts", "SMALL")]))
+    return read([("p_size", ">=", 10), ("p_size", "<=", 30), ("p_type", "contains", "ONOM")]).unionByName(read([("p_type", "starts", "SMALL")]))
+
+
+_PARTS_NOW = """
+WITH p AS (SELECT p_partkey, CASE WHEN p_brand = 'Brand#11' THEN p_name || ', special edition' ELSE p_name END AS name, lower(p_type) AS kind, p_size, p_brand FROM part WHERE p_size <= 40),
+w AS (SELECT p_partkey, ' ' || array_to_string([x FOR x IN regexp_split_to_array(lower(name), '[^\\p{L}\\p{N}]+') IF x <> ''], ' ') || ' | ' || array_to_string([x FOR x IN regexp_split_to_array(kind, '[^\\p{L}\\p{N}]+') IF x <> ''], ' ') || ' ' AS s FROM p)
+"""
+
+
+def changed_index(t, kind: str) -> Index:
+    """Parts in four inserts, merged; sizes over 40 deleted, one brand's names changed."""
+    part = t("part").select("p_partkey", "p_name", "p_type", "p_size", "p_brand")
+    held = Index.create(part.sparkSession, shared_folder(part.sparkSession, kind), kind, parts=16)
+    for k in range(4):
+        held.insert(part.where(F.pmod(F.xxhash64("p_partkey"), F.lit(4)) == k), "p_partkey", ["p_name", "p_type"])
+    held.merge()
+    held.delete(part.where("p_size > 40"), "p_partkey")
+    held.insert(part.where("p_brand = 'Brand#11' AND p_size <= 40").withColumn("p_name", F.concat("p_name", F.lit(", special edition"))), "p_partkey", ["p_name", "p_type"])
+    return held
+
+
+@query("t77_index_updates", _PARTS_NOW + "SELECT 'words' AS asked, p_partkey FROM w WHERE contains(s, ' special ') AND contains(s, ' ring ') UNION ALL SELECT 'phrase', p_partkey FROM w WHERE contains(s, ' special edition ') UNION ALL SELECT 'name', p_partkey FROM w WHERE contains(s, ' small ring ') UNION ALL SELECT 'across', p_partkey FROM w WHERE contains(s, ' ring economy ')")
+def index_updates(t):
+    held = changed_index(t, "words")
+    found = {"words": search.match_words(held, "Ring SPECIAL"), "phrase": search.match_phrase(held, "special edition"), "name": search.match_phrase(held, "small ring"), "across": search.match_phrase(held, "ring economy")}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(asked).alias("asked"), F.col("key").alias("p_partkey")) for asked, df in found.items()])
+
+
+@query("t78_gram_like", _PARTS_NOW + "SELECT q AS asked, p_partkey, name FROM p, (SELECT unnest(['re', 'olish', 'L, SP', '%']) AS q) WHERE contains(lower(name), lower(q)) OR contains(kind, lower(q))")
+def gram_like(t):
+    held = changed_index(t, "grams")
+    now = t("part").where("p_size <= 40").select("p_partkey", F.when(F.col("p_brand") == "Brand#11", F.concat("p_name", F.lit(", special edition"))).otherwise(F.col("p_name")).alias("name"), "p_type")
+    return reduce(DataFrame.unionByName, [search.like_stored(now, held, "p_partkey", q, ["name", "p_type"]).select(F.lit(q).alias("asked"), "p_partkey", "name") for q in ("re", "olish", "L, SP", "%")])
