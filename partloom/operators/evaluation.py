@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from .ranges import box_pairs
 
 # How far each source of a box is trusted.
 SOURCE_RANK = {"human": 3, "agent": 2, "vision": 1}
@@ -143,11 +146,15 @@ def split_groups(df: DataFrame, group: str, share: float, seed: int) -> DataFram
     return df.withColumn("split", F.when(h < int(share * 10_000), F.lit("val")).otherwise(F.lit("train")))
 
 
+def near_pairs(truth: DataFrame, predicted: DataFrame, key: str, least: float) -> DataFrame:
+    """(key, gi, pi, same, v): boxes of both sides that overlap by at least `least` (over 0), and whether their numbers agree."""
+    a, b = F.col("a"), F.col("b")
+    return box_pairs(truth, predicted, key).select(a[key].alias(key), a["idx"].alias("gi"), b["idx"].alias("pi"), (a["num"] == b["num"]).alias("same"), iou(a, b).cast("double").alias("v")).where(F.col("v") >= least)
+
+
 def error_kinds(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3) -> DataFrame:
     """(key, hit, misread, missed, spurious) counts: a box is misread if only boxes of other numbers overlap it enough."""
-    g, p = truth.alias("g"), predicted.alias("p")
-    box = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    near = g.join(p, (F.col(f"g.{key}") == F.col(f"p.{key}")) & (iou(box("g"), box("p")) >= least)).select(F.col(f"g.{key}").alias(key), F.col("g.idx").alias("gi"), F.col("p.idx").alias("pi"), (F.col("g.num") == F.col("p.num")).alias("same"))
+    near = near_pairs(truth, predicted, key, least)
     of_g = near.groupBy(key, F.col("gi").alias("idx")).agg(F.max("same").alias("same"))
     of_p = near.select(key, F.col("pi").alias("idx")).distinct().withColumn("near", F.lit(True))
     t = truth.select(key, "idx").join(of_g, [key, "idx"], "left").groupBy(key).agg(F.count_if(F.col("same")).alias("hit"), F.count_if(~F.col("same")).alias("misread"), F.count_if(F.col("same").isNull()).alias("missed"))
@@ -182,17 +189,16 @@ def detection_metrics(truth: DataFrame, predicted: DataFrame, key: str, least: f
     Boxes are matched one to one within `key`, the best overlaps first; a pair
     counts as found with a number of its own only if the numbers agree.
     """
-    g, p = truth.alias("g"), predicted.alias("p")
-    box = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    near = g.join(p, F.col(f"g.{key}") == F.col(f"p.{key}")).select(F.col(f"g.{key}").alias(key), iou(box("g"), box("p")).alias("v"), F.col("g.idx").alias("gi"), F.col("p.idx").alias("pi"), (F.col("g.num") == F.col("p.num")).alias("same")).where(F.col("v") >= least)
-    counts = []
-    for numbered in (True, False):
-        pairs = greedy_matches(near.where("same") if numbered else near, [key])
-        counts.append(pairs.agg(F.count(F.lit(1)).alias("hits"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean_iou")).withColumn("numbered", F.lit(numbered)))
-    totals = truth.agg(F.count(F.lit(1)).alias("n_true")).withColumn("_k", F.lit(1)).join(predicted.agg(F.count(F.lit(1)).alias("n_pred")).withColumn("_k", F.lit(1)), "_k")
-    both = counts[0].select(F.lit(1).alias("_k"), F.col("hits").alias("tp"), "mean_iou").join(counts[1].select(F.lit(1).alias("_k"), F.col("hits").alias("found")), "_k").join(totals, "_k")
+    near = near_pairs(truth, predicted, key, least)
+    none = F.lit(0)
+    tagged = lambda df, tp, found, v, n_true, n_pred: df.select(*[F.lit(x).cast("long").alias(n) if isinstance(x, int) else x.alias(n) for n, x in (("tp", tp), ("found", found), ("v", v), ("n_true", n_true), ("n_pred", n_pred))])
+    rows = [
+        tagged(greedy_matches(near.where("same"), [key]), 1, 0, F.col("v"), 0, 0), tagged(greedy_matches(near, [key]), 0, 1, none.cast("double"), 0, 0),
+        tagged(truth, 0, 0, none.cast("double"), 1, 0), tagged(predicted, 0, 0, none.cast("double"), 0, 1),
+    ]
+    both = reduce(DataFrame.unionByName, rows).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("tp", "found", "v", "n_true", "n_pred")])
     p, r = ratio(F.col("tp"), F.col("n_pred")), ratio(F.col("tp"), F.col("n_true"))
-    return both.select("tp", "n_pred", "n_true", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("found"), F.col("n_true")).alias("detection_recall"), "mean_iou")
+    return both.select("tp", "n_pred", "n_true", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), ratio(F.col("found"), F.col("n_true")).alias("detection_recall"), ratio(F.col("v"), F.col("tp")).alias("mean_iou"))
 
 
 def number_counts(found: DataFrame, expected: DataFrame, key: str, num: str = "num") -> DataFrame:
@@ -204,10 +210,9 @@ def number_counts(found: DataFrame, expected: DataFrame, key: str, num: str = "n
 
 def top_confusions(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3, most: int = 20) -> DataFrame:
     """(true_num, read_num, n): the most frequent pairs of a box's number and another one read where it stands."""
-    g, p = truth.alias("g"), predicted.alias("p")
-    box = lambda s: F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    same = (F.col(f"g.{key}") == F.col(f"p.{key}")) & (F.col("g.num") != F.col("p.num")) & (iou(box("g"), box("p")) >= least)
-    return g.join(p, same).groupBy(F.col("g.num").alias("true_num"), F.col("p.num").alias("read_num")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "true_num", "read_num").limit(most)
+    a, b = F.col("a.num"), F.col("b.num")
+    wrong = box_pairs(truth, predicted, key).where((a != b) & (iou(F.col("a"), F.col("b")) >= least))
+    return wrong.groupBy(a.alias("true_num"), b.alias("read_num")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "true_num", "read_num").limit(most)
 
 
 def ordered_sample(df: DataFrame, key: str, most: int, seed: int = 1) -> DataFrame:

@@ -40,19 +40,24 @@ def _upto(partition: list[str], order: list[str]):
     return Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def latched(df: DataFrame, opens: Column, partition: list[str], order: list[str], out: str = "in_data") -> DataFrame:
-    """Whether some earlier row opened the table."""
+def latched(df: DataFrame, opens: Column, partition: list[str], order: list[str], out: str = "in_data", segment: str | None = None) -> DataFrame:
+    """Whether some earlier row opened the table.  With a `segment` column (see scanned) a partition is spread over its segments."""
+    if segment:
+        return scanned(df, {out: ("max", opens.cast("int"))}, partition, order, segment, own=False).withColumn(out, F.coalesce(out, F.lit(0)) == 1)
     return df.withColumn(out, F.coalesce(F.max(opens.cast("int")).over(_before(partition, order)), F.lit(0)) == 1)
 
 
-def carried(df: DataFrame, value: Column, partition: list[str], order: list[str], out: str) -> DataFrame:
+def carried(df: DataFrame, value: Column, partition: list[str], order: list[str], out: str, segment: str | None = None) -> DataFrame:
     """The last value that was not null, this row's included."""
+    if segment:
+        return scanned(df, {out: ("last", value)}, partition, order, segment)
     return df.withColumn(out, F.last(value, ignorenulls=True).over(_upto(partition, order)))
 
 
-def records(df: DataFrame, starts: Column, text: Column, partition: list[str], order: list[str], sep: str = " ") -> DataFrame:
+def records(df: DataFrame, starts: Column, text: Column, partition: list[str], order: list[str], sep: str = " ", segment: str | None = None) -> DataFrame:
     """(partition, record, text): rows joined to the record that the last starting row opened; rows before one are dropped."""
-    numbered = df.withColumn("record", F.sum(starts.cast("long")).over(_upto(partition, order))).where("record > 0")
+    number = starts.cast("long")
+    numbered = (scanned(df, {"record": ("sum", number)}, partition, order, segment) if segment else df.withColumn("record", F.sum(number).over(_upto(partition, order)))).where("record > 0")
     lines = F.array_sort(F.collect_list(F.struct(*order, text.alias("_text"))))
     return numbered.groupBy(*partition, "record").agg(F.array_join(F.transform(lines, lambda x: x["_text"]), sep).alias("text"))
 

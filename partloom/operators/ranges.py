@@ -44,17 +44,40 @@ def assigned_column(x: Column, origins: Column, slack: float = 5.0) -> Column:
     return F.when(F.size(left) > 0, F.element_at(left, -1)["name"]).otherwise(F.get(origins, 0)["name"])
 
 
+#: Edge of the cells that boxes are dealt over; a page is 10,000 units wide and high.
+CELL = 512
+
+
+def box_pairs(left: DataFrame, right: DataFrame, key: str, cell: int = CELL) -> DataFrame:
+    """(a, b): rows of both sides, as structs, whose boxes x0..y1 share an area within the same `key`, each pair once.
+
+    A box stands in every cell of a grid that it touches, and a pair meets in
+    each cell that both touch; it counts in the one that has the corner where
+    their common area begins.  So a diagram is never paired with itself as a whole,
+    and one with very many boxes is spread over its cells.  Boxes without an area
+    or with a null meet nothing.
+    """
+
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        first, last = (lambda c: F.floor(F.col(c) / cell).cast("int")), (lambda c: F.ceil(F.col(c) / cell).cast("int") - 1)
+        solid = df.where("x1 > x0 AND y1 > y0").select(F.struct(*df.columns).alias(name), F.col(key).alias("_key"), F.sequence(first("x0"), last("x1")).alias("_xs"), F.sequence(first("y0"), last("y1")).alias("_ys"))
+        return solid.select(name, "_key", F.explode("_xs").alias("_x"), "_ys").select(name, "_key", "_x", F.explode("_ys").alias("_y"))
+
+    corner = lambda c: F.greatest(f"a.{c}0", f"b.{c}0")
+    met = placed(left, "a").join(placed(right, "b"), ["_key", "_x", "_y"])
+    shared = (corner("x") < F.least("a.x1", "b.x1")) & (corner("y") < F.least("a.y1", "b.y1"))
+    return met.where(shared & (F.floor(corner("x") / cell) == F.col("_x")) & (F.floor(corner("y") / cell) == F.col("_y"))).select("a", "b")
+
+
 def best_containment(candidates: DataFrame, boxes: DataFrame, key: str, least: float = 0.6) -> DataFrame:
-    """The box of each candidate that holds the largest fraction of it, at least `least`, and its centre.
+    """The box of each candidate that holds the largest fraction of it, at least `least` (over 0), and its centre.
 
     Both have `key`, x0, y0, x1, y1; candidates candidate_id, boxes box_id.
     """
-    c, b = candidates.alias("c"), boxes.alias("b")
-    w = F.greatest(F.lit(0), F.least("c.x1", "b.x1") - F.greatest("c.x0", "b.x0"))
-    h = F.greatest(F.lit(0), F.least("c.y1", "b.y1") - F.greatest("c.y0", "b.y0"))
-    area = (F.col("c.x1") - F.col("c.x0")) * (F.col("c.y1") - F.col("c.y0"))
-    fraction = F.when(area > 0, w * h / area).otherwise(F.lit(0.0))
-    mid = lambda a: (F.col(f"c.{a}0") + F.col(f"c.{a}1")) / 2
+    w = F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0")
+    h = F.least("a.y1", "b.y1") - F.greatest("a.y0", "b.y0")
+    fraction = w * h / ((F.col("a.x1") - F.col("a.x0")) * (F.col("a.y1") - F.col("a.y0")))
+    mid = lambda c: (F.col(f"a.{c}0") + F.col(f"a.{c}1")) / 2
     inside = mid("x").between(F.col("b.x0"), F.col("b.x1")) & mid("y").between(F.col("b.y0"), F.col("b.y1"))
-    hits = c.join(b, F.col(f"c.{key}") == F.col(f"b.{key}")).withColumn("fraction", fraction).where(inside & (F.col("fraction") >= least))
-    return hits.groupBy(F.col(f"c.{key}").alias(key), F.col("c.candidate_id").alias("candidate_id")).agg(F.max(F.struct("fraction", (-F.col("b.box_id")).alias("_o"), F.col("b.box_id").alias("box_id"))).alias("m")).select(key, "candidate_id", "m.box_id", "m.fraction")
+    hits = box_pairs(candidates, boxes, key).withColumn("fraction", fraction).where(inside & (F.col("fraction") >= least))
+    return hits.groupBy(F.col(f"a.{key}").alias(key), F.col("a.candidate_id").alias("candidate_id")).agg(F.max(F.struct("fraction", (-F.col("b.box_id")).alias("_o"), F.col("b.box_id").alias("box_id"))).alias("m")).select(key, "candidate_id", "m.box_id", "m.fraction")

@@ -6,15 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluation import iou, source_rank, suppressed
-from .ranges import best_containment
+from .ranges import best_containment, box_pairs
 
 BOX = ("x0", "y0", "x1", "y1")
 
 
-def _box(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in BOX])
-
-
 def valid_ids(df: DataFrame, key: str = "section_id") -> DataFrame:
     """Rows whose id is a number; a malformed id is left out."""
     return df.where(F.col(key).cast("string").rlike(r"^[0-9]+\z"))
@@ -43,9 +39,8 @@ def merged(held: DataFrame, found: DataFrame, expected: DataFrame) -> tuple[Data
 
 def overlapping_pairs(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     """(section_id, overlaps): pairs of a section's boxes, of any numbers, that overlap more than `least`."""
-    a, b = boxes.alias("a"), boxes.alias("b")
-    hit = (F.col("a.section_id") == F.col("b.section_id")) & (F.col("a.idx") < F.col("b.idx")) & (iou(_box("a"), _box("b")) > least)
-    return a.join(b, hit).groupBy(F.col("a.section_id").alias("section_id")).agg(F.count(F.lit(1)).alias("overlaps"))
+    hit = (F.col("a.idx") < F.col("b.idx")) & (iou(F.col("a"), F.col("b")) > least)
+    return box_pairs(boxes, boxes, "section_id").where(hit).groupBy(F.col("a.section_id").alias("section_id")).agg(F.count(F.lit(1)).alias("overlaps"))
 
 
 def work_list(sections: DataFrame, boxes: DataFrame, expected: DataFrame, flags: DataFrame) -> DataFrame:

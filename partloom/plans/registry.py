@@ -169,17 +169,20 @@ def page_span(t):
 
 @query("t18_latch", "SELECT event_id, coalesce(bool_or(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS in_data FROM events")
 def latch(t):
-    return ordered.latched(t("events"), F.col("event_type") == "purchase", ["user_id"], ["ts", "event_id"]).select("event_id", "in_data")
+    events = t("events").withColumn("day", F.to_date("ts"))
+    return ordered.latched(events, F.col("event_type") == "purchase", ["user_id"], ["ts", "event_id"], segment="day").select("event_id", "in_data")
 
 
 @query("t19_continuation", "WITH r AS (SELECT conv_id, turn, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS rec FROM conversations) SELECT conv_id, CAST(rec AS BIGINT) AS record, string_agg(text, ' ' ORDER BY turn, text) AS text FROM r WHERE rec > 0 GROUP BY 1, 2")
 def continuation(t):
-    return ordered.records(t("conversations"), F.col("role") == "user", F.col("text"), ["conv_id"], ["turn"])
+    turns = t("conversations").withColumn("stretch", F.floor(F.col("turn") / 256))
+    return ordered.records(turns, F.col("role") == "user", F.col("text"), ["conv_id"], ["turn"], segment="stretch")
 
 
 @query("t20_carry_down", "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_view FROM events")
 def carry_down(t):
-    return ordered.carried(t("events"), F.when(F.col("event_type") == "view", F.col("value")), ["user_id"], ["ts", "event_id"], "last_view").select("event_id", "last_view")
+    events = t("events").withColumn("day", F.to_date("ts"))
+    return ordered.carried(events, F.when(F.col("event_type") == "view", F.col("value")), ["user_id"], ["ts", "event_id"], "last_view", segment="day").select("event_id", "last_view")
 
 
 # Where the columns of a parts page begin.
@@ -271,13 +274,8 @@ def _boxes(t) -> tuple[DataFrame, DataFrame]:
     return box(lines, F.col("x"), F.col("y")), box(wrong, F.col("x") + F.col("q") % 11, F.col("y") + F.col("q") % 7)
 
 
-def _box(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")])
-
-
 def _pairs(t) -> DataFrame:
-    g, p = _boxes(t)
-    return g.alias("g").join(p.alias("p"), F.col("g.d") == F.col("p.d")).select(F.col("g.d").alias("d"), F.col("g.idx").alias("gi"), F.col("p.idx").alias("pi"), (F.col("g.num") == F.col("p.num")).alias("same"), evaluation.iou(_box("g"), _box("p")).cast("double").alias("v"))
+    return evaluation.near_pairs(*_boxes(t), "d", 0.0)
 
 
 @query("t31_iou", _BOXES + "SELECT d, gi, pi, round(v, 6) AS v FROM v WHERE v > 0")
