@@ -1,7 +1,7 @@
 import pytest
 from conftest import SMALL, same_rows
 
-from partloom.plans import checks, printed, registry, stored  # noqa: F401
+from partloom.plans import checks, printed, registry, stored, summaries  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
