@@ -69,5 +69,5 @@ def register(spark: SparkSession) -> None:
 def outline_rows(df: DataFrame, column: str = "outline", levels: tuple[str, ...] = ("main_group", "section")) -> DataFrame:
     """Rows of `df`, without the outline, with the entries of their outlines."""
     register(df.sparkSession)
-    kept = ", ".join(f"t.`{c}`" for c in df.columns if c != column)
-    return df.sparkSession.sql(f"SELECT {kept}, o.* FROM {{t}} t, LATERAL parse_outline(t.`{column}`, '{','.join(levels)}') o", t=df)
+    kept = "".join(f"t.`{c}`, " for c in df.columns if c != column)
+    return df.sparkSession.sql(f"SELECT {kept}o.* FROM {{t}} t, LATERAL parse_outline(t.`{column}`, '{','.join(levels)}') o", t=df)
