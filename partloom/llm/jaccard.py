@@ -17,6 +17,8 @@ LISTED = {"word": 65_536, "gram": 262_144}
 MARK_BITS = 1024
 #: Documents of a token that its others are tried against in the first round, growth from round to round, and parts of a join.
 PIVOTS, GROWTH, SALTS = 16, 4, 8
+#: A class of more than this share of all rows is joined by broadcast; at most so many are.
+HOT_SHARE = 1024
 
 
 def document_sets(column: pa.Array, n: int):
@@ -127,8 +129,9 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
     fewer than n words has its whole sequence as one shingle; one without words
     has none and links with nothing.  Equal sets are one class, and classes are
     linked by `_joined`.  Null texts are empty.  Rows that share a doc_id are one
-    node; a null doc_id takes part through its equal sets only and alone has a
-    null component.  Repeated rows each give a row, an empty table none; long
+    node: the classes and links of any of them are those of the document, so it
+    has one component.  A null doc_id takes part through its equal sets only and
+    alone has a null component.  Repeated rows each give a row, an empty table none; long
     texts are read whole; other columns are not read.
     """
     spark = docs.sparkSession
@@ -161,13 +164,39 @@ def components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, doc_i
     same = ["size", "h1", "h2"]
     # one row of each class, of its least id; rows are numbered in the written table, so the numbers stay
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row")))
-    classes = materialize(sets.where("size > 0").groupBy(*same).agg(first.alias("rep")).select(*same, "rep.doc_id", "rep.row").withColumnRenamed("doc_id", "rep"), "classes")
+    members = F.count(F.lit(1)).alias("members")
+    classes = materialize(sets.where("size > 0").groupBy(*same).agg(first.alias("rep"), members).select(*same, "rep.doc_id", "rep.row", "members").withColumnRenamed("doc_id", "rep"), "classes")
     chosen = materialize(sets.where("size > 0").join(classes.select("row"), "row", "left_semi").select("doc_id", "size", "prefix", "marks", "second", "third"), "chosen")
     small = materialize(sets.select("doc_id", "size", "h1", "h2"), "sizes")
     discard(sets)
     joined = _joined(docs, chosen, n, num, den)
-    of_class = classes.join(joined, classes.rep == joined.node, "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    return small.join(of_class, same, "left").select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    shared = materialize(_shared_ids(small, same), "shared_ids")
+    some = not shared.isEmpty()
+    if some:
+        joined = _united(small.join(shared, "doc_id", "left_semi"), classes, joined, same)
+    of_class = classes.join(joined, classes.rep == joined.node, "left").select(*same, "members", F.coalesce("component", "rep").alias("component_id"))
+    # documents without a set have no class; classes of over a 1024th of the rows, so 1024 of them at most, are broadcast
+    full, none, total = small.where("size > 0"), small.where("size = 0"), small.count()
+    hot = F.broadcast(of_class.where(F.col("members") > max(1000, total // HOT_SHARE)).drop("members"))
+    placed = full.join(hot, same).unionByName(full.join(hot.drop("component_id"), same, "left_anti").join(of_class.drop("members"), same))
+    if some:
+        elsewhere = placed.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        none = none.join(elsewhere, "doc_id", "left")
+    else:
+        none = none.withColumn("component_id", F.lit(None).cast("long"))
+    return placed.unionByName(none).select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _shared_ids(small: DataFrame, same: list[str]) -> DataFrame:
+    """Ids whose rows have different sets."""
+    return small.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct(*same)).alias("low"), F.max(F.struct(*same)).alias("high")).where("low <> high").select("doc_id")
+
+
+def _united(shared: DataFrame, classes: DataFrame, joined: DataFrame, same: list[str]) -> DataFrame:
+    """`joined` with the classes united that have rows of one doc_id."""
+    edges = shared.where("size > 0").join(classes.select(*same, "rep"), same).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    stars = joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return materialize(connected_components(stars.unionByName(edges)), "parts")
 
 
 def _passing(num: int, den: int, x: str, y: str):
@@ -278,8 +307,11 @@ def _verified(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, n: int, num:
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of `docs`, all columns, of one document of each group of linked ones: that of the least id.
 
-    Repeated rows count once.  Rows with a null doc_id stay; documents without
-    words are linked with nothing and stay.
+    Rows of one id are one document, as in components(): all of its different rows
+    stay or go.  Repeated rows count once.  Rows with a null doc_id stay; documents
+    without words are linked with nothing and stay; long texts are compared whole;
+    no rows give none; columns with the names of this operator's own stay as they
+    are.
     """
     groups = materialize(components(docs, n, num, den), "groups")
     drop = groups.where("component_id != doc_id").select("doc_id").distinct()

@@ -33,6 +33,27 @@ def test_every_text_of_a_shared_id_links(spark):
     assert got == {i: 1000 + (i - 10_000) // 10 if i >= 10_000 else i for i, _ in rows}
 
 
+def test_a_shared_id_links_through_equal_texts_too(spark):
+    """A document of several rows is one node: equal texts of any of them link it, and one row of the whole group stays."""
+    a, b, c = ("text of document number %s with some words behind it to fill a few windows" % k for k in ("one", "two", "three"))
+    rows = [(0, a), (1, a), (1, b), (5, b), (7, c), (7, None), (8, ""), (9, c), (9, c), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.components(docs).collect()), key=str)
+    assert got == sorted([(0, 0), (1, 0), (1, 0), (5, 0), (7, 7), (7, 7), (8, 8), (9, 7), (9, 7), (None, 0)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(0, a), (7, c), (7, None), (8, ""), (None, b)], key=str)
+    # an empty row of a document follows its other rows
+    docs = spark.createDataFrame([(0, a), (3, a), (3, None), (3, " ")], "doc_id long, text string")
+    assert {r.component_id for r in jaccard.components(docs).collect()} == {0} and jaccard.one_of_each(docs).count() == 1
+
+
+def test_classes_of_very_many_rows_are_broadcast(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'the same few words again' ELSE concat('own words ', id, ' of a text') END AS text")
+    out = jaccard.components(docs)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert all(r.component_id == (1 if r.doc_id % 3 == 1 else r.doc_id) for r in out.collect()) and out.count() == 3000
+
+
 def test_components_finish_or_raise(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     assert {r.component for r in graph.connected_components(edges).collect()} == {0}
