@@ -165,3 +165,88 @@ def old_summaries(t):
     found = vpages.parse(settled(own.unionByName(head), "printed")).where("table_name <> 'catalog'")
     told = F.transform(F.array_sort(F.map_entries(F.map_filter("fields", lambda k, v: v.isNotNull()))), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return found.select("catalog_id", "table_name", "seq", F.array_join(told, ";").alias("fields"))
+
+
+def routed_items(part: DataFrame) -> DataFrame:
+    """Positioned items of a section for each p_size, a record of one of six shapes for each part, between headings, marks and footers that belong to none."""
+    c = F.col
+    turn = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
+    p = part.withColumn("turn", turn.cast("int")).withColumn("page", F.floor((c("turn") - 1) / PAGE_PARTS).cast("int") + 1).withColumn("slot", (c("turn") - 1) % PAGE_PARTS)
+    line, key, k = c("slot") * 6 + 5, c("p_partkey").cast("string"), c("turn") % 6
+    own = (c("turn") % 1000).cast("string")
+    row = lambda at, *cells: _row(line + at, *[(column, value, 0) for column, value in cells])
+    shapes = [
+        # stock that isn't drawn, and a length cut from it
+        [row(0, ("Pos", "-"), ("Part Number", key), ("Description", c("p_name")), ("Remark", c("p_brand")), ("Qty", "1")), row(1, ("Pos", own), ("Description", "shorten to: 500 mm"), ("Qty", "2"))],
+        # a line item without a number
+        [row(0, ("Pos", "-"), ("Description", c("p_name")), ("Qty", "4")), row(1, ("Description", "goes on"))],
+        # a letter of a legend closes what is open, so nothing below has a part
+        [row(0, ("Pos", "A"), ("Description", "legend")), row(1, ("Description", "orphan"), ("Remark", "lost")), row(2, ("Part Number", key), ("Description", "nobody's variant"))],
+        # labels, and an exclusion whose country stands in the next row
+        [row(0, ("Pos", "(7)"), ("Part Number", key), ("Description", c("p_name")), ("Qty", "1")), row(1, ("Description", "Valid from:")), row(2, ("Description", "Relay location/code no.:"), ("Remark", key)), row(3, ("Description", "Not for:")), row(4, ("Description", "Australien"))],
+        # a note takes what follows, but for the flag; labels behind it go
+        [row(0, ("Pos", own), ("Part Number", key), ("Description", c("p_name")), ("Qty", "1")), row(1, ("Description", "also use:"), ("Remark", key)), row(2, ("Description", "Discontinued part")), row(3, ("Description", "more of it")), row(4, ("Description", "Relay location/code no.:"), ("Remark", "never"))],
+        # a heading behind a dash closes too; a position may have no number
+        [row(0, ("Pos", "-"), ("Description", "Signs/notices")), row(1, ("Description", "read them")), row(2, ("Pos", "12/3"), ("Description", c("p_name")), ("Qty", "9"))],
+    ]
+    cells = F.coalesce(*[F.when(k == n, F.flatten(F.array(*rows))) for n, rows in enumerate(shapes)])
+    body = p.select("p_size", "page", F.explode(cells).alias("i")).select("p_size", "page", "i.*")
+    chrome = [_row(F.lit(1), ("Description", "Illustration: 101-000", 0)), _row(F.lit(2), ("Description", "Model: 997", 0), ("Remark", "Model life 2007>>2009", 0)), _row(F.lit(3), *[(n, n, 0) for n in ORIGINS]), _row(F.lit(77), ("Description", "19.07.2018", 0), ("Model", "P30", 0))]
+    head = p.select("p_size", "page").distinct().select("p_size", "page", F.explode(F.flatten(F.array(*chrome))).alias("i")).select("p_size", "page", "i.*")
+    items, none = body.unionByName(head), F.lit(None)
+    return items.select(
+        F.lit("c").alias("catalog_id"), c("p_size").cast("string").alias("section_id"), "page", F.lit(800.0).alias("page_height"), (c("line") * 1000 + c("x")).cast("int").alias("item_idx"), "str", c("x").cast("double").alias("x"),
+        (F.lit(780.0) - 10 * c("line")).alias("y"), none.cast("string").alias("dialect"), none.cast("int").alias("pivot"), none.cast("int").alias("life_end"),
+    )
+
+
+_ROUTED_SQL = """
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS turn, CAST(p_partkey AS VARCHAR) AS key FROM part),
+r AS (SELECT p_size, turn, 0 AS half, '-' AS position, key AS part_number, p_name AS description, '1' AS quantity, p_brand AS remarks, '' AS applicability FROM p WHERE turn % 6 = 0
+  UNION ALL SELECT p_size, turn, 1, CAST(turn % 1000 AS VARCHAR), key, p_name, '2', 'shorten to: 500 mm', '' FROM p WHERE turn % 6 = 0
+  UNION ALL SELECT p_size, turn, 0, '-', '', p_name || ' goes on', '4', '', '' FROM p WHERE turn % 6 = 1
+  UNION ALL SELECT p_size, turn, 0, '(7)', key, p_name, '1', 'Relay location/code no.: ' || key, '-"AUS"' FROM p WHERE turn % 6 = 3
+  UNION ALL SELECT p_size, turn, 0, CAST(turn % 1000 AS VARCHAR), key, p_name || ' Discontinued part', '1', 'also use: ' || key || ' more of it', '' FROM p WHERE turn % 6 = 4
+  UNION ALL SELECT p_size, turn, 0, '12/3', '', p_name, '9', '', '' FROM p WHERE turn % 6 = 5)
+SELECT CAST(p_size AS VARCHAR) AS section_id, CAST(row_number() OVER (PARTITION BY p_size ORDER BY turn, half) AS INTEGER) AS block, CAST(0 AS INTEGER) AS child, position, part_number, CAST(NULL AS VARCHAR) AS colour_code, description, quantity, remarks, applicability FROM r
+"""
+
+
+@query("t83_routed_rows", _ROUTED_SQL)
+def routed_rows(t):
+    from ..operators import parts
+
+    return parts.extract(settled(routed_items(t("part")), "items")).where("kind = 'part'").select("section_id", "block", "child", "position", "part_number", "colour_code", "description", "quantity", "remarks", "applicability")
+
+
+_OLD_SCOPES_SQL = """
+WITH p AS (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) AS line, p_size % 3 AS a, p_size % 2 AS b, p_partkey % 4 AS w, p_partkey % 5 AS o, CAST(p_partkey % 100 AS INTEGER) AS yy FROM part),
+s AS (SELECT *, lpad(CAST(yy AS VARCHAR), 2, '0') AS y2, CASE WHEN yy >= 65 THEN 1900 + yy ELSE 2000 + yy END AS year FROM p)
+SELECT p_partkey, concat_ws(' ', line, CASE a WHEN 0 THEN 'RS4.0' WHEN 1 THEN 'GT2-RS' ELSE 'C2/4' END, CASE b WHEN 0 THEN '(J)' ELSE '-(CN.)' END, CASE w WHEN 0 THEN y2 || '-' || y2 WHEN 1 THEN '-' || y2 WHEN 2 THEN y2 || '-' END,
+    CASE o WHEN 0 THEN 'M491' WHEN 1 THEN '-M491' WHEN 2 THEN 'G5000' WHEN 3 THEN '9305+' ELSE '-9305,M491' END) AS printed,
+  line || CASE WHEN a = 1 THEN ',GT2' ELSE '' END AS lines, CASE a WHEN 0 THEN 'RS 4.0' WHEN 1 THEN 'RS' ELSE '' END AS trim, CASE WHEN a = 2 THEN '2,4' ELSE '' END AS drive,
+  CASE WHEN b = 0 THEN 'J' ELSE '' END AS markets, CASE WHEN b = 1 THEN 'CN' ELSE '' END AS not_markets, CASE WHEN w IN (0, 2) THEN year END AS year_from, CASE WHEN w IN (0, 1) THEN year END AS year_to,
+  CASE WHEN o = 0 THEN 'M491' ELSE '' END AS options, CASE WHEN o IN (1, 4) THEN 'M491' ELSE '' END AS barred, CASE WHEN o = 3 THEN '9305' ELSE '' END AS engines, CASE WHEN o = 4 THEN '9305' ELSE '' END AS not_engines, CASE WHEN o = 2 THEN 'G5000' ELSE '' END AS gearboxes, '' AS unknown
+FROM s
+"""
+
+
+@query("t84_old_scopes", _OLD_SCOPES_SQL)
+def old_scopes(t):
+    """Scopes of old books: bracketed markets, years of two digits, options without a lead, engines and gearboxes that the book's tables know."""
+    from ..functions.scope import Vocabulary, with_scope
+
+    c, part, size = F.col, F.col("p_partkey"), F.col("p_size")
+    pick = lambda n, *values: F.coalesce(*[F.when(n == k, F.lit(v) if isinstance(v, str) else v) for k, v in enumerate(values)])
+    yy = F.lpad((part % 100).cast("string"), 2, "0")
+    printed = F.concat_ws(
+        " ", F.upper(F.split("p_name", " ")[0]), pick(size % 3, "RS4.0", "GT2-RS", "C2/4"), pick(size % 2, "(J)", "-(CN.)"), pick(part % 4, F.concat(yy, F.lit("-"), yy), F.concat(F.lit("-"), yy), F.concat(yy, F.lit("-"))), pick(part % 5, "M491", "-M491", "G5000", "9305+", "-9305,M491")
+    )
+    words = Vocabulary.of(engines=["9305"], gearboxes=["G5000"], options=["M491"], dialect="old", pivot=1965)
+    s, said = c("scope"), lambda a: F.array_join(a, ",")
+    slots = lambda side: said(F.flatten(F.transform(s["prGroups"], lambda g: g[side])))
+    window = F.try_element_at(s["mjRanges"], F.lit(1))
+    return with_scope(t("part").select("p_partkey", printed.alias("printed")), "printed", words=words).select(
+        "p_partkey", "printed", *[said(s[g]["any"]).alias(g) for g in ("lines", "trim", "drive", "markets", "engines", "gearboxes")], said(s["markets"]["not"]).alias("not_markets"), said(s["engines"]["not"]).alias("not_engines"),
+        window["from"].alias("year_from"), window["to"].alias("year_to"), slots("any").alias("options"), slots("not").alias("barred"), said(s["unknown"]).alias("unknown"),
+    )
