@@ -170,6 +170,45 @@ def attribution(d: Column, marks: dict[str, Column]) -> Column:
     return out.otherwise(F.lit("NODBG"))
 
 
+def causes(truth: DataFrame, predicted: DataFrame, candidates: DataFrame, key: str, least: float = 0.3) -> DataFrame:
+    """(key, idx, cause) of each true box, by how far the detector came with it.
+
+    `TP`: matched with its number; `D`: matched, but read as another; else `A`: no
+    candidate touches it, `B`: some do and none was `accepted`, `C`: an accepted one
+    does and nothing matched; `NODBG`: the detector left nothing of this `key`.
+    """
+    near = near_pairs(truth, predicted, key, least)
+    of = lambda pairs, name: pairs.select(key, F.col("gi").alias("idx"), F.lit(True).alias(name))
+    touched = box_pairs(truth, candidates, key).groupBy(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx")).agg(F.max("b.accepted").alias("accepted"))
+    seen = predicted.select(key).unionByName(candidates.select(key)).distinct().withColumn("seen", F.lit(True))
+    told = truth.select(key, F.col("idx").cast("long").alias("idx")).join(of(greedy_matches(near.where("same"), [key]), "read"), [key, "idx"], "left").join(of(greedy_matches(near, [key]), "matched"), [key, "idx"], "left").join(touched, [key, "idx"], "left").join(seen, key, "left")
+    cause = F.when(F.col("seen").isNull(), "NODBG").when(F.col("read"), "TP").when(F.col("matched"), "D").when(F.col("accepted").isNull(), "A").when(F.col("accepted"), "C").otherwise("B")
+    return told.select(key, "idx", cause.alias("cause"))
+
+
+def cause_counts(caused: DataFrame) -> DataFrame:
+    """(cause, n, dominant) of causes(): the most frequent of A, B and C, the first of equals, is dominant."""
+    counts = caused.groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.where(F.col("cause").isin("A", "B", "C")).orderBy(F.desc("n"), "cause").limit(1).select("cause", F.lit(True).alias("dominant"))
+    return counts.join(most, "cause", "left").withColumn("dominant", F.coalesce("dominant", F.lit(False)))
+
+
+def first_examples(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3, most: int = 40) -> DataFrame:
+    """(kind, key, idx, num, read_num): the first `most` missed, misread and spurious boxes, in order of key and idx.
+
+    A true box without a match is misread if any prediction touches it, as the
+    number of the first that does; else it is missed.  A prediction without a
+    match that touches no true box is spurious.
+    """
+    hits = greedy_matches(near_pairs(truth, predicted, key, least).where("same"), [key])
+    touching = box_pairs(truth, predicted, key)
+    first = touching.groupBy(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx")).agg(F.min_by("b.num", "b.idx").alias("read_num"))
+    free = truth.join(hits.select(key, F.col("gi").alias("idx")), [key, "idx"], "left_anti").join(first, [key, "idx"], "left")
+    lone = predicted.join(touching.select(F.col(f"b.{key}").alias(key), F.col("b.idx").alias("idx")).distinct(), [key, "idx"], "left_anti").withColumn("read_num", F.lit(None).cast("string"))
+    shown = lambda df, kind: df.orderBy(key, "idx").limit(most).select(F.lit(kind).alias("kind"), key, "idx", "num", "read_num")
+    return shown(free.where("read_num IS NULL"), "missed").unionByName(shown(free.where("read_num IS NOT NULL"), "misread")).unionByName(shown(lone, "spurious"))
+
+
 def label_status(expected: Column, first: Column, second: Column) -> Column:
     """ok if either reader agrees, unread if neither read, partial if one read a part of it, else mismatch."""
     read = lambda c: F.coalesce(c, F.lit(""))

@@ -37,6 +37,40 @@ def confusions(t):
     return evaluation.top_confusions(*_boxes(t), "d")
 
 
+_CAUSES_SQL = (
+    _BOXES + _GREEDY + _FREE + ", k AS (SELECT d, q % 3 <> 0 AS accepted, x + 15 AS x0, y + 15 AS y0, x + 25 AS x1, y + 25 AS y1 FROM l WHERE q % 4 <> 0), "
+    "t AS (SELECT g.d, g.idx, bool_or(k.accepted) AS accepted FROM g JOIN k ON g.d = k.d AND least(g.x1, k.x1) > greatest(g.x0, k.x0) AND least(g.y1, k.y1) > greatest(g.y0, k.y0) GROUP BY 1, 2), "
+    "seen AS (SELECT d FROM p UNION SELECT d FROM k), "
+    "z AS (SELECT CASE WHEN g.d NOT IN (SELECT d FROM seen) THEN 'NODBG' WHEN a.gi IS NOT NULL THEN 'TP' WHEN b.gi IS NOT NULL THEN 'D' WHEN t.accepted IS NULL THEN 'A' WHEN t.accepted THEN 'C' ELSE 'B' END AS cause "
+    "FROM g LEFT JOIN (SELECT d, x.gi AS gi FROM w) a ON a.d = g.d AND a.gi = g.idx LEFT JOIN (SELECT d, x.gi AS gi FROM w2) b ON b.d = g.d AND b.gi = g.idx LEFT JOIN t ON t.d = g.d AND t.idx = g.idx), "
+    "e AS (SELECT cause, count(*) AS n FROM z GROUP BY 1) SELECT cause, n, coalesce(cause = (SELECT cause FROM e WHERE cause IN ('A', 'B', 'C') ORDER BY n DESC, cause LIMIT 1), false) AS dominant FROM e"
+)
+
+
+@query("t85_causes", _CAUSES_SQL)
+def detection_causes(t):
+    g, p = _boxes(t)
+    q = F.col("l_quantity").cast("int")
+    shift = lambda c: (F.col(c) % 60 + 15).cast("int")
+    found = t("lineitem").where(q % 4 != 0).select(F.col("l_orderkey").alias("d"), (q % 3 != 0).alias("accepted"), shift("l_partkey").alias("x0"), shift("l_suppkey").alias("y0"), (shift("l_partkey") + 10).alias("x1"), (shift("l_suppkey") + 10).alias("y1"))
+    return evaluation.cause_counts(evaluation.causes(g, p, found, "d"))
+
+
+_TOUCH = "least(g.x1, p.x1) > greatest(g.x0, p.x0) AND least(g.y1, p.y1) > greatest(g.y0, p.y0)"
+
+
+@query(
+    "t86_examples",
+    _BOXES + _GREEDY + f", n AS (SELECT g.d, g.idx, arg_min(p.num, p.idx) AS read_num FROM g JOIN p ON g.d = p.d AND {_TOUCH} GROUP BY 1, 2), "
+    "f AS (SELECT g.d, g.idx, g.num, n.read_num FROM g LEFT JOIN n ON n.d = g.d AND n.idx = g.idx WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.d = g.d AND w.x.gi = g.idx)), "
+    f"s AS (SELECT p.d, p.idx, p.num FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.d = p.d AND {_TOUCH})) "
+    "SELECT * FROM (SELECT 'missed' AS kind, d, idx, num, read_num FROM f WHERE read_num IS NULL ORDER BY d, idx LIMIT 40) UNION ALL SELECT * FROM (SELECT 'misread', d, idx, num, read_num FROM f WHERE read_num IS NOT NULL ORDER BY d, idx LIMIT 40) "
+    "UNION ALL SELECT * FROM (SELECT 'spurious', d, idx, num, NULL FROM s ORDER BY d, idx LIMIT 40)",
+)
+def examples(t):
+    return evaluation.first_examples(*_boxes(t), "d")
+
+
 _GARAGE_SQL = """
 SELECT CAST(c_nationkey AS VARCHAR) AS owner, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INTEGER) AS place,
   CASE WHEN c_custkey % 4 = 0 THEN sha256(c_nationkey || '/' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)) ELSE 'v' || c_custkey END AS id, c_name AS nickname, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS marks
