@@ -138,3 +138,25 @@ def outlines(t):
     regions = entry(nations, top, c("n_name"), c("n_nationkey"))
     whole = entry(regions, ["r_regionkey"], c("r_name")).select("r_regionkey", c("items").alias("outline"))
     return outline_rows(whole, levels=("region", "nation")).select("r_regionkey", "depth", "title", "page", "region", "nation")
+
+
+@query(
+    "t87_title_facets",
+    "SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN '' WHEN 4 THEN p_brand_line ELSE p_brand_line || ',GT2' END AS body_line, CASE p_partkey % 5 WHEN 0 THEN 'COUPE' WHEN 4 THEN '' ELSE '' END AS body_style, CASE p_partkey % 5 WHEN 1 THEN '9700,9701' ELSE '' END AS engine_code, "
+    "CASE p_partkey % 5 WHEN 3 THEN '4' ELSE '' END AS drive_code, CASE p_partkey % 5 WHEN 3 THEN 'S' ELSE '' END AS trim_code, CASE p_partkey % 5 WHEN 4 THEN 'G5000' ELSE '' END AS gearbox_code FROM (SELECT p_partkey, upper(split_part(p_name, ' ', 1)) AS p_brand_line FROM part)",
+)
+def title_facets(t):
+    """Facets that every variant of a title states: a variant begins at each line or body, and one that is silent leaves the facet open."""
+    from . import ingest
+
+    c, part = F.col, F.col("p_partkey") % 5
+    line = F.upper(F.split("p_name", " ")[0])
+    said = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    scope = F.when(part == 0, said(line, "/COUPE GT2/COUPE")).when(part == 1, said(line, " 9700 GT2 9700,9701 PR:480")).when(part == 2, said(line, " 9700 GT2")).when(part == 3, "4S").otherwise(said(line, " G5000 -CABRIO"))
+    titles = t("part").select(F.lit("c").alias("catalog_id"), c("p_partkey").cast("string").alias("section_id"), scope.alias("model_scope"))
+    spark = titles.sparkSession
+    lines = t("part").select(F.lit("c").alias("catalog_id"), F.lit("lines").alias("kind"), line.alias("word")).distinct()
+    words = lines.unionByName(spark.createDataFrame([("c", "engines", "9700"), ("c", "engines", "9701"), ("c", "gearboxes", "G5000"), ("c", "lines", "GT2")], "catalog_id string, kind string, word string"))
+    found = ingest.title_facets(titles, words, spark.createDataFrame([("c", "modern", 2007)], "catalog_id string, dialect string, pivot int"))
+    facets = ("body_line", "body_style", "engine_code", "drive_code", "trim_code", "gearbox_code")
+    return found.select(c("section_id").cast("long").alias("p_partkey"), *[F.coalesce(F.array_join(f, ","), F.lit("")).alias(f) for f in facets])
