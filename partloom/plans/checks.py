@@ -220,3 +220,14 @@ def digit_candidates(t):
     from ..operators.imaging import candidate_boxes
 
     return candidate_boxes(drawn(t("supplier"))).select("section_id", "x0", "y0", "x1", "y1", "area")
+
+
+@query("t88_strips", _SHAPES_SQL)
+def strip_candidates(t):
+    """The rows of t73, by components over strips of the pictures."""
+    from ..operators import strips
+    from ..sources.tables import settled
+
+    pictures = settled(drawn(t("supplier")), "pictures")
+    found = strips.component_boxes(settled(strips.picture_runs(pictures), "runs"), 16)
+    return strips.digit_sized(found, pictures).select("section_id", "x0", "y0", "x1", "y1", F.col("area").cast("int").alias("area"))
