@@ -209,12 +209,12 @@ def media_digests(docs: DataFrame, tag: int | None = None, keep_media: bool = Fa
     `tag` is mu-law, A-law or IMA ADPCM for all of them; by default the payload's
     checksum chooses one, so all three decoders run.  The stored file's bytes are
     read again, decoded and stored as 16-bit PCM at twice the rate, which the
-    feature describes.  Equal texts give equal values, repeated rows a row each, a
+    feature describes and pcm_bytes and pcm_sha256 tell.  Equal texts give equal values, repeated rows a row each, a
     null doc_id stays null, an empty table no rows; other columns are not read.
     `keep_media` adds the file itself as `media` and the PCM file as `pcm`.
     """
     ship(docs.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * keep_media
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string" + ", media binary, pcm binary" * keep_media
     def describe(batches):
         for batch in batches:
             for first, end, data, offsets in blocks(batch.column(1)):
@@ -223,8 +223,8 @@ def media_digests(docs: DataFrame, tag: int | None = None, keep_media: bool = Fa
                 files = [store_payload(p, codec_of(p) if tag is None else tag) for p in payloads]
                 for n, stored, heard in zip(np.diff(offsets).tolist(), files, decode_all(files), strict=True):
                     back, pcm = read_payload(stored), pcm_file(*heard)
-                    rows.append([n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pcm), *[stored, pcm] * keep_media])
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+                    rows.append([n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(pcm), len(pcm), hashlib.sha256(pcm).hexdigest(), *[stored, pcm] * keep_media])
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.binary())
                 names = [c.split()[0] for c in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False))], names=names)
 

@@ -1,5 +1,7 @@
 """Whole jobs of the training-data operators, on small fixtures."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -16,6 +18,7 @@ def test_media_is_stored_as_pcm_of_twice_the_rate(spark, tag):
         want = audio.double_rate(audio.decode_ima(data, align) if tag == audio.IMA_ADPCM else audio.TABLES[tag][np.frombuffer(data, np.uint8)])
         assert audio.read_wave(bytes(r.pcm))[:3] == (audio.PCM, 2 * rate, 2)
         assert audio.decode(bytes(r.pcm))[1].tolist() == want.tolist()
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(r.pcm), hashlib.sha256(bytes(r.pcm)).hexdigest())
         told, wide = dict(x.split("=") for x in r.feature.split(";")), want.astype(np.int64)
         assert (told["rate"], int(told["samples"]), int(told["peak"])) == ("16000", len(want), np.abs(wide).max())
         assert int(told["rms"]) == int(((wide**2).sum() // len(wide)) ** 0.5) and int(told["crossings"]) == ((want[1:] < 0) != (want[:-1] < 0)).sum()
