@@ -20,11 +20,6 @@ def patched_meta(old: Column, patch: Column) -> Column:
     return F.map_zip_with(touched, F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), lambda _, x, y: F.coalesce(y, x))
 
 
-def heal(vehicles: DataFrame, key: str = "id") -> DataFrame:
-    """Vehicles without an id get one; write the result before using it, the ids are random."""
-    return vehicles.withColumn(key, F.coalesce(key, F.uuid()))
-
-
 def upsert(held: DataFrame, incoming: DataFrame, now: Column, key: str = "id") -> DataFrame:
     """Incoming documents merged over held ones by id, field by field; others are inserted with the defaults.
 
