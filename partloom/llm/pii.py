@@ -558,5 +558,7 @@ def _told(spans):
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = personal_data(docs, train(docs), keep=["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # a second parameter of the lambda would be the place in the array
+    of_kind = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"), _told(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))

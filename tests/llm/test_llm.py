@@ -324,6 +324,19 @@ def test_tagger_gradients():
             assert abs((sides[0] - sides[1]) / 2e-2 - g[i]) < 2e-2 + 0.1 * abs(g[i])
 
 
+def test_personal_data_counts_by_kind(spark, tmp_path, monkeypatch):
+    """The query counts the spans of each kind, wherever they stand in the array."""
+    monkeypatch.setattr(pii, "train", lambda docs: pii.Tagger())
+    rows = [(1, "a@b.cd e@f.gh"), (2, "10.0.0.1 and 10.0.0.2"), (3, "4111 1111 1111 1111"), (4, "+49 30 123456 a@b.cd"), (5, None), (None, "")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in pii.query(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for k, t in rows:
+        base = pii.base_spans(t or "")
+        assert [found[k][f"n_{kind}"] for kind in pii.KINDS] == [sum(s[0] == i for s in base) for i in range(4)]
+        assert found[k].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[i]}:{a}:{b}" for i, a, b in base).encode()).hexdigest()
+
+
 def test_personal_data(spark, docs, texts, odd, empty):
     tagger = pii.train(docs)
     got = by_id(pii.personal_data(docs, tagger, keep=["doc_id"]))
