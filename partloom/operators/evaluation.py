@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from ..sources.tables import settled, tasks_for
 from .ranges import box_pairs
 
 # How far each source of a box is trusted.
@@ -146,20 +147,28 @@ def split_groups(df: DataFrame, group: str, share: float, seed: int) -> DataFram
     return df.withColumn("split", F.when(h < int(share * 10_000), F.lit("val")).otherwise(F.lit("train")))
 
 
+def tasks_of(*boxes: DataFrame) -> int:
+    """Tasks for the rows of all; they are counted, so they should be tables."""
+    return tasks_for(boxes[0].sparkSession, sum(b.count() for b in boxes))
+
+
 def near_pairs(truth: DataFrame, predicted: DataFrame, key: str, least: float) -> DataFrame:
     """(key, gi, pi, same, v): boxes of both sides that overlap by at least `least` (over 0), and whether their numbers agree."""
     a, b = F.col("a"), F.col("b")
-    return box_pairs(truth, predicted, key).select(a[key].alias(key), a["idx"].alias("gi"), b["idx"].alias("pi"), (a["num"] == b["num"]).alias("same"), iou(a, b).cast("double").alias("v")).where(F.col("v") >= least)
+    return box_pairs(truth, predicted, key, tasks=tasks_of(truth, predicted)).select(a[key].alias(key), a["idx"].alias("gi"), b["idx"].alias("pi"), (a["num"] == b["num"]).alias("same"), iou(a, b).cast("double").alias("v")).where(F.col("v") >= least)
 
 
 def error_kinds(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3) -> DataFrame:
     """(key, hit, misread, missed, spurious) counts: a box is misread if only boxes of other numbers overlap it enough."""
-    near = near_pairs(truth, predicted, key, least)
-    of_g = near.groupBy(key, F.col("gi").alias("idx")).agg(F.max("same").alias("same"))
-    of_p = near.select(key, F.col("pi").alias("idx")).distinct().withColumn("near", F.lit(True))
-    t = truth.select(key, "idx").join(of_g, [key, "idx"], "left").groupBy(key).agg(F.count_if(F.col("same")).alias("hit"), F.count_if(~F.col("same")).alias("misread"), F.count_if(F.col("same").isNull()).alias("missed"))
-    s = predicted.select(key, "idx").join(of_p, [key, "idx"], "left").groupBy(key).agg(F.count_if(F.col("near").isNull()).alias("spurious"))
-    return t.join(s, key, "full_outer").select(key, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hit", "misread", "missed", "spurious")])
+    near = settled(near_pairs(truth, predicted, key, least), "near")
+    row = lambda df, side, idx, n, same: df.select(F.col(key), F.lit(side).alias("side"), F.col(idx).alias("idx"), F.lit(n).alias("n"), same.alias("same"))
+    none = F.lit(None).cast("boolean")
+    rows = reduce(DataFrame.unionByName, [row(truth, True, "idx", 1, none), row(predicted, False, "idx", 1, none), row(near, True, "gi", 0, F.col("same")), row(near, False, "pi", 0, F.lit(True))])
+    # dealt by the box, so one exchange serves all four and a diagram is spread
+    boxes = rows.repartition(tasks_of(truth, predicted, near, near), key, "side", "idx").groupBy(key, "side", "idx").agg(F.sum("n").alias("n"), F.max("same").alias("same"))
+    of = lambda test, name: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(name)
+    side, same = F.col("side"), F.col("same")
+    return boxes.groupBy(key).agg(of(side & same, "hit"), of(side & ~same, "misread"), of(side & same.isNull(), "missed"), of(~side & same.isNull(), "spurious"))
 
 
 def attribution(d: Column, marks: dict[str, Column]) -> Column:
@@ -177,11 +186,11 @@ def causes(truth: DataFrame, predicted: DataFrame, candidates: DataFrame, key: s
     candidate touches it, `B`: some do and none was `accepted`, `C`: an accepted one
     does and nothing matched; `NODBG`: the detector left nothing of this `key`.
     """
-    near = near_pairs(truth, predicted, key, least)
+    near = settled(near_pairs(truth, predicted, key, least), "near")
     of = lambda pairs, name: pairs.select(key, F.col("gi").alias("idx"), F.lit(True).alias(name))
-    touched = box_pairs(truth, candidates, key).groupBy(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx")).agg(F.max("b.accepted").alias("accepted"))
+    touched = box_pairs(truth, candidates, key, tasks=tasks_of(truth, candidates)).groupBy(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx")).agg(F.max("b.accepted").alias("accepted"))
     seen = predicted.select(key).unionByName(candidates.select(key)).distinct().withColumn("seen", F.lit(True))
-    told = truth.select(key, F.col("idx").cast("long").alias("idx")).join(of(greedy_matches(near.where("same"), [key]), "read"), [key, "idx"], "left").join(of(greedy_matches(near, [key]), "matched"), [key, "idx"], "left").join(touched, [key, "idx"], "left").join(seen, key, "left")
+    told = truth.select(key, F.col("idx").cast("long").alias("idx")).repartition(tasks_of(truth, predicted), key, "idx").join(of(greedy_matches(near.where("same"), [key]), "read"), [key, "idx"], "left").join(of(greedy_matches(near, [key]), "matched"), [key, "idx"], "left").join(touched, [key, "idx"], "left").join(seen, key, "left")
     cause = F.when(F.col("seen").isNull(), "NODBG").when(F.col("read"), "TP").when(F.col("matched"), "D").when(F.col("accepted").isNull(), "A").when(F.col("accepted"), "C").otherwise("B")
     return told.select(key, "idx", cause.alias("cause"))
 
@@ -200,11 +209,13 @@ def first_examples(truth: DataFrame, predicted: DataFrame, key: str, least: floa
     number of the first that does; else it is missed.  A prediction without a
     match that touches no true box is spurious.
     """
-    hits = greedy_matches(near_pairs(truth, predicted, key, least).where("same"), [key])
-    touching = box_pairs(truth, predicted, key)
-    first = touching.groupBy(F.col(f"a.{key}").alias(key), F.col("a.idx").alias("idx")).agg(F.min_by("b.num", "b.idx").alias("read_num"))
-    free = truth.join(hits.select(key, F.col("gi").alias("idx")), [key, "idx"], "left_anti").join(first, [key, "idx"], "left")
-    lone = predicted.join(touching.select(F.col(f"b.{key}").alias(key), F.col("b.idx").alias("idx")).distinct(), [key, "idx"], "left_anti").withColumn("read_num", F.lit(None).cast("string"))
+    a, b = F.col("a"), F.col("b")
+    touching = settled(box_pairs(truth, predicted, key, tasks=tasks_of(truth, predicted)).select(a[key].alias(key), a["idx"].alias("gi"), b["idx"].alias("pi"), b["num"].alias("read_num"), (a["num"] == b["num"]).alias("same"), iou(a, b).cast("double").alias("v")), "touching")
+    hits = greedy_matches(touching.where(F.col("same") & (F.col("v") >= least)), [key])
+    first = touching.groupBy(key, F.col("gi").alias("idx")).agg(F.min_by("read_num", "pi").alias("read_num"))
+    tasks = tasks_of(truth, predicted)
+    free = truth.repartition(tasks, key, "idx").join(hits.select(key, F.col("gi").alias("idx")), [key, "idx"], "left_anti").join(first, [key, "idx"], "left")
+    lone = predicted.repartition(tasks, key, "idx").join(touching.select(key, F.col("pi").alias("idx")).distinct(), [key, "idx"], "left_anti").withColumn("read_num", F.lit(None).cast("string"))
     shown = lambda df, kind: df.orderBy(key, "idx").limit(most).select(F.lit(kind).alias("kind"), key, "idx", "num", "read_num")
     return shown(free.where("read_num IS NULL"), "missed").unionByName(shown(free.where("read_num IS NOT NULL"), "misread")).unionByName(shown(lone, "spurious"))
 
@@ -228,7 +239,7 @@ def detection_metrics(truth: DataFrame, predicted: DataFrame, key: str, least: f
     Boxes are matched one to one within `key`, the best overlaps first; a pair
     counts as found with a number of its own only if the numbers agree.
     """
-    near = near_pairs(truth, predicted, key, least)
+    near = settled(near_pairs(truth, predicted, key, least), "near")
     none = F.lit(0)
     tagged = lambda df, tp, found, v, n_true, n_pred: df.select(*[F.lit(x).cast("long").alias(n) if isinstance(x, int) else x.alias(n) for n, x in (("tp", tp), ("found", found), ("v", v), ("n_true", n_true), ("n_pred", n_pred))])
     rows = [
@@ -250,7 +261,7 @@ def number_counts(found: DataFrame, expected: DataFrame, key: str, num: str = "n
 def top_confusions(truth: DataFrame, predicted: DataFrame, key: str, least: float = 0.3, most: int = 20) -> DataFrame:
     """(true_num, read_num, n): the most frequent pairs of a box's number and another one read where it stands."""
     a, b = F.col("a.num"), F.col("b.num")
-    wrong = box_pairs(truth, predicted, key).where((a != b) & (iou(F.col("a"), F.col("b")) >= least))
+    wrong = box_pairs(truth, predicted, key, tasks=tasks_of(truth, predicted)).where((a != b) & (iou(F.col("a"), F.col("b")) >= least))
     return wrong.groupBy(a.alias("true_num"), b.alias("read_num")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "true_num", "read_num").limit(most)
 
 

@@ -48,25 +48,30 @@ def assigned_column(x: Column, origins: Column, slack: float = 5.0) -> Column:
 CELL = 512
 
 
-def box_pairs(left: DataFrame, right: DataFrame, key: str, cell: int = CELL) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, key: str, cell: int = CELL, tasks: int | None = None) -> DataFrame:
     """(a, b): rows of both sides, as structs, whose boxes x0..y1 share an area within the same `key`, each pair once.
 
     A box stands in every cell of a grid that it touches, and a pair meets in
     each cell that both touch; it counts in the one that has the corner where
     their common area begins.  So a diagram is never paired with itself as a whole,
     and one with very many boxes is spread over its cells.  Boxes without an area
-    or with a null meet nothing.
+    or with a null meet nothing.  `tasks` is how many tasks the cells are dealt
+    over, the session's number by default.  Columns stay flat until pairs are
+    there, so what nobody reads isn't shuffled.
     """
 
     def placed(df: DataFrame, name: str) -> DataFrame:
         first, last = (lambda c: F.floor(F.col(c) / cell).cast("int")), (lambda c: F.ceil(F.col(c) / cell).cast("int") - 1)
-        solid = df.where("x1 > x0 AND y1 > y0").select(F.struct(*df.columns).alias(name), F.col(key).alias("_key"), F.sequence(first("x0"), last("x1")).alias("_xs"), F.sequence(first("y0"), last("y1")).alias("_ys"))
-        return solid.select(name, "_key", F.explode("_xs").alias("_x"), "_ys").select(name, "_key", "_x", F.explode("_ys").alias("_y"))
+        own = [f"_{name}_{c}" for c in df.columns]
+        solid = df.where("x1 > x0 AND y1 > y0").select(*[F.col(c).alias(o) for c, o in zip(df.columns, own, strict=True)], F.sequence(first("x0"), last("x1")).alias("_xs"), F.sequence(first("y0"), last("y1")).alias("_ys"))
+        out = solid.withColumn("_x", F.explode("_xs")).withColumn("_y", F.explode("_ys")).select(*own, F.col(f"_{name}_{key}").alias("_key"), "_x", "_y")
+        return out.repartition(tasks, "_key", "_x", "_y") if tasks else out
 
-    corner = lambda c: F.greatest(f"a.{c}0", f"b.{c}0")
+    corner = lambda c: F.greatest(f"_a_{c}0", f"_b_{c}0")
     met = placed(left, "a").join(placed(right, "b"), ["_key", "_x", "_y"])
-    shared = (corner("x") < F.least("a.x1", "b.x1")) & (corner("y") < F.least("a.y1", "b.y1"))
-    return met.where(shared & (F.floor(corner("x") / cell) == F.col("_x")) & (F.floor(corner("y") / cell) == F.col("_y"))).select("a", "b")
+    shared = (corner("x") < F.least("_a_x1", "_b_x1")) & (corner("y") < F.least("_a_y1", "_b_y1"))
+    sides = [F.struct(*[F.col(f"_{name}_{c}").alias(c) for c in df.columns]).alias(name) for df, name in ((left, "a"), (right, "b"))]
+    return met.where(shared & (F.floor(corner("x") / cell) == F.col("_x")) & (F.floor(corner("y") / cell) == F.col("_y"))).select(*sides)
 
 
 def best_containment(candidates: DataFrame, boxes: DataFrame, key: str, least: float = 0.6) -> DataFrame:

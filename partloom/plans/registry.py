@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import serials, text
 from ..operators import applicability, browse, directory, evaluation, fitment, garage, ordered, ranges, search
+from ..sources.tables import settled, tasks_for
 
 FLAGSHIP = "t10_range_join"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,7 +269,10 @@ v AS (SELECT d, gi, pi, same, CASE WHEN inter > 0 THEN inter / (800.0::DOUBLE -
 
 def _boxes(t) -> tuple[DataFrame, DataFrame]:
     i = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).cast("long")
-    lines = t("lineitem").select(F.col("l_orderkey").alias("d"), i.alias("idx"), (F.col("l_partkey") % 7).cast("string").alias("num"), (F.col("l_partkey") % 60).cast("int").alias("x"), (F.col("l_suppkey") % 60).cast("int").alias("y"), F.col("l_quantity").cast("int").alias("q"))
+    # dealt over more tasks when there are more rows, numbered once and kept: both sides and every later step read rows
+    lines = t("lineitem").repartition(tasks_for(t("lineitem").sparkSession, t("lineitem").count()), "l_orderkey")
+    lines = lines.select(F.col("l_orderkey").alias("d"), i.alias("idx"), (F.col("l_partkey") % 7).cast("string").alias("num"), (F.col("l_partkey") % 60).cast("int").alias("x"), (F.col("l_suppkey") % 60).cast("int").alias("y"), F.col("l_quantity").cast("int").alias("q"))
+    lines = settled(lines, "boxes")
     box = lambda df, x, y: df.select("d", "idx", "num", x.alias("x0"), y.alias("y0"), (x + 20).alias("x1"), (y + 20).alias("y1"))
     wrong = lines.where("q % 9 <> 0").withColumn("num", F.when(F.col("q") % 5 == 0, F.lit("9")).otherwise(F.col("num")))
     return box(lines, F.col("x"), F.col("y")), box(wrong, F.col("x") + F.col("q") % 11, F.col("y") + F.col("q") % 7)

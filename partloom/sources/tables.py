@@ -27,3 +27,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a task, about, where the number of tasks grows with the rows; and rows below which a task isn't worth it.
+TASK_ROWS, LEAST_ROWS = 1 << 18, 1 << 14
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """How many tasks to deal `rows` over: their number, not their memory, grows with the rows."""
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows // LEAST_ROWS), 1 + rows // TASK_ROWS)

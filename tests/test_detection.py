@@ -49,3 +49,16 @@ def test_garage_documents(spark):
     assert [r.partMeta["p"].notes for r in garage.get(patched, "v2").collect()] == ["ok"]
     edits = spark.createDataFrame([("a", "2024-01-01 00:00:00.0"), ("a", "2024-01-01 00:00:00.4"), ("a", "2024-01-01 00:00:02.0")], "id string, at string").withColumn("at", F.col("at").cast("timestamp"))
     assert sorted(r.n for r in garage.coalesced_writes(edits, "id", "at").collect()) == [1, 2]
+
+
+def test_tasks_grow_with_the_rows(spark):
+    """Boxes are dealt over more tasks when there are more of them, and each task's rows stay as many."""
+    from partloom.operators import ranges
+    from partloom.sources.tables import TASK_ROWS, tasks_for
+
+    assert tasks_for(spark, 0) == 1
+    for rows in (1 << 22, 1 << 28):
+        assert rows / tasks_for(spark, rows) <= TASK_ROWS
+    boxes = spark.createDataFrame([(1, 1, "a", 0, 0, 20, 20), (1, 2, "b", 5, 5, 25, 25)], "d long, idx long, num string, x0 int, y0 int, x1 int, y1 int")
+    met = ranges.box_pairs(boxes, boxes, "d", tasks=7)
+    assert met.rdd.getNumPartitions() == 7 and met.count() == 4
