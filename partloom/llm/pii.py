@@ -21,6 +21,8 @@ TRAIN_WINDOWS, LEAST_SPANS = 4_000, 250
 WINDOW, STRIDE, HIDDEN = 64, 32, 32
 #: Characters around a hint that the model reads, and how far from there on to the next blank.
 MARGIN, REACH = 32, 64
+#: Windows that are decoded at once; a worker holds about 0.13 MB for each.
+DECODED = 256
 #: Mean probability of its tags that a span of the model must have.
 SCORE = 0.9
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -416,7 +418,7 @@ def model_spans(tagger: Tagger, texts: list[str], bases: list[list], score: floa
     if not rows:
         return added
     x = np.stack(rows)
-    parts = [tagger.decode(x[k : k + 1024]) for k in range(0, len(x), 1024)]
+    parts = [tagger.decode(x[k : k + DECODED]) for k in range(0, len(x), DECODED)]
     tags, sure = (np.concatenate(p) for p in zip(*parts, strict=True))
     for i, a, n, starts, at in jobs:
         if not tags[at : at + len(starts)].any():

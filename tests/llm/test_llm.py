@@ -337,6 +337,18 @@ def test_personal_data_counts_by_kind(spark, tmp_path, monkeypatch):
         assert found[k].base_sha256 == hashlib.sha256(",".join(f"{pii.KINDS[i]}:{a}:{b}" for i, a, b in base).encode()).hexdigest()
 
 
+def test_tagging_memory_is_bounded():
+    """Windows are decoded a few at a time, however many a text has."""
+    import tracemalloc
+
+    text = "4 words and more here " * 3000
+    tracemalloc.start()
+    pii.model_spans(pii.Tagger(), [text], [[]], score=2.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80 << 20
+
+
 def test_personal_data(spark, docs, texts, odd, empty):
     tagger = pii.train(docs)
     got = by_id(pii.personal_data(docs, tagger, keep=["doc_id"]))
