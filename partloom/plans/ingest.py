@@ -9,7 +9,7 @@ from ..functions import scope as language
 from ..functions.text import normal_token
 from ..operators import applicability, directory, parts, profiles, ranges, vpages
 from ..sources.documents import outline_sections
-from ..sources.tables import settled
+from ..sources.tables import settled, tasks_for
 
 _FACETS = {"engine_code": "engines", "gearbox_code": "gearboxes", "body_line": "lines", "body_style": "bodies", "drive_code": "drive", "trim_code": "trim"}
 _TYPED = {
@@ -49,15 +49,18 @@ def title_facets(titles: DataFrame, words: DataFrame, catalogs: DataFrame) -> Da
     key = ["catalog_id", "section_id"]
     known = vocabularies(words, catalogs)
     tokens = F.filter(F.split(F.coalesce("model_scope", F.lit("")), r"\s+"), lambda t: t != "")
-    told = titles.join(known, "catalog_id").select(*key, "words", F.posexplode(tokens).alias("pos", "token"))
-    told = language.with_scope(told, "token", "read", "words")
+    tasks = tasks_for(titles.sparkSession, 4 * titles.count())
+    # vocabularies meet distinct strings only; a row that has one with it weighs many times what it says
+    told = titles.select(*key, F.posexplode(tokens).alias("pos", "token"))
+    told = language.with_scope(told, "token", "read", known).where("read IS NOT NULL")
     begins = (F.size("read.lines.any") > 0) | (F.size("read.bodies.any") > 0)
+    told = told.select(*key, "pos", "token", begins.alias("begins")).repartition(tasks, *key)
     upto = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     # tokens before the first that begins a variant are one too
-    told = told.withColumn("variant", F.sum((begins & (F.col("pos") > 0)).cast("int")).over(upto))
+    told = told.withColumn("variant", F.sum((F.col("begins") & (F.col("pos") > 0)).cast("int")).over(upto))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "token")))
-    variants = told.groupBy(*key, "variant").agg(F.array_join(F.transform(ordered, lambda t: t["token"]), " ").alias("text"), F.first("words").alias("words"))
-    read = language.with_scope(variants, "text", "read", "words")
+    variants = told.groupBy(*key, "variant").agg(F.array_join(F.transform(ordered, lambda t: t["token"]), " ").alias("text"))
+    read = language.with_scope(variants, "text", "read", known).select(*key, "variant", "read").repartition(tasks, *key)
     stated = lambda group: F.transform(F.array_sort(F.collect_list(F.struct("variant", F.col(f"read.{group}.any").alias("v")))), lambda x: x["v"])
     every = lambda group: F.min(F.size(F.col(f"read.{group}.any"))) > 0
     return read.groupBy(*key).agg(*[F.when(every(g), F.array_distinct(F.flatten(stated(g)))).alias(c) for c, g in _FACETS.items()])

@@ -74,3 +74,13 @@ def test_truth(spark):
     df, seen = truth.metered(candidates, "m", n=F.count(F.lit(1)))
     df.collect()
     assert seen.get == {"n": 2}
+
+
+def test_vocabularies_meet_distinct_strings_only(spark):
+    """Rows of titles don't carry their catalogue's words; titles of catalogues that aren't known drop out."""
+    titles = spark.createDataFrame([("a", 1, "CARRERA 9700"), ("a", 2, "CARRERA 9700"), ("b", 1, "CARRERA TURBO 9700"), ("a", 3, None), ("x", 1, "CARRERA"), (None, 1, "CARRERA")], "catalog_id string, section_id int, model_scope string")
+    words = spark.createDataFrame([("a", "lines", "CARRERA"), ("b", "lines", "TURBO"), ("b", "engines", "9700"), ("a", "engines", "9700")], "catalog_id string, kind string, word string")
+    catalogs = spark.createDataFrame([("a", "modern", 2007), ("b", "modern", 2007)], "catalog_id string, dialect string, pivot int")
+    found = ingest.title_facets(titles, words, catalogs)
+    assert {(r.catalog_id, r.section_id): (r.body_line, r.engine_code) for r in found.collect()} == {("a", 1): (["CARRERA"], ["9700"]), ("a", 2): (["CARRERA"], ["9700"]), ("b", 1): (None, None)}
+    assert "first(words" not in found._jdf.queryExecution().optimizedPlan().toString()
