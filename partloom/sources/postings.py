@@ -81,7 +81,8 @@ class Index:
     def _write(self, run: str, postings: DataFrame, gone: DataFrame, told: dict) -> None:
         path = f"{self.folder.path}/data/{run}"
         own = postings.select(F.col("key").cast(told["key"]).alias("key"), "token", "places").withColumn("part", self._part(F.col("token"), told))
-        own.repartition("part").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{path}/postings")
+        # a part of many postings is dealt over several tasks, each a file of its folder
+        own.hint("rebalance", "part").sortWithinPartitions("part", "token").write.partitionBy("part").parquet(f"{path}/postings")
         gone.select(F.col("key").cast(told["key"]).alias("key")).distinct().write.parquet(f"{path}/gone")
 
     def _append(self, postings: DataFrame, gone: DataFrame) -> int:

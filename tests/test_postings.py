@@ -128,3 +128,17 @@ def test_empty_index(spark, tmp_path):
     assert keys(search.match_words(index, "nut")) == set()
     index.insert(spark.createDataFrame([("k", "nut")], "id string, name string").withColumn("other", F.lit(None).cast("string")), "id", ["name", "other"])
     assert keys(search.match_words(index, "nut")) == {"k"}
+
+
+def test_a_part_of_many_postings_is_dealt_over_tasks(spark, tmp_path):
+    """A part's postings are sorted by several tasks once they are many, and all of them are found."""
+    index = Index.create(spark, f"file://{tmp_path}/index", "words", parts=1)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        index.insert(spark.range(0, 60_000, 1, 4).select(F.col("id").alias("k"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.lit("all")).alias("t")), "k", ["t"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    run = index.told()["segments"][0]["run"]
+    assert len(list((tmp_path / "index" / "data" / run / "postings" / "part=0").glob("*.parquet"))) > 1
+    assert index.live(["all"]).select("key").distinct().count() == 60_000
