@@ -76,3 +76,16 @@ def test_detection_metrics_without_cross_joins(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan and m.n_true == m.n_pred == 61 and 0 < m.tp <= 61 and m.recall == m.tp / 61
     (none,) = evaluation.detection_metrics(a.limit(0), b.limit(0), "d").collect()
     assert (none.tp, none.precision, none.mean_iou) == (0, 0.0, 0.0)
+
+
+def test_front_rows_of_one_page_are_dealt(spark, monkeypatch):
+    """40,000 rows of one page in one partition: several files of about equal size, as each file is a task of the readers."""
+    from partloom.operators import vpages
+
+    kept, settled = {}, vpages.settled
+    monkeypatch.setattr(vpages, "settled", lambda df, name: kept.setdefault(name, settled(df, name)))
+    own = spark.range(3, 40_003, 1, 1).select(F.lit("c").alias("catalog_id"), F.lit(2).alias("page"), F.col("id").cast("int").alias("row_idx"), F.array(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("x")).alias("tokens"))
+    heads = spark.createDataFrame([("c", 1, 0, ["Optional Equipment"]), ("c", 1, 1, ["NR", "Description"])], own.schema).coalesce(1)
+    vpages.parse(own.unionByName(heads).coalesce(1))
+    files = [r["count"] for r in kept["front_rows"].groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 40_000 and len(files) >= 3 and max(files) < 20_000
