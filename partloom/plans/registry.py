@@ -464,7 +464,7 @@ def parse_scope(t):
 
 @query("t47_g4_roundtrip")
 def g4_roundtrip(t):
-    from ..operators.imaging import decode_picture, encode_picture
+    from ..operators.imaging import round_trips
 
     # all characters' codes as a picture of 48 columns, dark where they are odd, the last row filled up with blanks;
     # an empty page has a picture without rows, a null page none: null bytes, and null again when read back
@@ -472,8 +472,7 @@ def g4_roundtrip(t):
     bits = F.transform(F.split(F.rpad("html", rows * 48, " "), ""), lambda c: F.ascii(c) % 2)
     pixels = F.unhex(F.when(rows > 0, F.array_join(F.transform(bits, lambda b: F.concat(F.lit("0"), b.cast("string"))), "")).when(rows == 0, F.lit("")))
     wide = t("pages").select("page_id", pixels.alias("pixels"), F.lit(48).alias("w"), F.coalesce(rows, F.lit(0)).alias("h"))
-    coded = wide.withColumn("g4", encode_picture("pixels", "w", "h"))
-    return coded.select("page_id", F.octet_length("g4").cast("long").alias("bytes"), decode_picture("g4", "w", "h").eqNullSafe(F.col("pixels")).alias("same"))
+    return round_trips(wide, "page_id")
 
 
 @query("t48_decode_vin", "SELECT c_custkey, family, CASE WHEN family = 'cayenne' THEN '9P8' || s ELSE '99-8' || s END AS chassis FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'cayenne' ELSE '997' END AS family, 'S' || lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') AS s FROM customer)")

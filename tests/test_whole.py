@@ -73,3 +73,8 @@ def test_every_page_has_a_row(spark):
 
 def test_callouts_of_every_part(spark, duck):
     same_rows(registry.QUERIES["t51_callout_part"](spark, SMALL), duck.sql(registry.ORACLES["t51_callout_part"]))
+
+
+def test_pictures_are_coded_and_read_back_by_one_worker_of_a_task(spark):
+    plan = registry.QUERIES["t47_g4_roundtrip"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 0 and plan.count("MapInArrow") == 1
